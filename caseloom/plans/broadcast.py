@@ -1,0 +1,20 @@
+"""Broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# Default row bound for dimension-like sides (sites, grants of one user,
+# per-partition offsets).
+DEFAULT_MAX_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only when it holds at most ``max_rows`` rows.
+
+    The check runs ``limit(max_rows + 1).count()``: it stops reading once the
+    bound is exceeded, so it stays cheap on a large input.  Beyond the bound
+    the side is returned unchanged and the planner/AQE choose a shuffle join.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
