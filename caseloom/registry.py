@@ -175,3 +175,253 @@ def q_facet_departments(spark, sf_dir):
 SELECT DISTINCT location, issues AS value FROM cases WHERE {PRESENT.format(c='issues')}""")
 def q_facet_issues(spark, sf_dir):
     return report.facet(cases(spark, sf_dir), "issues")
+
+# ---------------------------------------------------------------- case list
+
+from caseloom.operators import access, admin, listing  # noqa: E402
+
+CASE_COLS = ("id, case_no, case_date, issues, description, step_to_resolve, opened_by, department, status, "
+             "resolved_by, remark, created_at, updated_at, location")
+TEXT_DATE_COLS = ("id, case_no, CAST(case_date AS VARCHAR) AS case_date, issues, description, step_to_resolve, "
+                  "opened_by, department, status, resolved_by, remark, CAST(created_at AS VARCHAR) AS created_at, "
+                  "CAST(updated_at AS VARCHAR) AS updated_at, location")
+
+
+@register("case_list_newest", CASES + f"""
+SELECT {TEXT_DATE_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY location ORDER BY id DESC) AS rn FROM cases) t
+WHERE rn <= {PAGE_SIZE}""")
+def q_case_list_newest(spark, sf_dir):
+    page = listing.newest(cases(spark, sf_dir), listing.page_limit(str(PAGE_SIZE)), group_by=["location"])
+    return listing.with_text_dates(page)
+
+
+@register("case_list_filtered", CASES + f"""
+SELECT {CASE_COLS} FROM cases
+WHERE status = 'In progress' AND department = 'BUILDING' AND {DATE_RANGE_SQL}""")
+def q_case_list_filtered(spark, sf_dir):
+    f = CaseFilter(status="In progress", department="BUILDING", from_date=REPORT_FROM, to_date=REPORT_TO)
+    return listing.newest(f.apply(cases(spark, sf_dir)))
+
+
+@register("case_search", CASES + f"""
+SELECT {CASE_COLS} FROM cases
+WHERE coalesce(contains(case_no, '{SEARCH_TERM}') OR contains(description, '{SEARCH_TERM}')
+      OR contains(opened_by, '{SEARCH_TERM}') OR contains(step_to_resolve, '{SEARCH_TERM}'), false)""")
+def q_case_search(spark, sf_dir):
+    return listing.newest(CaseFilter(search=SEARCH_TERM).apply(cases(spark, sf_dir)))
+
+
+@register("case_search_stats", CASES + f"""
+SELECT location, count(*) AS total,
+       count(CASE WHEN status = 'In progress' THEN 1 END) AS in_progress,
+       count(CASE WHEN status = 'Completed' THEN 1 END) AS completed,
+       count(CASE WHEN case_date >= DATE '1998-06-01' AND case_date < DATE '1998-07-01' THEN 1 END) AS this_month
+FROM cases
+WHERE coalesce(contains(case_no, 'BRASS') OR contains(description, 'BRASS') OR contains(opened_by, 'BRASS'), false)
+GROUP BY location""")
+def q_case_search_stats(spark, sf_dir):
+    f = CaseFilter(search="BRASS").for_stats()
+    return report.stats_kpi(f.apply(cases(spark, sf_dir)), AS_OF)
+
+
+@register("case_search_pattern", CASES + """
+SELECT id, case_no, location FROM cases
+WHERE coalesce(case_no LIKE '%C-1_1%' OR description LIKE '%C-1_1%' OR opened_by LIKE '%C-1_1%'
+      OR step_to_resolve LIKE '%C-1_1%', false)""")
+def q_case_search_pattern(spark, sf_dir):
+    f = CaseFilter(search="C-1_1", search_pattern=True)
+    return f.apply(cases(spark, sf_dir)).select("id", "case_no", "location")
+
+
+@register("case_by_id", CASES + f"SELECT {CASE_COLS} FROM cases WHERE id = {LOOKUP_ID}")
+def q_case_by_id(spark, sf_dir):
+    return by_key(cases(spark, sf_dir), "id", LOOKUP_ID)
+
+
+@register("site_union", CASES + "SELECT location, count(*) AS cases FROM cases GROUP BY location")
+def q_site_union(spark, sf_dir):
+    all_cases = cases(spark, sf_dir)
+    codes = access.site_codes(dtab.locations_view(spark, sf_dir))
+    per_site = {c: all_cases.filter(F.col("location") == c).drop("location") for c in codes}
+    return union_sites(per_site).groupBy("location").agg(F.count(F.lit(1)).alias("cases"))
+
+
+# ---------------------------------------------------------------- access
+
+ACCESS = with_views("cases", "users", "grants", "locations", extra={
+    "eff": """SELECT u.id AS user_id, l.code AS location_code, TRUE AS can_view, TRUE AS can_edit,
+                     TRUE AS can_delete
+              FROM users u CROSS JOIN locations l WHERE u.role = 'superadmin'
+              UNION ALL
+              SELECT g.user_id, g.location_code, g.can_view, g.can_edit, g.can_delete
+              FROM grants g JOIN users u ON g.user_id = u.id AND u.role <> 'superadmin'
+              WHERE g.location_code IN (SELECT code FROM locations)""",
+})
+VIEWER, ADMIN_USER = 8, 20
+
+
+def _dims(spark, sf_dir):
+    return dtab.users_view(spark, sf_dir), dtab.grants_view(spark, sf_dir), dtab.locations_view(spark, sf_dir)
+
+
+@register("visible_cases", ACCESS + f"""
+SELECT id, case_no, location FROM cases
+WHERE location IN (SELECT location_code FROM eff WHERE user_id = {VIEWER} AND can_edit)""")
+def q_visible_cases(spark, sf_dir):
+    users, grants, locs = _dims(spark, sf_dir)
+    return access.visible_cases(cases(spark, sf_dir), users, grants, locs, VIEWER, "can_edit").select(
+        "id", "case_no", "location")
+
+
+@register("visible_cases_superadmin", ACCESS + f"""
+SELECT location, count(*) AS cases FROM cases
+WHERE location IN (SELECT location_code FROM eff WHERE user_id = {ADMIN_USER} AND can_delete)
+GROUP BY location""")
+def q_visible_cases_superadmin(spark, sf_dir):
+    users, grants, locs = _dims(spark, sf_dir)
+    vis = access.visible_cases(cases(spark, sf_dir), users, grants, locs, ADMIN_USER, "can_delete")
+    return vis.groupBy("location").agg(F.count(F.lit(1)).alias("cases"))
+
+
+@register("effective_permissions", ACCESS + "SELECT * FROM eff")
+def q_effective_permissions(spark, sf_dir):
+    return access.effective_permissions(*_dims(spark, sf_dir))
+
+
+@register("sites_of_user", with_views("grants", "locations") + """
+SELECT g.user_id, g.location_code, g.can_view, g.can_edit, g.can_delete, l.name, l.short_name
+FROM grants g JOIN locations l ON g.location_code = l.code""")
+def q_sites_of_user(spark, sf_dir):
+    _, grants, locs = _dims(spark, sf_dir)
+    return access.sites_of_user(grants, locs)
+
+
+@register("sites_list", with_views("locations") + "SELECT code, name, short_name FROM locations")
+def q_sites_list(spark, sf_dir):
+    from caseloom.sources.cases import sites_by_name
+    return sites_by_name(dtab.locations_view(spark, sf_dir))
+
+
+@register("resolvers_of_site", with_views("users", "grants") + """
+SELECT g.location_code, u.eid, coalesce(nullif(u.full_name, ''), u.eid) AS full_name, u.role,
+       coalesce(nullif(u.full_name, ''), u.eid) || ' (' || u.eid || ')' AS display
+FROM users u JOIN grants g ON u.id = g.user_id
+WHERE NOT u.is_locked AND u.role <> 'superadmin'""")
+def q_resolvers_of_site(spark, sf_dir):
+    users, grants, _ = _dims(spark, sf_dir)
+    return access.resolvers_of_site(users, grants)
+
+
+# ---------------------------------------------------------------- admin
+
+USER_COLS = "id, eid, email, full_name, role, is_locked, locked_until, failed_attempts"
+
+
+@register("users_with_sites", with_views("users", "grants") + f"""
+SELECT {', '.join('u.' + c for c in USER_COLS.split(', '))},
+       coalesce(array_to_string(list_sort(list(g.location_code) FILTER (WHERE g.location_code IS NOT NULL)), ','),
+                '') AS locations
+FROM users u LEFT JOIN grants g ON u.id = g.user_id
+GROUP BY {', '.join('u.' + c for c in USER_COLS.split(', '))}""")
+def q_users_with_sites(spark, sf_dir):
+    users, grants, _ = _dims(spark, sf_dir)
+    out = admin.users_with_sites(users, grants)
+    return out.withColumn("locations", F.array_join("locations", ","))
+
+
+@register("site_user_counts", with_views("users", "grants", "locations") + """
+SELECT l.code, l.name, l.short_name, count(u.id) AS user_count
+FROM locations l LEFT JOIN grants g ON l.code = g.location_code
+LEFT JOIN users u ON g.user_id = u.id AND u.role <> 'superadmin'
+GROUP BY l.code, l.name, l.short_name""")
+def q_site_user_counts(spark, sf_dir):
+    users, grants, locs = _dims(spark, sf_dir)
+    return admin.site_user_counts(locs, grants, users)
+
+
+@register("new_users", with_views("users", "incoming_users", extra={
+    "shaped": """SELECT id, trim(eid) AS eid, nullif(trim(email), '') AS email,
+                        nullif(trim(first_name), '') AS first_name, nullif(trim(last_name), '') AS last_name,
+                        coalesce(nullif(trim(full_name), ''),
+                                 nullif(trim(concat_ws(' ', trim(coalesce(first_name, '')),
+                                                       trim(coalesce(last_name, '')))), '')) AS full_name,
+                        coalesce(role, 'user') AS role
+                 FROM incoming_users""",
+}) + """
+SELECT id, eid, email, first_name, last_name, full_name, role, FALSE AS is_locked,
+       CAST(NULL AS TIMESTAMP) AS locked_until, CAST(0 AS BIGINT) AS failed_attempts
+FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY id) AS rn FROM shaped
+      WHERE eid IS NOT NULL AND eid <> '' AND role IN ('user', 'admin')) s
+WHERE rn = 1 AND eid NOT IN (SELECT eid FROM users)""")
+def q_new_users(spark, sf_dir):
+    return admin.create_users(dtab.incoming_users_view(spark, sf_dir), dtab.users_view(spark, sf_dir))
+
+
+@register("new_sites", with_views("locations", "incoming_sites") + """
+SELECT code, name, short_name FROM (
+  SELECT lower(trim(code)) AS code, trim(name) AS name, trim(short_name) AS short_name,
+         row_number() OVER (PARTITION BY lower(trim(code)) ORDER BY seq) AS rn
+  FROM incoming_sites
+  WHERE length(lower(trim(code))) BETWEEN 3 AND 10 AND trim(name) <> '' AND trim(short_name) <> '') s
+WHERE rn = 1 AND code NOT IN (SELECT code FROM locations)""")
+def q_new_sites(spark, sf_dir):
+    return admin.create_sites(dtab.incoming_sites_view(spark, sf_dir), dtab.locations_view(spark, sf_dir))
+
+
+@register("grants_replaced", with_views("grants", "grant_requests") + """
+SELECT user_id, location_code, can_view, can_edit, can_delete FROM grants
+WHERE user_id NOT IN (SELECT user_id FROM grant_requests)
+UNION ALL
+SELECT DISTINCT user_id, code, TRUE, TRUE, TRUE FROM grant_requests""")
+def q_grants_replaced(spark, sf_dir):
+    return admin.replace_grants(dtab.grants_view(spark, sf_dir), dtab.grant_requests_view(spark, sf_dir))
+
+
+@register("users_roles_updated", with_views("users", "grant_requests") + f"""
+SELECT u.id, u.eid, u.email, u.full_name,
+       CASE WHEN r.role IS NOT NULL AND u.role <> 'superadmin' THEN r.role ELSE u.role END AS role,
+       u.is_locked, u.locked_until, u.failed_attempts
+FROM users u LEFT JOIN (SELECT user_id, max(role) AS role FROM grant_requests
+                        WHERE role IN ('user', 'admin') GROUP BY user_id) r ON u.id = r.user_id""")
+def q_users_roles_updated(spark, sf_dir):
+    return admin.update_roles(dtab.users_view(spark, sf_dir), dtab.grant_requests_view(spark, sf_dir))
+
+
+@register("users_unlocked", with_views("users") + f"""
+SELECT id, eid, email, full_name, role,
+       CASE WHEN hit THEN FALSE ELSE is_locked END AS is_locked,
+       CASE WHEN hit THEN NULL ELSE locked_until END AS locked_until,
+       CASE WHEN hit THEN 0 ELSE failed_attempts END AS failed_attempts
+FROM (SELECT *, is_locked AND role = 'user' AS hit FROM users) u""")
+def q_users_unlocked(spark, sf_dir):
+    users = dtab.users_view(spark, sf_dir)
+    ids = users.filter(F.col("is_locked") & (F.col("role") == "user")).select("id")
+    return admin.unlock(users, ids)
+
+
+DELETE_USERS_SQL = "SELECT id FROM users WHERE id % 10 = 0 AND role <> 'superadmin'"
+
+
+@register("users_deleted_cascade", with_views("users", "grants") + f"""
+SELECT * FROM grants WHERE user_id NOT IN ({DELETE_USERS_SQL})""")
+def q_users_deleted_cascade(spark, sf_dir):
+    users, grants, _ = _dims(spark, sf_dir)
+    _, kept_grants = admin.delete_users(users, grants, users.filter(F.col("id") % 10 == 0).select("id"))
+    return kept_grants
+
+
+@register("users_after_delete", with_views("users") + f"""
+SELECT * FROM users WHERE id NOT IN ({DELETE_USERS_SQL})""")
+def q_users_after_delete(spark, sf_dir):
+    users, grants, _ = _dims(spark, sf_dir)
+    kept_users, _ = admin.delete_users(users, grants, users.filter(F.col("id") % 10 == 0).select("id"))
+    return kept_users
+
+
+@register("sites_deleted_cascade", with_views("grants") + """
+SELECT * FROM grants WHERE location_code <> 'europe'""")
+def q_sites_deleted_cascade(spark, sf_dir):
+    _, grants, locs = _dims(spark, sf_dir)
+    _, kept = admin.delete_sites(locs, grants, locs.filter(F.col("code") == "europe").select("code"))
+    return kept

@@ -86,6 +86,23 @@ CTES: dict[str, str] = {
              CASE WHEN event_id % 2 = 0 THEN 'register' ELSE 'reset_password' END AS purpose,
              ts + INTERVAL 2 DAY AS expires_at, event_id % 3 = 0 AS used, ts AS created_at
       FROM events""",
+    "incoming_users": """SELECT
+        c_custkey + (SELECT max(c_custkey) FROM customer) AS id,
+        CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'N-' || CAST(c_custkey % 1000 AS VARCHAR) END AS eid,
+        CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' new' || CAST(c_custkey AS VARCHAR) || '@example.com ' END AS email,
+        ' Ann ' AS first_name,
+        'Lee' || CAST(c_custkey AS VARCHAR) AS last_name,
+        CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' Agent X' || CAST(c_custkey AS VARCHAR) || ' ' END AS full_name,
+        CASE WHEN c_custkey % 10 = 0 THEN 'root' WHEN c_custkey % 10 = 1 THEN 'admin' ELSE NULL END AS role
+      FROM customer""",
+    "incoming_sites": """SELECT ' ' || upper(n_name) || ' ' AS code, n_name AS name,
+             CASE WHEN n_nationkey % 7 = 0 THEN ' ' ELSE substr(n_name, 1, 3) END AS short_name,
+             CAST(n_nationkey AS BIGINT) AS seq FROM nation
+      UNION ALL
+      SELECT r_name, r_name, 'R', CAST(r_regionkey + 100 AS BIGINT) FROM region""",
+    "grant_requests": """SELECT c_custkey AS user_id, location AS code,
+             CASE WHEN c_custkey % 30 = 0 THEN 'boss' ELSE 'admin' END AS role
+      FROM cust WHERE c_custkey % 10 = 0""",
 }
 
 # Which CTEs each CTE reads (so a prefix can be built in dependency order).
@@ -94,6 +111,7 @@ DEPS: dict[str, list[str]] = {
     "detail": ["first_line"],
     "cases": ["cust", "detail", "rnames"],
     "grants": ["cust"],
+    "grant_requests": ["cust"],
 }
 
 

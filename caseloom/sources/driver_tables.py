@@ -227,3 +227,48 @@ def changes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     ins = rows(k % 997 == 0, "I", 4, k + max_key + 1, {"case_no": F.lit(None).cast("string")})
     unknown = rows(k % 991 == 0, "D", 5, k + max_key + 100_000)
     return upd.unionByName(upd2).unionByName(dele).unionByName(ins).unionByName(unknown)
+
+
+def incoming_users_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of user creations: some eids exist already (custkey % 3),
+    others repeat inside the batch (custkey % 1000), some roles are invalid."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    mx = c.agg(F.max("c_custkey")).scalar()
+    return c.select(
+        (k + mx).alias("id"),
+        F.when(k % 3 == 0, F.col("c_name")).otherwise(F.concat(F.lit("N-"), (k % 1000).cast("string"))).alias("eid"),
+        F.when(k % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(" new"), k.cast("string"), F.lit("@example.com ")))
+         .alias("email"),
+        F.lit(" Ann ").alias("first_name"),
+        F.concat(F.lit("Lee"), k.cast("string")).alias("last_name"),
+        F.when(k % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(" Agent X"), k.cast("string"), F.lit(" ")))
+         .alias("full_name"),
+        F.when(k % 10 == 0, F.lit("root")).when(k % 10 == 1, F.lit("admin")).otherwise(F.lit(None).cast("string"))
+         .alias("role"),
+    )
+
+
+def incoming_sites_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of site creations from nations (some codes too long, some
+    short names blank) plus the existing region codes again."""
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    nat = n.select(F.concat(F.lit(" "), F.upper("n_name"), F.lit(" ")).alias("code"), F.col("n_name").alias("name"),
+                   F.when(F.col("n_nationkey") % 7 == 0, F.lit(" ")).otherwise(F.substring("n_name", 1, 3))
+                    .alias("short_name"),
+                   F.col("n_nationkey").cast("long").alias("seq"))
+    reg = r.select(F.col("r_name").alias("code"), F.col("r_name").alias("name"), F.lit("R").alias("short_name"),
+                   (F.col("r_regionkey") + 100).cast("long").alias("seq"))
+    return nat.unionByName(reg)
+
+
+def grant_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grant/role replacement requests: customers with custkey % 10 = 0 get
+    their home site only; the requested role is 'admin', or an invalid one
+    for custkey % 30 = 0."""
+    cs = customer_sites(spark, sf_dir)
+    k = F.col("c_custkey")
+    return cs.filter(k % 10 == 0).select(
+        k.alias("user_id"), F.array("location").alias("codes"),
+        F.when(k % 30 == 0, F.lit("boss")).otherwise(F.lit("admin")).alias("role"))
