@@ -22,7 +22,7 @@ def parse_case_date(c: str | Column) -> Column:
     text = _c(c)
     tries = []
     for fmt in IMPORT_DATE_FORMATS:
-        d = F.try_to_date(text, F.lit(fmt))
+        d = F.try_to_date(text, fmt)
         if fmt.endswith("yy") and not fmt.endswith("yyyy"):
             d = F.when(F.year(d) >= TWO_DIGIT_YEAR_PIVOT, F.add_months(d, -1200)).otherwise(d)
         tries.append(d)

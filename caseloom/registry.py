@@ -25,7 +25,7 @@ ORACLE: dict[str, str] = {}
 # Parameters of the registered queries (fixed, documented in FIXTURES.md).
 AS_OF = dt.date(1998, 6, 15)
 REPORT_FROM, REPORT_TO = "1996-01-01", "1999-12-31"
-SEARCH_TERM = "green"
+SEARCH_TERM = "red"
 LOOKUP_ID = 4242
 PAGE_SIZE = 10
 SITE = "asia"
@@ -218,10 +218,10 @@ SELECT location, count(*) AS total,
        count(CASE WHEN status = 'Completed' THEN 1 END) AS completed,
        count(CASE WHEN case_date >= DATE '1998-06-01' AND case_date < DATE '1998-07-01' THEN 1 END) AS this_month
 FROM cases
-WHERE coalesce(contains(case_no, 'BRASS') OR contains(description, 'BRASS') OR contains(opened_by, 'BRASS'), false)
+WHERE coalesce(contains(case_no, 'gear') OR contains(description, 'gear') OR contains(opened_by, 'gear'), false)
 GROUP BY location""")
 def q_case_search_stats(spark, sf_dir):
-    f = CaseFilter(search="BRASS").for_stats()
+    f = CaseFilter(search="gear").for_stats()
     return report.stats_kpi(f.apply(cases(spark, sf_dir)), AS_OF)
 
 
@@ -425,3 +425,174 @@ def q_sites_deleted_cascade(spark, sf_dir):
     _, grants, locs = _dims(spark, sf_dir)
     _, kept = admin.delete_sites(locs, grants, locs.filter(F.col("code") == "europe").select("code"))
     return kept
+
+# ---------------------------------------------------------------- import
+
+from caseloom.operators import changes as changes_op, export, ingest, numbering  # noqa: E402
+from caseloom.sources.importer import select_import_columns  # noqa: E402
+
+IMPORT_MAP_SQL = """SELECT "No." AS case_no, "Date" AS case_date, "Issues" AS issues, "Description" AS description,
+        "Step to Resolve" AS step_to_resolve, "Opened by" AS opened_by, "Department" AS department,
+        {status} AS status, "Resolved by" AS resolved_by, "Remark" AS remark, _row FROM import_raw"""
+REASON_SQL = """CASE WHEN case_no IS NULL THEN 'null_case_no'
+        WHEN case_no = '' OR coalesce(try_cast(case_no AS DOUBLE) = 0, false) THEN 'empty_case_no'
+        WHEN NOT (coalesce(trim(issues) <> '', false) OR coalesce(trim(description) <> '', false)
+                  OR coalesce(trim(opened_by) <> '', false) OR coalesce(trim(department) <> '', false)
+                  OR coalesce(trim(case_date) <> '', false)) THEN 'no_data' END"""
+PARSE_SQL = """CAST(coalesce(try_strptime(case_date, '%Y-%m-%d'), try_strptime(case_date, '%d-%b-%y'),
+        try_strptime(case_date, '%d/%m/%Y'), try_strptime(case_date, '%m/%d/%Y'),
+        try_strptime(case_date, '%d-%m-%Y')) AS DATE)"""
+
+
+def _import_sql(status: str) -> str:
+    return with_views("import_raw", extra={
+        "mapped": IMPORT_MAP_SQL.format(status=status),
+        "marked": f"SELECT *, {REASON_SQL} AS reject_reason FROM mapped",
+        "cleaned": f"""SELECT regexp_replace(case_no, '^(-?[0-9]+)\\.[0-9]+$', '\\1') AS case_no,
+                              {PARSE_SQL} AS case_date, issues, description, step_to_resolve, opened_by,
+                              department, status, resolved_by, remark, reject_reason, _row FROM marked""",
+    })
+
+
+def _cleaned(spark, sf_dir, with_status=True):
+    raw = dtab.import_raw_view(spark, sf_dir, with_status=with_status)
+    return ingest.clean_case_rows(select_import_columns(raw))
+
+
+@register("import_clean", _import_sql('"Status"') + "SELECT * EXCLUDE (reject_reason) FROM cleaned "
+                                                    "WHERE reject_reason IS NULL")
+def q_import_clean(spark, sf_dir):
+    return ingest.accepted(_cleaned(spark, sf_dir))
+
+
+@register("import_clean_no_status", _import_sql("'In progress'") + "SELECT * EXCLUDE (reject_reason) FROM cleaned "
+                                                                   "WHERE reject_reason IS NULL")
+def q_import_clean_no_status(spark, sf_dir):
+    return ingest.accepted(_cleaned(spark, sf_dir, with_status=False))
+
+
+@register("import_counts", _import_sql('"Status"') + """
+SELECT count(CASE WHEN reject_reason IS NULL THEN 1 END) AS inserted,
+       count(CASE WHEN reject_reason IN ('empty_case_no', 'no_data') THEN 1 END) AS skipped FROM cleaned""")
+def q_import_counts(spark, sf_dir):
+    return ingest.import_counts(_cleaned(spark, sf_dir))
+
+
+@register("import_reasons", _import_sql('"Status"') + """
+SELECT coalesce(reject_reason, 'accepted') AS outcome, count(*) AS rows FROM cleaned
+GROUP BY coalesce(reject_reason, 'accepted')""")
+def q_import_reasons(spark, sf_dir):
+    return ingest.import_reasons(_cleaned(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- export
+
+SHEET_SQL = CASES.rstrip() + """,
+sheet AS (SELECT location, row_number() OVER (PARTITION BY location ORDER BY id) AS "No.",
+       coalesce(strftime(case_date, '%-d-%b-%y'), '') AS "Date", issues AS "Issues", description AS "Description",
+       step_to_resolve AS "Step to Resolve", opened_by AS "Opened by", department AS "Department",
+       status AS "Status", resolved_by AS "Resolved by", remark AS "Remark"
+  FROM cases WHERE status = 'Completed')
+"""
+
+
+def _sheet(spark, sf_dir):
+    return export.export_rows(CaseFilter(status="Completed").apply(cases(spark, sf_dir)))
+
+
+@register("export_rows", SHEET_SQL + "SELECT * FROM sheet")
+def q_export_rows(spark, sf_dir):
+    return _sheet(spark, sf_dir)
+
+
+@register("export_widths", SHEET_SQL + "\nUNION ALL\n".join(
+    f"""SELECT location, '{h}' AS "column",
+       CAST(least(greatest(coalesce(max(length(CAST("{h}" AS VARCHAR))), 0), {len(h)}) + 2, 50) AS INTEGER) AS width
+       FROM sheet GROUP BY location""" for h in export.HEADERS))
+def q_export_widths(spark, sf_dir):
+    return export.export_widths(_sheet(spark, sf_dir))
+
+
+def _dash(c):
+    return f"CASE WHEN {c} IS NULL OR {c} = '' THEN '-' ELSE {c} END AS {c}"
+
+
+def _cut(c):
+    return (f"CASE WHEN {c} IS NULL THEN '' WHEN length({c}) > 30 THEN substr({c}, 1, 30) || '...' "
+            f"ELSE {c} END AS {c}")
+
+
+@register("display_rows", CASES + f"""
+SELECT id, location, {_dash('case_no')}, coalesce(strftime(case_date, '%-d-%b-%y'), '-') AS case_date,
+       {_dash('issues')}, {_cut('description')}, {_cut('step_to_resolve')}, {_dash('opened_by')},
+       {_dash('department')}, {_dash('status')},
+       CASE WHEN lower(status) = 'in progress' THEN 'progress' WHEN lower(status) = 'completed' THEN 'completed'
+            ELSE 'pending' END AS status_class,
+       {_dash('resolved_by')}, {_dash('remark')}
+FROM cases""")
+def q_display_rows(spark, sf_dir):
+    return export.display_rows(cases(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- numbering and changes
+
+CHANGES_AS_OF = dt.datetime(2024, 2, 1)
+MAX_NO_SQL = """SELECT location, max(CAST(case_no AS BIGINT)) AS max_no
+  FROM cases WHERE regexp_full_match(case_no, '[0-9]+') GROUP BY location"""
+
+
+@register("max_case_no", CASES + """
+SELECT location, max(CAST(case_no AS BIGINT)) AS max_no, CAST(max(CAST(case_no AS BIGINT)) AS VARCHAR) AS max_no_text
+FROM cases WHERE regexp_full_match(case_no, '[0-9]+') GROUP BY location""")
+def q_max_case_no(spark, sf_dir):
+    return numbering.max_case_no(cases(spark, sf_dir))
+
+
+APPLY_SQL = with_views("cases", "changes_site", extra={
+    "last_change": """SELECT * EXCLUDE (rn) FROM (
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM changes_site) t WHERE rn = 1""",
+    "kept": "SELECT * FROM cases WHERE id NOT IN (SELECT id FROM last_change WHERE op IN ('U', 'D'))",
+    "upd": f"""SELECT l.id, coalesce(l.case_no, '') AS case_no, l.case_date, coalesce(l.issues, '') AS issues,
+        coalesce(l.description, '') AS description, coalesce(l.step_to_resolve, '') AS step_to_resolve,
+        coalesce(l.opened_by, '') AS opened_by, coalesce(l.department, '') AS department,
+        coalesce(l.status, 'In progress') AS status, coalesce(l.resolved_by, '') AS resolved_by,
+        coalesce(l.remark, '') AS remark, c.created_at, TIMESTAMP '{CHANGES_AS_OF}' AS updated_at, c.location
+        FROM last_change l JOIN cases c ON l.id = c.id WHERE l.op = 'U'""",
+    "ins0": "SELECT * FROM last_change WHERE op = 'I' AND id NOT IN (SELECT id FROM cases)",
+    "mx": MAX_NO_SQL,
+    "ins": f"""SELECT i.id,
+        CASE WHEN coalesce(i.case_no, '') = '' THEN CAST(coalesce(mx.max_no, 0) + row_number() OVER (
+               PARTITION BY i.location, coalesce(i.case_no, '') = '' ORDER BY i.id) AS VARCHAR)
+             ELSE i.case_no END AS case_no,
+        i.case_date, coalesce(i.issues, '') AS issues, coalesce(i.description, '') AS description,
+        coalesce(i.step_to_resolve, '') AS step_to_resolve, coalesce(i.opened_by, '') AS opened_by,
+        coalesce(i.department, '') AS department, coalesce(i.status, 'In progress') AS status,
+        coalesce(i.resolved_by, '') AS resolved_by, coalesce(i.remark, '') AS remark,
+        TIMESTAMP '{CHANGES_AS_OF}' AS created_at, TIMESTAMP '{CHANGES_AS_OF}' AS updated_at, i.location
+        FROM ins0 i LEFT JOIN mx ON i.location = mx.location""",
+})
+
+
+@register("cases_after_changes", APPLY_SQL + f"""
+SELECT {CASE_COLS} FROM kept UNION ALL SELECT {CASE_COLS} FROM upd UNION ALL SELECT {CASE_COLS} FROM ins""")
+def q_cases_after_changes(spark, sf_dir):
+    return changes_op.apply_changes(cases(spark, sf_dir), dtab.changes_with_site(spark, sf_dir), CHANGES_AS_OF)
+
+
+@register("numbered_batch", APPLY_SQL + "SELECT id, case_no, location FROM ins")
+def q_numbered_batch(spark, sf_dir):
+    batch = dtab.changes_with_site(spark, sf_dir).filter(F.col("op") == "I").drop("op", "seq")
+    return numbering.number_batch(batch, cases(spark, sf_dir)).select("id", "case_no", "location")
+
+
+@register("purge_site", CASES + "SELECT location, count(*) AS cases FROM cases WHERE location <> 'africa' "
+                                "GROUP BY location")
+def q_purge_site(spark, sf_dir):
+    kept, _ = changes_op.purge_site(cases(spark, sf_dir), "africa")
+    return kept.groupBy("location").agg(F.count(F.lit(1)).alias("cases"))
+
+
+@register("purge_count", CASES + "SELECT count(*) AS purged FROM cases WHERE location = 'africa'")
+def q_purge_count(spark, sf_dir):
+    _, purged = changes_op.purge_site(cases(spark, sf_dir), "africa")
+    return purged

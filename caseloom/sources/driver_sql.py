@@ -103,6 +103,39 @@ CTES: dict[str, str] = {
     "grant_requests": """SELECT c_custkey AS user_id, location AS code,
              CASE WHEN c_custkey % 30 = 0 THEN 'boss' ELSE 'admin' END AS role
       FROM cust WHERE c_custkey % 10 = 0""",
+    "changes": """
+      SELECT o_orderkey AS id, 'U-' || CAST(o_orderkey AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
+             o_orderpriority AS issues, 'changed' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,
+             'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
+             CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
+             CAST(NULL AS VARCHAR) AS remark, 'U' AS op, CAST(1 AS BIGINT) AS seq FROM orders WHERE o_orderkey % 97 = 0
+      UNION ALL
+      SELECT o_orderkey, 'U-' || CAST(o_orderkey AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
+             o_orderpriority AS issues, 'changed twice' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,
+             'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
+             CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
+             'second' AS remark, 'U', 3 FROM orders WHERE o_orderkey % 194 = 0
+      UNION ALL
+      SELECT o_orderkey, 'U-' || CAST(o_orderkey AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
+             o_orderpriority AS issues, 'changed' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,
+             'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
+             CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
+             CAST(NULL AS VARCHAR) AS remark, 'D', 2 FROM orders WHERE o_orderkey % 101 = 0
+      UNION ALL
+      SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) + 1, CAST(NULL AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
+             o_orderpriority AS issues, 'changed' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,
+             'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
+             CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
+             CAST(NULL AS VARCHAR) AS remark, 'I', 4
+      FROM orders WHERE o_orderkey % 997 = 0
+      UNION ALL
+      SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) + 100000, 'U-' || CAST(o_orderkey AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
+             o_orderpriority AS issues, 'changed' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,
+             'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
+             CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
+             CAST(NULL AS VARCHAR) AS remark, 'D', 5
+      FROM orders WHERE o_orderkey % 991 = 0""",
+    "changes_site": """SELECT c.*, lower(r_name) AS location FROM changes c LEFT JOIN region ON c.id % 5 = r_regionkey""",
 }
 
 # Which CTEs each CTE reads (so a prefix can be built in dependency order).
@@ -112,6 +145,7 @@ DEPS: dict[str, list[str]] = {
     "cases": ["cust", "detail", "rnames"],
     "grants": ["cust"],
     "grant_requests": ["cust"],
+    "changes_site": ["changes"],
 }
 
 

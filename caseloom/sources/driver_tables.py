@@ -272,3 +272,11 @@ def grant_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cs.filter(k % 10 == 0).select(
         k.alias("user_id"), F.array("location").alias("codes"),
         F.when(k % 30 == 0, F.lit("boss")).otherwise(F.lit("admin")).alias("role"))
+
+
+def changes_with_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``changes_view`` with the site of inserted rows (region ``key % 5``)."""
+    ch = changes_view(spark, sf_dir)
+    region = table(spark, sf_dir, "region").select("r_regionkey", F.lower("r_name").alias("location"))
+    return (ch.join(bounded_broadcast(region), (F.col("id") % 5) == F.col("r_regionkey"), "left")
+              .drop("r_regionkey"))
