@@ -596,3 +596,49 @@ def q_purge_site(spark, sf_dir):
 def q_purge_count(spark, sf_dir):
     _, purged = changes_op.purge_site(cases(spark, sf_dir), "africa")
     return purged
+
+# ---------------------------------------------------------------- audit
+
+from caseloom.operators import audit  # noqa: E402
+
+TOKEN_AS_OF = dt.datetime(2024, 1, 15, 12, 0)
+LOCKOUT_FOLD_SQL = with_views("attempts").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+a AS (
+  SELECT user_id, ts, ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM attempts),
+fold(user_id, rn, cnt, lu, locks, last_lock) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(0 AS BIGINT),
+         CAST(NULL AS TIMESTAMP) FROM a
+  UNION ALL
+  SELECT f.user_id, a.rn,
+    CASE WHEN f.lu IS NOT NULL AND a.ts < f.lu THEN f.cnt WHEN a.ok THEN 0 ELSE f.cnt + 1 END,
+    CASE WHEN f.lu IS NOT NULL AND a.ts < f.lu THEN f.lu WHEN a.ok THEN NULL
+         WHEN f.cnt + 1 >= 3 THEN a.ts + INTERVAL 30 MINUTE ELSE f.lu END,
+    f.locks + CASE WHEN (f.lu IS NULL OR a.ts >= f.lu) AND NOT a.ok AND f.cnt + 1 >= 3 THEN 1 ELSE 0 END,
+    CASE WHEN (f.lu IS NULL OR a.ts >= f.lu) AND NOT a.ok AND f.cnt + 1 >= 3 THEN a.ts ELSE f.last_lock END
+  FROM fold f JOIN a ON a.user_id = f.user_id AND a.rn = f.rn + 1)
+"""
+
+
+@register("lockout_audit", LOCKOUT_FOLD_SQL + """
+SELECT f.user_id, f.cnt AS attempts, f.lu AS locked_until, f.locks AS n_locks, f.last_lock
+FROM fold f JOIN (SELECT user_id, max(rn) AS rn FROM a GROUP BY user_id) m ON f.user_id = m.user_id AND f.rn = m.rn""")
+def q_lockout_audit(spark, sf_dir):
+    return audit.lockout_audit(dtab.attempts_view(spark, sf_dir))
+
+
+@register("latest_valid", with_views("tokens") + f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY email, purpose ORDER BY created_at DESC, id DESC) AS rn FROM tokens
+  WHERE NOT used AND expires_at > TIMESTAMP '{TOKEN_AS_OF}' AND created_at <= TIMESTAMP '{TOKEN_AS_OF}') t
+WHERE rn = 1""")
+def q_latest_valid(spark, sf_dir):
+    return audit.latest_valid(dtab.tokens_view(spark, sf_dir), TOKEN_AS_OF, supersede=False)
+
+
+@register("latest_valid_superseded", with_views("tokens") + f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY email ORDER BY created_at DESC, id DESC) AS rn FROM tokens
+  WHERE created_at <= TIMESTAMP '{TOKEN_AS_OF}') t
+WHERE rn = 1 AND NOT used AND expires_at > TIMESTAMP '{TOKEN_AS_OF}'""")
+def q_latest_valid_superseded(spark, sf_dir):
+    return audit.latest_valid(dtab.tokens_view(spark, sf_dir), TOKEN_AS_OF, supersede=True)
