@@ -54,78 +54,77 @@ def _ts(v: int):
 
 
 def _chunk_summary(pdf: pd.DataFrame, max_failed: int, lock_ns: int) -> pd.DataFrame:
+    """Transfer summary of one chunk (backward pass over its attempts)."""
     pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    ts = _ns(pdf["ts"])
-    ok = pdf["ok"].to_numpy(dtype=bool)
+    ts_arr = _ns(pdf["ts"])
+    ts = ts_arr.tolist()
+    ok = pdf["ok"].to_numpy(dtype=bool).tolist()
     n = len(ts)
-    nxt = np.searchsorted(ts, ts + lock_ns, side="left")
-    top = max_failed  # classes 0 .. max_failed-1 and max_failed (= at or above the limit)
-    # R[X] arrays over positions 0..n (position n = end of chunk)
-    reset = np.zeros((top + 1, n + 1), dtype=bool)
-    fails = np.zeros((top + 1, n + 1), dtype=np.int64)
-    l_out = np.full((top + 1, n + 1), _NAT, dtype=np.int64)
-    locks = np.zeros((top + 1, n + 1), dtype=np.int64)
-    last = np.full((top + 1, n + 1), _NAT, dtype=np.int64)
+    nxt = np.searchsorted(ts_arr, ts_arr + lock_ns, side="left").tolist()
+    top = max_failed  # classes 0 .. max_failed-1, and max_failed = "at or above the limit"
+    end = (False, 0, _NAT, 0, _NAT)  # (reset, fails, l_out, locks, last_lock)
+    # res[i][x]: exit when entering position i unlocked in class x
+    res: list[list[tuple] | None] = [None] * (n + 1)
+    res[n] = [end] * (top + 1)
     for i in range(n - 1, -1, -1):
+        nxt_row = res[i + 1]
         if ok[i]:
-            reset[:, i] = True
-            fails[:, i] = fails[0, i + 1]
-            l_out[:, i] = l_out[0, i + 1]
-            locks[:, i] = locks[0, i + 1]
-            last[:, i] = last[0, i + 1]
+            r0 = nxt_row[0]
+            res[i] = [(True, r0[1], r0[2], r0[3], r0[4])] * (top + 1)
             continue
-        # a failure that locks (class top-1 or top): lock now, resume at nxt[i] in class top
         until = ts[i] + lock_ns
         k = nxt[i]
         if k >= n:
             lk = (False, 1, until, 1, ts[i])
         else:
-            r_reset, r_f, r_l, r_n, r_last = reset[top, k], fails[top, k], l_out[top, k], locks[top, k], last[top, k]
-            lk = (bool(r_reset), int(r_f) if r_reset else int(r_f) + 1,
-                  int(r_l) if (r_reset or r_n > 0) else int(until), int(r_n) + 1,
-                  int(r_last) if r_n > 0 else int(ts[i]))
+            r_reset, r_f, r_l, r_n, r_last = res[k][top]
+            lk = (r_reset, r_f if r_reset else r_f + 1, r_l if (r_reset or r_n > 0) else until, r_n + 1,
+                  r_last if r_n > 0 else ts[i])
+        row = []
         for x in range(top + 1):
             if x + 1 >= max_failed:
-                reset[x, i], fails[x, i], l_out[x, i], locks[x, i], last[x, i] = lk
+                row.append(lk)
             else:
-                y = x + 1
-                reset[x, i] = reset[y, i + 1]
-                fails[x, i] = fails[y, i + 1] if reset[y, i + 1] else fails[y, i + 1] + 1
-                l_out[x, i], locks[x, i], last[x, i] = l_out[y, i + 1], locks[y, i + 1], last[y, i + 1]
+                y = nxt_row[x + 1]
+                row.append(y if y[0] else (False, y[1] + 1, y[2], y[3], y[4]))
+        res[i] = row
     uid, chunk = int(pdf["user_id"].iloc[0]), int(pdf["chunk"].iloc[0])
     first_ts, last_ts = _ts(ts[0]), _ts(ts[-1])
     rows = []
     for x in range(top + 1):
-        rows.append((uid, chunk, "U", x, pd.NaT, first_ts, last_ts, bool(reset[x, 0]), int(fails[x, 0]),
-                     _ts(l_out[x, 0]), int(locks[x, 0]), _ts(last[x, 0])))
-    m = int(np.searchsorted(ts, ts[0] + lock_ns, side="left"))
+        r = res[0][x]
+        rows.append((uid, chunk, "U", x, pd.NaT, first_ts, last_ts, r[0], r[1], _ts(r[2]), r[3], _ts(r[4])))
+    m = int(np.searchsorted(ts_arr, ts[0] + lock_ns, side="left"))
     for j in range(1, min(m, n - 1) + 1):
-        rows.append((uid, chunk, "L", j, _ts(ts[j]), first_ts, last_ts, bool(reset[top, j]), int(fails[top, j]),
-                     _ts(l_out[top, j]), int(locks[top, j]), _ts(last[top, j])))
+        r = res[j][top]
+        rows.append((uid, chunk, "L", j, _ts(ts[j]), first_ts, last_ts, r[0], r[1], _ts(r[2]), r[3], _ts(r[4])))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMARY_SCHEMA.split(", ")])
 
 
 def _stitch(pdf: pd.DataFrame, max_failed: int) -> pd.DataFrame:
-    """Walk one user's chunk summaries in order; emit each chunk's entry."""
+    """Walk one user's chunk summaries in order; emit the entry state of
+    every following chunk (chunk 0 always starts at counter 0, no lock)."""
     top = max_failed
     a, lk = 0, _NAT
     out = []
+    uid = int(pdf["user_id"].iloc[0])
     for chunk, g in pdf.groupby("chunk", sort=True):
         first_ts = int(pd.Timestamp(g["first_ts"].iloc[0]).value)
         last_ts = int(pd.Timestamp(g["last_ts"].iloc[0]).value)
-        out.append((int(g["user_id"].iloc[0]), int(chunk), a, _ts(lk)))
         if lk != _NAT and lk > last_ts:
-            continue  # the whole chunk falls inside the lock
-        if lk != _NAT and lk > first_ts:
+            row = None  # the whole chunk falls inside the lock
+        elif lk != _NAT and lk > first_ts:
             lrows = g[g["kind"] == "L"].sort_values("entry")
             pos = int(np.searchsorted(_ns(lrows["entry_ts"]), lk, side="left"))
             row = lrows.iloc[pos]
         else:
             row = g[(g["kind"] == "U") & (g["entry"] == min(a, top))].iloc[0]
-        n_locks = int(row["locks"])
-        a = int(row["fails"]) if row["reset"] else a + int(row["fails"])
-        if row["reset"] or n_locks > 0:
-            lk = _NAT if pd.isna(row["l_out"]) else int(pd.Timestamp(row["l_out"]).value)
+        if row is not None:
+            n_locks = int(row["locks"])
+            a = int(row["fails"]) if row["reset"] else a + int(row["fails"])
+            if row["reset"] or n_locks > 0:
+                lk = _NAT if pd.isna(row["l_out"]) else int(pd.Timestamp(row["l_out"]).value)
+        out.append((uid, int(chunk) + 1, a, _ts(lk)))
     return pd.DataFrame(out, columns=["user_id", "chunk", "a_in", "l_in"])
 
 
@@ -133,11 +132,12 @@ def _replay(pdf: pd.DataFrame, max_failed: int, lock_ns: int) -> pd.DataFrame:
     """Run one chunk from its resolved entry state; emit locks and the exit."""
     pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
     uid, chunk = int(pdf["user_id"].iloc[0]), int(pdf["chunk"].iloc[0])
-    a = int(pdf["a_in"].iloc[0])
-    lk = _NAT if pd.isna(pdf["l_in"].iloc[0]) else int(pd.Timestamp(pdf["l_in"].iloc[0]).value)
+    a_in = pdf["a_in"].iloc[0]
+    a = 0 if pd.isna(a_in) else int(a_in)
+    l_in = pdf["l_in"].iloc[0]
+    lk = _NAT if pd.isna(l_in) else int(pd.Timestamp(l_in).value)
     out = []
-    for t, good in zip(_ns(pdf["ts"]), pdf["ok"].to_numpy(dtype=bool)):
-        t = int(t)
+    for t, good in zip(_ns(pdf["ts"]).tolist(), pdf["ok"].to_numpy(dtype=bool).tolist()):
         if lk != _NAT and t < lk:
             continue
         if good:
@@ -160,10 +160,13 @@ def lockout_replay(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
     ev = global_row_number(ev, ["ts", "event_id"], out_col="_n", partition_by=["user_id"])
     ev = ev.withColumn("chunk", F.floor((F.col("_n") - 1) / chunk_size).cast("long")).drop("_n")
 
-    summary = ev.groupBy("user_id", "chunk").applyInPandas(
+    # Only chunks followed by another chunk of the same user need a summary.
+    last = ev.groupBy("user_id").agg(F.max("chunk").alias("_last"))
+    inner = ev.join(last, "user_id").filter(F.col("chunk") < F.col("_last")).drop("_last")
+    summary = inner.groupBy("user_id", "chunk").applyInPandas(
         lambda p: _chunk_summary(p, max_failed, lock_ns), SUMMARY_SCHEMA)
     entries = summary.groupBy("user_id").applyInPandas(lambda p: _stitch(p, max_failed), ENTRY_SCHEMA)
-    return (ev.join(entries, ["user_id", "chunk"], "inner")
+    return (ev.join(entries, ["user_id", "chunk"], "left")
               .groupBy("user_id", "chunk")
               .applyInPandas(lambda p: _replay(p, max_failed, lock_ns), REPLAY_SCHEMA))
 

@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from caseloom.functions.dates import in_month
 from caseloom.functions.numbers import half_up_percent, half_up_share
 from caseloom.functions.text import not_placeholder, present, py_strip
+from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.numbering import global_row_number
 from caseloom.schema import STATUS_COMPLETED, STATUS_IN_PROGRESS, TOP_N
 
 SITE = ("location",)
+GROUPS_BROADCAST_ROWS = 1_000_000
 
 
 def _count_if(pred: Column) -> Column:
@@ -141,7 +143,11 @@ def with_share(bd: DataFrame, group_by: Sequence[str] = SITE + ("dimension",)) -
     width relative to the first displayed row, i.e. the largest count.
     Group totals come from a partial aggregate joined back on the group."""
     totals = bd.groupBy(*group_by).agg(F.sum("count").alias("_total"), F.max("count").alias("_first"))
-    out = bd.join(totals, list(group_by), "left") if group_by else bd.crossJoin(F.broadcast(totals))
+    if group_by:
+        out = bd.join(bounded_broadcast(totals, GROUPS_BROADCAST_ROWS), list(group_by), "left")
+    else:
+        # a global aggregate is one row: attach it as scalar subqueries
+        out = bd.withColumns({"_total": totals.select("_total").scalar(), "_first": totals.select("_first").scalar()})
     return (out.withColumn("share", half_up_share("count", "_total"))
                .withColumn("bar", half_up_share("count", "_first"))
                .drop("_total", "_first"))

@@ -14,9 +14,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.lineage import cut_lineage
 
 _POS_BITS = 33  # monotonically_increasing_id: partition id in the upper bits
+OFFSETS_BROADCAST_ROWS = 1_000_000
 
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -45,9 +47,10 @@ def global_row_number(df: DataFrame, order_by: Sequence[str | Column], out_col:
     w = Window.partitionBy(*partition_by).orderBy("_rn_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("_rn_before", F.coalesce(F.sum("_rn_cnt").over(w), F.lit(0)))
     offsets = offsets.select(*group, "_rn_before", "_rn_first")
-    if not partition_by:
-        # one row per partition: bounded by the partition count
-        offsets = F.broadcast(offsets)
+    # At most partitions + groups rows: materialize once, then broadcast it
+    # when it is within the bound (the data side is not shuffled); beyond
+    # the bound the planner joins with a shuffle.
+    offsets = bounded_broadcast(cut_lineage(offsets), max_rows=OFFSETS_BROADCAST_ROWS)
     out = staged.join(offsets, group, "inner")
     out = out.withColumn(out_col, (F.col("_rn_before") + F.col("_rn_pos") - F.col("_rn_first") + 1).cast("long"))
     return out.drop("_rn_mid", "_rn_pid", "_rn_pos", "_rn_before", "_rn_first")
