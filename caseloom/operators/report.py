@@ -55,20 +55,37 @@ def report_summary(df: DataFrame, group_by: Sequence[str] = SITE) -> DataFrame:
     return agg.withColumn("completion_rate", half_up_percent("completed", "total"))
 
 
-def _breakdown(df: DataFrame, col: str, group_by: Sequence[str]) -> DataFrame:
-    return (df.filter(present(col))
-              .groupBy(*group_by, F.col(col).alias("name"))
-              .agg(F.count(F.lit(1)).alias("count")))
-
-
-def by_issues(df: DataFrame, group_by: Sequence[str] = SITE) -> DataFrame:
+def collation_key(c: str | Column, collation: str | None) -> Column:
+    """Grouping key under a collation.  ``None`` is binary; ``"ci"`` merges
+    values that differ only in letter case or trailing spaces (the default
+    behaviour of a case-insensitive, PAD SPACE database collation).  The key
+    is a plain derived string, so grouping stays a hash aggregate."""
+    c = F.col(c) if isinstance(c, str) else c
+    if collation is None:
+        return c
+    if collation == "ci":
+        return F.lower(F.rtrim(c))
+    raise ValueError(f"unknown collation {collation!r}")
+
+
+def _breakdown(df: DataFrame, col: str, group_by: Sequence[str], collation: str | None = None) -> DataFrame:
+    rows = df.filter(present(col))
+    if collation is None:
+        return rows.groupBy(*group_by, F.col(col).alias("name")).agg(F.count(F.lit(1)).alias("count"))
+    # one group per collation key; the smallest original spelling is the label
+    return (rows.groupBy(*group_by, collation_key(col, collation).alias("_key"))
+                .agg(F.min(col).alias("name"), F.count(F.lit(1)).alias("count"))
+                .drop("_key"))
+
+
+def by_issues(df: DataFrame, group_by: Sequence[str] = SITE, collation: str | None = None) -> DataFrame:
     """A4: cases per issue type (present values only)."""
-    return _breakdown(df, "issues", group_by)
+    return _breakdown(df, "issues", group_by, collation)
 
 
-def by_department(df: DataFrame, group_by: Sequence[str] = SITE) -> DataFrame:
+def by_department(df: DataFrame, group_by: Sequence[str] = SITE, collation: str | None = None) -> DataFrame:
     """A5: cases per department (present values only)."""
-    return _breakdown(df, "department", group_by)
+    return _breakdown(df, "department", group_by, collation)
 
 
 def resolver_tokens(resolved_by: str | Column = "resolved_by") -> Column:
