@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.text import py_strip
 from caseloom.operators.access import MAX_SITES, PERMISSIONS
+from caseloom.operators.report import collect_sorted
 from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.schema import ROLE_ORDER, SITE_CODE_MAX_LEN, SITE_CODE_MIN_LEN, VALID_UPDATE_ROLES
 
@@ -33,7 +34,7 @@ def users_with_sites(users: DataFrame, grants: DataFrame) -> DataFrame:
     (empty list without grants), ordered by role ordinal desc, then eid.
     Grants are aggregated per user before the join (at most one row per
     user meets the user table)."""
-    per_user = grants.groupBy("user_id").agg(F.array_sort(F.collect_list("location_code")).alias("locations"))
+    per_user = grants.groupBy("user_id").agg(collect_sorted("location_code").alias("locations"))
     out = users.join(per_user, users["id"] == per_user["user_id"], "left").drop("user_id")
     out = out.withColumn("locations", F.coalesce("locations", F.array().cast("array<string>")))
     return (out.select("id", "eid", "email", "full_name", "role", "is_locked", "locked_until", "failed_attempts",

@@ -53,10 +53,12 @@ def with_reject_reason(mapped: DataFrame) -> DataFrame:
 def clean_case_rows(mapped: DataFrame) -> DataFrame:
     """Reject reason, date parse (X1), case_no as integer text, status
     default only when the sheet had no Status column (a blank cell stays
-    NULL).  Extra columns (e.g. a source row number) pass through."""
+    NULL).  Columns beyond the 10 fields (a source row number, the site
+    folder) pass through."""
     marked = with_reject_reason(mapped)
     status_given = F.col("status_given") if "status_given" in marked.columns else F.lit(True)
-    passthrough = [c for c in marked.columns if c.startswith("_")]
+    flags = ("reject_reason", "status_given", "case_no_given")
+    passthrough = [c for c in marked.columns if c not in CASE_FIELDS and c not in flags]
     return marked.select(
         case_no_text("case_no").alias("case_no"),
         parse_case_date("case_date").alias("case_date"),

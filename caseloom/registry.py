@@ -642,3 +642,84 @@ SELECT * EXCLUDE (rn) FROM (
 WHERE rn = 1 AND NOT used AND expires_at > TIMESTAMP '{TOKEN_AS_OF}'""")
 def q_latest_valid_superseded(spark, sf_dir):
     return audit.latest_valid(dtab.tokens_view(spark, sf_dir), TOKEN_AS_OF, supersede=True)
+
+# ---------------------------------------------------------------- sources, sinks, options
+
+from caseloom.plans.lineage import staging_path  # noqa: E402
+from caseloom.sources import sinks  # noqa: E402
+from caseloom.sources.cases import scan_cases  # noqa: E402
+from caseloom.sources.importer import read_import  # noqa: E402
+
+
+@register("stored_site_scan", CASES + """
+SELECT status, count(*) AS cases FROM cases
+WHERE location = 'asia' AND case_date >= DATE '1997-01-01' GROUP BY status""")
+def q_stored_site_scan(spark, sf_dir):
+    """S5 + S1: write the case log partitioned by site, read one site back
+    (partition filter) with a pushed date filter."""
+    path = staging_path(spark, "cases")
+    sinks.append_cases(cases(spark, sf_dir), path)
+    df = CaseFilter(site=SITE, from_date="1997-01-01").apply(scan_cases(spark, path))
+    return df.groupBy("status").agg(F.count(F.lit(1)).alias("cases"))
+
+
+@register("export_roundtrip", CASES + """
+SELECT location, count(*) AS rows, count(CASE WHEN case_date IS NOT NULL THEN 1 END) AS dated,
+       count(*) AS last_no
+FROM cases WHERE status = 'Completed' GROUP BY location""")
+def q_export_roundtrip(spark, sf_dir):
+    """S4 -> S3 -> X2: export the sheet as CSV (one folder per site), import
+    it back; every row is accepted and numbered 1..n per site."""
+    path = staging_path(spark, "export")
+    sinks.export_cases(_sheet(spark, sf_dir), path)
+    back = ingest.accepted(ingest.clean_case_rows(read_import(spark, path)))
+    return back.groupBy("location").agg(F.count(F.lit(1)).alias("rows"),
+                                        F.count("case_date").alias("dated"),
+                                        F.max(F.col("case_no").cast("long")).alias("last_no"))
+
+
+@register("snapshot_counts", with_views("users", "grants", "locations", "cases") + """
+SELECT 'cases' AS "table", count(*) AS rows FROM cases
+UNION ALL SELECT 'grants', count(*) FROM grants
+UNION ALL SELECT 'locations', count(*) FROM locations
+UNION ALL SELECT 'users', count(*) FROM users""")
+def q_snapshot_counts(spark, sf_dir):
+    """Full snapshot of every table, read back and counted."""
+    users, grants, locs = _dims(spark, sf_dir)
+    tables = {"cases": cases(spark, sf_dir), "users": users, "grants": grants, "locations": locs}
+    paths = sinks.snapshot(tables, staging_path(spark, "snapshot"))
+    return sinks.snapshot_counts(spark, paths)
+
+
+@register("by_department_ci", CASES + """
+SELECT location, min(department) AS name, count(*) AS count FROM cases
+WHERE department IS NOT NULL AND department <> '' GROUP BY location, lower(rtrim(department))""")
+def q_by_department_ci(spark, sf_dir):
+    return report.by_department(cases(spark, sf_dir), collation="ci")
+
+
+@register("permission_check", ACCESS + f"""
+SELECT count(*) > 0 AS allowed FROM eff WHERE user_id = {VIEWER} AND location_code = '{SITE}' AND can_edit""")
+def q_permission_check(spark, sf_dir):
+    users, grants, locs = _dims(spark, sf_dir)
+    return access.has_permission(users, grants, locs, VIEWER, SITE, "can_edit")
+
+
+@register("new_user_grants", with_views("users", "incoming_users", extra={
+    "shaped": """SELECT id, trim(eid) AS eid, coalesce(role, 'user') AS role, region_key FROM incoming_users""",
+    "created": """SELECT id, region_key FROM (
+        SELECT *, row_number() OVER (PARTITION BY eid ORDER BY id) AS rn FROM shaped
+        WHERE eid IS NOT NULL AND eid <> '' AND role IN ('user', 'admin')) s
+      WHERE rn = 1 AND eid NOT IN (SELECT eid FROM users)""",
+}) + """
+SELECT c.id AS user_id, lower(r.r_name) AS location_code, TRUE AS can_view, TRUE AS can_edit, TRUE AS can_delete
+FROM created c JOIN region r ON c.region_key = r.r_regionkey""")
+def q_new_user_grants(spark, sf_dir):
+    """D8 + S7: the new users' requested sites, every right granted."""
+    incoming = dtab.incoming_users_view(spark, sf_dir)
+    created = admin.create_users(incoming, dtab.users_view(spark, sf_dir)).select("id")
+    region = dtab.table(spark, sf_dir, "region").select("r_regionkey", F.lower("r_name").alias("code"))
+    req = (created.join(incoming.select("id", "region_key"), "id")
+                  .join(F.broadcast(region), F.col("region_key") == F.col("r_regionkey"))
+                  .groupBy("id").agg(F.collect_set("code").alias("codes")))
+    return admin.default_grants(req, user_col="id")

@@ -246,6 +246,7 @@ def incoming_users_view(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("full_name"),
         F.when(k % 10 == 0, F.lit("root")).when(k % 10 == 1, F.lit("admin")).otherwise(F.lit(None).cast("string"))
          .alias("role"),
+        (k % 5).alias("region_key"),
     )
 
 

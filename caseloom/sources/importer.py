@@ -10,10 +10,12 @@ from caseloom.schema import EXPORT_HEADERS
 DEFAULT_HEADER_MAP = {header: col for col, header in EXPORT_HEADERS}
 
 
-def select_import_columns(raw: DataFrame, header_map: dict[str, str] | None = None) -> DataFrame:
+def select_import_columns(raw: DataFrame, header_map: dict[str, str] | None = None,
+                          keep: tuple[str, ...] = ()) -> DataFrame:
     """Rename by header, keep only mapped columns, add missing ones as NULL
     text.  ``status_given`` records whether the sheet had a Status column
-    (the default status applies only when it did not)."""
+    (the default status applies only when it did not).  Columns named in
+    ``keep`` (and ``_``-prefixed ones) pass through unchanged."""
     header_map = header_map or DEFAULT_HEADER_MAP
     present_cols = set(raw.columns)
     out = []
@@ -26,16 +28,19 @@ def select_import_columns(raw: DataFrame, header_map: dict[str, str] | None = No
     out.append(F.lit(status_header in present_cols).alias("status_given"))
     case_no_header = next((h for h, c in header_map.items() if c == "case_no"), None)
     out.append(F.lit(case_no_header in present_cols).alias("case_no_given"))
-    extra = [c for c in raw.columns if c.startswith("_")]
+    extra = [c for c in raw.columns if c.startswith("_") or c in keep]
     out.extend(F.col(c) for c in extra)
     return raw.select(*out)
 
 
 def read_import(spark: SparkSession, path: str, header_map: dict[str, str] | None = None,
-                fmt: str = "csv") -> DataFrame:
-    """Read an import file with every cell as text, then map the headers."""
+                fmt: str = "csv", keep: tuple[str, ...] = ("location",)) -> DataFrame:
+    """Read an import file with every cell as text (partition folders such
+    as ``location=...`` stay text too), then map the headers."""
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        raw = (spark.read.option("header", True).option("inferSchema", False)
+                    .option("recursiveFileLookup", False).csv(path))
+        raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns])
     else:
         raw = spark.read.format(fmt).load(path)
-    return select_import_columns(raw, header_map)
+    return select_import_columns(raw, header_map, keep)
