@@ -52,10 +52,12 @@ def _first_line_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resolver_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: sorted distinct supplier names of its lines, ', '-joined.
-    Distinct (order, supplier) pairs are formed before the grouping."""
-    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    Lines meet suppliers first; one aggregate per order then dedupes the
+    names (``collect_set`` is partial, so duplicates drop before the
+    shuffle)."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return (pairs.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+    return (lines.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
                  .groupBy("l_orderkey")
                  .agg(F.array_join(F.array_sort(F.collect_set("s_name")), ", ").alias("names"))
                  .withColumnRenamed("l_orderkey", "r_orderkey"))
