@@ -20,7 +20,9 @@ spans many partitions) and cut into chunks of at most ``chunk_size``.
   2. per user: walk the chunk summaries (a few rows per chunk) to the entry
      state of every chunk.
   3. per chunk (parallel): replay from the resolved entry state, emitting
-     every lock and the chunk's exit state.
+     every lock and the chunk's exit state.  Chunks are hash-partitioned
+     and sorted inside each partition, so one pass per partition replays
+     all its chunks (no per-group pandas overhead).
 """
 
 from __future__ import annotations
@@ -128,27 +130,49 @@ def _stitch(pdf: pd.DataFrame, max_failed: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["user_id", "chunk", "a_in", "l_in"])
 
 
-def _replay(pdf: pd.DataFrame, max_failed: int, lock_ns: int) -> pd.DataFrame:
-    """Run one chunk from its resolved entry state; emit locks and the exit."""
-    pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    uid, chunk = int(pdf["user_id"].iloc[0]), int(pdf["chunk"].iloc[0])
-    a_in = pdf["a_in"].iloc[0]
-    a = 0 if pd.isna(a_in) else int(a_in)
-    l_in = pdf["l_in"].iloc[0]
-    lk = _NAT if pd.isna(l_in) else int(pd.Timestamp(l_in).value)
-    out = []
-    for t, good in zip(_ns(pdf["ts"]).tolist(), pdf["ok"].to_numpy(dtype=bool).tolist()):
-        if lk != _NAT and t < lk:
-            continue
-        if good:
-            a, lk = 0, _NAT
-            continue
-        a += 1
-        if a >= max_failed:
-            lk = t + lock_ns
-            out.append((uid, chunk, "lock", _ts(t), _ts(lk), a))
-    out.append((uid, chunk, "exit", pd.NaT, _ts(lk), a))
-    return pd.DataFrame(out, columns=["user_id", "chunk", "kind", "ts", "locked_until", "attempts"])
+def _replay_partition(batches, max_failed: int, lock_ns: int):
+    """Replay every chunk of one partition.  Rows arrive sorted by
+    (user_id, chunk, ts, event_id); a chunk may continue into the next Arrow
+    batch, so the running state is carried across batches."""
+    cols = ["user_id", "chunk", "kind", "ts", "locked_until", "attempts"]
+    key = None
+    a, lk = 0, _NAT
+    for pdf in batches:
+        out = []
+        users = pdf["user_id"].tolist()
+        chunks = pdf["chunk"].tolist()
+        a_in = pdf["a_in"].tolist()
+        l_in = _ns(pdf["l_in"]).tolist() if pdf["l_in"].notna().any() else [_NAT] * len(pdf)
+        ts = _ns(pdf["ts"]).tolist()
+        oks = pdf["ok"].tolist()
+        for u, c, ai, li, t, good in zip(users, chunks, a_in, l_in, ts, oks):
+            if (u, c) != key:
+                if key is not None:
+                    out.append((key[0], key[1], "exit", _NAT, lk, a))
+                key = (u, c)
+                a = 0 if ai is None or ai != ai else int(ai)
+                lk = li
+            if lk != _NAT and t < lk:
+                continue
+            if good:
+                a, lk = 0, _NAT
+                continue
+            a += 1
+            if a >= max_failed:
+                lk = t + lock_ns
+                out.append((u, c, "lock", t, lk, a))
+        if out:
+            yield _replay_frame(out, cols)
+    if key is not None:
+        yield _replay_frame([(key[0], key[1], "exit", _NAT, lk, a)], cols)
+
+
+def _replay_frame(rows, cols) -> pd.DataFrame:
+    df = pd.DataFrame(rows, columns=cols)
+    for c in ("ts", "locked_until"):
+        v = df[c].to_numpy(dtype=np.int64)
+        df[c] = pd.to_datetime(np.where(v == _NAT, np.datetime64("NaT"), v.astype("datetime64[ns]")))
+    return df
 
 
 def lockout_replay(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
@@ -166,9 +190,10 @@ def lockout_replay(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
     summary = inner.groupBy("user_id", "chunk").applyInPandas(
         lambda p: _chunk_summary(p, max_failed, lock_ns), SUMMARY_SCHEMA)
     entries = summary.groupBy("user_id").applyInPandas(lambda p: _stitch(p, max_failed), ENTRY_SCHEMA)
-    return (ev.join(entries, ["user_id", "chunk"], "left")
-              .groupBy("user_id", "chunk")
-              .applyInPandas(lambda p: _replay(p, max_failed, lock_ns), REPLAY_SCHEMA))
+    staged = (ev.join(entries, ["user_id", "chunk"], "left")
+                .repartition("user_id", "chunk")
+                .sortWithinPartitions("user_id", "chunk", "ts", "event_id"))
+    return staged.mapInPandas(lambda it: _replay_partition(it, max_failed, lock_ns), REPLAY_SCHEMA)
 
 
 def lockout_events(attempts: DataFrame, **kw) -> DataFrame:
