@@ -12,9 +12,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.operators.numbering import number_batch
+from caseloom.plans.broadcast import bounded_broadcast
+from caseloom.plans.lineage import cut_lineage
 from caseloom.schema import CASE_FIELDS, DEFAULT_STATUS
 
 TEXT_FIELDS = [c for c in CASE_FIELDS if c not in ("case_date", "status")]
+CHANGES_BROADCAST_ROWS = 5_000_000
 
 
 def latest_change(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
@@ -43,7 +46,9 @@ def apply_changes(base: DataFrame, changes: DataFrame, as_of: dt.datetime, key:
     * I adds a new key (existing keys: no effect), numbered by A10 when it
       has no case_no.
     """
-    last = latest_change(changes, key, seq)
+    # The change batch is read three times below: materialize it once, and
+    # broadcast it when it is small so the base table is never shuffled.
+    last = bounded_broadcast(cut_lineage(latest_change(changes, key, seq)), CHANGES_BROADCAST_ROWS)
     ts = F.lit(as_of).cast("timestamp_ntz")
     touched = last.filter(F.col("op").isin("U", "D")).select(key)
     kept = base.join(touched, key, "left_anti")

@@ -99,3 +99,33 @@ def observed_counts(cleaned: DataFrame, name: str = "import_counts"):
     df = cleaned.observe(obs, F.count(F.when(r.isNull(), 1)).alias("inserted"),
                          F.count(F.when(r.isin(*SKIPPED), 1)).alias("skipped"))
     return df, obs
+
+
+def import_into(mapped: DataFrame, site: str, table_path: str, order_col: str = "_row",
+                as_of=None) -> dict:
+    """S3 -> X2 -> S5: clean the mapped sheet once (checkpointed), append the
+    accepted rows to ``site`` in the case table and return the counters.
+    New ids continue after the table's largest id in sheet order
+    (``order_col``); the file commit makes the append all-or-nothing."""
+    from pyspark.errors import AnalysisException
+
+    from caseloom.plans.lineage import cut_lineage
+    from caseloom.plans.numbering import global_row_number
+    from caseloom.sources.cases import scan_cases
+    from caseloom.sources.sinks import append_cases
+
+    spark = mapped.sparkSession
+    try:
+        existing = scan_cases(spark, table_path)
+        existing.schema  # noqa: B018 - resolves the path; raises when the table is absent
+        base_id = F.coalesce(existing.agg(F.max("id")).scalar(), F.lit(0))
+    except AnalysisException:
+        base_id = F.lit(0)
+    stamp = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.localtimestamp()
+    cleaned = cut_lineage(clean_case_rows(mapped))
+    counts = import_counts(cleaned).first().asDict()
+    ok = global_row_number(accepted(cleaned), [F.col(order_col)], out_col="_seq")
+    rows = ok.select((base_id + F.col("_seq")).cast("long").alias("id"), *CASE_FIELDS,
+                     stamp.alias("created_at"), stamp.alias("updated_at"), F.lit(site).alias("location"))
+    append_cases(rows, table_path)
+    return counts

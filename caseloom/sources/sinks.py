@@ -14,11 +14,15 @@ from caseloom.schema import CASES
 def write_cases(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append (or dynamically overwrite) case rows into the table
     partitioned by site; rows are clustered by case_date inside each site so
-    Parquet min/max statistics prune date ranges."""
+    Parquet min/max statistics prune date ranges.  ``rebalance`` lets AQE
+    split a hot (site, month) over several writer tasks and merge small
+    ones, instead of one task per hash bucket."""
     cols = [f.name for f in CASES.fields]
     (df.select(*cols)
-       .repartition("location", F.trunc("case_date", "month"))
+       .withColumn("_month", F.trunc("case_date", "month"))
+       .hint("rebalance", "location", "_month")
        .sortWithinPartitions("location", "case_date", "id")
+       .drop("_month")
        .write.mode(mode).partitionBy("location").parquet(path))
 
 

@@ -73,3 +73,18 @@ def test_observed_counts_single_pass(spark, tmp_dir):
     df, obs = ingest.observed_counts(cleaned)
     df.write.mode("overwrite").parquet(tmp_dir + "/out")
     assert obs.get == {"inserted": 9, "skipped": 2}
+
+
+def test_import_into_appends_and_counts(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from caseloom.sources.cases import scan_cases
+    rows = [r + [i] for i, r in enumerate(FIXTURE)]
+    sheet = _sheet(spark, rows, HEADERS + ["_row"])
+    path = tmp_dir + "/cases"
+    c1 = ingest.import_into(select_import_columns(sheet), "s1", path, as_of=dt.datetime(2025, 1, 1))
+    c2 = ingest.import_into(select_import_columns(sheet), "s2", path, as_of=dt.datetime(2025, 1, 2))
+    assert c1 == c2 == {"inserted": 9, "skipped": 2}
+    table = scan_cases(spark, path)
+    assert sorted(r.id for r in table.collect()) == list(range(1, 19))
+    assert table.filter(F.col("location") == "s2").agg(F.min("id")).first()[0] == 10
