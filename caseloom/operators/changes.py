@@ -52,13 +52,18 @@ def apply_changes(base: DataFrame, changes: DataFrame, as_of: dt.datetime, key:
     ts = F.lit(as_of).cast("timestamp_ntz")
     touched = last.filter(F.col("op").isin("U", "D")).select(key)
     kept = base.join(touched, key, "left_anti")
-    upd = with_defaults(last.filter(F.col("op") == "U"))
-    if "location" in upd.columns:
-        upd = upd.drop("location")  # an update keeps the row's site
-    upd = (upd.join(base.select(key, "location", "created_at"), key, "inner")
+    # one pass over the base finds which changed keys exist (with their site
+    # and creation time); it serves both the updates and the inserts
+    found = (base.select(key, F.col("location").alias("_site"), F.col("created_at").alias("_created"))
+                 .join(last.select(key), key, "left_semi")
+                 .withColumn("_exists", F.lit(True)))
+    resolved = last.join(found, key, "left")
+    upd = with_defaults(resolved.filter((F.col("op") == "U") & F.col("_exists").isNotNull()))
+    upd = (upd.withColumn("location", F.col("_site"))  # site and created_at stay the row's
+              .withColumn("created_at", F.col("_created"))
               .withColumn("updated_at", ts))
-    ins = last.filter(F.col("op") == "I").join(base.select(key), key, "left_anti")
-    ins = with_defaults(ins)  # a missing case_no becomes '' and is numbered below
+    ins_src = resolved.filter((F.col("op") == "I") & F.col("_exists").isNull())
+    ins = with_defaults(ins_src)  # a missing case_no becomes '' and is numbered below
     ins = ins.withColumn("created_at", ts).withColumn("updated_at", ts)
     ins = number_batch(ins.select(*base.columns), base)
     cols = base.columns
