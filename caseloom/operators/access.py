@@ -86,20 +86,29 @@ def sites_of_user(grants: DataFrame, locations: DataFrame, user_id: int | None =
                                                         "short_name")
 
 
-def active_users(users: DataFrame, drop_roles=("superadmin",)) -> DataFrame:
-    """unlocked users, minus the roles hidden from the resolver list."""
-    out = users.filter(~F.col("is_locked"))
+def active_users(users: DataFrame, drop_roles=("superadmin",), as_of=None) -> DataFrame:
+    """unlocked users, minus the roles hidden from the resolver list.
+
+    By default the ``is_locked`` flag decides, even after ``locked_until``
+    has passed (the flag is cleared only by a success or an unlock).  With
+    ``as_of``, a lock that expired by then no longer hides the user."""
+    if as_of is None:
+        out = users.filter(~F.col("is_locked"))
+    else:
+        ts = F.lit(as_of).cast("timestamp_ntz")
+        still = F.col("is_locked") & (F.col("locked_until").isNull() | (F.col("locked_until") > ts))
+        out = users.filter(~still)
     if drop_roles:
         out = out.filter(~F.col("role").isin(*drop_roles))
     return out
 
 
 def resolvers_of_site(users: DataFrame, grants: DataFrame, site: str | None = None,
-                      drop_roles=("superadmin",)) -> DataFrame:
+                      drop_roles=("superadmin",), as_of=None) -> DataFrame:
     """J3 + P5: unlocked users granted on a site (every site when ``site`` is
     None), with the display label, ordered by (full_name, eid)."""
     g = grants if site is None else grants.filter(F.col("location_code") == F.lit(site))
-    u = active_users(users, drop_roles)
+    u = active_users(users, drop_roles, as_of)
     name, label = display_label("full_name", "eid")
     joined = u.join(g.select(F.col("user_id").alias("id"), "location_code"), "id", "inner")
     return (joined.select("location_code", "eid", name.alias("full_name"), "role", label.alias("display"),

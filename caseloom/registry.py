@@ -723,3 +723,33 @@ def q_new_user_grants(spark, sf_dir):
                   .join(F.broadcast(region), F.col("region_key") == F.col("r_regionkey"))
                   .groupBy("id").agg(F.collect_set("code").alias("codes")))
     return admin.default_grants(req, user_col="id")
+
+
+@register("by_issues", CASES + f"""
+SELECT location, issues AS name, count(*) AS count FROM cases
+WHERE {PRESENT.format(c='issues')} GROUP BY location, issues""")
+def q_by_issues(spark, sf_dir):
+    return report.by_issues(cases(spark, sf_dir))
+
+
+@register("lockout_events", LOCKOUT_FOLD_SQL.replace(
+    "fold(user_id, rn, cnt, lu, locks, last_lock) AS (",
+    "fold(user_id, rn, cnt, lu, locks, last_lock, locked_now, ts) AS (").replace(
+    "CAST(NULL AS TIMESTAMP) FROM a", "CAST(NULL AS TIMESTAMP), FALSE, CAST(NULL AS TIMESTAMP) FROM a").replace(
+    "THEN a.ts ELSE f.last_lock END\n",
+    "THEN a.ts ELSE f.last_lock END,\n"
+    "    (f.lu IS NULL OR a.ts >= f.lu) AND NOT a.ok AND f.cnt + 1 >= 3, a.ts\n") + """
+SELECT user_id, ts AS locked_at, lu AS locked_until, cnt AS attempts FROM fold WHERE locked_now""")
+def q_lockout_events(spark, sf_dir):
+    return audit.lockout_events(dtab.attempts_view(spark, sf_dir))
+
+
+@register("resolvers_as_of", with_views("users", "grants") + """
+SELECT g.location_code, u.eid, coalesce(nullif(u.full_name, ''), u.eid) AS full_name, u.role,
+       coalesce(nullif(u.full_name, ''), u.eid) || ' (' || u.eid || ')' AS display
+FROM users u JOIN grants g ON u.id = g.user_id
+WHERE NOT (u.is_locked AND (u.locked_until IS NULL OR u.locked_until > TIMESTAMP '2024-02-01 00:00:00'))
+  AND u.role <> 'superadmin'""")
+def q_resolvers_as_of(spark, sf_dir):
+    users, grants, _ = _dims(spark, sf_dir)
+    return access.resolvers_of_site(users, grants, as_of=CHANGES_AS_OF)

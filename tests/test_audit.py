@@ -100,3 +100,10 @@ def test_latest_valid_supersede(spark):
     assert plain == {"c": 4, "d": 6, "e": 7}
     sup = {r.email: r.id for r in audit.latest_valid(tok, t, supersede=True).collect()}
     assert sup == {"c": 4, "d": 6}
+
+
+def test_lockout_totals_on_driver_events(spark):
+    from caseloom.sources import driver_tables as dtab
+    res = audit.lockout_audit(dtab.attempts_view(spark, "/root/testdata/sf0.01"))
+    agg = res.agg(F.sum("n_locks").alias("locks"), F.count(F.when(F.col("n_locks") > 0, 1)).alias("users")).first()
+    assert (agg.locks, agg.users) == (440, 124)
