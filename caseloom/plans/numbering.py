@@ -5,7 +5,8 @@ task.  Here the rows are range-partitioned on the order key, numbered inside
 each partition, and shifted by the row counts of the earlier partitions
 (a table with one row per (partition, group), bounded by
 partitions + groups).  Each group (``partition_by``) may span many
-partitions, so a hot group is split across tasks too.
+partitions, so a hot group is split across tasks too.  Groups that are
+all small (checked) take a plain per-group window instead.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from caseloom.plans.lineage import cut_lineage
 
 _POS_BITS = 33  # monotonically_increasing_id: partition id in the upper bits
 OFFSETS_BROADCAST_ROWS = 1_000_000
+WINDOW_GROUP_ROWS = 1_000_000  # largest group a single window task may hold
 
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -26,12 +28,27 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def global_row_number(df: DataFrame, order_by: Sequence[str | Column], out_col: str = "row_no",
-                      partition_by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+                      partition_by: Sequence[str] = (), num_partitions: int | None = None,
+                      window_group_rows: int | None = None) -> DataFrame:
     """Add ``out_col`` = 1-based ``row_number()`` over ``partition_by``
     ordered by ``order_by``; the order must be total (add a unique key as a
     last tie-break), else ties are numbered in an arbitrary but fixed order.
+
+    With ``partition_by``, the input is materialized once and its largest
+    group measured: when every group holds at most ``window_group_rows``
+    rows, a per-group window numbers them (each task holds bounded groups);
+    otherwise -- a hot group -- the range-partitioned form below runs.
     """
     spark = df.sparkSession
+    if window_group_rows is None:
+        window_group_rows = WINDOW_GROUP_ROWS
+    if partition_by and window_group_rows:
+        df = cut_lineage(df)
+        biggest = (df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n"))
+                     .agg(F.max("_n")).first()[0]) or 0
+        if biggest <= window_group_rows:
+            w = Window.partitionBy(*partition_by).orderBy(*_as_cols(order_by))
+            return df.withColumn(out_col, F.row_number().over(w).cast("long"))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in partition_by] + _as_cols(order_by)
     staged = (df.repartitionByRange(n, *keys)

@@ -22,3 +22,13 @@ def spark():
 @pytest.fixture()
 def tmp_dir():
     return tempfile.mkdtemp(prefix="caseloom-test-", dir="/tmp")
+
+
+@pytest.fixture(params=["window", "range"])
+def numbering_path(request, monkeypatch):
+    """Run a test with small groups numbered by a window, and again with
+    the range-partitioned form forced (bound 0)."""
+    import caseloom.plans.numbering as numbering
+    if request.param == "range":
+        monkeypatch.setattr(numbering, "WINDOW_GROUP_ROWS", 0)
+    return request.param

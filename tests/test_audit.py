@@ -16,7 +16,7 @@ def _attempts(spark, seq, user=1, start_id=0):
 FIXTURE = [(0, False), (1, False), (2, False), (10, False), (40, False), (60, True), (80, True)]
 
 
-def test_lockout_fixture_sequence(spark):
+def test_lockout_fixture_sequence(spark, numbering_path):
     # F@0, F@1, F@2 (lock until 32), F@10 ignored, F@40 locks again at once
     # (counter not reset by expiry), OK@60 ignored (locked until 70), OK@80 resets.
     df = _attempts(spark, FIXTURE)
@@ -51,7 +51,7 @@ def _fold(seq, max_failed=3, lock=30):
     return a, lu, locks
 
 
-def test_lockout_chunks_agree_with_sequential_fold(spark):
+def test_lockout_chunks_agree_with_sequential_fold(spark, numbering_path):
     # dense and sparse stretches, ties in ts broken by event_id, several users
     import random
     rnd = random.Random(7)
@@ -74,7 +74,7 @@ def test_lockout_chunks_agree_with_sequential_fold(spark):
         assert got == want, f"chunk_size={chunk}"
 
 
-def test_lockout_hot_user_spans_chunks(spark):
+def test_lockout_hot_user_spans_chunks(spark, numbering_path):
     # one user with many attempts: numbering spreads it over partitions and chunks
     seq = [(i * 0.2, i % 17 == 0) for i in range(3000)]
     df = _attempts(spark, seq)

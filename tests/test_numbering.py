@@ -12,7 +12,7 @@ def test_global_row_number_is_1_to_n_over_many_partitions(spark):
     assert [r.row_no for r in rows] == list(range(1, 20001))
 
 
-def test_row_number_per_group_with_hot_group(spark):
+def test_row_number_per_group_with_hot_group(spark, numbering_path):
     # one group holds most rows; it is split over several partitions
     df = spark.range(0, 9000).select(F.when(F.col("id") % 10 == 0, F.lit("cold")).otherwise(F.lit("hot"))
                                      .alias("g"), F.col("id"))
@@ -22,7 +22,7 @@ def test_row_number_per_group_with_hot_group(spark):
         assert ids == list(range(1, len(ids) + 1))
 
 
-def test_renumber_matches_window(spark):
+def test_renumber_matches_window(spark, numbering_path):
     df = spark.range(0, 500).select((F.col("id") * 3).alias("id"), F.lit("x").alias("case_no"),
                                     (F.col("id") % 3).cast("string").alias("location"))
     got = {(r.location, r.id): r.case_no for r in renumber(df, partition_by=["location"]).collect()}
@@ -40,7 +40,7 @@ def test_max_case_no_numeric_not_text(spark):
     assert got["t"] == (None, "9" * 45)  # exact text beyond BIGINT
 
 
-def test_number_batch_continues_per_site(spark):
+def test_number_batch_continues_per_site(spark, numbering_path):
     existing = spark.createDataFrame([(1, "9", "s1"), (2, "10", "s1"), (3, "C-1", "s2")],
                                      "id long, case_no string, location string")
     batch = spark.createDataFrame([(12, None, "s1"), (11, "", "s1"), (13, "77", "s1"), (14, None, "s2")],

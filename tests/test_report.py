@@ -64,7 +64,7 @@ def test_report_all_single_scan_matches_parts(spark):
     assert plan.count("Scan ") == 1
 
 
-def test_rank_share_top(spark):
+def test_rank_share_top(spark, numbering_path):
     df = _cases(spark)
     bd = report.with_share(report.with_rank(report.report_all(df)))
     s1 = {r.name: r for r in bd.filter("location = 's1' AND dimension = 'resolver'").collect()}
