@@ -53,6 +53,14 @@ def in_month(c: str | Column, as_of: dt.date) -> Column:
     return (c >= F.lit(month_start(as_of))) & (c < F.lit(next_month_start(as_of)))
 
 
+def ntz(value: dt.datetime | dt.date) -> Column:
+    """A TIMESTAMP_NTZ literal that does not depend on any time zone (the
+    value is cast from its text form, not converted through local time)."""
+    if not isinstance(value, dt.datetime):
+        value = dt.datetime(value.year, value.month, value.day)
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def to_date_bound(value: str | dt.date | None) -> dt.date | None:
     """Parse a date bound on the driver: malformed input is a clear error."""
     if value is None or value == "":

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from caseloom.functions.dates import ntz
 from caseloom.functions.text import display_label
 from caseloom.plans.broadcast import bounded_broadcast
 
@@ -100,7 +101,7 @@ def active_users(users: DataFrame, drop_roles=("superadmin",), as_of=None) -> Da
     if as_of is None:
         out = users.filter(~F.col("is_locked"))
     else:
-        ts = F.lit(as_of).cast("timestamp_ntz")
+        ts = ntz(as_of)
         still = F.col("is_locked") & (F.col("locked_until").isNull() | (F.col("locked_until") > ts))
         out = users.filter(~still)
     if drop_roles:

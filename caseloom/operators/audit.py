@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from caseloom.functions.dates import ntz
 from caseloom.plans.numbering import global_row_number
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 
@@ -227,7 +228,7 @@ def latest_valid(tokens: DataFrame, as_of: dt.datetime, key=("email", "purpose")
     the same email voids older unused ones whatever their purpose, as a new
     request deletes them.  Newest-per-key is a ``max_by`` aggregate (partial
     before the shuffle), not a window, so a hot key is not gathered."""
-    ts = F.lit(as_of).cast("timestamp_ntz")
+    ts = ntz(as_of)
     issued = tokens.filter(F.col("created_at") <= ts)
     order = F.struct("created_at", "id")
     cand = issued.filter(~F.col("used") & (F.col("expires_at") > ts))

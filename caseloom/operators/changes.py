@@ -11,6 +11,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from caseloom.functions.dates import ntz
 from caseloom.operators.numbering import number_batch
 from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.lineage import cut_lineage
@@ -49,7 +50,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, as_of: dt.datetime, key:
     # The change batch is read three times below: materialize it once, and
     # broadcast it when it is small so the base table is never shuffled.
     last = bounded_broadcast(cut_lineage(latest_change(changes, key, seq)), CHANGES_BROADCAST_ROWS)
-    ts = F.lit(as_of).cast("timestamp_ntz")
+    ts = ntz(as_of)
     touched = last.filter(F.col("op").isin("U", "D")).select(key)
     kept = base.join(touched, key, "left_anti")
     # one pass over the base finds which changed keys exist (with their site

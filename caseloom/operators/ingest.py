@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.functions.dates import parse_case_date
+from caseloom.functions.dates import ntz, parse_case_date
 from caseloom.functions.text import py_strip
 from caseloom.schema import CASE_FIELDS, DEFAULT_STATUS
 
@@ -121,7 +121,7 @@ def import_into(mapped: DataFrame, site: str, table_path: str, order_col: str =
         base_id = F.coalesce(existing.agg(F.max("id")).scalar(), F.lit(0))
     except AnalysisException:
         base_id = F.lit(0)
-    stamp = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.localtimestamp()
+    stamp = ntz(as_of) if as_of is not None else F.localtimestamp()
     cleaned = cut_lineage(clean_case_rows(mapped))
     counts = import_counts(cleaned).first().asDict()
     ok = global_row_number(accepted(cleaned), [F.col(order_col)], out_col="_seq")

@@ -26,8 +26,10 @@ def local_session(app: str = "caseloom", cores: int | str = "*", shuffle_partiti
          .config("spark.driver.memory", "8g"))
     for k, v in RECOMMENDED_CONF.items():
         b = b.config(k, v)
-    if checkpoint_dir:
-        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # a checkpoint folder named by the deployment wins; ours only fills a gap
+    if checkpoint_dir and not spark.conf.get("spark.checkpoint.dir", None) \
+            and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir)
     return spark

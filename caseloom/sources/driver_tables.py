@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from caseloom.functions.dates import ntz
 from caseloom.plans.broadcast import bounded_broadcast
 
 PLACEHOLDER = "--- Please Select ---"
@@ -116,7 +117,7 @@ def users_view(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.concat(F.lit("Agent "), k.cast("string"))).alias("full_name"),
         F.when(m20 == 0, F.lit("superadmin")).when(m20 <= 3, F.lit("admin")).otherwise(F.lit("user")).alias("role"),
         locked.alias("is_locked"),
-        F.when(locked, F.lit(dt.datetime(2024, 1, 15, 12, 0)).cast("timestamp_ntz"))
+        F.when(locked, ntz(dt.datetime(2024, 1, 15, 12, 0)))
          .otherwise(F.lit(None).cast("timestamp_ntz")).alias("locked_until"),
         F.when(locked, F.lit(3)).otherwise(k % 3).cast("long").alias("failed_attempts"),
     )

@@ -31,3 +31,15 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert df.columns == ["location", "name", "count", "rank", "share", "bar"]
+
+
+@pytest.mark.parametrize("name", ["users_with_sites", "cases_after_changes", "latest_valid", "resolvers_as_of",
+                                  "lockout_audit", "case_list_newest"])
+def test_time_zone_independent(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Bangkok")
+    try:
+        problems, _ = compare(entry.queries()[name](spark, SF001), con, SQLS[name])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert not problems, problems
