@@ -1,12 +1,17 @@
 """R1 on a stream: the lockout rule as per-user state.
 
-``applyInPandasWithState`` keeps, per user, (attempts, locked_until, locks,
-last lock, position of the last processed attempt).  Each micro-batch's
-attempts of a user are folded in (ts, event_id) order.  The fold depends on
-order, so an attempt older than the user's last processed position is late:
-it is not applied and is counted in ``late``.  A watermark on ``ts`` bounds
-how long the engine waits; a user's state is emitted and dropped once the
-watermark passes its last attempt plus ``idle_timeout_ms`` (event time).  For very many users set the RocksDB state store provider.
+The fold depends on the order of attempts, so arrivals are not applied
+as they come: ``applyInPandasWithState`` keeps per user the fold state
+(attempts, locked_until, locks, last lock, position of the last applied
+attempt) and a buffer of attempts not yet applied.  An attempt is applied,
+in (ts, event_id) order, once the watermark has passed it; attempts within
+the watermark delay may therefore arrive in any order and still give the
+batch result.  Event-time timers release a user's buffer when the watermark
+moves past its earliest attempt, and expire the user after
+``idle_timeout_ms`` without attempts.  Rows behind the watermark are
+dropped by the engine; an attempt at or before the last applied position
+is counted in ``late`` and not applied.  For very many users configure the
+RocksDB state store provider.
 """
 
 from __future__ import annotations
@@ -21,33 +26,47 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 
 OUTPUT_SCHEMA = ("user_id long, attempts long, locked_until timestamp_ntz, n_locks long, "
-                 "last_lock timestamp_ntz, late long")
+                 "last_lock timestamp_ntz, late long, pending long")
 STATE_SCHEMA = ("attempts long, locked_until timestamp_ntz, n_locks long, last_lock timestamp_ntz, "
-                "last_ts timestamp_ntz, last_id long, late long")
+                "last_ts timestamp_ntz, last_id long, late long, "
+                "buf_ts array<timestamp_ntz>, buf_id array<long>, buf_ok array<boolean>")
+_COLS = ["user_id", "attempts", "locked_until", "n_locks", "last_lock", "late", "pending"]
+
+
+def _ms(t: pd.Timestamp) -> int:
+    return int(t.value // 1_000_000)  # NTZ wall clock read as UTC, like the event-time column
+
+
+def _opt_ts(v):
+    return None if v is None or (not isinstance(v, (list, tuple)) and pd.isna(v)) else pd.Timestamp(v)
 
 
 def _fold(max_failed: int, lock: dt.timedelta, idle_timeout_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (user_id,) = key
-        if state.hasTimedOut:
-            a, lu, n, last, _, _, late = state.get
-            state.remove()
-            yield pd.DataFrame([(user_id, a, lu, n, last, late)],
-                               columns=["user_id", "attempts", "locked_until", "n_locks", "last_lock", "late"])
-            return
         if state.exists:
-            a, lu, n, last, pos_ts, pos_id, late = state.get
+            a, lu, n, last, pos_ts, pos_id, late, b_ts, b_id, b_ok = state.get
+            lu, last, pos_ts = _opt_ts(lu), _opt_ts(last), _opt_ts(pos_ts)
+            buf = [(pd.Timestamp(t), int(i), bool(o)) for t, i, o in zip(b_ts or [], b_id or [], b_ok or [])]
         else:
-            a, lu, n, last, pos_ts, pos_id, late = 0, None, 0, None, None, None, 0
-        lu = None if lu is None or pd.isna(lu) else pd.Timestamp(lu)
-        pos_ts = None if pos_ts is None or pd.isna(pos_ts) else pd.Timestamp(pos_ts)
-        batch = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="mergesort")
-        for t, eid, ok in zip(batch["ts"], batch["event_id"], batch["ok"]):
-            t = pd.Timestamp(t)
+            a, lu, n, last, pos_ts, pos_id, late, buf = 0, None, 0, None, None, None, 0, []
+        for pdf in pdfs:
+            buf.extend((pd.Timestamp(t), int(i), bool(o)) for t, i, o in zip(pdf["ts"], pdf["event_id"], pdf["ok"]))
+        if state.hasTimedOut and not buf:
+            state.remove()  # idle user: emit the final state and drop it
+            yield pd.DataFrame([(user_id, a, lu, n, last, late, 0)], columns=_COLS)
+            return
+        wm = state.getCurrentWatermarkMs()
+        buf.sort(key=lambda e: (e[0], e[1]))
+        keep = []
+        for t, eid, ok in buf:
+            if _ms(t) > wm:
+                keep.append((t, eid, ok))  # not yet final: wait for the watermark
+                continue
             if pos_ts is not None and (t, eid) <= (pos_ts, pos_id):
                 late += 1
                 continue
-            pos_ts, pos_id = t, int(eid)
+            pos_ts, pos_id = t, eid
             if lu is not None and t < lu:
                 continue
             if ok:
@@ -56,20 +75,28 @@ def _fold(max_failed: int, lock: dt.timedelta, idle_timeout_ms: int):
             a += 1
             if a >= max_failed:
                 lu, n, last = t + lock, n + 1, t
-        state.update((a, lu, n, last, pos_ts, pos_id, late))
-        # expire the user once the watermark passes its last attempt + idle time
-        state.setTimeoutTimestamp(int(pos_ts.value // 1_000_000) + idle_timeout_ms)
-        yield pd.DataFrame([(user_id, a, lu, n, last, late)],
-                           columns=["user_id", "attempts", "locked_until", "n_locks", "last_lock", "late"])
+        state.update((a, lu, n, last, pos_ts, pos_id, late,
+                      [t for t, _, _ in keep], [i for _, i, _ in keep], [o for _, _, o in keep]))
+        if keep:
+            state.setTimeoutTimestamp(_ms(keep[0][0]))  # fires once the watermark passes it
+        else:
+            base = _ms(pos_ts) if pos_ts is not None else max(wm, 0)
+            state.setTimeoutTimestamp(base + idle_timeout_ms)
+        yield pd.DataFrame([(user_id, a, lu, n, last, late, len(keep))], columns=_COLS)
     return fn
 
 
-def lockout_stream(attempts: DataFrame, watermark: str = "1 hour", max_failed: int = MAX_FAILED_ATTEMPTS,
+def lockout_stream(attempts: DataFrame, watermark: str = "10 minutes", max_failed: int = MAX_FAILED_ATTEMPTS,
                    lock_minutes: int = LOCKOUT_MINUTES, idle_timeout_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Streaming R1: current lockout state per user, in ``update`` mode."""
+    """Streaming R1: current lockout state per user (``update`` mode);
+    ``pending`` counts attempts still waiting for the watermark."""
     fn = _fold(max_failed, dt.timedelta(minutes=lock_minutes), idle_timeout_ms)
-    # the watermark needs a zoned timestamp; ts stays NTZ for the fold
-    timed = attempts.withColumn("event_time", F.col("ts").cast("timestamp"))
+    # the watermark needs a zoned timestamp: the NTZ wall clock read as UTC,
+    # whatever the session zone (ts itself stays NTZ for the fold)
+    ts = F.col("ts")
+    event_time = F.make_timestamp(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts),
+                                  F.date_part(F.lit("SECOND"), ts), F.lit("UTC"))
+    timed = attempts.withColumn("event_time", event_time)
     return (timed.withWatermark("event_time", watermark)
                  .groupBy("user_id")
                  .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "update",

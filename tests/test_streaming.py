@@ -8,41 +8,53 @@ from caseloom.streaming import lockout_stream
 
 T0 = dt.datetime(2025, 1, 1, 9, 0)
 SEQ = [(0, False), (1, False), (2, False), (10, False), (40, False), (60, True), (80, True), (81, False)]
+FLUSH_USER = 999
 
 
-def _run(spark, tmp_dir, batches, name):
+def _run(spark, tmp_dir, batches, name, watermark="10 minutes"):
+    """Feed ``batches`` as successive micro-batches, then one attempt of
+    another user a day later, which moves the watermark past everything."""
     src = os.path.join(tmp_dir, "src")
-    for i, b in enumerate(batches):
-        b.coalesce(1).write.parquet(f"{src}/b{i}")
+    flush = spark.createDataFrame([(10**9, FLUSH_USER, T0 + dt.timedelta(days=1), True)], ATTEMPTS)
+    for i, b in enumerate(list(batches) + [flush]):
+        b.coalesce(1).write.parquet(f"{src}/b{i:02d}")
     stream = (spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1)
                    .option("recursiveFileLookup", "true").parquet(src))
-    q = (lockout_stream(stream).writeStream.outputMode("update").format("memory").queryName(name)
-         .option("checkpointLocation", staging_path(spark, name)).start())
+    q = (lockout_stream(stream, watermark=watermark).writeStream.outputMode("update").format("memory")
+         .queryName(name).option("checkpointLocation", staging_path(spark, name)).start())
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    return spark.sql(f"SELECT * FROM {name}").toPandas().groupby("user_id").last()
+    out = spark.sql(f"SELECT * FROM {name}").toPandas()
+    return out[out.user_id != FLUSH_USER].groupby("user_id").last()
 
 
-def test_stream_matches_batch(spark, tmp_dir):
+def _rows(users=(1, 2)):
     rows = []
-    for u in (1, 2):
+    for u in users:
         for j, (m, ok) in enumerate(SEQ):
             rows.append((u * 100 + j, u, T0 + dt.timedelta(minutes=m, seconds=u), ok))
-    df = spark.createDataFrame(rows, ATTEMPTS)
+    return rows
+
+
+def test_stream_matches_batch(spark, tmp_dir):
+    df = spark.createDataFrame(_rows(), ATTEMPTS)
     cut = T0 + dt.timedelta(minutes=45)
     latest = _run(spark, tmp_dir, [df.filter(df.ts < cut), df.filter(df.ts >= cut)], "lockout_ok")
     batch = {r.user_id: r for r in audit.lockout_audit(df).collect()}
     for uid, r in batch.items():
         assert latest.loc[uid, "attempts"] == r.attempts
         assert latest.loc[uid, "n_locks"] == r.n_locks == 2
-        assert latest.loc[uid, "late"] == 0
-
-
-def test_stream_counts_late_attempts(spark, tmp_dir):
-    rows = [(j, 1, T0 + dt.timedelta(minutes=m), ok) for j, (m, ok) in enumerate(SEQ)]
-    df = spark.createDataFrame(rows, ATTEMPTS)
-    late = spark.createDataFrame([(99, 1, T0 + dt.timedelta(minutes=5), False)], ATTEMPTS)
-    latest = _run(spark, tmp_dir, [df, late], "lockout_late")
-    assert latest.loc[1, "late"] == 1 and latest.loc[1, "n_locks"] == 2
+        assert latest.loc[uid, "late"] == 0 and latest.loc[uid, "pending"] == 0
+
+
+def test_out_of_order_within_delay(spark, tmp_dir):
+    # the failures at minutes 1 and 2 arrive after minute 10 and 40, within
+    # a 60 minute watermark delay: the result equals the ordered fold
+    df = spark.createDataFrame(_rows(users=(1,)), ATTEMPTS)
+    early = df.filter("event_id IN (100, 103, 104)")
+    rest = df.filter("event_id NOT IN (100, 103, 104)")
+    latest = _run(spark, tmp_dir, [early, rest], "lockout_ooo", watermark="60 minutes")
+    r = audit.lockout_audit(df).collect()[0]
+    assert (latest.loc[1, "attempts"], latest.loc[1, "n_locks"]) == (r.attempts, r.n_locks) == (1, 2)
