@@ -13,11 +13,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.operators import report
+from caseloom.operators import access, admin, audit, changes as changes_op, export, ingest, listing, numbering, report
 from caseloom.operators.filters import CaseFilter, by_key
-from caseloom.sources import driver_tables as dtab
-from caseloom.sources.cases import union_sites
+from caseloom.plans.lineage import staging_path
+from caseloom.sources import driver_tables as dtab, sinks
+from caseloom.sources.cases import scan_cases, sites_by_name, union_sites
 from caseloom.sources.driver_sql import with_views
+from caseloom.sources.importer import read_import, select_import_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -178,7 +180,6 @@ def q_facet_issues(spark, sf_dir):
 
 # ---------------------------------------------------------------- case list
 
-from caseloom.operators import access, admin, listing  # noqa: E402
 
 CASE_COLS = ("id, case_no, case_date, issues, description, step_to_resolve, opened_by, department, status, "
              "resolved_by, remark, created_at, updated_at, location")
@@ -299,7 +300,6 @@ def q_sites_of_user(spark, sf_dir):
 
 @register("sites_list", with_views("locations") + "SELECT code, name, short_name FROM locations")
 def q_sites_list(spark, sf_dir):
-    from caseloom.sources.cases import sites_by_name
     return sites_by_name(dtab.locations_view(spark, sf_dir))
 
 
@@ -428,8 +428,6 @@ def q_sites_deleted_cascade(spark, sf_dir):
 
 # ---------------------------------------------------------------- import
 
-from caseloom.operators import changes as changes_op, export, ingest, numbering  # noqa: E402
-from caseloom.sources.importer import select_import_columns  # noqa: E402
 
 IMPORT_MAP_SQL = """SELECT "No." AS case_no, "Date" AS case_date, "Issues" AS issues, "Description" AS description,
         "Step to Resolve" AS step_to_resolve, "Opened by" AS opened_by, "Department" AS department,
@@ -599,7 +597,6 @@ def q_purge_count(spark, sf_dir):
 
 # ---------------------------------------------------------------- audit
 
-from caseloom.operators import audit  # noqa: E402
 
 TOKEN_AS_OF = dt.datetime(2024, 1, 15, 12, 0)
 LOCKOUT_FOLD_SQL = with_views("attempts").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
@@ -645,11 +642,6 @@ def q_latest_valid_superseded(spark, sf_dir):
 
 # ---------------------------------------------------------------- sources, sinks, options
 
-from caseloom.plans.lineage import staging_path  # noqa: E402
-from caseloom.sources import sinks  # noqa: E402
-from caseloom.sources.cases import scan_cases  # noqa: E402
-from caseloom.sources.importer import read_import  # noqa: E402
-
 
 @register("stored_site_scan", CASES + """
 SELECT status, count(*) AS cases FROM cases

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from caseloom.schema import CASES, GRANTS, LOCATIONS, USERS
 
@@ -29,6 +29,14 @@ def union_sites(per_site: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def read_site_tables(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """S2 migration: per-site case tables (one path per site code, each
+    without a site column) read with the case schema and united into one
+    fact with ``location``; write it with ``sinks.append_cases``."""
+    schema = T.StructType([f for f in CASES.fields if f.name != "location"])
+    return union_sites({code: spark.read.schema(schema).parquet(p) for code, p in paths.items()})
+
+
 def read_locations(spark: SparkSession, path: str) -> DataFrame:
     """The site dimension."""
     return spark.read.schema(LOCATIONS).parquet(path)

@@ -101,3 +101,24 @@ def lockout_stream(attempts: DataFrame, watermark: str = "10 minutes", max_faile
                  .groupBy("user_id")
                  .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "update",
                                          GroupStateTimeout.EventTimeTimeout))
+
+
+def start_lockout_stream(attempts: DataFrame, sink_format: str = "parquet", path: str | None = None,
+                         name: str = "lockout", **kw):
+    """Start the stream with its checkpoint in the session's shared
+    checkpoint folder, so a restarted driver or lost executors resume from
+    the committed state.  File sinks only accept ``append``, so they receive
+    each micro-batch's updates through ``foreachBatch``."""
+    from caseloom.plans.lineage import staging_path
+
+    spark = attempts.sparkSession
+    out = lockout_stream(attempts, **kw)
+    ckpt = staging_path(spark, f"{name}-stream")
+    writer = out.writeStream.outputMode("update").option("checkpointLocation", ckpt)
+    if sink_format == "memory":
+        return writer.format("memory").queryName(name).start()
+
+    def write_batch(df: DataFrame, epoch_id: int) -> None:
+        df.withColumn("epoch", F.lit(epoch_id)).write.mode("append").format(sink_format).save(path)
+
+    return writer.foreachBatch(write_batch).start()

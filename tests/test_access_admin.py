@@ -1,6 +1,5 @@
 import datetime as dt
 
-
 from caseloom.operators import access, admin
 from caseloom.schema import GRANTS, LOCATIONS, USERS
 

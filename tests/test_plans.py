@@ -81,3 +81,19 @@ def test_snapshot_counts(spark, tmp_dir):
     paths = snapshot(tabs, tmp_dir + "/snap")  # replaces the previous snapshot
     got = {r.table: r.rows for r in snapshot_counts(spark, paths).collect()}
     assert got == {"cases": tabs["cases"].count(), "users": tabs["users"].count()}
+
+
+def test_site_tables_migrate_into_one_fact(spark, tmp_dir):
+    from caseloom.sources.cases import read_site_tables
+    cases = dtab.cases_view(spark, SF001)
+    paths = {}
+    for code in ("asia", "europe"):
+        p = f"{tmp_dir}/site_{code}"
+        cases.filter(F.col("location") == code).drop("location").write.parquet(p)
+        paths[code] = p
+    merged = read_site_tables(spark, paths)
+    append_cases(merged, tmp_dir + "/fact")
+    got = {r.location: r["count"] for r in scan_cases(spark, tmp_dir + "/fact").groupBy("location").count().collect()}
+    want = {r.location: r["count"] for r in cases.filter(F.col("location").isin("asia", "europe"))
+            .groupBy("location").count().collect()}
+    assert got == want

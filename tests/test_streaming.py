@@ -58,3 +58,21 @@ def test_out_of_order_within_delay(spark, tmp_dir):
     latest = _run(spark, tmp_dir, [early, rest], "lockout_ooo", watermark="60 minutes")
     r = audit.lockout_audit(df).collect()[0]
     assert (latest.loc[1, "attempts"], latest.loc[1, "n_locks"]) == (r.attempts, r.n_locks) == (1, 2)
+
+
+def test_start_stream_into_parquet(spark, tmp_dir):
+    from caseloom.streaming import start_lockout_stream
+    df = spark.createDataFrame(_rows(users=(1,)), ATTEMPTS)
+    flush = spark.createDataFrame([(10**9, FLUSH_USER, T0 + dt.timedelta(days=1), True)], ATTEMPTS)
+    src = os.path.join(tmp_dir, "src")
+    df.coalesce(1).write.parquet(src + "/b0")
+    flush.coalesce(1).write.parquet(src + "/b1")
+    stream = (spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1)
+                   .option("recursiveFileLookup", "true").parquet(src))
+    q = start_lockout_stream(stream, "parquet", os.path.join(tmp_dir, "out"), name="lockout_pq")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    out = spark.read.parquet(os.path.join(tmp_dir, "out")).filter("user_id = 1").orderBy("epoch").collect()
+    assert (out[-1].attempts, out[-1].n_locks) == (1, 2)
