@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.dates import ntz
+from caseloom.plans.lineage import cut_lineage
 from caseloom.plans.numbering import global_row_number
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 
@@ -182,8 +183,9 @@ def lockout_replay(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
     kind 'lock' for every lock, 'exit' for each chunk's exit state."""
     lock_ns = int(dt.timedelta(minutes=lock_minutes).total_seconds() * 1e9)
     ev = attempts.select("user_id", "event_id", "ts", "ok").filter(F.col("ts").isNotNull())
-    ev = global_row_number(ev, ["ts", "event_id"], out_col="_n", partition_by=["user_id"])
+    ev = global_row_number(ev, ["ts", "event_id"], out_col="_n", partition_by=["user_id"], materialize_first=False)
     ev = ev.withColumn("chunk", F.floor((F.col("_n") - 1) / chunk_size).cast("long")).drop("_n")
+    ev = cut_lineage(ev)  # read three times below: number once, survive executor loss
 
     # Only chunks followed by another chunk of the same user need a summary.
     last = ev.groupBy("user_id").agg(F.max("chunk").alias("_last"))

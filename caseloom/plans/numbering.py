@@ -29,21 +29,26 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
 
 def global_row_number(df: DataFrame, order_by: Sequence[str | Column], out_col: str = "row_no",
                       partition_by: Sequence[str] = (), num_partitions: int | None = None,
-                      window_group_rows: int | None = None) -> DataFrame:
+                      window_group_rows: int | None = None, materialize_first: bool = True) -> DataFrame:
     """Add ``out_col`` = 1-based ``row_number()`` over ``partition_by``
     ordered by ``order_by``; the order must be total (add a unique key as a
     last tie-break), else ties are numbered in an arbitrary but fixed order.
 
-    With ``partition_by``, the input is materialized once and its largest
-    group measured: when every group holds at most ``window_group_rows``
-    rows, a per-group window numbers them (each task holds bounded groups);
-    otherwise -- a hot group -- the range-partitioned form below runs.
+    With ``partition_by``, the largest group is measured first: when every
+    group holds at most ``window_group_rows`` rows, a per-group window
+    numbers them (each task holds bounded groups); otherwise -- a hot group
+    -- the range-partitioned form below runs.  ``materialize_first``
+    checkpoints the input before measuring, which suits an expensive,
+    small derived input (a ranked aggregate); raw rows (an export, an event
+    table) are better measured directly, as the count reads only the group
+    columns and the range form materializes them once anyway.
     """
     spark = df.sparkSession
     if window_group_rows is None:
         window_group_rows = WINDOW_GROUP_ROWS
     if partition_by and window_group_rows:
-        df = cut_lineage(df)
+        if materialize_first:
+            df = cut_lineage(df)
         biggest = (df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n"))
                      .agg(F.max("_n")).first()[0]) or 0
         if biggest <= window_group_rows:
