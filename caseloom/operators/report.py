@@ -148,33 +148,54 @@ def order_by_count(bd: DataFrame) -> DataFrame:
     return bd.orderBy(F.desc("count"), F.asc("name"))
 
 
+def display_order(bd: DataFrame) -> list[Column]:
+    """Display order of breakdown rows: count descending then name; the
+    trend (``dimension = 'date'``) is shown by day ascending instead."""
+    if "dimension" not in bd.columns:
+        return [F.desc("count"), F.asc("name")]
+    trend = F.col("dimension") == F.lit("date")
+    return [F.when(trend, F.lit(0)).otherwise(-F.col("count")).asc(), F.asc("name")]
+
+
 def with_rank(bd: DataFrame, group_by: Sequence[str] = SITE + ("dimension",), out_col: str = "rank") -> DataFrame:
-    """1-based rank of a breakdown row in display order (count desc,
-    name), no ties.  Numbered with the range-partitioned global row number,
-    so a large group is not gathered into one task."""
-    return global_row_number(bd, [F.desc("count"), F.asc("name")], out_col=out_col, partition_by=list(group_by))
+    """1-based position of a breakdown row in display order, no ties.
+    Numbered with ``global_row_number``, so a large group is not gathered
+    into one task."""
+    return global_row_number(bd, display_order(bd), out_col=out_col, partition_by=list(group_by))
 
 
 def with_share(bd: DataFrame, group_by: Sequence[str] = SITE + ("dimension",)) -> DataFrame:
     """Share of the group's total in % (one decimal, half-up) and the bar
-    width relative to the first displayed row, i.e. the largest count.
-    Group totals come from a partial aggregate joined back on the group."""
-    totals = bd.groupBy(*group_by).agg(F.sum("count").alias("_total"), F.max("count").alias("_first"))
+    width relative to the first displayed row: the largest count, or the
+    first day for the trend.  Group totals come from a partial aggregate
+    joined back on the group."""
+    aggs = [F.sum("count").alias("_total"), F.max("count").alias("_max")]
+    if "dimension" in bd.columns:
+        aggs.append(F.min_by("count", "name").alias("_first_day"))
+    totals = bd.groupBy(*group_by).agg(*aggs)
+    if "dimension" in bd.columns:
+        first = F.when(F.col("dimension") == "date", F.col("_first_day")).otherwise(F.col("_max"))
+    else:
+        first = F.col("_max")
     if group_by:
         out = bd.join(bounded_broadcast(totals, GROUPS_BROADCAST_ROWS), list(group_by), "left")
     else:
         # a global aggregate is one row: attach it as scalar subqueries
-        out = bd.withColumns({"_total": totals.select("_total").scalar(), "_first": totals.select("_first").scalar()})
+        out = bd.withColumns({c: totals.select(c).scalar() for c in totals.columns})
     return (out.withColumn("share", half_up_share("count", "_total"))
-               .withColumn("bar", half_up_share("count", "_first"))
-               .drop("_total", "_first"))
-
-
-def top_n(bd: DataFrame, n: int = TOP_N, group_by: Sequence[str] = SITE + ("dimension",)) -> DataFrame:
-    """First ``n`` rows per group in display order.  ``row_number() <= n``
-    is planned as a per-partition group limit before the shuffle, so at most
-    n rows per group and partition move."""
-    w = Window.partitionBy(*group_by).orderBy(F.desc("count"), F.asc("name"))
+               .withColumn("bar", half_up_share("count", first))
+               .drop(*[c for c in ("_total", "_max", "_first_day") if c in out.columns]))
+
+
+def top_n(bd: DataFrame, n: int = TOP_N, group_by: Sequence[str] = SITE + ("dimension",),
+          dimensions: Sequence[str] | None = ("issues", "department", "resolver")) -> DataFrame:
+    """First ``n`` rows per group in display order (the report's top
+    lists cover issues, departments and resolvers).  ``row_number() <= n``
+    is planned as a per-partition group limit before the shuffle, so at
+    most n rows per group and partition move."""
+    if dimensions is not None and "dimension" in bd.columns:
+        bd = bd.filter(F.col("dimension").isin(*dimensions))
+    w = Window.partitionBy(*group_by).orderBy(*display_order(bd))
     return bd.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 

@@ -144,11 +144,15 @@ REPORT_PAIRS_SQL = f"""
   UNION ALL SELECT location, 'resolver', name FROM ({RESOLVER_TOKENS_SQL}) r"""
 
 
+DISPLAY_ORDER_SQL = "CASE WHEN dimension = 'date' THEN 0 ELSE -count END, name"
+
+
 @register("report_all", CASES + f"""
 SELECT location, dimension, name, count,
-       row_number() OVER (PARTITION BY location, dimension ORDER BY count DESC, name) AS rank,
+       row_number() OVER (PARTITION BY location, dimension ORDER BY {DISPLAY_ORDER_SQL}) AS rank,
        {SHARE_SQL.format(c='count', t='sum(count) OVER (PARTITION BY location, dimension)')} AS share,
-       {SHARE_SQL.format(c='count', t='max(count) OVER (PARTITION BY location, dimension)')} AS bar
+       {SHARE_SQL.format(c='count', t=f'first_value(count) OVER (PARTITION BY location, dimension ORDER BY {DISPLAY_ORDER_SQL})')}
+         AS bar
 FROM (SELECT location, dimension, name, count(*) AS count FROM ({REPORT_PAIRS_SQL}) p
       GROUP BY location, dimension, name) b""")
 def q_report_all(spark, sf_dir):
@@ -161,6 +165,7 @@ SELECT * FROM (
   SELECT location, dimension, name, count,
          row_number() OVER (PARTITION BY location, dimension ORDER BY count DESC, name) AS rank
   FROM (SELECT location, dimension, name, count(*) AS count FROM ({REPORT_PAIRS_SQL}) p
+        WHERE dimension IN ('issues', 'department', 'resolver')
         GROUP BY location, dimension, name) b) r
 WHERE rank <= 5""")
 def q_top5_all(spark, sf_dir):

@@ -87,3 +87,16 @@ def test_search_literal_vs_pattern(spark):
 def test_facets_sorted_distinct(spark):
     vals = [r.value for r in report.facet(_cases(spark), "issues", group_by=()).collect()]
     assert vals == ["OPERA Issues", "Printer Issues", "TV Issues"]
+
+
+def test_trend_ranked_by_day_bar_from_first_day(spark, numbering_path):
+    df = _cases(spark)
+    out = report.with_share(report.with_rank(report.report_all(df)))
+    s1 = [(r.name, r["count"], r["rank"], r.bar) for r in
+          out.filter("location = 's1' AND dimension = 'date'").orderBy("rank").collect()]
+    assert s1 == [("2025-01-31", 1, 1, 100.0), ("2025-02-01", 1, 2, 100.0), ("2025-02-28", 1, 3, 100.0)]
+    s2 = [(r.name, r["count"], r["rank"], r.bar) for r in
+          out.filter("location = 's2' AND dimension = 'date'").orderBy("rank").collect()]
+    assert [x[0] for x in s2] == ["2024-02-01", "2025-02-01"]
+    top = report.top_n(report.report_all(df))
+    assert top.filter("dimension = 'date'").count() == 0
