@@ -68,8 +68,16 @@ def collation_key(c: str | Column, collation: str | None) -> Column:
     raise ValueError(f"unknown collation {collation!r}")
 
 
+def present_under(col: str, collation: str | None) -> Column:
+    """F4 under a collation: with ``"ci"`` (PAD SPACE) a value of only
+    spaces equals '' and is not present."""
+    if collation is None:
+        return present(col)
+    return F.col(col).isNotNull() & (F.rtrim(F.col(col)) != F.lit(""))
+
+
 def _breakdown(df: DataFrame, col: str, group_by: Sequence[str], collation: str | None = None) -> DataFrame:
-    rows = df.filter(present(col))
+    rows = df.filter(present_under(col, collation))
     if collation is None:
         return rows.groupBy(*group_by, F.col(col).alias("name")).agg(F.count(F.lit(1)).alias("count"))
     # one group per collation key; the smallest original spelling is the label
@@ -199,10 +207,14 @@ def top_n(bd: DataFrame, n: int = TOP_N, group_by: Sequence[str] = SITE + ("dime
     return bd.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def facet(df: DataFrame, col: str, group_by: Sequence[str] = SITE) -> DataFrame:
-    """Distinct present values, sorted."""
-    return (df.filter(present(col)).select(*group_by, F.col(col).alias("value")).distinct()
-              .orderBy(*group_by, "value"))
+def facet(df: DataFrame, col: str, group_by: Sequence[str] = SITE, collation: str | None = None) -> DataFrame:
+    """Distinct present values, sorted.  Under ``collation="ci"``
+    spellings that compare equal are one value (the smallest spelling)."""
+    rows = df.filter(present_under(col, collation))
+    if collation is None:
+        return rows.select(*group_by, F.col(col).alias("value")).distinct().orderBy(*group_by, "value")
+    return (rows.groupBy(*group_by, collation_key(col, collation).alias("_key"))
+                .agg(F.min(col).alias("value")).drop("_key").orderBy(*group_by, "value"))
 
 
 def collect_sorted(col: str | Column) -> Column:

@@ -690,7 +690,7 @@ def q_snapshot_counts(spark, sf_dir):
 
 @register("by_department_ci", CASES + """
 SELECT location, min(department) AS name, count(*) AS count FROM cases
-WHERE department IS NOT NULL AND department <> '' GROUP BY location, lower(rtrim(department))""")
+WHERE department IS NOT NULL AND rtrim(department) <> '' GROUP BY location, lower(rtrim(department))""")
 def q_by_department_ci(spark, sf_dir):
     return report.by_department(cases(spark, sf_dir), collation="ci")
 

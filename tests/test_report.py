@@ -100,3 +100,12 @@ def test_trend_ranked_by_day_bar_from_first_day(spark, numbering_path):
     assert [x[0] for x in s2] == ["2024-02-01", "2025-02-01"]
     top = report.top_n(report.report_all(df))
     assert top.filter("dimension = 'date'").count() == 0
+
+
+def test_case_insensitive_collation(spark):
+    df = _cases(spark)
+    binary = {(r.location, r.name): r["count"] for r in report.by_department(df).collect()}
+    assert binary[("s1", "IT")] == 1 and binary[("s1", "it")] == 1 and ("s1", "  ") in binary
+    ci = {(r.location, r.name): r["count"] for r in report.by_department(df, collation="ci").collect()}
+    assert ci == {("s1", "IT"): 2, ("s2", "Finance"): 2}
+    assert [r.value for r in report.facet(df, "department", group_by=(), collation="ci").collect()] == ["Finance", "IT"]
