@@ -18,7 +18,8 @@ DATA_FIELDS = ("issues", "description", "opened_by", "department", "case_date")
 NULL_CASE_NO = "null_case_no"    # dropped before counting (empty sheet rows)
 EMPTY_CASE_NO = "empty_case_no"  # counted as skipped
 NO_DATA = "no_data"              # counted as skipped
-SKIPPED = (EMPTY_CASE_NO, NO_DATA)
+TOO_LONG = "too_long"            # optional width check; counted as skipped
+SKIPPED = (EMPTY_CASE_NO, NO_DATA, TOO_LONG)
 
 
 def _filled(c: str) -> Column:
@@ -50,12 +51,20 @@ def with_reject_reason(mapped: DataFrame) -> DataFrame:
     return mapped.withColumn("reject_reason", reject_reason())
 
 
-def clean_case_rows(mapped: DataFrame) -> DataFrame:
+def clean_case_rows(mapped: DataFrame, max_lengths: dict[str, int] | None = None) -> DataFrame:
     """Reject reason, date parse (X1), case_no as integer text, status
     default only when the sheet had no Status column (a blank cell stays
     NULL).  Columns beyond the 10 fields (a source row number, the site
-    folder) pass through."""
+    folder) pass through.  ``max_lengths`` (e.g. ``schema.CASE_TEXT_LIMITS``)
+    rejects otherwise accepted rows whose text exceeds a declared width,
+    where the database would refuse them."""
     marked = with_reject_reason(mapped)
+    if max_lengths:
+        over = reduce(lambda a, b: a | b,
+                      [F.coalesce(F.length(case_no_text(c) if c == "case_no" else F.col(c)) > n, F.lit(False))
+                       for c, n in max_lengths.items()])
+        marked = marked.withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & over, F.lit(TOO_LONG))
+                                                     .otherwise(F.col("reject_reason")))
     status_given = F.col("status_given") if "status_given" in marked.columns else F.lit(True)
     flags = ("reject_reason", "status_given", "case_no_given")
     passthrough = [c for c in marked.columns if c not in CASE_FIELDS and c not in flags]

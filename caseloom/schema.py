@@ -40,6 +40,10 @@ IMPORT_DATE_FORMATS = ["yyyy-M-d", "d-MMM-yy", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy
 # Two-digit years: 69..99 -> 19xx, 00..68 -> 20xx.
 TWO_DIGIT_YEAR_PIVOT = 2069
 
+# Declared text widths of the case table (VARCHAR(n)); TEXT columns have none.
+CASE_TEXT_LIMITS = {"case_no": 50, "issues": 200, "opened_by": 100, "department": 100, "status": 50,
+                    "resolved_by": 200}
+
 EXPORT_DATE_FORMAT = "d-MMM-yy"
 DISPLAY_TRUNCATE = 30
 EXPORT_WIDTH_CAP = 50

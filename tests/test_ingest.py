@@ -88,3 +88,13 @@ def test_import_into_appends_and_counts(spark, tmp_dir):
     table = scan_cases(spark, path)
     assert sorted(r.id for r in table.collect()) == list(range(1, 19))
     assert table.filter(F.col("location") == "s2").agg(F.min("id")).first()[0] == 10
+
+
+def test_width_check_is_optional(spark):
+    from caseloom.schema import CASE_TEXT_LIMITS
+    rows = FIXTURE[:2] + [_row("99", "2025-01-05", status="x" * 51)]
+    mapped = select_import_columns(_sheet(spark, rows))
+    assert ingest.accepted(ingest.clean_case_rows(mapped)).count() == 3
+    checked = ingest.clean_case_rows(mapped, max_lengths=CASE_TEXT_LIMITS)
+    assert {r.case_no: r.reject_reason for r in ingest.rejected(checked).collect()} == {"99": "too_long"}
+    assert ingest.import_counts(checked).first().skipped == 1
