@@ -34,11 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.dates import ntz
+from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.lineage import cut_lineage
 from caseloom.plans.numbering import global_row_number
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 
 DEFAULT_CHUNK = 100_000
+MULTI_CHUNK_USERS_BROADCAST = 1_000_000
 _NAT = np.iinfo(np.int64).min  # "no timestamp" in int64 nanoseconds
 
 SUMMARY_SCHEMA = ("user_id long, chunk long, kind string, entry long, entry_ts timestamp_ntz, "
@@ -187,12 +189,16 @@ def lockout_replay(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
     ev = ev.withColumn("chunk", F.floor((F.col("_n") - 1) / chunk_size).cast("long")).drop("_n")
     ev = cut_lineage(ev)  # read three times below: number once, survive executor loss
 
-    # Only chunks followed by another chunk of the same user need a summary.
-    last = ev.groupBy("user_id").agg(F.max("chunk").alias("_last"))
-    inner = ev.join(last, "user_id").filter(F.col("chunk") < F.col("_last")).drop("_last")
+    # Only chunks followed by another chunk of the same user need a summary;
+    # users with several chunks (over chunk_size attempts) are few, so their
+    # list is broadcast behind a size check and the attempts are not shuffled.
+    multi = (ev.groupBy("user_id").agg(F.max("chunk").alias("_last")).filter(F.col("_last") > 0))
+    multi = bounded_broadcast(cut_lineage(multi), MULTI_CHUNK_USERS_BROADCAST)
+    inner = ev.join(multi, "user_id").filter(F.col("chunk") < F.col("_last")).drop("_last")
     summary = inner.groupBy("user_id", "chunk").applyInPandas(
         lambda p: _chunk_summary(p, max_failed, lock_ns), SUMMARY_SCHEMA)
     entries = summary.groupBy("user_id").applyInPandas(lambda p: _stitch(p, max_failed), ENTRY_SCHEMA)
+    entries = bounded_broadcast(cut_lineage(entries), MULTI_CHUNK_USERS_BROADCAST)
     staged = (ev.join(entries, ["user_id", "chunk"], "left")
                 .repartition("user_id", "chunk")
                 .sortWithinPartitions("user_id", "chunk", "ts", "event_id"))
@@ -210,14 +216,16 @@ def lockout_audit(attempts: DataFrame, **kw) -> DataFrame:
     """R1 per user: final failed_attempts, final locked_until (kept after
     expiry, cleared by a success), number of locks, last lock time."""
     rep = lockout_replay(attempts, **kw)
-    final = (rep.filter(F.col("kind") == "exit").groupBy("user_id")
-                .agg(F.max_by(F.struct("attempts", "locked_until"), F.col("chunk")).alias("_f")))
-    stats = (rep.filter(F.col("kind") == "lock").groupBy("user_id")
-                .agg(F.count(F.lit(1)).alias("n_locks"), F.max("ts").alias("last_lock")))
-    return (final.join(stats, "user_id", "left")
-                 .select("user_id", F.col("_f.attempts").alias("attempts"),
-                         F.col("_f.locked_until").alias("locked_until"),
-                         F.coalesce("n_locks", F.lit(0)).cast("long").alias("n_locks"), "last_lock"))
+    is_exit, is_lock = F.col("kind") == "exit", F.col("kind") == "lock"
+    # one aggregate over the replay: the last chunk's exit state, lock count
+    # and last lock (max_by ignores rows whose ordering value is NULL)
+    per_user = rep.groupBy("user_id").agg(
+        F.max_by(F.struct("attempts", "locked_until"), F.when(is_exit, F.col("chunk"))).alias("_f"),
+        F.count(F.when(is_lock, F.lit(1))).alias("n_locks"),
+        F.max(F.when(is_lock, F.col("ts"))).alias("last_lock"))
+    return per_user.select("user_id", F.col("_f.attempts").alias("attempts"),
+                           F.col("_f.locked_until").alias("locked_until"),
+                           F.col("n_locks").cast("long").alias("n_locks"), "last_lock")
 
 
 # ---------------------------------------------------------------------- R2
