@@ -146,6 +146,18 @@ def resolvers(users: DataFrame, grants: DataFrame, site: str) -> DataFrame:
     return access.resolvers_of_site(users, grants, site)
 
 
+def login_sites(users: DataFrame, grants: DataFrame, locations: DataFrame, user_id: int) -> DataFrame:
+    """Sites returned at login: (code, name, short_name, can_view, can_edit,
+    can_delete) -- every site with every right for a superadmin, the
+    user's grants on existing sites otherwise."""
+    eff = access.effective_permissions(users.filter(F.col("id") == F.lit(user_id)),
+                                       grants.filter(F.col("user_id") == F.lit(user_id)), locations)
+    named = locations.select(F.col("code").alias("location_code"), "name", "short_name")
+    return (eff.join(named, "location_code")
+               .select(F.col("location_code").alias("code"), "name", "short_name", *access.PERMISSIONS)
+               .orderBy("name", "code"))
+
+
 def login_audit(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lockout state per user and every lock, from a login-attempt table."""
     return audit.lockout_audit(attempts), audit.lockout_events(attempts)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.text import py_strip
-from caseloom.operators.access import MAX_SITES, PERMISSIONS
+from caseloom.operators.access import MAX_SITES, PERMISSIONS, site_codes
 from caseloom.operators.report import collect_sorted
 from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.schema import ROLE_ORDER, SITE_CODE_MAX_LEN, SITE_CODE_MIN_LEN, VALID_UPDATE_ROLES
@@ -117,6 +117,15 @@ def default_grants(requests: DataFrame, user_col: str = "user_id", codes_col: st
                     .select("user_id", "location_code", *[F.lit(True).alias(p) for p in PERMISSIONS]))
 
 
+def grants_on_all_sites(users: DataFrame, locations: DataFrame, user_col: str = "id") -> DataFrame:
+    """S7 seed form: every site, every right, for each given user (the site
+    list is a bounded dimension, exploded per user -- no cartesian join)."""
+    codes = site_codes(locations)
+    req = users.select(F.col(user_col).alias("user_id"),
+                       F.array(*[F.lit(c) for c in codes]).cast("array<string>").alias("codes"))
+    return default_grants(req)
+
+
 def replace_grants(grants: DataFrame, requests: DataFrame) -> DataFrame:
     """For each requesting user, drop all their grants and insert the
     requested set with every right; other users keep theirs."""

@@ -101,3 +101,10 @@ def test_effective_permissions_has_no_cartesian_product(spark):
     assert eff.filter("user_id = 1").count() == 3
     plan = eff._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_seed_grants_every_site(spark):
+    users, _, locs = _dims(spark)
+    g = admin.grants_on_all_sites(users.filter("role = 'superadmin'"), locs)
+    assert sorted((r.user_id, r.location_code, r.can_view and r.can_edit and r.can_delete) for r in g.collect()) == \
+        [(1, "s1", True), (1, "s2", True), (1, "s3", True)]

@@ -54,3 +54,11 @@ def test_case_changes(spark):
     assert (row.case_no, row.status, row.description) == ("12", "In progress", "")
     out = api.delete_cases(out, spark.createDataFrame([(1,), (100,)], "id long"), dt.datetime(2025, 3, 2))
     assert sorted(r.id for r in out.collect()) == [2, 3, 4, 5, 6]
+
+
+def test_login_sites(spark):
+    users, grants, locs = _dims(spark)
+    root = [(r.code, r.can_delete) for r in api.login_sites(users, grants, locs, 1).collect()]
+    assert root == [("s3", True), ("s1", True), ("s2", True)]  # ordered by name: Empty, Site One, Site Two
+    u3 = [(r.code, r.can_view, r.can_edit) for r in api.login_sites(users, grants, locs, 3).collect()]
+    assert u3 == [("s1", True, False)]
