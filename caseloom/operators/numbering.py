@@ -10,6 +10,8 @@ from caseloom.functions.text import all_digits
 from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.numbering import global_row_number
 
+MAX_GROUPS = 10_000  # sites whose maxima may be listed in an IN filter
+
 
 def max_case_no(df: DataFrame, group_by: Sequence[str] = ("location",)) -> DataFrame:
     """The largest all-digit case_no as a number (0 when none).
@@ -32,7 +34,19 @@ def number_batch(batch: DataFrame, existing: DataFrame, group_by: Sequence[str]
     site in id order; given numbers are kept.  The per-site maxima are one
     row per site (size-checked broadcast)."""
     need = F.col("case_no").isNull() | (F.col("case_no") == "")
-    maxima = max_case_no(existing, group_by).select(*group_by, "max_no")
+    # only the sites that receive numbers need their maximum; the site list
+    # is bounded (checked), and as an IN filter on the partition column it
+    # prunes the other sites' files from the scan
+    keys = batch.filter(need).select(*group_by).distinct()
+    if len(group_by) == 1:
+        rows = keys.limit(MAX_GROUPS + 1).collect()
+        if len(rows) <= MAX_GROUPS:
+            scope = existing.filter(F.col(group_by[0]).isin(*[r[0] for r in rows]) if rows else F.lit(False))
+        else:
+            scope = existing.join(keys, list(group_by), "left_semi")
+    else:
+        scope = existing.join(bounded_broadcast(keys), list(group_by), "left_semi")
+    maxima = max_case_no(scope, group_by).select(*group_by, "max_no")
     todo = global_row_number(batch.filter(need), [F.col("id")], out_col="_seq", partition_by=list(group_by))
     todo = todo.join(bounded_broadcast(maxima), list(group_by), "left")
     todo = todo.withColumn("case_no", (F.coalesce("max_no", F.lit(0)) + F.col("_seq")).cast("string"))
