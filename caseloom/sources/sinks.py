@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caseloom.schema import CASES
 
 
-def write_cases(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_cases(df: DataFrame, path: str, mode: str = "append", dynamic: bool = False) -> None:
     """Append (or dynamically overwrite) case rows into the table
     partitioned by site; rows are clustered by case_date inside each site so
-    Parquet min/max statistics prune date ranges.  ``rebalance`` lets AQE
+    Parquet min/max statistics prune date ranges; ``dynamic`` overwrites
+    only the sites present in ``df``.  ``rebalance`` lets AQE
     split a hot (site, month) over several writer tasks and merge small
     ones, instead of one task per hash bucket."""
     cols = [f.name for f in CASES.fields]
@@ -23,7 +24,8 @@ def write_cases(df: DataFrame, path: str, mode: str = "append") -> None:
        .hint("rebalance", "location", "_month")
        .sortWithinPartitions("location", "case_date", "id")
        .drop("_month")
-       .write.mode(mode).partitionBy("location").parquet(path))
+       .write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
+       .partitionBy("location").parquet(path))
 
 
 def append_cases(clean: DataFrame, path: str) -> None:
