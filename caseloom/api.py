@@ -123,6 +123,13 @@ def delete_cases(cases: DataFrame, ids: DataFrame, as_of: dt.datetime) -> DataFr
     return changes.apply_changes(cases, _change_rows(ids.select("id"), "D", 0), as_of)
 
 
+def commit_changes(spark, table_path: str, change_rows: DataFrame, as_of: dt.datetime) -> dict[str, int]:
+    """Apply a change batch (op I/U/D, seq) to the stored table, rewriting
+    only the sites it touches; returns rows per rewritten site."""
+    from caseloom.sources.table_changes import apply_changes_to_table
+    return apply_changes_to_table(spark, table_path, change_rows, as_of)
+
+
 def purge(cases: DataFrame, site: str) -> tuple[DataFrame, DataFrame]:
     """DELETE all cases of a site: (remaining table, removed count)."""
     return changes.purge_site(cases, site)

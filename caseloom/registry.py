@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from caseloom.functions.dates import ntz
 from caseloom.operators import access, admin, audit, changes as changes_op, export, ingest, listing, numbering, report
 from caseloom.operators.filters import CaseFilter, by_key
 from caseloom.plans.lineage import staging_path
@@ -20,6 +21,7 @@ from caseloom.sources import driver_tables as dtab, sinks
 from caseloom.sources.cases import scan_cases, sites_by_name, union_sites
 from caseloom.sources.driver_sql import with_views
 from caseloom.sources.importer import read_import, select_import_columns
+from caseloom.sources.table_changes import apply_changes_to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -750,3 +752,20 @@ WHERE NOT (u.is_locked AND (u.locked_until IS NULL OR u.locked_until > TIMESTAMP
 def q_resolvers_as_of(spark, sf_dir):
     users, grants, _ = _dims(spark, sf_dir)
     return access.resolvers_of_site(users, grants, as_of=CHANGES_AS_OF)
+
+
+@register("stored_changes", APPLY_SQL + f"""
+SELECT location, count(*) AS cases, sum(id) AS id_sum,
+       count(CASE WHEN updated_at = TIMESTAMP '{CHANGES_AS_OF}' THEN 1 END) AS changed
+FROM (SELECT {CASE_COLS} FROM kept UNION ALL SELECT {CASE_COLS} FROM upd UNION ALL SELECT {CASE_COLS} FROM ins) t
+GROUP BY location""")
+def q_stored_changes(spark, sf_dir):
+    """D1-D3 at rest: store the case log, apply the change batch by
+    rewriting only the touched site partitions, read the table back."""
+    path = staging_path(spark, "changes-cases")
+    sinks.append_cases(cases(spark, sf_dir), path)
+    apply_changes_to_table(spark, path, dtab.changes_with_site(spark, sf_dir), CHANGES_AS_OF)
+    return (scan_cases(spark, path).groupBy("location")
+            .agg(F.count(F.lit(1)).alias("cases"), F.sum("id").alias("id_sum"),
+                 F.count(F.when(F.col("updated_at") == ntz(CHANGES_AS_OF),
+                                F.lit(1))).alias("changed")))
