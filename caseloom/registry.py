@@ -18,7 +18,7 @@ from caseloom.operators import access, admin, audit, changes as changes_op, expo
 from caseloom.operators.filters import CaseFilter, by_key
 from caseloom.plans.lineage import staging_path
 from caseloom.sources import driver_tables as dtab, sinks
-from caseloom.sources.cases import scan_cases, sites_by_name, union_sites
+from caseloom.sources.cases import read_site_tables, scan_cases, sites_by_name
 from caseloom.sources.driver_sql import with_views
 from caseloom.sources.importer import read_import, select_import_columns
 from caseloom.sources.table_changes import apply_changes_to_table
@@ -249,10 +249,14 @@ def q_case_by_id(spark, sf_dir):
 
 @register("site_union", CASES + "SELECT location, count(*) AS cases FROM cases GROUP BY location")
 def q_site_union(spark, sf_dir):
-    all_cases = cases(spark, sf_dir)
-    codes = access.site_codes(dtab.locations_view(spark, sf_dir))
-    per_site = {c: all_cases.filter(F.col("location") == c).drop("location") for c in codes}
-    return union_sites(per_site).groupBy("location").agg(F.count(F.lit(1)).alias("cases"))
+    """Per-site tables (each site's folder of the stored log, read as a
+    table of its own, without a site column) united into one fact."""
+    path = staging_path(spark, "site-tables")
+    sinks.append_cases(cases(spark, sf_dir), path)
+    # sites that hold cases (partition values only; bounded like the site table)
+    stored_sites = scan_cases(spark, path).select(F.col("location").alias("code"))
+    per_site = {c: f"{path}/location={c}" for c in access.site_codes(stored_sites)}
+    return read_site_tables(spark, per_site).groupBy("location").agg(F.count(F.lit(1)).alias("cases"))
 
 
 # ---------------------------------------------------------------- access
