@@ -8,25 +8,39 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.text import all_digits
 from caseloom.plans.broadcast import bounded_broadcast
+from caseloom.plans.lineage import cut_lineage
 from caseloom.plans.numbering import global_row_number
 
 MAX_GROUPS = 10_000  # sites whose maxima may be listed in an IN filter
+DECIMAL_DIGITS = 38  # longest number a DECIMAL(38,0) holds exactly
 
 
 def max_case_no(df: DataFrame, group_by: Sequence[str] = ("location",)) -> DataFrame:
     """The largest all-digit case_no as a number (0 when none).
 
-    Compared exactly as (digit count without leading zeros, text), which is
-    numeric order for any length; the result is a BIGINT (NULL past its
-    range) next to the exact text.
+    One hash aggregate reads the longest digit count and the DECIMAL(38,0)
+    maximum per group; that is exact whenever the longest number has at
+    most 38 digits.  The per-group result (one row per site) is
+    materialized; only groups holding longer numbers are recomputed from
+    their long rows, comparing (digit count, text) -- numeric order for any
+    length.  The result is a BIGINT (NULL past its range) and the exact text.
     """
     digits = F.regexp_replace(F.col("case_no"), "^0+", "")
-    best = (df.filter(all_digits("case_no"))
-              .groupBy(*group_by)
-              .agg(F.max(F.struct(F.length(digits).alias("n"), digits.alias("t"))).alias("_m")))
-    text = F.coalesce(F.nullif(F.col("_m.t"), F.lit("")), F.lit("0"))
-    return best.select(*group_by, F.expr("try_cast(coalesce(nullif(_m.t, ''), '0') AS BIGINT)").alias("max_no"),
-                       text.alias("max_no_text"))
+    numeric = df.filter(all_digits("case_no"))
+    agg = cut_lineage(numeric.groupBy(*group_by).agg(
+        F.max(F.length(digits)).alias("_len"),
+        F.max(F.expr("try_cast(case_no AS DECIMAL(38,0))")).alias("_dec")))
+    fits = agg.filter(F.col("_len") <= DECIMAL_DIGITS).select(
+        *group_by, F.expr("try_cast(_dec AS BIGINT)").alias("max_no"),
+        F.coalesce(F.col("_dec").cast("string"), F.lit("0")).alias("max_no_text"))
+    if agg.filter(F.col("_len") > DECIMAL_DIGITS).limit(1).count() == 0:
+        return fits
+    long_rows = numeric.filter(F.length(digits) > DECIMAL_DIGITS)
+    best = long_rows.groupBy(*group_by).agg(
+        F.max(F.struct(F.length(digits).alias("n"), digits.alias("t"))).alias("_m"))
+    longer = best.select(*group_by, F.expr("try_cast(_m.t AS BIGINT)").alias("max_no"),
+                         F.col("_m.t").alias("max_no_text"))
+    return fits.unionByName(longer)
 
 
 def number_batch(batch: DataFrame, existing: DataFrame, group_by: Sequence[str] = ("location",)) -> DataFrame:
