@@ -33,3 +33,22 @@ def local_session(app: str = "caseloom", cores: int | str = "*", shuffle_partiti
             and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_dir)
     return spark
+
+
+def sized_conf(largest_shuffle_bytes: int, executor_cores_total: int,
+               target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Settings for a cluster run, from the largest expected shuffle.
+
+    Shuffle partitions ~ shuffle bytes / target (at least two waves of the
+    cluster's cores, so a lost executor's tasks rerun in parallel); AQE
+    merges small partitions back to the target size and splits skewed ones.
+    The same count is the partition count of the range numbering.
+    """
+    parts = max(-(-largest_shuffle_bytes // target_partition_bytes), 2 * executor_cores_total)
+    size = f"{target_partition_bytes // (1024 * 1024)}m"
+    return dict(RECOMMENDED_CONF, **{
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * target_partition_bytes // (1024 * 1024)}m",
+    })
