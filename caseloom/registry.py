@@ -9,6 +9,7 @@ sides.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -773,3 +774,19 @@ def q_stored_changes(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("cases"), F.sum("id").alias("id_sum"),
                  F.count(F.when(F.col("updated_at") == ntz(CHANGES_AS_OF),
                                 F.lit(1))).alias("changed")))
+
+
+@register("lockout_stream_audit", LOCKOUT_FOLD_SQL + """
+SELECT f.user_id, f.cnt AS attempts, f.lu AS locked_until, f.locks AS n_locks, f.last_lock
+FROM fold f JOIN (SELECT user_id, max(rn) AS rn FROM a GROUP BY user_id) m ON f.user_id = m.user_id AND f.rn = m.rn""")
+def q_lockout_stream_audit(spark, sf_dir):
+    """R1 as Structured Streaming: the attempts stream through the stateful
+    lockout fold (watermark delay 0: a static file arrives in order), run
+    until the available input is consumed; the last update per user."""
+    from caseloom.streaming import lockout_stream_final, start_lockout_stream
+    out = staging_path(spark, "lockout-stream-out")
+    q = start_lockout_stream(dtab.attempts_stream(spark, sf_dir), "parquet", out,
+                             name=f"lockout_{uuid.uuid4().hex[:8]}", available_now=True, watermark="0 seconds")
+    q.awaitTermination()
+    return lockout_stream_final(spark.read.parquet(out)).select("user_id", "attempts", "locked_until", "n_locks",
+                                                                "last_lock")

@@ -284,3 +284,12 @@ def changes_with_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").select("r_regionkey", F.lower("r_name").alias("location"))
     return (ch.join(bounded_broadcast(region), (F.col("id") % 5) == F.col("r_regionkey"), "left")
               .drop("r_regionkey"))
+
+
+def attempts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``attempts_view`` as a stream over the events file (a file stream
+    source takes a folder or a glob, so the file is named by a glob)."""
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events[.]parquet")
+    return (e.filter(F.col("event_type").isin("error", "click"))
+             .select("event_id", "user_id", "ts", (F.col("event_type") == "click").alias("ok")))

@@ -81,7 +81,8 @@ def _fold(max_failed: int, lock: dt.timedelta, idle_timeout_ms: int):
             state.setTimeoutTimestamp(_ms(keep[0][0]))  # fires once the watermark passes it
         else:
             base = _ms(pos_ts) if pos_ts is not None else max(wm, 0)
-            state.setTimeoutTimestamp(base + idle_timeout_ms)
+            # expire after idle_timeout_ms without attempts (never behind the watermark)
+            state.setTimeoutTimestamp(max(base + idle_timeout_ms, wm + 1))
         yield pd.DataFrame([(user_id, a, lu, n, last, late, len(keep))], columns=_COLS)
     return fn
 
@@ -104,7 +105,7 @@ def lockout_stream(attempts: DataFrame, watermark: str = "10 minutes", max_faile
 
 
 def start_lockout_stream(attempts: DataFrame, sink_format: str = "parquet", path: str | None = None,
-                         name: str = "lockout", **kw):
+                         name: str = "lockout", available_now: bool = False, **kw):
     """Start the stream with its checkpoint in the session's shared
     checkpoint folder, so a restarted driver or lost executors resume from
     the committed state.  File sinks only accept ``append``, so they receive
@@ -115,6 +116,8 @@ def start_lockout_stream(attempts: DataFrame, sink_format: str = "parquet", path
     out = lockout_stream(attempts, **kw)
     ckpt = staging_path(spark, f"{name}-stream")
     writer = out.writeStream.outputMode("update").option("checkpointLocation", ckpt)
+    if available_now:
+        writer = writer.trigger(availableNow=True)  # process what is there, then stop
     if sink_format == "memory":
         return writer.format("memory").queryName(name).start()
 
@@ -122,3 +125,10 @@ def start_lockout_stream(attempts: DataFrame, sink_format: str = "parquet", path
         df.withColumn("epoch", F.lit(epoch_id)).write.mode("append").format(sink_format).save(path)
 
     return writer.foreachBatch(write_batch).start()
+
+
+def lockout_stream_final(updates: DataFrame) -> DataFrame:
+    """Last state per user from the stream's update rows (with ``epoch``):
+    a ``max_by`` aggregate, partial before the shuffle."""
+    last = F.max_by(F.struct("attempts", "locked_until", "n_locks", "last_lock", "late", "pending"), F.col("epoch"))
+    return updates.groupBy("user_id").agg(last.alias("_s")).select("user_id", "_s.*")
