@@ -26,11 +26,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 
 OUTPUT_SCHEMA = ("user_id long, attempts long, locked_until timestamp_ntz, n_locks long, "
-                 "last_lock timestamp_ntz, late long, pending long")
+                 "last_lock timestamp_ntz, late long, pending long, applied long")
 STATE_SCHEMA = ("attempts long, locked_until timestamp_ntz, n_locks long, last_lock timestamp_ntz, "
-                "last_ts timestamp_ntz, last_id long, late long, "
+                "last_ts timestamp_ntz, last_id long, late long, applied long, "
                 "buf_ts array<timestamp_ntz>, buf_id array<long>, buf_ok array<boolean>")
-_COLS = ["user_id", "attempts", "locked_until", "n_locks", "last_lock", "late", "pending"]
+_COLS = ["user_id", "attempts", "locked_until", "n_locks", "last_lock", "late", "pending", "applied"]
 
 
 def _ms(t: pd.Timestamp) -> int:
@@ -45,16 +45,16 @@ def _fold(max_failed: int, lock: dt.timedelta, idle_timeout_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (user_id,) = key
         if state.exists:
-            a, lu, n, last, pos_ts, pos_id, late, b_ts, b_id, b_ok = state.get
+            a, lu, n, last, pos_ts, pos_id, late, applied, b_ts, b_id, b_ok = state.get
             lu, last, pos_ts = _opt_ts(lu), _opt_ts(last), _opt_ts(pos_ts)
             buf = [(pd.Timestamp(t), int(i), bool(o)) for t, i, o in zip(b_ts or [], b_id or [], b_ok or [])]
         else:
-            a, lu, n, last, pos_ts, pos_id, late, buf = 0, None, 0, None, None, None, 0, []
+            a, lu, n, last, pos_ts, pos_id, late, applied, buf = 0, None, 0, None, None, None, 0, 0, []
         for pdf in pdfs:
             buf.extend((pd.Timestamp(t), int(i), bool(o)) for t, i, o in zip(pdf["ts"], pdf["event_id"], pdf["ok"]))
         if state.hasTimedOut and not buf:
             state.remove()  # idle user: emit the final state and drop it
-            yield pd.DataFrame([(user_id, a, lu, n, last, late, 0)], columns=_COLS)
+            yield pd.DataFrame([(user_id, a, lu, n, last, late, 0, applied)], columns=_COLS)
             return
         wm = state.getCurrentWatermarkMs()
         buf.sort(key=lambda e: (e[0], e[1]))
@@ -67,6 +67,7 @@ def _fold(max_failed: int, lock: dt.timedelta, idle_timeout_ms: int):
                 late += 1
                 continue
             pos_ts, pos_id = t, eid
+            applied += 1
             if lu is not None and t < lu:
                 continue
             if ok:
@@ -75,7 +76,7 @@ def _fold(max_failed: int, lock: dt.timedelta, idle_timeout_ms: int):
             a += 1
             if a >= max_failed:
                 lu, n, last = t + lock, n + 1, t
-        state.update((a, lu, n, last, pos_ts, pos_id, late,
+        state.update((a, lu, n, last, pos_ts, pos_id, late, applied,
                       [t for t, _, _ in keep], [i for _, i, _ in keep], [o for _, _, o in keep]))
         if keep:
             state.setTimeoutTimestamp(_ms(keep[0][0]))  # fires once the watermark passes it
@@ -83,14 +84,17 @@ def _fold(max_failed: int, lock: dt.timedelta, idle_timeout_ms: int):
             base = _ms(pos_ts) if pos_ts is not None else max(wm, 0)
             # expire after idle_timeout_ms without attempts (never behind the watermark)
             state.setTimeoutTimestamp(max(base + idle_timeout_ms, wm + 1))
-        yield pd.DataFrame([(user_id, a, lu, n, last, late, len(keep))], columns=_COLS)
+        yield pd.DataFrame([(user_id, a, lu, n, last, late, len(keep), applied)], columns=_COLS)
     return fn
 
 
 def lockout_stream(attempts: DataFrame, watermark: str = "10 minutes", max_failed: int = MAX_FAILED_ATTEMPTS,
-                   lock_minutes: int = LOCKOUT_MINUTES, idle_timeout_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Streaming R1: current lockout state per user (``update`` mode);
-    ``pending`` counts attempts still waiting for the watermark."""
+                   lock_minutes: int = LOCKOUT_MINUTES, idle_timeout_ms: int = 24 * 3600 * 1000,
+                   output_mode: str = "update") -> DataFrame:
+    """Streaming R1: the lockout state of each user whenever it changes;
+    ``pending`` counts attempts still waiting for the watermark and
+    ``applied`` the attempts applied so far (it orders a user's rows, so
+    ``append`` output into a file sink keeps every version)."""
     fn = _fold(max_failed, dt.timedelta(minutes=lock_minutes), idle_timeout_ms)
     # the watermark needs a zoned timestamp: the NTZ wall clock read as UTC,
     # whatever the session zone (ts itself stays NTZ for the fold)
@@ -100,7 +104,7 @@ def lockout_stream(attempts: DataFrame, watermark: str = "10 minutes", max_faile
     timed = attempts.withColumn("event_time", event_time)
     return (timed.withWatermark("event_time", watermark)
                  .groupBy("user_id")
-                 .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "update",
+                 .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, output_mode,
                                          GroupStateTimeout.EventTimeTimeout))
 
 
@@ -108,27 +112,29 @@ def start_lockout_stream(attempts: DataFrame, sink_format: str = "parquet", path
                          name: str = "lockout", available_now: bool = False, **kw):
     """Start the stream with its checkpoint in the session's shared
     checkpoint folder, so a restarted driver or lost executors resume from
-    the committed state.  File sinks only accept ``append``, so they receive
-    each micro-batch's updates through ``foreachBatch``."""
+    the committed state.  File sinks receive every state version in
+    ``append`` mode (``lockout_stream_final`` picks each user's last);
+    the memory sink keeps ``update`` rows."""
     from caseloom.plans.lineage import staging_path
 
     spark = attempts.sparkSession
-    out = lockout_stream(attempts, **kw)
     ckpt = staging_path(spark, f"{name}-stream")
-    writer = out.writeStream.outputMode("update").option("checkpointLocation", ckpt)
+    if sink_format == "memory":
+        writer = (lockout_stream(attempts, **kw).writeStream.outputMode("update").format("memory")
+                  .queryName(name))
+    else:
+        writer = (lockout_stream(attempts, output_mode="append", **kw).writeStream.outputMode("append")
+                  .format(sink_format).option("path", path))
+    writer = writer.option("checkpointLocation", ckpt)
     if available_now:
         writer = writer.trigger(availableNow=True)  # process what is there, then stop
-    if sink_format == "memory":
-        return writer.format("memory").queryName(name).start()
-
-    def write_batch(df: DataFrame, epoch_id: int) -> None:
-        df.withColumn("epoch", F.lit(epoch_id)).write.mode("append").format(sink_format).save(path)
-
-    return writer.foreachBatch(write_batch).start()
+    return writer.start()
 
 
 def lockout_stream_final(updates: DataFrame) -> DataFrame:
-    """Last state per user from the stream's update rows (with ``epoch``):
-    a ``max_by`` aggregate, partial before the shuffle."""
-    last = F.max_by(F.struct("attempts", "locked_until", "n_locks", "last_lock", "late", "pending"), F.col("epoch"))
+    """Last state per user from the stream's rows: the row with the most
+    applied attempts, the fewest pending ones among those (a ``max_by``
+    aggregate, partial before the shuffle)."""
+    order = F.struct(F.col("applied"), (-F.col("pending")).alias("_np"))
+    last = F.max_by(F.struct("attempts", "locked_until", "n_locks", "last_lock", "late", "pending", "applied"), order)
     return updates.groupBy("user_id").agg(last.alias("_s")).select("user_id", "_s.*")

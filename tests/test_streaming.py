@@ -74,5 +74,6 @@ def test_start_stream_into_parquet(spark, tmp_dir):
         q.processAllAvailable()
     finally:
         q.stop()
-    out = spark.read.parquet(os.path.join(tmp_dir, "out")).filter("user_id = 1").orderBy("epoch").collect()
-    assert (out[-1].attempts, out[-1].n_locks) == (1, 2)
+    from caseloom.streaming import lockout_stream_final
+    out = lockout_stream_final(spark.read.parquet(os.path.join(tmp_dir, "out"))).filter("user_id = 1").collect()
+    assert (out[0].attempts, out[0].n_locks, out[0].pending) == (1, 2, 0)
