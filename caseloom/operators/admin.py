@@ -46,7 +46,7 @@ def site_user_counts(locations: DataFrame, grants: DataFrame, users: DataFrame)
     """J2 + A15: every site with the number of non-superadmin users granted on
     it (0 kept), ordered by name."""
     non_super = users.filter(F.col("role") != "superadmin").select(F.col("id").alias("user_id"))
-    counts = (grants.join(non_super, "user_id", "inner")
+    counts = (grants.join(non_super, "user_id", "left_semi")
                     .groupBy("location_code").agg(F.count(F.lit(1)).alias("user_count")))
     out = locations.join(counts, locations["code"] == counts["location_code"], "left")
     return (out.select("code", "name", "short_name", F.coalesce("user_count", F.lit(0)).alias("user_count"))
