@@ -17,8 +17,9 @@ spans many partitions) and cut into chunks of at most ``chunk_size``.
      the first attempt with ts >= L"; only attempts in the chunk's first
      ``lock_minutes`` can be such a resume point.  One backward pass
      computes all of them.
-  2. per user: walk the chunk summaries (a few rows per chunk) to the entry
-     state of every chunk.
+  2. per user: walk the chunk summaries in chunk order (one streaming pass
+     that holds a single chunk's summary at a time) to the entry state of
+     every chunk.
   3. per chunk (parallel): replay from the resolved entry state, emitting
      every lock and the chunk's exit state.  Chunks are hash-partitioned
      and sorted inside each partition, so one pass per partition replays
@@ -107,31 +108,59 @@ def _chunk_summary(pdf: pd.DataFrame, max_failed: int, lock_ns: int) -> pd.DataF
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMARY_SCHEMA.split(", ")])
 
 
-def _stitch(pdf: pd.DataFrame, max_failed: int) -> pd.DataFrame:
-    """Walk one user's chunk summaries in order; emit the entry state of
-    every following chunk (chunk 0 always starts at counter 0, no lock)."""
+def _chunk_exit(rows: list[tuple], a: int, lk: int, top: int) -> tuple[int, int]:
+    """Apply one chunk's summary rows to the state (a, locked_until)."""
+    first_ts, last_ts = rows[0][_F_FIRST], rows[0][_F_LAST]
+    if lk != _NAT and lk > last_ts:
+        return a, lk  # the whole chunk falls inside the lock
+    if lk != _NAT and lk > first_ts:
+        lrows = sorted((r for r in rows if r[_F_KIND] == "L"), key=lambda r: r[_F_ENTRY])
+        pos = int(np.searchsorted(np.array([r[_F_ENTRY_TS] for r in lrows], dtype=np.int64), lk, side="left"))
+        row = lrows[pos]
+    else:
+        row = next(r for r in rows if r[_F_KIND] == "U" and r[_F_ENTRY] == min(a, top))
+    reset, fails, l_out, locks = row[_F_RESET], row[_F_FAILS], row[_F_LOUT], row[_F_LOCKS]
+    a = fails if reset else a + fails
+    if reset or locks > 0:
+        lk = l_out
+    return a, lk
+
+
+_F_USER, _F_CHUNK, _F_KIND, _F_ENTRY, _F_ENTRY_TS, _F_FIRST, _F_LAST, _F_RESET, _F_FAILS, _F_LOUT, _F_LOCKS = range(11)
+
+
+def _stitch_partition(batches, max_failed: int):
+    """Walk chunk summaries in (user, chunk) order -- one pass per
+    partition, holding only the current chunk's rows -- and emit the entry
+    state of every following chunk (chunk 0 starts at 0, unlocked)."""
     top = max_failed
+    user, chunk, rows = None, None, []
     a, lk = 0, _NAT
-    out = []
-    uid = int(pdf["user_id"].iloc[0])
-    for chunk, g in pdf.groupby("chunk", sort=True):
-        first_ts = int(pd.Timestamp(g["first_ts"].iloc[0]).value)
-        last_ts = int(pd.Timestamp(g["last_ts"].iloc[0]).value)
-        if lk != _NAT and lk > last_ts:
-            row = None  # the whole chunk falls inside the lock
-        elif lk != _NAT and lk > first_ts:
-            lrows = g[g["kind"] == "L"].sort_values("entry")
-            pos = int(np.searchsorted(_ns(lrows["entry_ts"]), lk, side="left"))
-            row = lrows.iloc[pos]
-        else:
-            row = g[(g["kind"] == "U") & (g["entry"] == min(a, top))].iloc[0]
-        if row is not None:
-            n_locks = int(row["locks"])
-            a = int(row["fails"]) if row["reset"] else a + int(row["fails"])
-            if row["reset"] or n_locks > 0:
-                lk = _NAT if pd.isna(row["l_out"]) else int(pd.Timestamp(row["l_out"]).value)
-        out.append((uid, int(chunk) + 1, a, _ts(lk)))
-    return pd.DataFrame(out, columns=["user_id", "chunk", "a_in", "l_in"])
+    out: list[tuple] = []
+
+    def flush():
+        nonlocal a, lk
+        a, lk = _chunk_exit(rows, a, lk, top)
+        out.append((user, chunk + 1, a, _ts(lk)))
+
+    for pdf in batches:
+        cols = [pdf["user_id"].tolist(), pdf["chunk"].tolist(), pdf["kind"].tolist(), pdf["entry"].tolist(),
+                _ns(pdf["entry_ts"]).tolist(), _ns(pdf["first_ts"]).tolist(), _ns(pdf["last_ts"]).tolist(),
+                pdf["reset"].tolist(), pdf["fails"].tolist(), _ns(pdf["l_out"]).tolist(), pdf["locks"].tolist()]
+        for r in zip(*cols):
+            if (r[_F_USER], r[_F_CHUNK]) != (user, chunk):
+                if rows:
+                    flush()
+                if r[_F_USER] != user:
+                    a, lk = 0, _NAT
+                user, chunk, rows = r[_F_USER], r[_F_CHUNK], []
+            rows.append(r)
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "chunk", "a_in", "l_in"])
+            out = []
+    if rows:
+        flush()
+        yield pd.DataFrame(out, columns=["user_id", "chunk", "a_in", "l_in"])
 
 
 def _replay_partition(batches, max_failed: int, lock_ns: int):
@@ -197,7 +226,8 @@ def lockout_replay(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
     inner = ev.join(multi, "user_id").filter(F.col("chunk") < F.col("_last")).drop("_last")
     summary = inner.groupBy("user_id", "chunk").applyInPandas(
         lambda p: _chunk_summary(p, max_failed, lock_ns), SUMMARY_SCHEMA)
-    entries = summary.groupBy("user_id").applyInPandas(lambda p: _stitch(p, max_failed), ENTRY_SCHEMA)
+    entries = (summary.repartition("user_id").sortWithinPartitions("user_id", "chunk", "kind", "entry")
+                      .mapInPandas(lambda it: _stitch_partition(it, max_failed), ENTRY_SCHEMA))
     entries = bounded_broadcast(cut_lineage(entries), MULTI_CHUNK_USERS_BROADCAST)
     staged = (ev.join(entries, ["user_id", "chunk"], "left")
                 .repartition("user_id", "chunk")
