@@ -45,3 +45,28 @@ def test_delete_last_rows_of_a_site_and_purge(spark, tmp_dir):
     n_europe = scan_cases(spark, path, "europe").count()
     assert purge_site_table(spark, path, "europe") == n_europe > 0
     assert scan_cases(spark, path).count() == 0
+
+
+def test_insert_into_new_site_creates_partition(spark, tmp_dir):
+    from caseloom import api
+    path = tmp_dir + "/cases"
+    cases = dtab.cases_view(spark, SF001)
+    append_cases(cases.filter(F.col("location") == "asia"), path)
+    n_asia = scan_cases(spark, path, "asia").count()
+    rows = spark.createDataFrame([(10**9, "Printer Issues", "newsite"), (10**9 + 1, None, "newsite")],
+                                 "id long, issues string, location string")
+    ins = rows.select("id", *[F.lit(None).cast("string").alias(c) for c in
+                              ("case_no", "description", "step_to_resolve", "opened_by", "department", "status",
+                               "resolved_by", "remark")], "issues", F.lit(None).cast("date").alias("case_date"),
+                      F.lit("I").alias("op"), F.lit(1).cast("long").alias("seq"), "location")
+    assert api.commit_changes(spark, path, ins, AS_OF) == {"newsite": 2}
+    new = {r.id: r.case_no for r in scan_cases(spark, path, "newsite").collect()}
+    assert new == {10**9: "1", 10**9 + 1: "2"}
+    assert scan_cases(spark, path, "asia").count() == n_asia
+
+
+def test_sized_conf():
+    from caseloom.session import sized_conf
+    c = sized_conf(40 * 1024**4, 8000)
+    assert c["spark.sql.shuffle.partitions"] == "163840" and c["spark.sql.adaptive.enabled"] == "true"
+    assert sized_conf(10**6, 16)["spark.sql.shuffle.partitions"] == "32"  # at least two waves of cores
