@@ -29,9 +29,11 @@ spans many partitions) and cut into chunks of at most ``chunk_size``.
 from __future__ import annotations
 
 import datetime as dt
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.dates import ntz
@@ -40,6 +42,10 @@ from caseloom.plans.lineage import cut_lineage
 from caseloom.plans.numbering import global_row_number
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 
+# The pandas functions below run in Python workers, which need not have this
+# package installed: ship them by value rather than by module reference.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DEFAULT_CHUNK = 100_000
 MULTI_CHUNK_USERS_BROADCAST = 1_000_000
 _NAT = np.iinfo(np.int64).min  # "no timestamp" in int64 nanoseconds

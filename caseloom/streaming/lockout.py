@@ -17,14 +17,20 @@ RocksDB state store provider.
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 
+# The pandas functions below run in Python workers, which need not have this
+# package installed: ship them by value rather than by module reference.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT_SCHEMA = ("user_id long, attempts long, locked_until timestamp_ntz, n_locks long, "
                  "last_lock timestamp_ntz, late long, pending long, applied long")
 STATE_SCHEMA = ("attempts long, locked_until timestamp_ntz, n_locks long, last_lock timestamp_ntz, "
