@@ -19,6 +19,29 @@ LIST_SEARCH_COLUMNS = ("case_no", "description", "opened_by", "step_to_resolve")
 STATS_SEARCH_COLUMNS = ("case_no", "description", "opened_by")
 
 
+def like_pattern(term: str) -> str:
+    """``%term%`` as a Spark LIKE pattern with the database's backslash rules:
+    ``\\%``, ``\\_`` and ``\\\\`` stay escapes, a backslash before any other
+    character stands for that character, and a trailing backslash is a
+    literal backslash (Spark would reject the last two)."""
+    out, i = [], 0
+    while i < len(term):
+        ch = term[i]
+        if ch == "\\":
+            nxt = term[i + 1] if i + 1 < len(term) else None
+            if nxt is None:
+                out.append("\\\\")
+            elif nxt in "%_\\":
+                out.append("\\" + nxt)
+            else:
+                out.append(nxt)
+            i += 2
+            continue
+        out.append(ch)
+        i += 1
+    return "%" + "".join(out) + "%"
+
+
 def search(term: str, columns=LIST_SEARCH_COLUMNS, pattern: bool = False) -> Column:
     """OR over ``columns`` of a substring match.
 
@@ -26,7 +49,7 @@ def search(term: str, columns=LIST_SEARCH_COLUMNS, pattern: bool = False) -> Col
     characters); ``pattern=True`` keeps them as LIKE wildcards.
     """
     if pattern:
-        preds = [F.col(c).like(f"%{term}%") for c in columns]
+        preds = [F.col(c).like(like_pattern(term)) for c in columns]
     else:
         preds = [F.col(c).contains(F.lit(term)) for c in columns]
     return F.coalesce(reduce(lambda a, b: a | b, preds), F.lit(False))

@@ -109,3 +109,14 @@ def test_case_insensitive_collation(spark):
     ci = {(r.location, r.name): r["count"] for r in report.by_department(df, collation="ci").collect()}
     assert ci == {("s1", "IT"): 2, ("s2", "Finance"): 2}
     assert [r.value for r in report.facet(df, "department", group_by=(), collation="ci").collect()] == ["Finance", "IT"]
+
+
+def test_like_pattern_backslashes(spark):
+    from caseloom.operators.filters import like_pattern
+    assert like_pattern("a%b") == "%a%b%"
+    assert like_pattern("50\\%") == "%50\\%%"
+    assert like_pattern("back\\slash") == "%backslash%"      # \s stands for s
+    assert like_pattern("end\\") == "%end\\\\%"              # trailing backslash is literal
+    df = _cases(spark)
+    for term, n in [("back\\\\slash", 1), ("50\\%", 1), ("a\\_b", 1), ("end\\", 0), ("x\\y", 0)]:
+        assert CaseFilter(search=term, search_pattern=True).apply(df).count() == n, term
