@@ -30,8 +30,11 @@ def max_case_no(df: DataFrame, group_by: Sequence[str] = ("location",)) -> DataF
     agg = cut_lineage(numeric.groupBy(*group_by).agg(
         F.max(F.length(digits)).alias("_len"),
         F.max(F.expr("try_cast(case_no AS DECIMAL(38,0))")).alias("_dec")))
-    fits = agg.filter(F.col("_len") <= DECIMAL_DIGITS).select(
-        *group_by, F.expr("try_cast(_dec AS BIGINT)").alias("max_no"),
+    # a group with no all-digit case_no (only the global form has one) is 0
+    fits = agg.filter((F.col("_len") <= DECIMAL_DIGITS) | F.col("_len").isNull()).select(
+        *group_by,
+        F.when(F.col("_dec").isNull(), F.lit(0).cast("long"))
+         .otherwise(F.expr("try_cast(_dec AS BIGINT)")).alias("max_no"),
         F.coalesce(F.col("_dec").cast("string"), F.lit("0")).alias("max_no_text"))
     if agg.filter(F.col("_len") > DECIMAL_DIGITS).limit(1).count() == 0:
         return fits

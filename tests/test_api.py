@@ -62,3 +62,10 @@ def test_login_sites(spark):
     assert root == [("s3", True), ("s1", True), ("s2", True)]  # ordered by name: Empty, Site One, Site Two
     u3 = [(r.code, r.can_view, r.can_edit) for r in api.login_sites(users, grants, locs, 3).collect()]
     assert u3 == [("s1", True, False)]
+
+
+def test_max_no_zero_when_none(spark):
+    cases = _cases(spark).filter("id <> 5 AND id <> 6")  # s2 left with no rows at all
+    assert api.max_no(cases, "s2").first().max_no == 0
+    only_text = _cases(spark).withColumn("case_no", F.lit("X-1"))
+    assert api.max_no(only_text, "s1").first().max_no == 0
