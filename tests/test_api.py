@@ -69,3 +69,17 @@ def test_max_no_zero_when_none(spark):
     assert api.max_no(cases, "s2").first().max_no == 0
     only_text = _cases(spark).withColumn("case_no", F.lit("X-1"))
     assert api.max_no(only_text, "s1").first().max_no == 0
+
+
+def test_empty_site_requests(spark):
+    cases = _cases(spark)
+    page, total = api.list_cases(cases, None, "nowhere")
+    assert page.count() == 0 and total.first().total == 0
+    out = api.report_request(cases, None, "nowhere")
+    s = out["summary"].first()
+    assert (s.total, s.completion_rate) == (0, 0)
+    assert out["breakdowns"].count() == 0 and out["top"].count() == 0
+    sheet, widths = api.export_sheet(cases, None, "nowhere")
+    assert sheet.count() == 0
+    assert {r.column: r.width for r in widths.collect()}["Step to Resolve"] == len("Step to Resolve") + 2
+    assert api.stats(cases, None, "nowhere", CaseFilter(), dt.date(2025, 1, 1)).first().total == 0
