@@ -108,3 +108,14 @@ def test_seed_grants_every_site(spark):
     g = admin.grants_on_all_sites(users.filter("role = 'superadmin'"), locs)
     assert sorted((r.user_id, r.location_code, r.can_view and r.can_edit and r.can_delete) for r in g.collect()) == \
         [(1, "s1", True), (1, "s2", True), (1, "s3", True)]
+
+
+def test_grant_on_unknown_site_grants_nothing(spark):
+    users, grants, locs = _dims(spark)
+    extra = spark.createDataFrame([(3, "zz", True, True, True)], GRANTS)
+    g = grants.unionByName(extra)
+    eff = {(r.user_id, r.location_code) for r in access.effective_permissions(users, g, locs).collect()}
+    assert (3, "zz") not in eff and (3, "s1") in eff
+    cases = spark.createDataFrame([(1, "s1"), (2, "zz")], "id long, location string")
+    assert [r.id for r in access.visible_cases(cases, users, g, locs, 3, "can_edit").collect()] == []
+    assert [r.id for r in access.visible_cases(cases, users, g, locs, 3, "can_view").collect()] == [1]
