@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import block_nn, chat_format, dart_minhash, embedding_dedup, mixing, quality_nbsvm, secret_scan, sentencepiece_codec
+from caseloom.llm import block_nn, chat_format, dart_minhash, embedding_dedup, fm_dedup, mixing, quality_nbsvm, secret_scan, sentencepiece_codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35, full=False)
