@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import block_nn, chat_format, dart_minhash, embedding_dedup, fm_dedup, mixing, quality_nbsvm, secret_scan, sentencepiece_codec
+from caseloom.llm import block_nn, chat_format, dart_minhash, embedding_dedup, fm_dedup, mixing, quality_nbsvm, secret_scan, sentencepiece_codec, wrapper_html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,9 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35, full=False)
+
+
+@query
+def op7_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrapper_html.main_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
