@@ -44,7 +44,8 @@ SALTS = 64
 #: Elements nested deeper lie beside their content, which keeps its text.
 DEPTH = 200
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>|([^<]+|<)""", re.S)
+#: Comments, declarations, tags, tags with odd quotes, text.  Every part is possessive or bounded, so that broken markup costs no backtracking.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|([^<]++|<)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
@@ -65,12 +66,13 @@ MOST_PARTS = 8
 
 
 class Node:
-    __slots__ = ("tag", "label", "drop", "main", "kids", "hide")
+    __slots__ = ("tag", "label", "drop", "main", "kids", "hide", "weight")
 
     def __init__(self, tag: str, label: str, drop: bool, main: bool):
         self.tag, self.label, self.drop, self.main = tag, label, drop, main
         self.kids: list = []  # nodes and strings, in order
         self.hide: set = set()  # places of strings that are template
+        self.weight: int | None = None  # characters of content, links left out
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -105,20 +107,20 @@ def parse(page: str | None) -> Node:
             at += 1
             continue
         at = m.end()
-        tag = m[2]
+        ending, tag, rest = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
         if tag is None:
-            if m[4]:
-                stack[-1].kids.append(m[4])
+            if m[7]:
+                stack[-1].kids.append(m[7])
             continue
         tag = tag.lower()
-        if m[1]:
+        if ending:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     mains -= sum(n.main for n in stack[i:])
                     del stack[i:]
                     break
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in RAW and not rest.endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
@@ -131,9 +133,9 @@ def parse(page: str | None) -> Node:
                 break
             if t in ("ul", "ol", "dl", "table", "td", "th") or t in BLOCK and tag not in ENDS:
                 break
-        node = _start(tag, m[3], mains > 0)
+        node = _start(tag, rest, mains > 0)
         stack[-1].kids.append(node)
-        if tag not in VOID and not m[3].endswith("/") and len(stack) < DEPTH:
+        if tag not in VOID and not rest.endswith("/") and len(stack) < DEPTH:
             stack.append(node)
             mains += node.main
     return root
@@ -259,9 +261,9 @@ def mark_template(wrapper: Folded, page: Folded, least: int = LEAST_PAGES) -> No
 
 
 def _weight(n: Node) -> int:
-    if n.drop:
-        return 0
-    return sum((0 if i in n.hide else len(k.strip())) if isinstance(k, str) else _weight(k) * (k.tag != "a") for i, k in enumerate(n.kids))
+    if n.weight is None:
+        n.weight = 0 if n.drop else sum((0 if i in n.hide else len(k.strip())) if isinstance(k, str) else _weight(k) * (k.tag != "a") for i, k in enumerate(n.kids))
+    return n.weight
 
 
 def _regions(n: Node) -> list[Node]:
