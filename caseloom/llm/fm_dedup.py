@@ -43,7 +43,7 @@ from caseloom.llm.common import mix64, rolling, word_hashes, written
 
 LENGTH, GRAM = 35, 8
 #: Words aimed at in a shard; segments of one anchor beyond which its windows go one by one.
-SHARD_WORDS, HOT_SEGMENTS = 1_500_000, 1_000_000
+SHARD_WORDS, HOT_SEGMENTS = 600_000, 1_000_000
 
 
 def window_anchors(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
