@@ -232,6 +232,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     found = written(found, "fm-anchors")
     each = found.select("t1", "t2", "doc_id", "n", F.explode("anchors").alias("anchor"))
     often = each.groupBy("anchor").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("texts")).filter("weight > 1").select("anchor", (c("texts") > hot).alias("hot"))
+    often = written(often, "fm-repeated")  # so that the join deals both sides anew and can split a frequent anchor
     mine = each.join(often, "anchor").groupBy("t1", "t2", "doc_id", "n").agg(
         F.collect_set(F.when(~c("hot"), c("anchor"))).alias("anchors"), F.collect_set(F.when(c("hot"), c("anchor"))).alias("hot"))
     mine = written(mine, "fm-candidates")
