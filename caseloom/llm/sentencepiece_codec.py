@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Words encoded in one go, and cached encodings of words per task.
-BLOCK_WORDS, CACHE_WORDS = 60_000, 600_000
+BLOCK_WORDS, CACHE_WORDS = 60_000, 450_000
 OUT = T.StructType([
     T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.StringType()),
