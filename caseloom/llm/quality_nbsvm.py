@@ -1,7 +1,8 @@
 """Quality classifier: a linear SVM over naive Bayes support vectors.
 
 A document is the set of its character n-grams (3 and 4 bytes of the UTF-8
-text, white space folded, hashed).  Each indicator is scaled by its class
+text, white space folded, hashed), with indicators for the share of word
+bigrams that double a word and for the number of words in powers of two.  Each indicator is scaled by its class
 log-count ratio and by the document's length (unit norm), and an L2-regular
 hinge-loss model is fitted by dual coordinate descent.  Scores are made
 probabilities by a sigmoid fitted on out-of-fold decision values, weighted to
@@ -28,10 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import written
+from caseloom.llm.common import word_hashes, written
 
 BITS = 18
 PER_CLASS = 3000
+#: Added under the norm, so that texts with little evidence stay near the bias.
+DAMP = 20.0
 MODEL = "weights binary, bias double, slope double, shift double, rows long"
 
 
@@ -39,21 +42,31 @@ def features(text: str | None) -> np.ndarray:
     """The distinct hashed n-grams of a whole text, ascending."""
     raw = np.frombuffer(("" if text is None else text).encode("utf-8", "replace"), dtype=np.uint8)
     if len(raw) < 3:
-        return np.zeros(0, dtype=np.int32)
+        return np.array([16 + len(raw.tobytes().split())], dtype=np.int32)
     b = np.where((raw <= 32), 32, raw).astype(np.uint32)
     three = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
     four = three[:-1] << np.uint32(8) | b[3:]
     keys = np.concatenate([three * np.uint32(0x9E3779B1), four * np.uint32(0x85EBCA6B) ^ np.uint32(0x5BD1E995)])
     keys = (keys ^ (keys >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return np.unique((keys >> np.uint32(32 - BITS)).astype(np.int32))
+    grams = (keys >> np.uint32(32 - BITS)).astype(np.int32)
+    # word bigrams of a word with itself: one indicator for each power of two that their share reaches
+    h = word_hashes(text)
+    same = int((h[1:] == h[:-1]).sum())
+    doubled = np.arange(max(1, int(np.ceil(np.log2(len(h) / same)))), 9, dtype=np.int32) if same else np.zeros(0, dtype=np.int32)
+    # the halving step of the number of words
+    size = np.array([16 + int(len(h)).bit_length()], dtype=np.int32)
+    return np.unique(np.concatenate([np.maximum(grams, 64), doubled, size]))
 
 
 def log_count_ratio(docs: list[np.ndarray], label: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    """log of the smoothed share of each indicator in class 1 over class 0."""
-    counts = [np.full(1 << BITS, alpha), np.full(1 << BITS, alpha)]
+    """log of the smoothed share of documents with each indicator in class 1
+    over class 0; an indicator that no document has says nothing (0)."""
+    counts = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
     for x, y in zip(docs, label.tolist()):
         counts[y][x] += 1
-    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    n1, n0 = (label == 1).sum(), (label == 0).sum()
+    a = alpha / min(n1, n0)
+    return np.log(counts[1] / n1 + a) - np.log(counts[0] / n0 + a)
 
 
 def dual_coordinate_descent(docs, values, label, cost: float = 1.0, epochs: int = 12, seed: int = 7):
@@ -113,13 +126,13 @@ def fit(docs: list[np.ndarray], label: np.ndarray, share_of_1: float, folds: int
     def train(rows):
         mine = [docs[i] for i in rows]
         ratio = log_count_ratio(mine, label[rows])
-        scaled = [ratio[x] / max(np.sqrt((ratio[x] ** 2).sum()), 1e-9) if len(x) else ratio[x] for x in mine]
+        scaled = [ratio[x] / np.sqrt((ratio[x] ** 2).sum() + DAMP) for x in mine]
         w, bias = dual_coordinate_descent(mine, scaled, label[rows])
         return w, ratio, bias
 
     def decide(model, rows):
         w, ratio, bias = model
-        return np.array([(w[x] * ratio[x]).sum() / max(np.sqrt((ratio[x] ** 2).sum()), 1e-9) + bias for x in (docs[i] for i in rows)])
+        return np.array([(w[x] * ratio[x]).sum() / np.sqrt((ratio[x] ** 2).sum() + DAMP) + bias for x in (docs[i] for i in rows)])
 
     everyone = np.arange(len(docs))
     fold = np.zeros(len(docs), dtype=int)
@@ -191,7 +204,7 @@ def score_column(spark, text: Column, model: dict) -> Column:
 
         def one(t):
             x = features(t)
-            s = both[x].sum() / max(np.sqrt(square[x].sum()), 1e-9) + m["bias"]
+            s = both[x].sum() / np.sqrt(square[x].sum() + DAMP) + m["bias"]
             return 1 / (1 + np.exp(-min(max(m["slope"] * s + m["shift"], -500.0), 500.0)))
 
         for s in batches:
