@@ -60,10 +60,16 @@ def powers(n: int) -> np.ndarray:
     """1, P, P^2, ... as wrapping uint64."""
     global _POWERS
     if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([[1], np.full(max(n, 4096), 0x9E3779B97F4A7C15)]).astype(np.uint64))
+        factors = np.full(max(n, 4096), 0x9E3779B97F4A7C15, dtype=np.uint64)
+        factors[0] = 1
+        _POWERS = np.cumprod(factors, dtype=np.uint64)
     return _POWERS[:n]
 
 
+#: A random-looking value for each byte.
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """The 64-bit hash of every word of a text, in order."""
     raw = np.frombuffer(("" if text is None else text).encode("utf-8"), dtype=np.uint8)
@@ -76,7 +82,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     at = np.flatnonzero(solid)
     into = at - np.repeat(start, length)
     first = np.cumsum(length) - length
-    sums = np.add.reduceat((raw[at].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[into], first)
+    sums = np.add.reduceat(_BYTE[raw[at]] * powers(int(length.max()))[into], first)
     return mix64(sums + length.astype(np.uint64))
 
 

@@ -121,7 +121,7 @@ class FMIndex:
         part = max(s for s in spans if s <= max(1, length - 1))
         head, shift = spans[part], max(0, length - 1 - part)
         tail = np.full(n, -1, dtype=np.int64)
-        tail[: n - shift] = head[shift:]
+        tail[: max(0, n - shift)] = head[shift:]
         a, b = head[order], tail[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         place = np.arange(n)
