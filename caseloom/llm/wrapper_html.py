@@ -250,11 +250,28 @@ def size(f: Folded) -> int:
     return 1 + sum(map(size, f.kids))
 
 
+def _inline(label: str) -> bool:
+    return label != "#root" and label.split(".")[0] not in BLOCK
+
+
+def _fixed(w: Folded) -> bool:
+    """Whether a block's text, inline elements included, never varies."""
+    return w.text is not None and all(_fixed(k) for k in w.kids if _inline(k.label))
+
+
+def _hide(n: Node) -> None:
+    for i, k in enumerate(n.kids):
+        if isinstance(k, str):
+            n.hide.add(i)
+        elif _inline(k.label):
+            _hide(k)
+
+
 def mark_template(wrapper: Folded, page: Folded, least: int = LEAST_PAGES) -> None:
-    """Hide the strings of the page's nodes that the wrapper has constant."""
-    if wrapper.pages >= least and wrapper.text is not None and wrapper.text == page.text:
+    """Hide the text of the page's blocks that the wrapper has constant."""
+    if not _inline(wrapper.label) and wrapper.pages >= least and wrapper.text == page.text and _fixed(wrapper):
         for n in page.members:
-            n.hide.update(i for i, k in enumerate(n.kids) if isinstance(k, str))
+            _hide(n)
     for w, p in align(wrapper.kids, page.kids):
         if w is not None and p is not None:
             mark_template(w, p, least)

@@ -21,6 +21,7 @@ def odd_vectors(spark):
     x[45:60] = x[4]
     rows = [(i, [float(v) for v in np.float32(r)]) for i, r in enumerate(x)]
     rows += [(100, None), (101, [0.0] * 6), (102, [1.0, None, 0, 0, 0, 0]), (103, [float("nan")] * 6), (104, [float("inf")] + [0.0] * 5), (120, [1.0, 2.0]), (121, [2.0, 4.0]), (None, [1.0] * 6), (105, []), (140, [-0.0, 1.0, 0, 0, 0, 0]), (160, [0.0, 1.0, 0, 0, 0, 0])]
+    rows = [(i, e if e is None else [None if v is None else float(v) for v in e]) for i, e in rows]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit("mine")).withColumn("v", F.lit(1))
     return df.repartition(3)
 
