@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import mix64, rolling, word_hashes, written
+from caseloom.llm.common import mix64, rolling, small_batches, word_hashes, written
 from caseloom.llm.components import components
 from caseloom.llm.embedding_dedup import smallest_reachable
 
@@ -195,6 +195,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) ->
     that has shingles, and the group (v, group, first_id, first_hash) of each
     class v, with the smallest id of the group."""
     c = F.col
+    small_batches(docs.sparkSession)
     texts = identified(docs)
     signed = texts.filter("doc_id IS NOT NULL").mapInPandas(_sign, "doc_id long, text_hash long, key string, n_units long, bands array<long>")
     signed = written(signed.withColumn("v", F.xxhash64("key")).drop("key"), "dart-signatures")

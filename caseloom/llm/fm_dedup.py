@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import mix64, rolling, word_hashes, written
+from caseloom.llm.common import mix64, rolling, small_batches, word_hashes, written
 
 LENGTH, GRAM = 35, 8
 #: Words aimed at in a shard; segments of one anchor beyond which its windows go one by one.
@@ -216,6 +216,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     """t1, t2 (hashes of a text) and spans: the word spans (start, end), in
     any order, that repeated windows cover, for every text that has some."""
     c = F.col
+    small_batches(docs.sparkSession)
     texts = _texts(docs, id_col)
 
     def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

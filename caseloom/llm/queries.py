@@ -68,7 +68,7 @@ def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_codec.encode(docs, piece_model(), full=False).select("doc_id", "sp_encoded.n_tokens", "sp_encoded.ids_sha256", "sp_encoded.decoded_sha256")
+    return sentencepiece_codec.encode(docs, piece_model(), ids=False, decoded=False).select("doc_id", "sp_encoded.n_tokens", "sp_encoded.ids_sha256", "sp_encoded.decoded_sha256")
 
 
 @query

@@ -27,9 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseloom.llm.common import small_batches
+
 MARK = "▁"
 #: Words encoded in one go, and cached encodings of words per task.
-BLOCK_WORDS, CACHE_WORDS = 60_000, 450_000
+BLOCK_WORDS, CACHE_WORDS = 20_000, 250_000
 OUT = T.StructType([
     T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.StringType()),
@@ -274,8 +276,8 @@ class Codec:
         return out[1:] if out.startswith(" ") else out
 
 
-def encode_texts(texts: list[str], codec: Codec, full: bool) -> pd.DataFrame:
-    """The columns of ``OUT`` for a batch; ids and text only if full."""
+def encode_texts(texts: list[str], codec: Codec, ids_too: bool, text_too: bool) -> pd.DataFrame:
+    """The columns of ``OUT`` for a batch; ids and decoded text where asked."""
     rows = []
     split = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
     at = 0
@@ -293,33 +295,34 @@ def encode_texts(texts: list[str], codec: Codec, full: bool) -> pd.DataFrame:
             else:
                 shown = " ".join([*map(codec.shown.__getitem__, words), codec.digits[codec.eos]])
                 text = " ".join(words if codec.odd.keys().isdisjoint(words) else [codec.odd.get(w, w) for w in words])
-                ids = list(map(int, shown.split(" "))) if full else None
+                ids = list(map(int, shown.split(" "))) if ids_too else None
             rows.append((
-                np.array(ids, dtype="<i4").tobytes() if full else None, shown.count(" ") + 1,
-                hashlib.sha256(shown.encode()).hexdigest(), text if full else None,
+                np.array(ids, dtype="<i4").tobytes() if ids_too else None, shown.count(" ") + 1,
+                hashlib.sha256(shown.encode()).hexdigest(), text if text_too else None,
                 hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(),
             ))
         at = upto
     return pd.DataFrame(rows, columns=OUT.names)
 
 
-def encode_column(spark, text: Column, model_path: str, full: bool = True) -> Column:
+def encode_column(spark, text: Column, model_path: str, ids: bool = True, decoded: bool = True) -> Column:
     """A struct of ids (int32, little endian), n_tokens, ids_sha256, decoded
-    and decoded_sha256 for a text column; without ``full`` ids and decoded
-    are null.  The vocabulary (below 1 MB) travels as a broadcast."""
+    and decoded_sha256 for a text column; ids and decoded are null where they
+    are not asked for.  The vocabulary (below 1 MB) travels as a broadcast."""
+    small_batches(spark)
     vocabulary = spark.sparkContext.broadcast(load_vocabulary(model_path))
 
     @F.pandas_udf(OUT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec(vocabulary.value)
         for s in batches:
-            yield encode_texts(["" if t is None else t for t in s.tolist()], codec, full)
+            yield encode_texts(["" if t is None else t for t in s.tolist()], codec, ids, decoded)
 
     return run(text)
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", full: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
     """``docs`` with the columns of :func:`encode_column` appended as one
     struct ``sp_encoded`` (so no column name of ``docs`` clashes with its
     parts)."""
-    return docs.withColumn("sp_encoded", encode_column(docs.sparkSession, F.col(text).cast("string"), model_path, full))
+    return docs.withColumn("sp_encoded", encode_column(docs.sparkSession, F.col(text).cast("string"), model_path, ids, decoded))

@@ -50,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_codec.encode(docs, piece_model(), full=True)
+    coded = sentencepiece_codec.encode(docs, piece_model(), decoded=False)
     return coded.select("doc_id", "lang", "source", "sp_encoded.n_tokens", "sp_encoded.ids_sha256", "sp_encoded.decoded_sha256", "sp_encoded.ids")
 
 

@@ -330,7 +330,7 @@ def test_sentencepiece_equals_library(spark):
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ["ng" * k for k in range(40)] + [" " * k for k in range(50)] + [" " * k + "the" + " " * k + "é漢" for k in range(30)] + [" " * 40 + "\n  x"]
     texts += [r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
-    out = sentencepiece_codec.encode_texts(texts, codec, True)
+    out = sentencepiece_codec.encode_texts(texts, codec, True, True)
     for t, ids, n, decoded in zip(texts, out.ids, out.n_tokens, out.decoded):
         want = lib.encode(t, add_eos=True)
         assert np.frombuffer(ids, "<i4").tolist() == want and n == len(want) and decoded == lib.decode(want)
