@@ -53,7 +53,8 @@ def list_cases(cases: DataFrame, who: Access | None, site: str, f: CaseFilter =
 def max_no(cases: DataFrame, site: str) -> DataFrame:
     """GET max case number of a site (one row; 0 when none)."""
     m = numbering.max_case_no(cases.filter(F.col("location") == F.lit(site)), group_by=())
-    return m.select(F.coalesce(F.col("max_no"), F.lit(0)).alias("max_no"))
+    # past BIGINT the exact text is the answer and max_no is NULL, never 0
+    return m.select("max_no", "max_no_text")
 
 
 def stats(cases: DataFrame, who: Access | None, site: str, f: CaseFilter, as_of: dt.date) -> DataFrame:
@@ -114,13 +115,14 @@ def create_cases(cases: DataFrame, rows: DataFrame, as_of: dt.datetime) -> DataF
 
 
 def update_cases(cases: DataFrame, rows: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """PUT cases (batch): overwrite all fields of existing ids."""
+    """PUT cases (batch): overwrite all fields of existing cases, each named
+    by its site and id."""
     return changes.apply_changes(cases, _change_rows(rows, "U", 0), as_of)
 
 
 def delete_cases(cases: DataFrame, ids: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """DELETE cases (batch) by id."""
-    return changes.apply_changes(cases, _change_rows(ids.select("id"), "D", 0), as_of)
+    """DELETE cases (batch) by site and id."""
+    return changes.apply_changes(cases, _change_rows(ids.select("id", "location"), "D", 0), as_of)
 
 
 def commit_changes(spark, table_path: str, change_rows: DataFrame, as_of: dt.datetime) -> dict[str, int]:

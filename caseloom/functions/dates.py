@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import datetime as dt
 
 from pyspark.sql import Column, functions as F
@@ -13,6 +15,12 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _shape(fmt: str) -> str:
+    """A regex that every text matches which the format accepts."""
+    runs = {"yyyy": r"[+-]?\d{4,}", "yy": r"\d{2}", "MMM": r"[^\d\s/-]+", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+    return "^" + re.sub("y+|M+|d+", lambda m: runs[m[0]], fmt) + "$"
+
+
 def parse_case_date(c: str | Column) -> Column:
     """Parse a text cell with the import formats, first hit wins, else NULL.
 
@@ -22,7 +30,8 @@ def parse_case_date(c: str | Column) -> Column:
     text = _c(c)
     tries = []
     for fmt in IMPORT_DATE_FORMATS:
-        d = F.try_to_date(text, fmt)
+        # a cell of another shape cannot match: parsing it would raise inside
+        d = F.when(text.rlike(_shape(fmt)), F.try_to_date(text, fmt))
         if fmt.endswith("yy") and not fmt.endswith("yyyy"):
             d = F.when(F.year(d) >= TWO_DIGIT_YEAR_PIVOT, F.add_months(d, -1200)).otherwise(d)
         tries.append(d)

@@ -8,23 +8,19 @@ the read it guards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.dates import ntz
 from caseloom.functions.text import display_label
-from caseloom.plans.broadcast import bounded_broadcast
 
 PERMISSIONS = ("can_view", "can_edit", "can_delete")
-MAX_SITES = 10_000  # a site table beyond this is not broadcast
+LISTED_SITES = 10_000  # up to so many sites are named in a filter; beyond, a semi-join
 
 
-def site_codes(locations: DataFrame) -> list[str]:
-    """The site codes, read once on the driver behind a size check (the site
-    table is a dimension of a few rows; refuse an unbounded one)."""
-    rows = locations.select("code").distinct().limit(MAX_SITES + 1).collect()
-    if len(rows) > MAX_SITES:
-        raise ValueError(f"more than {MAX_SITES} sites; site table is not a dimension")
-    return sorted(r["code"] for r in rows)
+def site_codes(locations: DataFrame) -> Column:
+    """The sorted site codes as an array: a scalar subquery over the site
+    table, evaluated with the query that uses it."""
+    return locations.agg(F.sort_array(F.collect_set("code"))).scalar()
 
 
 def all_permissions(df: DataFrame) -> DataFrame:
@@ -40,11 +36,10 @@ def effective_permissions(users: DataFrame, grants: DataFrame, locations: DataFr
     codes = site_codes(locations)
     supers = (users.filter(F.col("role") == "superadmin")
                    .select(F.col("id").alias("user_id"),
-                           F.explode(F.array(*[F.lit(c) for c in codes]).cast("array<string>"))
-                            .alias("location_code")))
+                           F.explode(codes).alias("location_code")))
     supers = all_permissions(supers)
     others = users.filter(F.col("role") != "superadmin").select(F.col("id").alias("user_id"))
-    site_df = bounded_broadcast(locations.select(F.col("code").alias("location_code")), MAX_SITES)
+    site_df = locations.select(F.col("code").alias("location_code"))
     granted = (grants.join(others, "user_id", "left_semi")
                      .join(site_df, "location_code", "left_semi")
                      .select("user_id", "location_code", *PERMISSIONS))
@@ -64,13 +59,13 @@ def allowed_sites(users: DataFrame, grants: DataFrame, locations: DataFrame, use
 def visible_cases(cases: DataFrame, users: DataFrame, grants: DataFrame, locations: DataFrame,
                   user_id: int, permission: str = "can_view") -> DataFrame:
     """Only the case rows of sites where the user holds ``permission``.
-    The allowed sites (at most the site count, checked) become an ``IN``
-    filter on the partition column: on the stored table the other sites'
-    files are never listed or read, and no join or shuffle is planned."""
-    rows = (allowed_sites(users, grants, locations, user_id, permission)
-            .limit(MAX_SITES + 1).collect())
-    if len(rows) > MAX_SITES:
-        raise ValueError(f"more than {MAX_SITES} allowed sites")
+    The allowed sites become an ``IN`` filter on the partition column: on the
+    stored table the other sites' files are never listed or read, and no join
+    or shuffle is planned.  A longer list is a semi-join with equal results."""
+    allowed = allowed_sites(users, grants, locations, user_id, permission)
+    rows = allowed.limit(LISTED_SITES + 1).collect()
+    if len(rows) > LISTED_SITES:
+        return cases.join(allowed, "location", "left_semi")
     codes = sorted(r["location"] for r in rows)
     return cases.filter(F.col("location").isin(*codes) if codes else F.lit(False))
 
@@ -86,8 +81,7 @@ def sites_of_user(grants: DataFrame, locations: DataFrame, user_id: int | None =
     """A user's grants with the site names (all users when ``user_id`` is
     None)."""
     g = grants if user_id is None else grants.filter(F.col("user_id") == F.lit(user_id))
-    loc = bounded_broadcast(locations.select(F.col("code").alias("location_code"), "name", "short_name"),
-                            MAX_SITES)
+    loc = locations.select(F.col("code").alias("location_code"), "name", "short_name")
     return g.join(loc, "location_code", "inner").select("user_id", "location_code", *PERMISSIONS, "name",
                                                         "short_name")
 

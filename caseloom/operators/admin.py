@@ -7,9 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.text import py_strip
-from caseloom.operators.access import MAX_SITES, PERMISSIONS, site_codes
+from caseloom.operators.access import PERMISSIONS, site_codes
 from caseloom.operators.report import collect_sorted
-from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.schema import ROLE_ORDER, SITE_CODE_MAX_LEN, SITE_CODE_MIN_LEN, VALID_UPDATE_ROLES
 
 
@@ -122,22 +121,31 @@ def grants_on_all_sites(users: DataFrame, locations: DataFrame, user_col: str =
     list is a bounded dimension, exploded per user -- no cartesian join)."""
     codes = site_codes(locations)
     req = users.select(F.col(user_col).alias("user_id"),
-                       F.array(*[F.lit(c) for c in codes]).cast("array<string>").alias("codes"))
+                       codes.alias("codes"))
     return default_grants(req)
 
 
+def requested_role() -> F.Column:
+    """The role a request asks for; ``user`` when it names none."""
+    return F.coalesce(F.col("role"), F.lit("user"))
+
+
 def replace_grants(grants: DataFrame, requests: DataFrame) -> DataFrame:
     """For each requesting user, drop all their grants and insert the
-    requested set with every right; other users keep theirs."""
+    requested set with every right; other users keep theirs.  A request with
+    an invalid role is refused as a whole; a missing role means ``user``."""
+    if "role" in requests.columns:
+        requests = requests.filter(requested_role().isin(*VALID_UPDATE_ROLES))
     touched = requests.select("user_id").distinct()
     kept = grants.join(touched, "user_id", "left_anti")
     return kept.unionByName(default_grants(requests))
 
 
 def update_roles(users: DataFrame, requests: DataFrame) -> DataFrame:
-    """D5 role part: set the requested role when it is valid (F10) and the
-    user is not a superadmin (J8 guards role changes as well)."""
-    req = requests.filter(valid_role("role")).select(F.col("user_id").alias("id"), F.col("role").alias("_new"))
+    """D5 role part: set the requested role (``user`` when missing) when it is
+    valid (F10) and the user is not a superadmin (J8 guards role changes as
+    well)."""
+    req = requests.select(F.col("user_id").alias("id"), requested_role().alias("_new")).filter(F.col("_new").isin(*VALID_UPDATE_ROLES))
     req = req.groupBy("id").agg(F.max("_new").alias("_new"))
     out = users.join(req, "id", "left")
     new_role = F.when(F.col("_new").isNotNull() & (F.col("role") != "superadmin"), F.col("_new")).otherwise(F.col("role"))
@@ -175,6 +183,6 @@ def delete_users(users: DataFrame, grants: DataFrame, ids: DataFrame) -> tuple[D
 
 def delete_sites(locations: DataFrame, grants: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove sites and cascade to their grants."""
-    gone = bounded_broadcast(codes.select("code").distinct(), MAX_SITES)
+    gone = codes.select("code").distinct()
     return locations.join(gone, "code", "left_anti"), cascade(grants, gone, "location_code", "code")
 

@@ -37,7 +37,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.dates import ntz
-from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.lineage import cut_lineage
 from caseloom.plans.numbering import global_row_number
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
@@ -47,7 +46,6 @@ from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DEFAULT_CHUNK = 100_000
-MULTI_CHUNK_USERS_BROADCAST = 1_000_000
 _NAT = np.iinfo(np.int64).min  # "no timestamp" in int64 nanoseconds
 
 SUMMARY_SCHEMA = ("user_id long, chunk long, kind string, entry long, entry_ts timestamp_ntz, "
@@ -228,13 +226,13 @@ def lockout_replay(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
     # users with several chunks (over chunk_size attempts) are few, so their
     # list is broadcast behind a size check and the attempts are not shuffled.
     multi = (ev.groupBy("user_id").agg(F.max("chunk").alias("_last")).filter(F.col("_last") > 0))
-    multi = bounded_broadcast(cut_lineage(multi), MULTI_CHUNK_USERS_BROADCAST)
+    multi = cut_lineage(multi)
     inner = ev.join(multi, "user_id").filter(F.col("chunk") < F.col("_last")).drop("_last")
     summary = inner.groupBy("user_id", "chunk").applyInPandas(
         lambda p: _chunk_summary(p, max_failed, lock_ns), SUMMARY_SCHEMA)
     entries = (summary.repartition("user_id").sortWithinPartitions("user_id", "chunk", "kind", "entry")
                       .mapInPandas(lambda it: _stitch_partition(it, max_failed), ENTRY_SCHEMA))
-    entries = bounded_broadcast(cut_lineage(entries), MULTI_CHUNK_USERS_BROADCAST)
+    entries = cut_lineage(entries)
     staged = (ev.join(entries, ["user_id", "chunk"], "left")
                 .repartition("user_id", "chunk")
                 .sortWithinPartitions("user_id", "chunk", "ts", "event_id"))

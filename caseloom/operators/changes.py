@@ -1,7 +1,7 @@
 """Batch table changes on immutable files.
 
-Changes are rows (key, op I/U/D, seq, the 10 case fields).  The latest
-change per key wins; the new table is computed and written to a fresh path
+Changes are rows (location, id, op I/U/D, seq, the 10 case fields), folded
+per case in the order of seq; the new table is computed and written to a fresh path
 (``sources.sinks.publish``), never over the path being read.
 """
 
@@ -13,20 +13,36 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.dates import ntz
 from caseloom.operators.numbering import number_batch
-from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.lineage import cut_lineage
 from caseloom.schema import CASE_FIELDS, DEFAULT_STATUS
 
 TEXT_FIELDS = [c for c in CASE_FIELDS if c not in ("case_date", "status")]
-CHANGES_BROADCAST_ROWS = 5_000_000
+#: Ids are unique within a site only, so a case is known by both.
+KEY = ("location", "id")
 
 
-def latest_change(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
-    """The newest change per key.  ``max_by`` aggregates partially before the
-    shuffle: a key with very many changes never gathers them in one task."""
-    payload = [c for c in changes.columns if c != key]
-    picked = changes.groupBy(key).agg(F.max_by(F.struct(*payload), F.col(seq)).alias("_c"))
-    return picked.select(key, *[F.col(f"_c.{c}").alias(c) for c in payload])
+def fold_changes(changes: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row per case (location, id) from its ops in the order of ``seq``
+    (at one seq: D, I, U, then by the fields):
+
+    * ``deleted``: a D is among them;
+    * ``ins``: the first I after the last D (or of all), which takes effect
+      if the case was deleted or did not exist;
+    * ``upd``: the last U after the last D, which takes effect if the case
+      exists or was inserted no later.
+
+    Changes without a site or id name no case and are left out.  All parts
+    are partial aggregates, so a case with very many changes is not gathered.
+    """
+    ch = changes.filter(F.col("location").isNotNull() & F.col("id").isNotNull())
+    dels = ch.filter(F.col("op") == "D").groupBy(*KEY).agg(F.max(seq).alias("_del"))
+    ch = ch.join(dels, list(KEY), "left")
+    fields = F.struct(F.col(seq).alias("seq"), *[F.col(c) for c in CASE_FIELDS])
+    after = F.col("_del").isNull() | (F.col(seq) >= F.col("_del"))
+    return ch.groupBy(*KEY).agg(
+        F.max(F.col("_del").isNotNull()).alias("deleted"),
+        F.min(F.when((F.col("op") == "I") & after, fields)).alias("ins"),
+        F.max(F.when((F.col("op") == "U") & after, fields)).alias("upd"))
 
 
 def with_defaults(rows: DataFrame) -> DataFrame:
@@ -37,38 +53,38 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     return out.withColumn("status", F.coalesce(F.col("status"), F.lit(DEFAULT_STATUS)))
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, as_of: dt.datetime, key: str = "id", seq: str = "seq"
-                  ) -> DataFrame:
-    """D1 + D2 + D3: the case table after the change batch.
+def apply_changes(base: DataFrame, changes: DataFrame, as_of: dt.datetime, seq: str = "seq") -> DataFrame:
+    """D1 + D2 + D3: the case table after the change batch, as if its ops
+    were requested one after another.
 
-    * U overwrites all 10 fields of an existing key (missing -> default),
-      keeps site and created_at, sets updated_at; unknown keys: no effect.
-    * D removes an existing key; unknown keys: no effect.
-    * I adds a new key (existing keys: no effect), numbered by A10 when it
-      has no case_no.
+    * U overwrites all 10 fields of an existing case (missing -> default),
+      keeps created_at, sets updated_at; unknown cases: no effect.
+    * D removes an existing case; unknown cases: no effect.
+    * I adds a new case (an existing one: no effect), numbered by A10 when it
+      has no case_no; a U after it overwrites its fields.
     """
-    # The change batch is read three times below: materialize it once, and
-    # broadcast it when it is small so the base table is never shuffled.
-    last = bounded_broadcast(cut_lineage(latest_change(changes, key, seq)), CHANGES_BROADCAST_ROWS)
+    return _apply(base, cut_lineage(fold_changes(changes, seq)), as_of)
+
+
+def _apply(base: DataFrame, folded: DataFrame, as_of: dt.datetime) -> DataFrame:
     ts = ntz(as_of)
-    touched = last.filter(F.col("op").isin("U", "D")).select(key)
-    kept = base.join(touched, key, "left_anti")
-    # one pass over the base finds which changed keys exist (with their site
-    # and creation time); it serves both the updates and the inserts
-    found = (base.select(key, F.col("location").alias("_site"), F.col("created_at").alias("_created"))
-                 .join(last.select(key), key, "left_semi")
-                 .withColumn("_exists", F.lit(True)))
-    resolved = last.join(found, key, "left")
-    upd = with_defaults(resolved.filter((F.col("op") == "U") & F.col("_exists").isNotNull()))
-    upd = (upd.withColumn("location", F.col("_site"))  # site and created_at stay the row's
-              .withColumn("created_at", F.col("_created"))
-              .withColumn("updated_at", ts))
-    ins_src = resolved.filter((F.col("op") == "I") & F.col("_exists").isNull())
-    ins = with_defaults(ins_src)  # a missing case_no becomes '' and is numbered below
-    ins = ins.withColumn("created_at", ts).withColumn("updated_at", ts)
-    ins = number_batch(ins.select(*base.columns), base)
-    cols = base.columns
-    return kept.unionByName(upd.select(*cols)).unionByName(ins.select(*cols))
+    key, cols = list(KEY), base.columns
+    kept = base.join(folded.filter(F.col("deleted") | F.col("upd").isNotNull()).select(*key), key, "left_anti")
+    # one pass over the base finds which changed cases exist; it has the size
+    # of the batch and serves both the updates and the inserts
+    found = base.select(*key, F.col("created_at").alias("_created")).join(folded.select(*key), key, "left_semi")
+    resolved = cut_lineage(folded.join(found.withColumn("_exists", F.lit(True)), key, "left"))
+    exists = F.col("_exists").isNotNull()
+
+    def rows(cond, source: str, created) -> DataFrame:
+        out = resolved.filter(cond).select(*key, *[F.col(source)[c].alias(c) for c in CASE_FIELDS], created.alias("created_at"))
+        return with_defaults(out).withColumn("updated_at", ts).select(*cols)
+
+    upd = rows(exists & ~F.col("deleted") & F.col("upd").isNotNull(), "upd", F.col("_created"))
+    new = (F.col("deleted") | ~exists) & F.col("ins").isNotNull()
+    over = F.coalesce(F.col("upd.seq") >= F.col("ins.seq"), F.lit(False))
+    ins = number_batch(rows(new & ~over, "ins", ts), base)  # a missing case_no became '' and is numbered
+    return kept.select(*cols).unionByName(upd).unionByName(rows(new & over, "upd", ts)).unionByName(ins.select(*cols))
 
 
 def purge_site(cases: DataFrame, site: str) -> tuple[DataFrame, DataFrame]:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.text import all_digits
-from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.lineage import cut_lineage
 from caseloom.plans.numbering import global_row_number
 
@@ -27,10 +26,10 @@ def max_case_no(df: DataFrame, group_by: Sequence[str] = ("location",)) -> DataF
     """
     digits = F.regexp_replace(F.col("case_no"), "^0+", "")
     numeric = df.filter(all_digits("case_no"))
-    agg = cut_lineage(numeric.groupBy(*group_by).agg(
-        F.max(F.length(digits)).alias("_len"),
-        F.max(F.expr("try_cast(case_no AS DECIMAL(38,0))")).alias("_dec")))
-    # a group with no all-digit case_no (only the global form has one) is 0
+    # a group without any all-digit case_no is 0
+    agg = cut_lineage(df.groupBy(*group_by).agg(
+        F.max(F.when(all_digits("case_no"), F.length(digits))).alias("_len"),
+        F.max(F.when(all_digits("case_no"), F.expr("try_cast(case_no AS DECIMAL(38,0))"))).alias("_dec")))
     fits = agg.filter((F.col("_len") <= DECIMAL_DIGITS) | F.col("_len").isNull()).select(
         *group_by,
         F.when(F.col("_dec").isNull(), F.lit(0).cast("long"))
@@ -46,6 +45,17 @@ def max_case_no(df: DataFrame, group_by: Sequence[str] = ("location",)) -> DataF
     return fits.unionByName(longer)
 
 
+def plus(number: Column, n: Column) -> Column:
+    """Decimal text of ``number`` (text of up to 56 digits) plus a BIGINT, in
+    two limbs of 18 and 38 digits, so no size overflows."""
+    limb = 10**18
+    low = F.right(number, F.lit(18)).cast("decimal(38,0)") + n
+    high = F.when(F.length(number) > 18, F.substring(number, F.lit(1), F.length(number) - 18)).otherwise(F.lit("0")).cast("decimal(38,0)")
+    high = high + F.floor(low / F.lit(limb)).cast("decimal(38,0)")
+    rest = F.pmod(low, F.lit(limb).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string")
+    return F.when(high > 0, F.concat(high.cast("decimal(38,0)").cast("string"), F.lpad(rest, 18, "0"))).otherwise(rest)
+
+
 def number_batch(batch: DataFrame, existing: DataFrame, group_by: Sequence[str] = ("location",)) -> DataFrame:
     """A10: rows of ``batch`` without a case_no get max_no + 1, + 2, ... per
     site in id order; given numbers are kept.  The per-site maxima are one
@@ -62,9 +72,9 @@ def number_batch(batch: DataFrame, existing: DataFrame, group_by: Sequence[str]
         else:
             scope = existing.join(keys, list(group_by), "left_semi")
     else:
-        scope = existing.join(bounded_broadcast(keys), list(group_by), "left_semi")
-    maxima = max_case_no(scope, group_by).select(*group_by, "max_no")
+        scope = existing.join(keys, list(group_by), "left_semi")
+    maxima = max_case_no(scope, group_by).select(*group_by, "max_no_text")
     todo = global_row_number(batch.filter(need), [F.col("id")], out_col="_seq", partition_by=list(group_by))
-    todo = todo.join(bounded_broadcast(maxima), list(group_by), "left")
-    todo = todo.withColumn("case_no", (F.coalesce("max_no", F.lit(0)) + F.col("_seq")).cast("string"))
-    return batch.filter(~need).unionByName(todo.drop("_seq", "max_no"))
+    todo = todo.join(maxima, list(group_by), "left")
+    todo = todo.withColumn("case_no", plus(F.coalesce("max_no_text", F.lit("0")), F.col("_seq")))
+    return batch.filter(~need).unionByName(todo.drop("_seq", "max_no_text"))

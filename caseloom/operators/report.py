@@ -11,18 +11,18 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.functions.dates import in_month
 from caseloom.functions.numbers import half_up_percent, half_up_share
 from caseloom.functions.text import not_placeholder, present, py_strip
-from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.numbering import global_row_number
 from caseloom.schema import STATUS_COMPLETED, STATUS_IN_PROGRESS, TOP_N
 
 SITE = ("location",)
-GROUPS_BROADCAST_ROWS = 1_000_000
 
 
 def _count_if(pred: Column) -> Column:
@@ -174,7 +174,7 @@ def with_rank(bd: DataFrame, group_by: Sequence[str] = SITE + ("dimension",), ou
 
 def with_share(bd: DataFrame, group_by: Sequence[str] = SITE + ("dimension",)) -> DataFrame:
     """Share of the group's total in % (one decimal, half-up) and the bar
-    width relative to the first displayed row: the largest count, or the
+    width (% unrounded) relative to the first displayed row: the largest count, or the
     first day for the trend.  Group totals come from a partial aggregate
     joined back on the group."""
     aggs = [F.sum("count").alias("_total"), F.max("count").alias("_max")]
@@ -186,12 +186,15 @@ def with_share(bd: DataFrame, group_by: Sequence[str] = SITE + ("dimension",)) -
     else:
         first = F.col("_max")
     if group_by:
-        out = bd.join(bounded_broadcast(totals, GROUPS_BROADCAST_ROWS), list(group_by), "left")
+        # null-safe: rows without a site keep their share
+        totals = totals.withColumnsRenamed({c: f"_of_{c}" for c in group_by})
+        out = bd.join(totals, reduce(and_, [bd[c].eqNullSafe(totals[f"_of_{c}"]) for c in group_by]), "left")
+        out = out.drop(*[f"_of_{c}" for c in group_by])
     else:
         # a global aggregate is one row: attach it as scalar subqueries
         out = bd.withColumns({c: totals.select(c).scalar() for c in totals.columns})
     return (out.withColumn("share", half_up_share("count", "_total"))
-               .withColumn("bar", half_up_share("count", first))
+               .withColumn("bar", F.coalesce(F.lit(100.0) * F.col("count") / F.nullif(first, F.lit(0)), F.lit(0.0)))
                .drop(*[c for c in ("_total", "_max", "_first_day") if c in out.columns]))
 
 

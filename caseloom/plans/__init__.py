@@ -1,8 +1,7 @@
 """Reusable physical-plan building blocks (size-checked broadcast,
 distributed numbering, lineage cuts)."""
 
-from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.lineage import checkpoint_dir, cut_lineage
 from caseloom.plans.numbering import global_row_number
 
-__all__ = ["bounded_broadcast", "checkpoint_dir", "cut_lineage", "global_row_number"]
+__all__ = ["checkpoint_dir", "cut_lineage", "global_row_number"]

@@ -12,8 +12,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a folder below the SQL warehouse is used, which on a
-    cluster is shared storage as well.
+    on a local master (tests) a folder below the SQL warehouse is used.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -21,6 +20,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         wh = spark.conf.get("spark.sql.warehouse.dir")
         conf_dir = wh.rstrip("/") + "/_caseloom_checkpoints"
     sc.setCheckpointDir(conf_dir)

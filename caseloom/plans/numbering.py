@@ -12,14 +12,14 @@ all small (checked) take a plain per-group window instead.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from caseloom.plans.broadcast import bounded_broadcast
 from caseloom.plans.lineage import cut_lineage
 
 _POS_BITS = 33  # monotonically_increasing_id: partition id in the upper bits
-OFFSETS_BROADCAST_ROWS = 1_000_000
 WINDOW_GROUP_ROWS = 1_000_000  # largest group a single window task may hold
 
 
@@ -69,10 +69,10 @@ def global_row_number(df: DataFrame, order_by: Sequence[str | Column], out_col:
     w = Window.partitionBy(*partition_by).orderBy("_rn_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("_rn_before", F.coalesce(F.sum("_rn_cnt").over(w), F.lit(0)))
     offsets = offsets.select(*group, "_rn_before", "_rn_first")
-    # At most partitions + groups rows: materialize once, then broadcast it
-    # when it is within the bound (the data side is not shuffled); beyond
-    # the bound the planner joins with a shuffle.
-    offsets = bounded_broadcast(cut_lineage(offsets), max_rows=OFFSETS_BROADCAST_ROWS)
-    out = staged.join(offsets, group, "inner")
+    # At most partitions + groups rows: materialized once, so the planner
+    # knows its bytes and chooses the join.  Null-safe: NULL is a group too.
+    offsets = cut_lineage(offsets).withColumnsRenamed({c: f"_rn_of_{i}" for i, c in enumerate(group)})
+    match = reduce(and_, [staged[c].eqNullSafe(offsets[f"_rn_of_{i}"]) for i, c in enumerate(group)])
+    out = staged.join(offsets, match, "inner").drop(*[f"_rn_of_{i}" for i in range(len(group))])
     out = out.withColumn(out_col, (F.col("_rn_before") + F.col("_rn_pos") - F.col("_rn_first") + 1).cast("long"))
     return out.drop("_rn_mid", "_rn_pid", "_rn_pos", "_rn_before", "_rn_first")

@@ -60,7 +60,7 @@ SHARE_SQL = "CAST((2000 * {c} + {t}) // (2 * {t}) AS DOUBLE) / 10"
 @register("by_issues_ranked", CASES + f"""
 SELECT location, name, count, rank,
        CASE WHEN total > 0 THEN {SHARE_SQL.format(c='count', t='total')} ELSE 0.0 END AS share,
-       CASE WHEN first > 0 THEN {SHARE_SQL.format(c='count', t='first')} ELSE 0.0 END AS bar
+       CASE WHEN first > 0 THEN CAST(100 AS DOUBLE) * count / first ELSE 0.0 END AS bar
 FROM (SELECT location, name, count,
              row_number() OVER (PARTITION BY location ORDER BY count DESC, name) AS rank,
              sum(count) OVER (PARTITION BY location) AS total,
@@ -154,7 +154,7 @@ DISPLAY_ORDER_SQL = "CASE WHEN dimension = 'date' THEN 0 ELSE -count END, name"
 SELECT location, dimension, name, count,
        row_number() OVER (PARTITION BY location, dimension ORDER BY {DISPLAY_ORDER_SQL}) AS rank,
        {SHARE_SQL.format(c='count', t='sum(count) OVER (PARTITION BY location, dimension)')} AS share,
-       {SHARE_SQL.format(c='count', t=f'first_value(count) OVER (PARTITION BY location, dimension ORDER BY {DISPLAY_ORDER_SQL})')}
+       CAST(100 AS DOUBLE) * count / first_value(count) OVER (PARTITION BY location, dimension ORDER BY {DISPLAY_ORDER_SQL})
          AS bar
 FROM (SELECT location, dimension, name, count(*) AS count FROM ({REPORT_PAIRS_SQL}) p
       GROUP BY location, dimension, name) b""")
@@ -254,9 +254,9 @@ def q_site_union(spark, sf_dir):
     table of its own, without a site column) united into one fact."""
     path = staging_path(spark, "site-tables")
     sinks.append_cases(cases(spark, sf_dir), path)
-    # sites that hold cases (partition values only; bounded like the site table)
-    stored_sites = scan_cases(spark, path).select(F.col("location").alias("code"))
-    per_site = {c: f"{path}/location={c}" for c in access.site_codes(stored_sites)}
+    # sites that hold cases: a table each, so the list is the tables' names
+    stored_sites = scan_cases(spark, path).select("location").distinct().collect()
+    per_site = {r.location: f"{path}/location={r.location}" for r in stored_sites}
     return read_site_tables(spark, per_site).groupBy("location").agg(F.count(F.lit(1)).alias("cases"))
 
 
@@ -383,9 +383,9 @@ def q_new_sites(spark, sf_dir):
 
 @register("grants_replaced", with_views("grants", "grant_requests") + """
 SELECT user_id, location_code, can_view, can_edit, can_delete FROM grants
-WHERE user_id NOT IN (SELECT user_id FROM grant_requests)
+WHERE user_id NOT IN (SELECT user_id FROM grant_requests WHERE coalesce(role, 'user') IN ('user', 'admin'))
 UNION ALL
-SELECT DISTINCT user_id, code, TRUE, TRUE, TRUE FROM grant_requests""")
+SELECT DISTINCT user_id, code, TRUE, TRUE, TRUE FROM grant_requests WHERE coalesce(role, 'user') IN ('user', 'admin')""")
 def q_grants_replaced(spark, sf_dir):
     return admin.replace_grants(dtab.grants_view(spark, sf_dir), dtab.grant_requests_view(spark, sf_dir))
 
@@ -394,8 +394,8 @@ def q_grants_replaced(spark, sf_dir):
 SELECT u.id, u.eid, u.email, u.full_name,
        CASE WHEN r.role IS NOT NULL AND u.role <> 'superadmin' THEN r.role ELSE u.role END AS role,
        u.is_locked, u.locked_until, u.failed_attempts
-FROM users u LEFT JOIN (SELECT user_id, max(role) AS role FROM grant_requests
-                        WHERE role IN ('user', 'admin') GROUP BY user_id) r ON u.id = r.user_id""")
+FROM users u LEFT JOIN (SELECT user_id, max(coalesce(role, 'user')) AS role FROM grant_requests
+                        WHERE coalesce(role, 'user') IN ('user', 'admin') GROUP BY user_id) r ON u.id = r.user_id""")
 def q_users_roles_updated(spark, sf_dir):
     return admin.update_roles(dtab.users_view(spark, sf_dir), dtab.grant_requests_view(spark, sf_dir))
 
@@ -552,34 +552,48 @@ MAX_NO_SQL = """SELECT location, max(CAST(case_no AS BIGINT)) AS max_no
 
 
 @register("max_case_no", CASES + """
-SELECT location, max(CAST(case_no AS BIGINT)) AS max_no, CAST(max(CAST(case_no AS BIGINT)) AS VARCHAR) AS max_no_text
-FROM cases WHERE regexp_full_match(case_no, '[0-9]+') GROUP BY location""")
+SELECT location, coalesce(max(CASE WHEN regexp_full_match(case_no, '[0-9]+') THEN CAST(case_no AS BIGINT) END), 0) AS max_no,
+       CAST(coalesce(max(CASE WHEN regexp_full_match(case_no, '[0-9]+') THEN CAST(case_no AS BIGINT) END), 0) AS VARCHAR)
+         AS max_no_text
+FROM cases GROUP BY location""")
 def q_max_case_no(spark, sf_dir):
     return numbering.max_case_no(cases(spark, sf_dir))
 
 
+def _change_fields(t: str) -> str:
+    """The fields of a change row with their defaults."""
+    text = ", ".join(f"coalesce({t}.{c}, '') AS {c}" for c in ("issues", "description", "step_to_resolve", "opened_by", "department"))
+    return (f"{t}.case_date, {text}, coalesce({t}.status, 'In progress') AS status, "
+            f"coalesce({t}.resolved_by, '') AS resolved_by, coalesce({t}.remark, '') AS remark")
+
+
+NUMBERED_SQL = """CASE WHEN coalesce(i.case_no, '') = '' THEN CAST(coalesce(mx.max_no, 0) + row_number() OVER (
+               PARTITION BY i.location, coalesce(i.case_no, '') = '' ORDER BY i.id) AS VARCHAR)
+             ELSE i.case_no END AS case_no"""
+_STAMP = f"TIMESTAMP '{CHANGES_AS_OF}'"
+
 APPLY_SQL = with_views("cases", "changes_site", extra={
-    "last_change": """SELECT * EXCLUDE (rn) FROM (
-        SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM changes_site) t WHERE rn = 1""",
-    "kept": "SELECT * FROM cases WHERE id NOT IN (SELECT id FROM last_change WHERE op IN ('U', 'D'))",
-    "upd": f"""SELECT l.id, coalesce(l.case_no, '') AS case_no, l.case_date, coalesce(l.issues, '') AS issues,
-        coalesce(l.description, '') AS description, coalesce(l.step_to_resolve, '') AS step_to_resolve,
-        coalesce(l.opened_by, '') AS opened_by, coalesce(l.department, '') AS department,
-        coalesce(l.status, 'In progress') AS status, coalesce(l.resolved_by, '') AS resolved_by,
-        coalesce(l.remark, '') AS remark, c.created_at, TIMESTAMP '{CHANGES_AS_OF}' AS updated_at, c.location
-        FROM last_change l JOIN cases c ON l.id = c.id WHERE l.op = 'U'""",
-    "ins0": "SELECT * FROM last_change WHERE op = 'I' AND id NOT IN (SELECT id FROM cases)",
+    "dels": "SELECT location, id, max(seq) AS d FROM changes_site WHERE op = 'D' GROUP BY location, id",
+    "tail": """SELECT c.*, dels.d FROM changes_site c LEFT JOIN dels ON c.location = dels.location AND c.id = dels.id
+        WHERE dels.d IS NULL OR c.seq >= dels.d""",
+    "first_ins": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location, id ORDER BY seq) AS rn
+        FROM tail WHERE op = 'I') t WHERE rn = 1""",
+    "last_upd": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location, id ORDER BY seq DESC) AS rn
+        FROM tail WHERE op = 'U') t WHERE rn = 1""",
+    "kept": """SELECT * FROM cases c
+        WHERE NOT EXISTS (SELECT 1 FROM dels x WHERE x.location = c.location AND x.id = c.id)
+          AND NOT EXISTS (SELECT 1 FROM last_upd x WHERE x.location = c.location AND x.id = c.id)""",
+    "upd": f"""SELECT l.id, coalesce(l.case_no, '') AS case_no, {_change_fields('l')}, c.created_at, {_STAMP} AS updated_at,
+        c.location FROM last_upd l JOIN cases c ON l.id = c.id AND l.location = c.location WHERE l.d IS NULL""",
+    "ins0": """SELECT f.* FROM first_ins f LEFT JOIN cases c ON f.id = c.id AND f.location = c.location
+        WHERE c.id IS NULL OR f.d IS NOT NULL""",
     "mx": MAX_NO_SQL,
-    "ins": f"""SELECT i.id,
-        CASE WHEN coalesce(i.case_no, '') = '' THEN CAST(coalesce(mx.max_no, 0) + row_number() OVER (
-               PARTITION BY i.location, coalesce(i.case_no, '') = '' ORDER BY i.id) AS VARCHAR)
-             ELSE i.case_no END AS case_no,
-        i.case_date, coalesce(i.issues, '') AS issues, coalesce(i.description, '') AS description,
-        coalesce(i.step_to_resolve, '') AS step_to_resolve, coalesce(i.opened_by, '') AS opened_by,
-        coalesce(i.department, '') AS department, coalesce(i.status, 'In progress') AS status,
-        coalesce(i.resolved_by, '') AS resolved_by, coalesce(i.remark, '') AS remark,
-        TIMESTAMP '{CHANGES_AS_OF}' AS created_at, TIMESTAMP '{CHANGES_AS_OF}' AS updated_at, i.location
-        FROM ins0 i LEFT JOIN mx ON i.location = mx.location""",
+    "ins": f"""SELECT i.id, {NUMBERED_SQL}, {_change_fields('i')}, {_STAMP} AS created_at, {_STAMP} AS updated_at, i.location
+        FROM (SELECT f.* FROM ins0 f LEFT JOIN last_upd u ON f.id = u.id AND f.location = u.location AND u.seq >= f.seq
+              WHERE u.id IS NULL) i LEFT JOIN mx ON i.location = mx.location
+        UNION ALL
+        SELECT u.id, coalesce(u.case_no, '') AS case_no, {_change_fields('u')}, {_STAMP}, {_STAMP}, u.location
+        FROM ins0 f JOIN last_upd u ON f.id = u.id AND f.location = u.location AND u.seq >= f.seq""",
 })
 
 
@@ -589,7 +603,8 @@ def q_cases_after_changes(spark, sf_dir):
     return changes_op.apply_changes(cases(spark, sf_dir), dtab.changes_with_site(spark, sf_dir), CHANGES_AS_OF)
 
 
-@register("numbered_batch", APPLY_SQL + "SELECT id, case_no, location FROM ins")
+@register("numbered_batch", APPLY_SQL + f"""SELECT i.id, {NUMBERED_SQL}, i.location
+FROM (SELECT * FROM changes_site WHERE op = 'I') i LEFT JOIN mx ON i.location = mx.location""")
 def q_numbered_batch(spark, sf_dir):
     batch = dtab.changes_with_site(spark, sf_dir).filter(F.col("op") == "I").drop("op", "seq")
     return numbering.number_batch(batch, cases(spark, sf_dir)).select("id", "case_no", "location")
@@ -760,20 +775,14 @@ def q_resolvers_as_of(spark, sf_dir):
 
 
 @register("stored_changes", APPLY_SQL + f"""
-SELECT location, count(*) AS cases, sum(id) AS id_sum,
-       count(CASE WHEN updated_at = TIMESTAMP '{CHANGES_AS_OF}' THEN 1 END) AS changed
-FROM (SELECT {CASE_COLS} FROM kept UNION ALL SELECT {CASE_COLS} FROM upd UNION ALL SELECT {CASE_COLS} FROM ins) t
-GROUP BY location""")
+SELECT {CASE_COLS} FROM kept UNION ALL SELECT {CASE_COLS} FROM upd UNION ALL SELECT {CASE_COLS} FROM ins""")
 def q_stored_changes(spark, sf_dir):
     """D1-D3 at rest: store the case log, apply the change batch by
     rewriting only the touched site partitions, read the table back."""
     path = staging_path(spark, "changes-cases")
     sinks.append_cases(cases(spark, sf_dir), path)
     apply_changes_to_table(spark, path, dtab.changes_with_site(spark, sf_dir), CHANGES_AS_OF)
-    return (scan_cases(spark, path).groupBy("location")
-            .agg(F.count(F.lit(1)).alias("cases"), F.sum("id").alias("id_sum"),
-                 F.count(F.when(F.col("updated_at") == ntz(CHANGES_AS_OF),
-                                F.lit(1))).alias("changed")))
+    return scan_cases(spark, path)
 
 
 @register("lockout_stream_audit", LOCKOUT_FOLD_SQL + """

@@ -135,8 +135,22 @@ CTES: dict[str, str] = {
              'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
              CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
              CAST(NULL AS VARCHAR) AS remark, 'D', 5
-      FROM orders WHERE o_orderkey % 991 = 0""",
-    "changes_site": """SELECT c.*, lower(r_name) AS location FROM changes c LEFT JOIN region ON c.id % 5 = r_regionkey""",
+      FROM orders WHERE o_orderkey % 991 = 0
+      UNION ALL
+      SELECT o_orderkey, 'R-' || CAST(o_orderkey AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
+             o_orderpriority AS issues, 'again' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,
+             'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
+             CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
+             CAST(NULL AS VARCHAR) AS remark, 'I', 6 FROM orders WHERE o_orderkey % 303 = 0
+      UNION ALL
+      SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) + 1, 'U-' || CAST(o_orderkey AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
+             o_orderpriority AS issues, 'after insert' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,
+             'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
+             CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
+             CAST(NULL AS VARCHAR) AS remark, 'U', 7 FROM orders WHERE o_orderkey % 1994 = 0""",
+    "changes_site": """SELECT c.*, CASE WHEN c.op = 'U' AND c.id % 485 = 0 THEN lower(r_name)
+        ELSE coalesce(k.location, lower(r_name)) END AS location
+      FROM changes c LEFT JOIN cases k ON c.id = k.id LEFT JOIN region ON c.id % 5 = r_regionkey""",
 }
 
 # Which CTEs each CTE reads (so a prefix can be built in dependency order).
@@ -146,7 +160,7 @@ DEPS: dict[str, list[str]] = {
     "cases": ["cust", "detail", "rnames"],
     "grants": ["cust"],
     "grant_requests": ["cust"],
-    "changes_site": ["changes"],
+    "changes_site": ["changes", "cases"],
 }
 
 

@@ -13,7 +13,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.functions.dates import ntz
-from caseloom.plans.broadcast import bounded_broadcast
 
 PLACEHOLDER = "--- Please Select ---"
 
@@ -33,7 +32,7 @@ def customer_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
            .select("n_nationkey", F.lower("r_name").alias("location")))
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal",
                                                     "c_mktsegment")
-    return cust.join(bounded_broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")).drop(
+    return cust.join(geo, F.col("c_nationkey") == F.col("n_nationkey")).drop(
         "n_nationkey", "c_nationkey")
 
 
@@ -129,7 +128,7 @@ def grants_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.col("location").alias("location_code"))
     region = table(spark, sf_dir, "region").select("r_regionkey", F.lower("r_name").alias("location_code"))
     second = (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-              .join(bounded_broadcast(region), (F.col("user_id") % 5) == F.col("r_regionkey"))
+              .join(region, (F.col("user_id") % 5) == F.col("r_regionkey"))
               .select("user_id", "location_code"))
     g = home.unionByName(second).distinct()
     u = F.col("user_id")
@@ -201,7 +200,8 @@ def tokens_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change rows for ``apply_changes``: updates (key % 97), deletes
     (key % 101), a second update of some ids (key % 194), inserts of new ids
-    above the current maximum (key % 997), and a delete of an unknown id."""
+    above the current maximum (key % 997), a delete of an unknown id, inserts
+    of deleted ids (key % 303) and updates of inserted ones (key % 1994)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     max_key = o.agg(F.max("o_orderkey")).scalar()  # scalar subquery, one value
     k = F.col("o_orderkey")
@@ -229,7 +229,13 @@ def changes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     dele = rows(k % 101 == 0, "D", 2, k)
     ins = rows(k % 997 == 0, "I", 4, k + max_key + 1, {"case_no": F.lit(None).cast("string")})
     unknown = rows(k % 991 == 0, "D", 5, k + max_key + 100_000)
-    return upd.unionByName(upd2).unionByName(dele).unionByName(ins).unionByName(unknown)
+    # inserted again after the delete, and changed after the insert
+    again = rows(k % 303 == 0, "I", 6, k, {"case_no": F.concat(F.lit("R-"), k.cast("string")), "description": F.lit("again")})
+    over = rows(k % 1994 == 0, "U", 7, k + max_key + 1, {"description": F.lit("after insert")})
+    out = upd
+    for part in (upd2, dele, ins, unknown, again, over):
+        out = out.unionByName(part)
+    return out
 
 
 def incoming_users_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,11 +285,17 @@ def grant_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes_with_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``changes_view`` with the site of inserted rows (region ``key % 5``)."""
+    """``changes_view`` with the site of each case: its own where it exists,
+    region ``key % 5`` else.  Some updates (key % 485) name another site,
+    where no such case exists."""
     ch = changes_view(spark, sf_dir)
+    own = cases_view(spark, sf_dir).select("id", F.col("location").alias("_own"))
+    ch = ch.join(own, "id", "left")
     region = table(spark, sf_dir, "region").select("r_regionkey", F.lower("r_name").alias("location"))
-    return (ch.join(bounded_broadcast(region), (F.col("id") % 5) == F.col("r_regionkey"), "left")
-              .drop("r_regionkey"))
+    ch = ch.join(region, (F.col("id") % 5) == F.col("r_regionkey"), "left")
+    other = (F.col("op") == "U") & (F.col("id") % 485 == 0)
+    site = F.when(other, F.col("location")).otherwise(F.coalesce("_own", "location"))
+    return ch.withColumn("location", site).drop("r_regionkey", "_own")
 
 
 def attempts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,8 @@ def read_import(spark: SparkSession, path: str, header_map: dict[str, str] | Non
     """Read an import file with every cell as text (partition folders such
     as ``location=...`` stay text too), then map the headers."""
     if fmt == "csv":
-        raw = (spark.read.option("header", True).option("inferSchema", False)
-                    .option("recursiveFileLookup", False).csv(path))
+        raw = (spark.read.options(header=True, inferSchema=False, recursiveFileLookup=False, multiLine=True, escape='"',
+                                  ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
         raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns])
     else:
         raw = spark.read.format(fmt).load(path)

@@ -6,6 +6,8 @@ partitions); a path that is being read is never overwritten in place.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.schema import CASES
@@ -45,18 +47,20 @@ def export_cases(sheet: DataFrame, path: str, fmt: str = "csv") -> None:
     if "location" in sheet.columns:
         w = w.partitionBy("location")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # lossless: line breaks, quotes and padding come back through read_import
+        w.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
     else:
         w.format(fmt).save(path)
 
 
 def snapshot(tables: dict[str, DataFrame], snapshot_dir: str) -> dict[str, str]:
-    """Full copy of every table under ``snapshot_dir/<name>``, replacing
-    the previous snapshot; returns the written paths."""
+    """Full copy of every table in a new folder under ``snapshot_dir``;
+    earlier snapshots stay.  Returns the written paths once all are complete."""
     paths = {}
+    at = f"{snapshot_dir.rstrip('/')}/{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}"
     for name, df in tables.items():
-        p = f"{snapshot_dir.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(p)
+        p = f"{at}/{name}"
+        df.write.mode("errorifexists").parquet(p)
         paths[name] = p
     return paths
 

@@ -14,8 +14,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.operators.access import MAX_SITES
-from caseloom.operators.changes import apply_changes, latest_change
+from caseloom.operators.changes import KEY, _apply, fold_changes
 from caseloom.plans.lineage import cut_lineage
 from caseloom.schema import CASES
 from caseloom.sources.cases import scan_cases
@@ -24,32 +23,33 @@ from caseloom.sources.sinks import write_cases
 _NO_SITE = [f for f in CASES.fields if f.name != "location"]
 
 
-def _bounded_list(df: DataFrame, col: str) -> list[str]:
-    rows = df.select(col).distinct().limit(MAX_SITES + 1).collect()
-    if len(rows) > MAX_SITES:
-        raise ValueError(f"a change batch may touch at most {MAX_SITES} sites")
+def _sites(df: DataFrame, col: str) -> list[str]:
+    rows = df.select(col).distinct().collect()  # one row per site
     return sorted(r[0] for r in rows if r[0] is not None)
 
 
 def _empty_partition(spark: SparkSession, path: str, site: str) -> None:
+    """Replace a site's partition by no rows, in the folder that the writer
+    itself gives the site (special characters are escaped there)."""
     from pyspark.sql import types as T
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(site)
     empty = spark.createDataFrame([], T.StructType(_NO_SITE))
-    empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/location={site}")
+    empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/location={folder}")
 
 
 def apply_changes_to_table(spark: SparkSession, path: str, changes: DataFrame, as_of: dt.datetime,
-                           key: str = "id", seq: str = "seq") -> dict[str, int]:
-    """D1-D3 on the stored table; returns rows per rewritten site."""
+                           seq: str = "seq") -> dict[str, int]:
+    """D1-D3 on the stored table; returns rows per rewritten site.  A site is
+    rewritten if a change names one of its cases or inserts one."""
     table = scan_cases(spark, path)
-    last = cut_lineage(latest_change(changes, key, seq))
-    existing_sites = table.join(last.select(key), key, "left_semi").select("location")
-    insert_sites = last.filter(F.col("op") == "I").select("location") if "location" in last.columns else None
-    sites_df = existing_sites if insert_sites is None else existing_sites.unionByName(insert_sites)
-    sites = _bounded_list(sites_df, "location")
+    folded = cut_lineage(fold_changes(changes, seq))
+    named = folded.filter(F.col("ins").isNull()).select(*KEY)
+    hit = table.select(*KEY).join(named, list(KEY), "left_semi").select("location")
+    sites = _sites(hit.unionByName(folded.filter(F.col("ins").isNotNull()).select("location")), "location")
     if not sites:
         return {}
     scope = table.filter(F.col("location").isin(*sites))
-    new = cut_lineage(apply_changes(scope, last, as_of, key, seq))
+    new = cut_lineage(_apply(scope, folded.filter(F.col("location").isin(*sites)), as_of))
     counts = {r.location: r["count"] for r in new.groupBy("location").count().collect()}
     write_cases(new, path, "overwrite", dynamic=True)
     for site in sites:

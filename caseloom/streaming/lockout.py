@@ -7,8 +7,8 @@ attempt) and a buffer of attempts not yet applied.  An attempt is applied,
 in (ts, event_id) order, once the watermark has passed it; attempts within
 the watermark delay may therefore arrive in any order and still give the
 batch result.  Event-time timers release a user's buffer when the watermark
-moves past its earliest attempt, and expire the user after
-``idle_timeout_ms`` without attempts.  Rows behind the watermark are
+moves past its earliest attempt; the few scalars of a user stay for good, as
+only a success resets the counters.  Rows behind the watermark are
 dropped by the engine; an attempt at or before the last applied position
 is counted in ``late`` and not applied.  For very many users configure the
 RocksDB state store provider.
@@ -47,7 +47,7 @@ def _opt_ts(v):
     return None if v is None or (not isinstance(v, (list, tuple)) and pd.isna(v)) else pd.Timestamp(v)
 
 
-def _fold(max_failed: int, lock: dt.timedelta, idle_timeout_ms: int):
+def _fold(max_failed: int, lock: dt.timedelta):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (user_id,) = key
         if state.exists:
@@ -58,10 +58,6 @@ def _fold(max_failed: int, lock: dt.timedelta, idle_timeout_ms: int):
             a, lu, n, last, pos_ts, pos_id, late, applied, buf = 0, None, 0, None, None, None, 0, 0, []
         for pdf in pdfs:
             buf.extend((pd.Timestamp(t), int(i), bool(o)) for t, i, o in zip(pdf["ts"], pdf["event_id"], pdf["ok"]))
-        if state.hasTimedOut and not buf:
-            state.remove()  # idle user: emit the final state and drop it
-            yield pd.DataFrame([(user_id, a, lu, n, last, late, 0, applied)], columns=_COLS)
-            return
         wm = state.getCurrentWatermarkMs()
         buf.sort(key=lambda e: (e[0], e[1]))
         keep = []
@@ -86,22 +82,20 @@ def _fold(max_failed: int, lock: dt.timedelta, idle_timeout_ms: int):
                       [t for t, _, _ in keep], [i for _, i, _ in keep], [o for _, _, o in keep]))
         if keep:
             state.setTimeoutTimestamp(_ms(keep[0][0]))  # fires once the watermark passes it
-        else:
-            base = _ms(pos_ts) if pos_ts is not None else max(wm, 0)
-            # expire after idle_timeout_ms without attempts (never behind the watermark)
-            state.setTimeoutTimestamp(max(base + idle_timeout_ms, wm + 1))
+        # without pending attempts no timer: the counters of a user stay for
+        # good, as only a success resets them
         yield pd.DataFrame([(user_id, a, lu, n, last, late, len(keep), applied)], columns=_COLS)
     return fn
 
 
 def lockout_stream(attempts: DataFrame, watermark: str = "10 minutes", max_failed: int = MAX_FAILED_ATTEMPTS,
-                   lock_minutes: int = LOCKOUT_MINUTES, idle_timeout_ms: int = 24 * 3600 * 1000,
+                   lock_minutes: int = LOCKOUT_MINUTES,
                    output_mode: str = "update") -> DataFrame:
     """Streaming R1: the lockout state of each user whenever it changes;
     ``pending`` counts attempts still waiting for the watermark and
     ``applied`` the attempts applied so far (it orders a user's rows, so
     ``append`` output into a file sink keeps every version)."""
-    fn = _fold(max_failed, dt.timedelta(minutes=lock_minutes), idle_timeout_ms)
+    fn = _fold(max_failed, dt.timedelta(minutes=lock_minutes))
     # the watermark needs a zoned timestamp: the NTZ wall clock read as UTC,
     # whatever the session zone (ts itself stays NTZ for the fold)
     ts = F.col("ts")
@@ -115,16 +109,18 @@ def lockout_stream(attempts: DataFrame, watermark: str = "10 minutes", max_faile
 
 
 def start_lockout_stream(attempts: DataFrame, sink_format: str = "parquet", path: str | None = None,
-                         name: str = "lockout", available_now: bool = False, **kw):
-    """Start the stream with its checkpoint in the session's shared
-    checkpoint folder, so a restarted driver or lost executors resume from
-    the committed state.  File sinks receive every state version in
+                         name: str = "lockout", available_now: bool = False, checkpoint: str | None = None, **kw):
+    """Start the stream with its checkpoint in a folder of its name below the
+    session's shared checkpoint folder (or in ``checkpoint``): the same name
+    finds it again, so a restarted driver or lost executors resume from the
+    committed state.  File sinks receive every state version in
     ``append`` mode (``lockout_stream_final`` picks each user's last);
     the memory sink keeps ``update`` rows."""
-    from caseloom.plans.lineage import staging_path
+    from caseloom.plans.lineage import checkpoint_dir
 
     spark = attempts.sparkSession
-    ckpt = staging_path(spark, f"{name}-stream")
+    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
+    ckpt = checkpoint or f"{base.rstrip('/')}/streams/{name}"
     if sink_format == "memory":
         writer = (lockout_stream(attempts, **kw).writeStream.outputMode("update").format("memory")
                   .queryName(name))

@@ -74,7 +74,7 @@ def test_replace_grants_and_roles(spark):
     g = admin.replace_grants(grants, req)
     assert sorted((r.location_code, r.can_delete) for r in g.filter("user_id = 3").collect()) == \
         [("s2", True), ("s3", True)]
-    assert g.filter("user_id = 4").count() == 0
+    assert g.filter("user_id = 4").count() == grants.filter("user_id = 4").count() == 1  # an invalid role is refused
     roles = {r.id: r.role for r in admin.update_roles(users, req).collect()}
     assert roles[3] == "admin" and roles[1] == "superadmin" and roles[4] == "user"
 

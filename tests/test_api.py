@@ -52,7 +52,7 @@ def test_case_changes(spark):
     out = api.create_cases(cases, new, dt.datetime(2025, 3, 1))
     row = out.filter("id = 100").first()
     assert (row.case_no, row.status, row.description) == ("12", "In progress", "")
-    out = api.delete_cases(out, spark.createDataFrame([(1,), (100,)], "id long"), dt.datetime(2025, 3, 2))
+    out = api.delete_cases(out, spark.createDataFrame([(1, "s1"), (100, "s2"), (2, "s2")], "id long, location string"), dt.datetime(2025, 3, 2))
     assert sorted(r.id for r in out.collect()) == [2, 3, 4, 5, 6]
 
 

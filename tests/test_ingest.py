@@ -98,3 +98,14 @@ def test_width_check_is_optional(spark):
     checked = ingest.clean_case_rows(mapped, max_lengths=CASE_TEXT_LIMITS)
     assert {r.case_no: r.reject_reason for r in ingest.rejected(checked).collect()} == {"99": "too_long"}
     assert ingest.import_counts(checked).first().skipped == 1
+
+
+def test_csv_round_trip_is_lossless(spark, tmp_dir):
+    from caseloom.sources.importer import read_import
+    from caseloom.sources.sinks import export_cases
+
+    rows = [("1", "line1\nline2"), ("2", "  padded  "), ("3", 'say "hi", ok'), ("4", ""), ("5", "back\\slash")]
+    sheet = spark.createDataFrame(rows, "`No.` string, Description string")
+    export_cases(sheet, tmp_dir + "/sheet")
+    back = read_import(spark, tmp_dir + "/sheet", {"No.": "case_no", "Description": "description"})
+    assert sorted((r.case_no, r.description or "") for r in back.collect()) == rows

@@ -40,6 +40,27 @@ def test_max_case_no_numeric_not_text(spark):
     assert got["t"] == (None, "9" * 45)  # exact text beyond BIGINT
 
 
+def test_numbering_keeps_null_groups(spark, numbering_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "a")], "id long, g string")
+    got = sorted((r.id, r.row_no) for r in global_row_number(df, ["id"], partition_by=["g"]).collect())
+    assert got == [(1, 1), (2, 1), (3, 2), (4, 2)]
+
+
+def test_number_batch_continues_past_bigint(spark):
+    tops = {"s1": "9" * 20, "s2": "9" * 18, "s3": "1" + "0" * 39, "s4": "9" * 50}
+    existing = spark.createDataFrame([(i, n, s) for i, (s, n) in enumerate(tops.items())], "id long, case_no string, location string")
+    batch = spark.createDataFrame([(100 + i, None, s) for i, s in enumerate([*tops, *tops])], "id long, case_no string, location string")
+    got = {}
+    for r in numbering.number_batch(batch, existing).orderBy("id").collect():
+        got.setdefault(r.location, []).append(r.case_no)
+    assert got == {s: [str(int(n) + 1), str(int(n) + 2)] for s, n in tops.items()}
+
+
+def test_max_case_no_is_0_without_numbers(spark):
+    df = spark.createDataFrame([("X", "s"), (None, "t"), ("7", "u")], "case_no string, location string")
+    assert {r.location: (r.max_no, r.max_no_text) for r in numbering.max_case_no(df).collect()} == {"s": (0, "0"), "t": (0, "0"), "u": (7, "7")}
+
+
 def test_number_batch_continues_per_site(spark, numbering_path):
     existing = spark.createDataFrame([(1, "9", "s1"), (2, "10", "s1"), (3, "C-1", "s2")],
                                      "id long, case_no string, location string")

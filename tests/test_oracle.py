@@ -4,11 +4,12 @@ driver runs the same comparison at sf0.01)."""
 import pytest
 
 import __spark_entry__ as entry
+from caseloom import registry
 from oracle import compare, duck
 
 from conftest import SF001
 
-SQLS = entry.oracle_sql()
+SQLS = registry.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +18,11 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(SQLS)
+    assert set(registry.QUERIES) == set(SQLS) <= set(entry.oracle_sql())
+    assert set(registry.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF001)
     problems, _ = compare(df, con, SQLS[name])

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from caseloom import registry
 from caseloom.operators import export, ingest, report
 from caseloom.operators.filters import CaseFilter
 from caseloom.sources import driver_tables as dtab
@@ -54,7 +55,7 @@ def test_single_scan_aggregates(spark):
 
 
 def test_no_python_udf_outside_lockout(spark):
-    qs = entry.queries()
+    qs = registry.QUERIES
     python_nodes = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
                     "FlatMapCoGroupsInPandas")
     for name, fn in qs.items():

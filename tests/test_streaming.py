@@ -69,7 +69,7 @@ def test_start_stream_into_parquet(spark, tmp_dir):
     flush.coalesce(1).write.parquet(src + "/b1")
     stream = (spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1)
                    .option("recursiveFileLookup", "true").parquet(src))
-    q = start_lockout_stream(stream, "parquet", os.path.join(tmp_dir, "out"), name="lockout_pq")
+    q = start_lockout_stream(stream, "parquet", os.path.join(tmp_dir, "out"), name="lockout_pq", checkpoint=os.path.join(tmp_dir, "ck"))
     try:
         q.processAllAvailable()
     finally:
@@ -77,3 +77,26 @@ def test_start_stream_into_parquet(spark, tmp_dir):
     from caseloom.streaming import lockout_stream_final
     out = lockout_stream_final(spark.read.parquet(os.path.join(tmp_dir, "out"))).filter("user_id = 1").collect()
     assert (out[0].attempts, out[0].n_locks, out[0].pending) == (1, 2, 0)
+
+
+def test_restart_keeps_output_and_long_idle_users(spark, tmp_dir):
+    """Two failures, four idle days, then a third one after a restart: the
+    counter goes on, and the new user's rows reach the folder."""
+    from caseloom.streaming import lockout_stream_final, start_lockout_stream
+    src, out = os.path.join(tmp_dir, "src"), os.path.join(tmp_dir, "out")
+    day = dt.timedelta(days=1)
+    steps = [[(1, 1, T0, False), (2, 1, T0 + dt.timedelta(minutes=1), False)], [(3, FLUSH_USER, T0 + 2 * day, True)],
+             [(4, 1, T0 + 4 * day, False), (5, 2, T0 + 4 * day, False)], [(6, FLUSH_USER, T0 + 9 * day, True)]]
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.parquet(f"{src}/b{i}")
+        if i % 2 == 0:
+            continue
+        stream = (spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", "true").parquet(src))
+        q = start_lockout_stream(stream, "parquet", out, checkpoint=os.path.join(tmp_dir, "ck"))
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    got = {r.user_id: r for r in lockout_stream_final(spark.read.parquet(out)).collect()}
+    assert (got[1].attempts, got[1].n_locks) == (3, 1) and got[2].attempts == 1

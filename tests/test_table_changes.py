@@ -39,7 +39,7 @@ def test_delete_last_rows_of_a_site_and_purge(spark, tmp_dir):
                                    ("case_no", "issues", "description", "step_to_resolve", "opened_by",
                                     "department", "status", "resolved_by", "remark")],
                            F.lit(None).cast("date").alias("case_date"), F.lit("D").alias("op"),
-                           F.lit(1).cast("long").alias("seq"), F.lit(None).cast("string").alias("location"))
+                           F.lit(1).cast("long").alias("seq"), F.lit("asia").alias("location"))
     assert apply_changes_to_table(spark, path, dels, AS_OF) == {"asia": 0}
     assert scan_cases(spark, path, "asia").count() == 0
     n_europe = scan_cases(spark, path, "europe").count()
@@ -70,3 +70,13 @@ def test_sized_conf():
     c = sized_conf(40 * 1024**4, 8000)
     assert c["spark.sql.shuffle.partitions"] == "163840" and c["spark.sql.adaptive.enabled"] == "true"
     assert sized_conf(10**6, 16)["spark.sql.shuffle.partitions"] == "32"  # at least two waves of cores
+
+
+def test_purge_of_a_site_whose_code_needs_escaping(spark, tmp_dir):
+    path = tmp_dir + "/cases"
+    cases = dtab.cases_view(spark, SF001)
+    append_cases(cases.filter(F.col("location").isin("asia", "europe")).withColumn("location", F.concat(F.lit("a=%/"), "location")), path)
+    n = scan_cases(spark, path).count()
+    gone = purge_site_table(spark, path, "a=%/asia")
+    assert gone > 0 and scan_cases(spark, path).count() == n - gone
+    assert scan_cases(spark, path, "a=%/asia").count() == 0
