@@ -32,6 +32,12 @@ class Access:
     def cases(self, cases: DataFrame, permission: str = "can_view") -> DataFrame:
         return access.visible_cases(cases, self.users, self.grants, self.locations, self.user_id, permission)
 
+    def changes(self, change_rows: DataFrame) -> DataFrame:
+        return access.permitted_changes(change_rows, self.users, self.grants, self.locations, self.user_id)
+
+    def may(self, site: str, permission: str) -> bool:
+        return access.has_permission(self.users, self.grants, self.locations, self.user_id, site, permission).first()[0]
+
 
 def _site_cases(cases: DataFrame, who: Access | None, site: str, permission: str = "can_view") -> DataFrame:
     rows = cases.filter(F.col("location") == F.lit(site))
@@ -89,12 +95,15 @@ def report_request(cases: DataFrame, who: Access | None, site: str, f: CaseFilte
 def export_sheet(cases: DataFrame, who: Access | None, site: str, f: CaseFilter = CaseFilter()
                  ) -> tuple[DataFrame, DataFrame]:
     """GET export: (sheet rows numbered 1..n oldest first, column widths)."""
-    sheet = export.export_rows(f.apply(_site_cases(cases, who, site)), per_site=False)
-    return sheet, export.export_widths(sheet, group_by=())
+    rows = f.apply(_site_cases(cases, who, site))
+    return export.export_rows(rows, per_site=False), export.sheet_widths(rows, group_by=())
 
 
-def import_sheet(mapped: DataFrame, site: str, table_path: str, as_of=None) -> dict:
-    """POST import: clean and append a mapped sheet; returns the counters."""
+def import_sheet(mapped: DataFrame, site: str, table_path: str, as_of=None, who: Access | None = None) -> dict:
+    """POST import: clean and append a mapped sheet; returns the counters.
+    With ``who`` the user needs can_edit on the site."""
+    if who is not None and not who.may(site, "can_edit"):
+        raise PermissionError(f"no can_edit permission for location {site}")
     return ingest.import_into(mapped, site, table_path, as_of=as_of)
 
 
@@ -109,27 +118,35 @@ def _change_rows(rows: DataFrame, op: str, seq: int) -> DataFrame:
                        loc.alias("location"))
 
 
-def create_cases(cases: DataFrame, rows: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """POST cases (batch): insert with defaults, numbering missing case_no."""
-    return changes.apply_changes(cases, _change_rows(rows, "I", 0), as_of)
+def _apply(cases: DataFrame, who: Access | None, change_rows: DataFrame, as_of: dt.datetime) -> DataFrame:
+    return changes.apply_changes(cases, who.changes(change_rows) if who is not None else change_rows, as_of)
+
+
+def create_cases(cases: DataFrame, rows: DataFrame, as_of: dt.datetime, who: Access | None = None) -> DataFrame:
+    """POST cases (batch): insert with defaults, numbering missing case_no.
+    With ``who`` only on sites where the user has can_edit."""
+    return _apply(cases, who, _change_rows(rows, "I", 0), as_of)
 
 
-def update_cases(cases: DataFrame, rows: DataFrame, as_of: dt.datetime) -> DataFrame:
+def update_cases(cases: DataFrame, rows: DataFrame, as_of: dt.datetime, who: Access | None = None) -> DataFrame:
     """PUT cases (batch): overwrite all fields of existing cases, each named
-    by its site and id."""
-    return changes.apply_changes(cases, _change_rows(rows, "U", 0), as_of)
+    by its site and id.  With ``who`` only on sites with can_edit."""
+    return _apply(cases, who, _change_rows(rows, "U", 0), as_of)
 
 
-def delete_cases(cases: DataFrame, ids: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """DELETE cases (batch) by site and id."""
-    return changes.apply_changes(cases, _change_rows(ids.select("id", "location"), "D", 0), as_of)
+def delete_cases(cases: DataFrame, ids: DataFrame, as_of: dt.datetime, who: Access | None = None) -> DataFrame:
+    """DELETE cases (batch) by site and id.  With ``who`` only on sites with
+    can_delete."""
+    return _apply(cases, who, _change_rows(ids.select("id", "location"), "D", 0), as_of)
 
 
-def commit_changes(spark, table_path: str, change_rows: DataFrame, as_of: dt.datetime) -> dict[str, int]:
+def commit_changes(spark, table_path: str, change_rows: DataFrame, as_of: dt.datetime,
+                   who: Access | None = None) -> dict[str, int]:
     """Apply a change batch (op I/U/D, seq) to the stored table, rewriting
-    only the sites it touches; returns rows per rewritten site."""
+    only the sites it touches; returns rows per rewritten site.  With ``who``
+    changes that the user may not make are left out."""
     from caseloom.sources.table_changes import apply_changes_to_table
-    return apply_changes_to_table(spark, table_path, change_rows, as_of)
+    return apply_changes_to_table(spark, table_path, who.changes(change_rows) if who is not None else change_rows, as_of)
 
 
 def purge(cases: DataFrame, site: str) -> tuple[DataFrame, DataFrame]:

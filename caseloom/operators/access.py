@@ -70,6 +70,19 @@ def visible_cases(cases: DataFrame, users: DataFrame, grants: DataFrame, locatio
     return cases.filter(F.col("location").isin(*codes) if codes else F.lit(False))
 
 
+def permitted_changes(changes: DataFrame, users: DataFrame, grants: DataFrame, locations: DataFrame,
+                      user_id: int) -> DataFrame:
+    """J5 on writes: the changes (location, op I/U/D) that ``user_id`` may
+    make -- I and U need ``can_edit`` on the site, D needs ``can_delete``.
+    The others are refused, so they change nothing."""
+    eff = effective_permissions(users.filter(F.col("id") == F.lit(user_id)),
+                                grants.filter(F.col("user_id") == F.lit(user_id)), locations)
+    ops = F.concat(F.when(F.col("can_edit"), F.array(F.lit("I"), F.lit("U"))).otherwise(F.array().cast("array<string>")),
+                   F.when(F.col("can_delete"), F.array(F.lit("D"))).otherwise(F.array().cast("array<string>")))
+    allowed = eff.select(F.col("location_code").alias("location"), F.explode(ops).alias("op"))
+    return changes.join(allowed, ["location", "op"], "left_semi").select(*changes.columns)
+
+
 def has_permission(users: DataFrame, grants: DataFrame, locations: DataFrame, user_id: int, site: str,
                    permission: str = "can_view") -> DataFrame:
     """One-row answer of a single permission check (auth check as data)."""

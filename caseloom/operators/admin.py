@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.functions.text import py_strip
+from caseloom.functions.text import collation_key, py_strip
 from caseloom.operators.access import PERMISSIONS, site_codes
 from caseloom.operators.report import collect_sorted
 from caseloom.schema import ROLE_ORDER, SITE_CODE_MAX_LEN, SITE_CODE_MIN_LEN, VALID_UPDATE_ROLES
@@ -61,13 +61,15 @@ def first_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     return picked.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]).select(*df.columns)
 
 
-def only_new(incoming: DataFrame, existing: DataFrame, key: str, order_col: str, existing_key: str | None = None
-             ) -> DataFrame:
+def only_new(incoming: DataFrame, existing: DataFrame, key: str, order_col: str, existing_key: str | None = None,
+             collation: str | None = None) -> DataFrame:
     """Incoming rows whose key is new -- first occurrence within the
-    batch, and absent from the existing table."""
-    first = first_per_key(incoming, key, order_col)
-    ex = existing.select(F.col(existing_key or key).alias(key)).distinct()
-    return first.join(ex, key, "left_anti")
+    batch, and absent from the existing table; under ``collation="ci"`` keys
+    that differ only in letter case or trailing spaces are one key."""
+    keyed = incoming.withColumn("_key", collation_key(key, collation))
+    first = first_per_key(keyed, "_key", order_col)
+    ex = existing.select(collation_key(existing_key or key, collation).alias("_key")).distinct()
+    return first.join(ex, "_key", "left_anti").select(*incoming.columns)
 
 
 def _blank_to_null(c: F.Column) -> F.Column:
@@ -75,10 +77,14 @@ def _blank_to_null(c: F.Column) -> F.Column:
     return F.when(s == "", F.lit(None).cast("string")).otherwise(s)
 
 
-def create_users(incoming: DataFrame, users: DataFrame) -> DataFrame:
-    """New user rows with field defaults: strip every text, blank ->
-    NULL, full_name falls back to "first last", role defaults to 'user'
-    and must be valid (F10); eid must be present and new (J6)."""
+def create_users(incoming: DataFrame, users: DataFrame, collation: str | None = None) -> DataFrame:
+    """New user rows with field defaults: strip every text (position is
+    taken as given), blank -> NULL, full_name falls back to "first last", role
+    defaults to 'user' and must be valid (F10); eid must be present and new
+    (J6).  Position and phone may be missing from the batch (NULL)."""
+    for c in ("position", "phone"):
+        if c not in incoming.columns:
+            incoming = incoming.withColumn(c, F.lit(None).cast("string"))
     full = F.coalesce(_blank_to_null(F.col("full_name")),
                       _blank_to_null(F.concat_ws(" ", py_strip(F.coalesce("first_name", F.lit(""))),
                                                  py_strip(F.coalesce("last_name", F.lit(""))))))
@@ -89,9 +95,11 @@ def create_users(incoming: DataFrame, users: DataFrame) -> DataFrame:
         _blank_to_null(F.col("first_name")).alias("first_name"),
         _blank_to_null(F.col("last_name")).alias("last_name"),
         full.alias("full_name"),
+        F.nullif(F.col("position"), F.lit("")).alias("position"),
+        _blank_to_null(F.col("phone")).alias("phone"),
         F.coalesce(F.col("role"), F.lit("user")).alias("role"),
     ).filter(F.col("eid").isNotNull() & (F.col("eid") != "") & valid_role("role"))
-    new = only_new(shaped, users, "eid", "id")
+    new = only_new(shaped, users, "eid", "id", collation=collation)
     return new.select("*", F.lit(False).alias("is_locked"), F.lit(None).cast("timestamp_ntz").alias("locked_until"),
                       F.lit(0).cast("long").alias("failed_attempts"))
 

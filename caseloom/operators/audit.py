@@ -215,9 +215,11 @@ def _replay_frame(rows, cols) -> pd.DataFrame:
 def lockout_replay(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
                    lock_minutes: int = LOCKOUT_MINUTES, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """R1 core: (user_id, chunk, kind, ts, locked_until, attempts) rows --
-    kind 'lock' for every lock, 'exit' for each chunk's exit state."""
+    kind 'lock' for every lock, 'exit' for each chunk's exit state.  Attempts
+    without a user (unknown accounts keep no counter) or without a time take
+    no part; ``unplaced_attempts`` counts them."""
     lock_ns = int(dt.timedelta(minutes=lock_minutes).total_seconds() * 1e9)
-    ev = attempts.select("user_id", "event_id", "ts", "ok").filter(F.col("ts").isNotNull())
+    ev = attempts.select("user_id", "event_id", "ts", "ok").filter(F.col("ts").isNotNull() & F.col("user_id").isNotNull())
     ev = global_row_number(ev, ["ts", "event_id"], out_col="_n", partition_by=["user_id"], materialize_first=False)
     ev = ev.withColumn("chunk", F.floor((F.col("_n") - 1) / chunk_size).cast("long")).drop("_n")
     ev = cut_lineage(ev)  # read three times below: number once, survive executor loss
@@ -239,6 +241,14 @@ def lockout_replay(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
     return staged.mapInPandas(lambda it: _replay_partition(it, max_failed, lock_ns), REPLAY_SCHEMA)
 
 
+def unplaced_attempts(attempts: DataFrame) -> DataFrame:
+    """One row (no_user, no_time), the attempts the lockout rule leaves
+    out: without a user, and of a user but without a time."""
+    no_user = F.col("user_id").isNull()
+    return attempts.agg(F.count(F.when(no_user, 1)).alias("no_user"),
+                        F.count(F.when(~no_user & F.col("ts").isNull(), 1)).alias("no_time"))
+
+
 def lockout_events(attempts: DataFrame, **kw) -> DataFrame:
     """Every lock as (user_id, locked_at, locked_until, attempts)."""
     rep = lockout_replay(attempts, **kw)

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.dates import to_date_bound
+from caseloom.functions.text import collation_key
 
 LIST_SEARCH_COLUMNS = ("case_no", "description", "opened_by", "step_to_resolve")
 STATS_SEARCH_COLUMNS = ("case_no", "description", "opened_by")
@@ -42,16 +43,20 @@ def like_pattern(term: str) -> str:
     return "%" + "".join(out) + "%"
 
 
-def search(term: str, columns=LIST_SEARCH_COLUMNS, pattern: bool = False) -> Column:
-    """OR over ``columns`` of a substring match.
+def search(term: str, columns=LIST_SEARCH_COLUMNS, pattern: bool = False, collation: str | None = None) -> Column:
+    """OR over ``columns`` of a substring match, in either letter case
+    under ``collation="ci"`` (spaces always count in a substring).
 
     ``pattern=False`` matches the term literally (``%`` and ``_`` are plain
     characters); ``pattern=True`` keeps them as LIKE wildcards.
     """
+    cols = [F.col(c) for c in columns]
+    if collation is not None:
+        cols, term = [F.lower(c) for c in cols], term.lower()
     if pattern:
-        preds = [F.col(c).like(like_pattern(term)) for c in columns]
+        preds = [c.like(like_pattern(term)) for c in cols]
     else:
-        preds = [F.col(c).contains(F.lit(term)) for c in columns]
+        preds = [c.contains(F.lit(term)) for c in cols]
     return F.coalesce(reduce(lambda a, b: a | b, preds), F.lit(False))
 
 
@@ -69,6 +74,7 @@ class CaseFilter:
     search_columns: tuple[str, ...] = LIST_SEARCH_COLUMNS
     search_pattern: bool = False
     site: str | None = None
+    collation: str | None = None  # None compares bytes; "ci" ignores case and trailing spaces
 
     def for_stats(self) -> "CaseFilter":
         """The KPI panel ignores the status filter and searches 3 columns."""
@@ -77,7 +83,7 @@ class CaseFilter:
     def for_report(self) -> "CaseFilter":
         """The report takes the date range and department only."""
         return CaseFilter(department=self.department, from_date=self.from_date, to_date=self.to_date,
-                          site=self.site)
+                          site=self.site, collation=self.collation)
 
     def predicates(self) -> list[Column]:
         preds: list[Column] = []
@@ -86,14 +92,14 @@ class CaseFilter:
         for name in ("status", "department", "issues"):
             value = getattr(self, name)
             if value:
-                preds.append(F.col(name) == F.lit(value))
+                preds.append(collation_key(name, self.collation) == collation_key(F.lit(value), self.collation))
         lo, hi = to_date_bound(self.from_date), to_date_bound(self.to_date)
         if lo is not None:
             preds.append(F.col("case_date") >= F.lit(lo))
         if hi is not None:
             preds.append(F.col("case_date") <= F.lit(hi))
         if self.search:
-            preds.append(search(self.search, self.search_columns, self.search_pattern))
+            preds.append(search(self.search, self.search_columns, self.search_pattern, self.collation))
         return preds
 
     def apply(self, df: DataFrame) -> DataFrame:

@@ -128,8 +128,10 @@ def import_into(mapped: DataFrame, site: str, table_path: str, order_col: str =
         existing = scan_cases(spark, table_path)
         existing.schema  # noqa: B018 - resolves the path; raises when the table is absent
         base_id = F.coalesce(existing.agg(F.max("id")).scalar(), F.lit(0))
-    except AnalysisException:
-        base_id = F.lit(0)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        base_id = F.lit(0)  # the first import creates the table
     stamp = ntz(as_of) if as_of is not None else F.localtimestamp()
     cleaned = cut_lineage(clean_case_rows(mapped))
     counts = import_counts(cleaned).first().asDict()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.functions.dates import in_month
 from caseloom.functions.numbers import half_up_percent, half_up_share
-from caseloom.functions.text import not_placeholder, present, py_strip
+from caseloom.functions.text import collation_key, not_placeholder, present, py_strip
 from caseloom.plans.numbering import global_row_number
 from caseloom.schema import STATUS_COMPLETED, STATUS_IN_PROGRESS, TOP_N
 
@@ -55,19 +55,6 @@ def report_summary(df: DataFrame, group_by: Sequence[str] = SITE) -> DataFrame:
     return agg.withColumn("completion_rate", half_up_percent("completed", "total"))
 
 
-def collation_key(c: str | Column, collation: str | None) -> Column:
-    """Grouping key under a collation.  ``None`` is binary; ``"ci"`` merges
-    values that differ only in letter case or trailing spaces (the default
-    behaviour of a case-insensitive, PAD SPACE database collation).  The key
-    is a plain derived string, so grouping stays a hash aggregate."""
-    c = F.col(c) if isinstance(c, str) else c
-    if collation is None:
-        return c
-    if collation == "ci":
-        return F.lower(F.rtrim(c))
-    raise ValueError(f"unknown collation {collation!r}")
-
-
 def present_under(col: str, collation: str | None) -> Column:
     """F4 under a collation: with ``"ci"`` (PAD SPACE) a value of only
     spaces equals '' and is not present."""

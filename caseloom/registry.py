@@ -19,10 +19,11 @@ from caseloom.operators import access, admin, audit, changes as changes_op, expo
 from caseloom.operators.filters import CaseFilter, by_key
 from caseloom.plans.lineage import staging_path
 from caseloom.sources import driver_tables as dtab, sinks
-from caseloom.sources.cases import read_site_tables, scan_cases, sites_by_name
+from caseloom.schema import CASE_FIELDS
+from caseloom.sources.cases import read_grants, read_locations, read_site_tables, read_users, scan_cases, sites_by_name
 from caseloom.sources.driver_sql import with_views
 from caseloom.sources.importer import read_import, select_import_columns
-from caseloom.sources.table_changes import apply_changes_to_table
+from caseloom.sources.table_changes import apply_changes_to_table, purge_site_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -248,7 +249,7 @@ def q_case_by_id(spark, sf_dir):
     return by_key(cases(spark, sf_dir), "id", LOOKUP_ID)
 
 
-@register("site_union", CASES + "SELECT location, count(*) AS cases FROM cases GROUP BY location")
+@register("site_union", CASES + f"SELECT {CASE_COLS} FROM cases")
 def q_site_union(spark, sf_dir):
     """Per-site tables (each site's folder of the stored log, read as a
     table of its own, without a site column) united into one fact."""
@@ -257,7 +258,7 @@ def q_site_union(spark, sf_dir):
     # sites that hold cases: a table each, so the list is the tables' names
     stored_sites = scan_cases(spark, path).select("location").distinct().collect()
     per_site = {r.location: f"{path}/location={r.location}" for r in stored_sites}
-    return read_site_tables(spark, per_site).groupBy("location").agg(F.count(F.lit(1)).alias("cases"))
+    return read_site_tables(spark, per_site)
 
 
 # ---------------------------------------------------------------- access
@@ -358,10 +359,11 @@ def q_site_user_counts(spark, sf_dir):
                         coalesce(nullif(trim(full_name), ''),
                                  nullif(trim(concat_ws(' ', trim(coalesce(first_name, '')),
                                                        trim(coalesce(last_name, '')))), '')) AS full_name,
-                        coalesce(role, 'user') AS role
+                        coalesce(role, 'user') AS role, nullif(position, '') AS position,
+                        nullif(trim(phone), '') AS phone
                  FROM incoming_users""",
 }) + """
-SELECT id, eid, email, first_name, last_name, full_name, role, FALSE AS is_locked,
+SELECT id, eid, email, first_name, last_name, full_name, position, phone, role, FALSE AS is_locked,
        CAST(NULL AS TIMESTAMP) AS locked_until, CAST(0 AS BIGINT) AS failed_attempts
 FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY id) AS rn FROM shaped
       WHERE eid IS NOT NULL AND eid <> '' AND role IN ('user', 'admin')) s
@@ -520,7 +522,7 @@ def q_export_rows(spark, sf_dir):
        CAST(least(greatest(coalesce(max(length(CAST("{h}" AS VARCHAR))), 0), {len(h)}) + 2, 50) AS INTEGER) AS width
        FROM sheet GROUP BY location""" for h in export.HEADERS))
 def q_export_widths(spark, sf_dir):
-    return export.export_widths(_sheet(spark, sf_dir))
+    return export.sheet_widths(CaseFilter(status="Completed").apply(cases(spark, sf_dir)))
 
 
 def _dash(c):
@@ -683,18 +685,32 @@ def q_stored_site_scan(spark, sf_dir):
 
 
 @register("export_roundtrip", CASES + """
-SELECT location, count(*) AS rows, count(CASE WHEN case_date IS NOT NULL THEN 1 END) AS dated,
-       count(*) AS last_no
-FROM cases WHERE status = 'Completed' GROUP BY location""")
+SELECT location, CAST(row_number() OVER (PARTITION BY location ORDER BY id) AS VARCHAR) AS case_no, case_date,
+       nullif(issues, '') AS issues, nullif(description, '') AS description,
+       nullif(step_to_resolve, '') AS step_to_resolve, nullif(opened_by, '') AS opened_by,
+       nullif(department, '') AS department, nullif(status, '') AS status, nullif(resolved_by, '') AS resolved_by,
+       nullif(remark, '') AS remark
+FROM cases WHERE status = 'Completed'""")
 def q_export_roundtrip(spark, sf_dir):
     """S4 -> S3 -> X2: export the sheet as CSV (one folder per site), import
-    it back; every row is accepted and numbered 1..n per site."""
+    it back; every row is accepted and every cell is as it was (a CSV cell
+    cannot tell NULL from the empty text)."""
     path = staging_path(spark, "export")
     sinks.export_cases(_sheet(spark, sf_dir), path)
     back = ingest.accepted(ingest.clean_case_rows(read_import(spark, path)))
-    return back.groupBy("location").agg(F.count(F.lit(1)).alias("rows"),
-                                        F.count("case_date").alias("dated"),
-                                        F.max(F.col("case_no").cast("long")).alias("last_no"))
+    cells = [F.nullif(F.col(c), F.lit("")).alias(c) for c in CASE_FIELDS if c not in ("case_no", "case_date")]
+    return back.select("location", "case_no", "case_date", *cells)
+
+
+@register("imported_table", _import_sql('"Status"') + """
+SELECT row_number() OVER (ORDER BY _row) AS id, case_no, case_date, issues, description, step_to_resolve, opened_by,
+       department, status, resolved_by, remark, 'asia' AS location FROM cleaned WHERE reject_reason IS NULL""")
+def q_imported_table(spark, sf_dir):
+    """X2 -> S5: clean the sheet, append its accepted rows to a new case
+    table in sheet order, read the table back."""
+    path = staging_path(spark, "imported")
+    ingest.import_into(select_import_columns(dtab.import_raw_view(spark, sf_dir)), SITE, path, as_of=CHANGES_AS_OF)
+    return scan_cases(spark, path).select("id", *CASE_FIELDS, "location")
 
 
 @register("snapshot_counts", with_views("users", "grants", "locations", "cases") + """
@@ -799,3 +815,104 @@ def q_lockout_stream_audit(spark, sf_dir):
     q.awaitTermination()
     return lockout_stream_final(spark.read.parquet(out)).select("user_id", "attempts", "locked_until", "n_locks",
                                                                 "last_lock")
+
+
+# ---------------------------------------------------------------- stored dimensions, guards, collation, order
+
+
+@register("users_appended", with_views("users", "incoming_users", extra={
+    "created": """SELECT * FROM (
+        SELECT id, trim(eid) AS eid, nullif(trim(email), '') AS email, 'Ann' AS first_name, last_name,
+               coalesce(nullif(trim(full_name), ''), 'Ann ' || last_name) AS full_name,
+               nullif(position, '') AS position, trim(phone) AS phone, coalesce(role, 'user') AS role,
+               row_number() OVER (PARTITION BY trim(eid) ORDER BY id) AS rn
+        FROM incoming_users WHERE coalesce(role, 'user') IN ('user', 'admin')) s
+      WHERE rn = 1 AND eid NOT IN (SELECT eid FROM users)""",
+}) + """
+SELECT id, eid, email, first_name, last_name, full_name, position, phone, role, FALSE AS is_locked,
+       CAST(NULL AS TIMESTAMP) AS locked_until, CAST(0 AS BIGINT) AS failed_attempts FROM created
+UNION ALL
+SELECT id, eid, email, NULL, NULL, full_name, NULL, NULL, role, is_locked, locked_until, failed_attempts FROM users""")
+def q_users_appended(spark, sf_dir):
+    """D8 + S8: created users appended to the stored user table, read back."""
+    path = staging_path(spark, "users")
+    users = dtab.users_view(spark, sf_dir)
+    sinks.append_users(users, path)
+    sinks.append_users(admin.create_users(dtab.incoming_users_view(spark, sf_dir), read_users(spark, path)), path)
+    return read_users(spark, path)
+
+
+@register("stored_dimensions", with_views("grants", "locations") + """
+SELECT g.user_id, g.location_code, g.can_view, g.can_edit, g.can_delete, l.name, l.short_name
+FROM grants g JOIN locations l ON g.location_code = l.code""")
+def q_stored_dimensions(spark, sf_dir):
+    """Grants and sites stored, read with their schemas, joined."""
+    _, grants, locs = _dims(spark, sf_dir)
+    paths = sinks.snapshot({"grants": grants, "locations": locs}, staging_path(spark, "dimensions"))
+    return access.sites_of_user(read_grants(spark, paths["grants"]), read_locations(spark, paths["locations"]))
+
+
+@register("seed_grants", with_views("users", "locations") + """
+SELECT u.id AS user_id, l.code AS location_code, TRUE AS can_view, TRUE AS can_edit, TRUE AS can_delete
+FROM users u, locations l WHERE u.role = 'superadmin'""")
+def q_seed_grants(spark, sf_dir):
+    users, _, locs = _dims(spark, sf_dir)
+    return admin.grants_on_all_sites(users.filter(F.col("role") == "superadmin"), locs)
+
+
+@register("permitted_changes", with_views("changes_site", "users", "grants", "locations", extra={
+    "mine": f"""SELECT g.* FROM grants g JOIN users u ON g.user_id = u.id AND u.role <> 'superadmin'
+                WHERE g.user_id = {VIEWER} AND g.location_code IN (SELECT code FROM locations)""",
+}) + """
+SELECT c.id, c.op, c.seq, c.location FROM changes_site c JOIN mine ON c.location = mine.location_code
+WHERE (c.op IN ('I', 'U') AND mine.can_edit) OR (c.op = 'D' AND mine.can_delete)""")
+def q_permitted_changes(spark, sf_dir):
+    """J5 on writes: the change rows that the user may make."""
+    users, grants, locs = _dims(spark, sf_dir)
+    ch = access.permitted_changes(dtab.changes_with_site(spark, sf_dir), users, grants, locs, VIEWER)
+    return ch.select("id", "op", "seq", "location")
+
+
+@register("case_list_ci", CASES + f"""
+SELECT {CASE_COLS} FROM cases WHERE lower(rtrim(status)) = 'in progress' AND lower(rtrim(department)) = 'building'""")
+def q_case_list_ci(spark, sf_dir):
+    f = CaseFilter(status="IN PROGRESS ", department="Building", collation="ci")
+    return listing.newest(f.apply(cases(spark, sf_dir)))
+
+
+@register("case_search_ci", CASES + f"""
+SELECT {CASE_COLS} FROM cases
+WHERE coalesce(contains(lower(case_no), '{SEARCH_TERM}') OR contains(lower(description), '{SEARCH_TERM}')
+      OR contains(lower(opened_by), '{SEARCH_TERM}') OR contains(lower(step_to_resolve), '{SEARCH_TERM}'), false)""")
+def q_case_search_ci(spark, sf_dir):
+    return listing.oldest_first(CaseFilter(search=SEARCH_TERM.upper(), collation="ci").apply(cases(spark, sf_dir)))
+
+
+@register("new_users_ci", with_views("users", "incoming_users") + """
+SELECT id, eid FROM (
+  SELECT id, lower(eid) AS eid, row_number() OVER (PARTITION BY lower(eid) ORDER BY id) AS rn
+  FROM incoming_users WHERE coalesce(role, 'user') IN ('user', 'admin')) s
+WHERE rn = 1 AND lower(eid) NOT IN (SELECT lower(eid) FROM users)""")
+def q_new_users_ci(spark, sf_dir):
+    """J6 under the database's collation: a batch in another letter case
+    creates none of the users that exist."""
+    batch = dtab.incoming_users_view(spark, sf_dir)
+    batch = batch.withColumn("eid", F.lower("eid"))
+    return admin.create_users(batch, dtab.users_view(spark, sf_dir), collation="ci").select("id", "eid")
+
+
+@register("departments_ordered", CASES + f"""
+SELECT location, department AS name, count(*) AS count FROM cases WHERE {PRESENT.format(c='department')}
+GROUP BY location, department""")
+def q_departments_ordered(spark, sf_dir):
+    """A5 + O3: departments by count descending, then name."""
+    return report.order_by_count(report.by_department(cases(spark, sf_dir)))
+
+
+@register("purge_at_rest", CASES + f"SELECT {CASE_COLS} FROM cases WHERE location <> 'africa'")
+def q_purge_at_rest(spark, sf_dir):
+    """D4 at rest: purge a site of the stored table, read the table back."""
+    path = staging_path(spark, "purged")
+    sinks.append_cases(cases(spark, sf_dir), path)
+    purge_site_table(spark, path, "africa")
+    return scan_cases(spark, path)

@@ -95,6 +95,14 @@ USERS = T.StructType([
     T.StructField("failed_attempts", T.LongType()),
 ])
 
+# The stored user table: the fields above and the profile of a user.
+STORED_USERS = T.StructType(USERS.fields + [
+    T.StructField("first_name", T.StringType()),
+    T.StructField("last_name", T.StringType()),
+    T.StructField("position", T.StringType()),
+    T.StructField("phone", T.StringType()),
+])
+
 GRANTS = T.StructType([
     T.StructField("user_id", T.LongType()),
     T.StructField("location_code", T.StringType()),

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from caseloom.schema import CASES, GRANTS, LOCATIONS, USERS
+from caseloom.schema import CASES, GRANTS, LOCATIONS, STORED_USERS
 
 
 def scan_cases(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
     """The user dimension (no password column is ever read)."""
-    return spark.read.schema(USERS).parquet(path)
+    return spark.read.schema(STORED_USERS).parquet(path)
 
 
 def read_grants(spark: SparkSession, path: str) -> DataFrame:

@@ -94,7 +94,9 @@ CTES: dict[str, str] = {
         'Lee' || CAST(c_custkey AS VARCHAR) AS last_name,
         CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' Agent X' || CAST(c_custkey AS VARCHAR) || ' ' END AS full_name,
         CASE WHEN c_custkey % 10 = 0 THEN 'root' WHEN c_custkey % 10 = 1 THEN 'admin' ELSE NULL END AS role,
-        c_custkey % 5 AS region_key
+        c_custkey % 5 AS region_key,
+        CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Desk ' || CAST(c_custkey % 9 AS VARCHAR) END AS position,
+        ' 555-' || CAST(c_custkey AS VARCHAR) || ' ' AS phone
       FROM customer""",
     "incoming_sites": """SELECT ' ' || upper(n_name) || ' ' AS code, n_name AS name,
              CASE WHEN n_nationkey % 7 = 0 THEN ' ' ELSE substr(n_name, 1, 3) END AS short_name,

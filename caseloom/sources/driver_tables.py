@@ -256,6 +256,8 @@ def incoming_users_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 == 0, F.lit("root")).when(k % 10 == 1, F.lit("admin")).otherwise(F.lit(None).cast("string"))
          .alias("role"),
         (k % 5).alias("region_key"),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("Desk "), (k % 9).cast("string"))).alias("position"),
+        F.concat(F.lit(" 555-"), k.cast("string"), F.lit(" ")).alias("phone"),
     )
 
 

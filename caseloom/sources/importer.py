@@ -36,11 +36,15 @@ def select_import_columns(raw: DataFrame, header_map: dict[str, str] | None = No
 def read_import(spark: SparkSession, path: str, header_map: dict[str, str] | None = None,
                 fmt: str = "csv", keep: tuple[str, ...] = ("location",)) -> DataFrame:
     """Read an import file with every cell as text (partition folders such
-    as ``location=...`` stay text too), then map the headers."""
+    as ``location=...`` stay text too), then map the headers.  ``_row`` orders
+    the rows as they stand in the source: by file, block and place."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("place")).alias("_row")
     if fmt == "csv":
         raw = (spark.read.options(header=True, inferSchema=False, recursiveFileLookup=False, multiLine=True, escape='"',
                                   ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
-        raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns])
+        raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns], place)
     else:
         raw = spark.read.format(fmt).load(path)
+        raw = raw.select("*", place)
     return select_import_columns(raw, header_map, keep)

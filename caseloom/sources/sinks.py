@@ -10,7 +10,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.schema import CASES
+from caseloom.schema import CASES, STORED_USERS
 
 
 def write_cases(df: DataFrame, path: str, mode: str = "append", dynamic: bool = False) -> None:
@@ -35,6 +35,14 @@ def append_cases(clean: DataFrame, path: str) -> None:
     write_cases(clean, path, "append")
 
 
+def append_users(users: DataFrame, path: str) -> None:
+    """Add user rows to the user table; columns that the rows lack are
+    NULL, columns the table lacks (a request's extras) are left out."""
+    cols = [(F.col(f.name) if f.name in users.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in STORED_USERS.fields]
+    users.select(*cols).write.mode("append").parquet(path)
+
+
 def publish(df: DataFrame, path: str) -> None:
     """Write a recomputed table to a new path (all-or-nothing per job)."""
     write_cases(df, path, "overwrite")

@@ -119,3 +119,14 @@ def test_grant_on_unknown_site_grants_nothing(spark):
     cases = spark.createDataFrame([(1, "s1"), (2, "zz")], "id long, location string")
     assert [r.id for r in access.visible_cases(cases, users, g, locs, 3, "can_edit").collect()] == []
     assert [r.id for r in access.visible_cases(cases, users, g, locs, 3, "can_view").collect()] == [1]
+
+
+def test_user_keys_under_the_collation(spark):
+    users, _, _ = _dims(spark)
+    inc = spark.createDataFrame([(10, "U3", "", "A", "B", "", None, "", " 12 "), (11, "New", "", "A", "B", "", None, "Desk", None),
+                                 (12, "NEW", "", "A", "B", "", None, "Desk", None)],
+                                "id long, eid string, email string, first_name string, last_name string, "
+                                "full_name string, role string, position string, phone string")
+    assert [(r.id, r.position) for r in admin.create_users(inc, users, collation="ci").collect()] == [(11, "Desk")]
+    got = {r.id: (r.position, r.phone) for r in admin.create_users(inc, users).collect()}
+    assert got == {10: (None, "12"), 11: ("Desk", None), 12: ("Desk", None)}

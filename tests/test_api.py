@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from caseloom import api
@@ -83,3 +85,21 @@ def test_empty_site_requests(spark):
     assert sheet.count() == 0
     assert {r.column: r.width for r in widths.collect()}["Step to Resolve"] == len("Step to Resolve") + 2
     assert api.stats(cases, None, "nowhere", CaseFilter(), dt.date(2025, 1, 1)).first().total == 0
+
+
+def test_writes_need_the_right(spark):
+    """Changes that the user may not make change nothing."""
+    cases = _cases(spark)
+    users, grants, locs = _dims(spark)
+    grants = spark.createDataFrame([(3, "s1", True, True, False)], grants.schema)
+    who = api.Access(users, grants, locs, 3)
+    ids = "id long, location string"
+    as_of = dt.datetime(2025, 3, 1)
+    before = sorted((r.id, r.location) for r in cases.collect())
+    out = api.delete_cases(cases, spark.createDataFrame([(1, "s1"), (5, "s2")], ids), as_of, who)
+    assert sorted((r.id, r.location) for r in out.collect()) == before
+    new = spark.createDataFrame([(100, "s1"), (101, "s2")], ids)
+    out = api.create_cases(cases, new, as_of, who)
+    assert sorted((r.id, r.location) for r in out.collect()) == sorted(before + [(100, "s1")])
+    with pytest.raises(PermissionError):
+        api.import_sheet(new, "s2", "unused", who=who)

@@ -107,3 +107,11 @@ def test_lockout_totals_on_driver_events(spark):
     res = audit.lockout_audit(dtab.attempts_view(spark, "/root/testdata/sf0.01"))
     agg = res.agg(F.sum("n_locks").alias("locks"), F.count(F.when(F.col("n_locks") > 0, 1)).alias("users")).first()
     assert (agg.locks, agg.users) == (440, 124)
+
+
+def test_attempts_without_user_or_time_are_counted(spark):
+    rows = [(1, None, dt.datetime(2024, 1, 1), False), (2, 2**53 + 1, dt.datetime(2024, 1, 1), False),
+            (3, 2**53 + 1, None, False)]
+    att = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, ok boolean")
+    assert [(r.user_id, r.attempts) for r in audit.lockout_audit(att).collect()] == [(2**53 + 1, 1)]
+    assert tuple(audit.unplaced_attempts(att).first()) == (1, 1)

@@ -109,3 +109,20 @@ def test_csv_round_trip_is_lossless(spark, tmp_dir):
     export_cases(sheet, tmp_dir + "/sheet")
     back = read_import(spark, tmp_dir + "/sheet", {"No.": "case_no", "Description": "description"})
     assert sorted((r.case_no, r.description or "") for r in back.collect()) == rows
+
+
+def test_file_to_table(spark, tmp_dir):
+    """An exported file is imported in its own row order, quotes, line breaks
+    and padding included."""
+    from caseloom.sources.cases import scan_cases
+    from caseloom.sources.importer import read_import
+    from caseloom.sources.sinks import export_cases
+
+    texts = ["b\nreak", " pad ", 'q"uote', "a,comma"]
+    sheet = spark.createDataFrame([(str(i + 1), "2025-01-05", t) for i, t in enumerate(texts)],
+                                  "`No.` string, Date string, Description string").coalesce(1)
+    export_cases(sheet, tmp_dir + "/sheet")
+    mapped = read_import(spark, tmp_dir + "/sheet")
+    assert ingest.import_into(mapped, "s1", tmp_dir + "/cases") == {"inserted": 4, "skipped": 0}
+    rows = scan_cases(spark, tmp_dir + "/cases").orderBy("id").collect()
+    assert [(r.id, r.description) for r in rows] == list(zip(range(1, 5), texts))
