@@ -15,8 +15,9 @@ most slot text) are written as blocks.
 Merging is associative, so every task folds its own pages, partial wrappers
 of a host are merged under a salt and then per host: a hot host's pages are
 never gathered, only one small tree per task.  Pages of one host with equal
-html count once in a task.  Text is constant only on ``LEAST_PAGES`` pages or
-more, so copies on a small host are not taken for template.
+html count once, over all tasks.  A node is template only if it is constant on
+``SHARE`` of its host's distinct pages and on ``LEAST_PAGES`` or more, so an
+article that a few pages copy is not taken for template.
 
 Handled: null and empty html (empty text), broken markup, null or odd urls (a
 host of their own), repeated rows, long pages; extra columns stay.
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import written
 
 LEAST_PAGES = 4
+#: Of a host's distinct pages, the share that must have a node for it to be template.
+SHARE = 0.8
 #: Nodes of partial wrappers that a task holds before it hands them on.
 HELD_NODES = 200_000
 SALTS = 64
@@ -267,8 +270,11 @@ def _hide(n: Node) -> None:
             _hide(k)
 
 
-def mark_template(wrapper: Folded, page: Folded, least: int = LEAST_PAGES) -> None:
-    """Hide the text of the page's blocks that the wrapper has constant."""
+def mark_template(wrapper: Folded, page: Folded, least: float | None = None) -> None:
+    """Hide the text of the page's blocks that the wrapper has constant on
+    ``least`` pages (at the root: by ``SHARE`` of all its pages)."""
+    if least is None:
+        least = max(LEAST_PAGES, SHARE * wrapper.pages)
     if not _inline(wrapper.label) and wrapper.pages >= least and wrapper.text == page.text and _fixed(wrapper):
         for n in page.members:
             _hide(n)
@@ -369,7 +375,6 @@ def _deep(fn, *args):
 
 def _induce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[str, Folded] = {}
-    seen: dict[str, set[int]] = {}
     nodes = 0
 
     def out():
@@ -377,12 +382,6 @@ def _induce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for f in frames:
         for host, page in zip(f["host"].tolist(), f["html"].tolist()):
-            if not page:
-                continue
-            digest = xxhash.xxh3_64_intdigest(page)
-            if digest in seen.setdefault(host, set()):
-                continue
-            seen[host].add(digest)
             tree = _deep(lambda p: bare(fold([parse(p)])), page)
             if host in held:
                 held[host] = _deep(merge_page, held[host], tree)
@@ -391,7 +390,7 @@ def _induce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 nodes += size(tree)
         if nodes > HELD_NODES:
             yield out()
-            held, seen, nodes = {}, {}, 0
+            held, nodes = {}, 0
     if held:
         yield out()
 
@@ -404,10 +403,20 @@ def _merge_group(f: pd.DataFrame) -> pd.DataFrame:
     return f.head(1).assign(wrapper=dump(wrapper))
 
 
+def distinct_pages(rows: DataFrame) -> DataFrame:
+    """host and html, each pair once.  Only hashes are shuffled to find the
+    copies; html is shuffled for copied pages alone."""
+    keys = ["host", "h1", "h2"]
+    rows = rows.filter("html != ''").withColumn("h1", F.xxhash64(F.lit(1), "html")).withColumn("h2", F.xxhash64(F.lit(2), "html"))
+    copied = written(rows.groupBy(*keys).count().filter("count > 1").drop("count"), "page-copies")
+    once = rows.join(copied, keys, "left_anti").select("host", "html")
+    return once.union(rows.join(copied, keys, "left_semi").groupBy(*keys).agg(F.first("html").alias("html")).select("host", "html"))
+
+
 def induce(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """host and wrapper (JSON) of every host."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).cast("string").alias("html"))
-    parts = rows.mapInPandas(_induce, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int"))
+    parts = distinct_pages(rows).mapInPandas(_induce, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int"))
     parts = parts.groupBy("host", "salt").applyInPandas(_merge_group, "host string, wrapper string, salt int")
     return parts.drop("salt").groupBy("host").applyInPandas(_merge_group, "host string, wrapper string")
 

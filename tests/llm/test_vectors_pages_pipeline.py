@@ -142,6 +142,25 @@ def test_wrapper_odd_rows(spark):
     assert wrapper_html.main_text(df.limit(0)).count() == 0
 
 
+def test_wrapper_keeps_an_article_that_few_pages_copy(spark):
+    """Four distinct pages hold one copied table among twelve without it; the
+    byline of all pages is template."""
+    body = "<article><h1>H{0}</h1><div class=by>By our staff</div><p>Text {0}.</p>{1}</article>"
+    rows = [page(i, body.format(i, "<table><tr><td>Copied</td></tr></table>" if i < 4 else "")) for i in range(16)]
+    got = {r.page_id: r.main_text for r in wrapper_html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"H{i}\nText {i}." + ("\nCopied" if i < 4 else "") for i in range(16)}
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_wrapper_counts_equal_pages_once(spark, parts):
+    """However the copies are dealt to tasks."""
+    same = "<article><h1>H</h1><div class=by>By our staff</div><p>Text.</p></article>"
+    df = spark.createDataFrame([page(i, same) for i in range(12)], "page_id long, url string, html string").repartition(parts)
+    assert {r.main_text for r in wrapper_html.main_text(df).collect()} == {"H\nBy our staff\nText."}
+    (w,) = wrapper_html.induce(df).collect()
+    assert wrapper_html.load(w.wrapper).pages == 1
+
+
 def test_matching_is_the_best_alignment():
     rng = random.Random(3)
 
