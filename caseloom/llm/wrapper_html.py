@@ -8,7 +8,8 @@ into a wrapper: a node whose own text is the same on all pages is constant,
 any other is a slot.  A page is aligned with its host's wrapper; its constant
 nodes are template, and its slots are content, unless their place says
 otherwise: menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments vary from page to page as well, and go by tag, role and class.
+reader comments vary from page to page as well, and go by tag, role and class,
+but never with the page's article or most of its slot text inside.
 The content slots inside the article (or else the part of the page that holds
 most slot text) are written as blocks.
 
@@ -51,8 +52,10 @@ DEPTH = 200
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|([^<]++|<)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
+#: Raw elements whose text is never shown; any other that is not closed hides nothing.
+UNSEEN = frozenset("script style".split())
 #: A start tag of the key ends an open element of its values.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 DROP_TAG = frozenset("nav footer aside form button select dialog menu head canvas object audio video datalist label input".split()) | RAW
@@ -61,6 +64,12 @@ DROP_WORD = frozenset(
     "ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice "
     "notices pager pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 HEAD_WORD = frozenset("header masthead".split())
+#: Parts that a class may have beside words of the above and still name the same thing (site-footer, comment-list).
+PLACE_WORD = frozenset("area bar block bottom box center container global inner item items left link links list main page primary right row secondary section site top".split())
+MAIN_TAG = {"article": 1, "main": 2}
+#: Beside the text, however much they hold.
+SIDE_TAG = frozenset("nav footer aside menu button select datalist label input canvas object audio video".split())
+SIDE_WORD = frozenset("ad ads adv advert adverts advertisement breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu nav navbar navigation newsletter pager pagination related replies respond sidebar".split())
 
 
 #: Elements that divide a page; up to so many siblings of one label are told apart by their order.
@@ -69,10 +78,10 @@ MOST_PARTS = 8
 
 
 class Node:
-    __slots__ = ("tag", "label", "drop", "main", "kids", "hide", "weight")
+    __slots__ = ("tag", "label", "drop", "main", "side", "kids", "hide", "weight")
 
-    def __init__(self, tag: str, label: str, drop: bool, main: bool):
-        self.tag, self.label, self.drop, self.main = tag, label, drop, main
+    def __init__(self, tag: str, label: str, drop: bool, main: int, side: bool = False):
+        self.tag, self.label, self.drop, self.main, self.side = tag, label, drop, main, side  # main: 1 an article, 2 the main part
         self.kids: list = []  # nodes and strings, in order
         self.hide: set = set()  # places of strings that are template
         self.weight: int | None = None  # characters of content, links left out
@@ -82,25 +91,34 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(raw)}
 
 
+def names(shown: str, words: frozenset) -> bool:
+    """Whether a class or id, as a whole, is one of ``words``: no-sidebar or
+    ad-free name no sidebar and no advert."""
+    for token in shown.split():
+        parts = [x for x in re.split(r"[_\-:]+", token) if x]
+        if any(x in words for x in parts) and all(x in words or x in DROP_WORD or x in PLACE_WORD or x.isdigit() for x in parts):
+            return True
+    return False
+
+
 def _start(tag: str, raw: str, inside: bool) -> Node:
     if len(raw) < 5:
-        return Node(tag, tag, tag in DROP_TAG or tag == "header" and not inside, tag in ("article", "main"))
+        return Node(tag, tag, tag in DROP_TAG or tag == "header" and not inside, MAIN_TAG.get(tag, 0), tag in SIDE_TAG)
     a = _attributes(raw)
     shown = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    words = set(re.split(r"[\s_\-:]+", shown))
     role = a.get("role", "").lower()
-    main = tag in ("article", "main") or role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody"
+    main = max(MAIN_TAG.get(tag, 0), MAIN_TAG.get(role, 0), 2 * (a.get("itemprop", "").lower() == "articlebody"))
     drop = tag in DROP_TAG or role in DROP_ROLE or "hidden" in a or a.get("aria-hidden") == "true"
     if not main and tag not in ("html", "body"):
-        drop |= bool(words & DROP_WORD) or not inside and (tag == "header" or bool(words & HEAD_WORD))
-    return Node(tag, f"{tag}.{re.sub(r'[0-9]+', '', a.get('class', '').lower()).strip()}", drop, main)
+        drop |= names(shown, DROP_WORD) or not inside and (tag == "header" or names(shown, HEAD_WORD))
+    return Node(tag, f"{tag}.{re.sub(r'[0-9]+', '', a.get('class', '').lower()).strip()}", drop, main, drop and (tag in SIDE_TAG or names(shown, SIDE_WORD)))
 
 
 def parse(page: str | None) -> Node:
     """The DOM tree of a page; elements end where HTML lets them."""
-    root = Node("#root", "#root", False, False)
+    root = Node("#root", "#root", False, 0)
     stack, at, page = [root], 0, page or ""
-    mains = 0
+    mains, unclosed = 0, set()
     while True:
         m = _TOKEN.match(page, at)
         if m is None:
@@ -124,8 +142,11 @@ def parse(page: str | None) -> Node:
                     break
             continue
         if tag in RAW and not rest.endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close or tag in UNSEEN:
+                at = close.end() if close else len(page)
+            else:
+                unclosed.add(tag)
             continue
         ends = ENDS.get(tag, ())
         for i in range(len(stack) - 1, 0, -1):
@@ -285,10 +306,15 @@ def mark_template(wrapper: Folded, page: Folded, least: float | None = None) ->
 
 def _weight(n: Node) -> int:
     if n.weight is None:
-        n.weight = 0 if n.drop else sum((0 if i in n.hide else len(k.strip())) if isinstance(k, str) else _weight(k) * (k.tag != "a") for i, k in enumerate(n.kids))
+        n.weight = 0 if n.drop else _below(n)
     return n.weight
 
 
+def _below(n: Node) -> int:
+    """Characters of slot text under a node, dropped itself or not."""
+    return sum((0 if i in n.hide else len(k.strip())) if isinstance(k, str) else _weight(k) * (k.tag != "a") for i, k in enumerate(n.kids))
+
+
 def _regions(n: Node) -> list[Node]:
     """The article's nodes, outermost first."""
     out = []
@@ -298,9 +324,48 @@ def _regions(n: Node) -> list[Node]:
     return out
 
 
+def _dropped(n: Node) -> list[Node]:
+    """The outermost dropped nodes below a node."""
+    out = []
+    for k in n.kids:
+        if isinstance(k, Node):
+            out += [k] if k.drop else _dropped(k)
+    return out
+
+
+def _shown(n: Node) -> bool:
+    """Whether a node has any text that is no template, links included."""
+    return not n.drop and any(i not in n.hide and bool(k.strip()) if isinstance(k, str) else _shown(k) for i, k in enumerate(n.kids))
+
+
+def spare(root: Node) -> None:
+    """Take back what was dropped wrongly: a node around a main part; where no
+    article lies elsewhere, a node around one or with more slot text than all
+    else.  Parts that by name stand beside the text go back only with the
+    article and most of the text inside."""
+    while True:
+        outside, total, again = any(map(_shown, _regions(root))), _weight(root), False
+        for n in _dropped(root):
+            inner = [x for x in _regions(n) if _shown(x)]
+            most = not outside and _below(n) > total
+            if any(x.main > 1 for x in inner) or most and (inner or not n.side) or inner and not outside and not n.side:
+                n.drop, again = False, True
+        if not again:
+            return
+        _reweigh(root)
+
+
+def _reweigh(n: Node) -> None:
+    n.weight = None
+    for k in n.kids:
+        if isinstance(k, Node):
+            _reweigh(k)
+
+
 def content(root: Node) -> list[Node]:
     """The nodes that hold the content: those of articles, or else the
     smallest node with most of the slot text."""
+    spare(root)
     found = [r for r in _regions(root) if _weight(r)]
     if found:
         most = max(map(_weight, found))

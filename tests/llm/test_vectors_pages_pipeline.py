@@ -161,6 +161,30 @@ def test_wrapper_counts_equal_pages_once(spark, parts):
     assert wrapper_html.load(w.wrapper).pages == 1
 
 
+@pytest.mark.parametrize("open_, shut", [
+    ("<div class='layout with-sidebar'>", "</div>"), ("<div class='no-sidebar has-navbar comments-closed ad-free share-enabled'>", "</div>"),
+    ("<div class=sidebar>", "</div>"), ("<form action=/>", "</form>"), ("<aside>", "</aside>"), ("<div class=widget>", "</div>"), ("<head>", "")])
+@pytest.mark.parametrize("tag", ["article", "main", "div role=main"])
+def test_wrapper_drops_nothing_around_the_article(open_, shut, tag):
+    body = f"<html><body>{open_}<nav>Menu</nav><{tag}><h1>Title</h1><p>Text of it</p></{tag.split()[0]}><div class=comment-list>me</div>{shut}</body></html>"
+    assert wrapper_html.extract(body, None) == "Title\nText of it"
+
+
+def test_wrapper_keeps_what_holds_most_text():
+    form = "<body><form><p>Long text of a page that lies in one form</p><select><option>one</select></form></body>"
+    assert wrapper_html.extract(form, None) == "Long text of a page that lies in one form"
+    said = "<body><div><p>Text</p></div><div class=comments><article><p>a long comment of a reader</p></article></div></body>"
+    assert wrapper_html.extract("<article><p>Text</p></article>" + said, None) == "Text"
+    assert wrapper_html.extract("<div class='site-footer'>foot</div><div class='cookie-notice'>eat</div><div class=ads_top>buy</div><p>Text</p>", None) == "Text"
+
+
+def test_wrapper_keeps_math_and_text_behind_unclosed_elements():
+    assert wrapper_html.extract("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", None) == "so x=1 holds"
+    for tag in ("svg", "noscript", "template", "math", "iframe"):
+        assert wrapper_html.extract(f"<article><p>before</p><{tag}><p>behind</p></article>", None) == "before\nbehind"
+    assert wrapper_html.extract("<article><p>before</p><svg><text>no</text></svg><p>behind</p><script>var x", None) == "before\nbehind"
+
+
 def test_matching_is_the_best_alignment():
     rng = random.Random(3)
 
