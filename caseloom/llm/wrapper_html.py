@@ -10,8 +10,8 @@ nodes are template, and its slots are content, unless their place says
 otherwise: menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments vary from page to page as well, and go by tag, role and class,
 but never with the page's article or most of its slot text inside.
-The content slots inside the article (or else the part of the page that holds
-most slot text) are written as blocks.
+The content slots inside all articles (or else all of the page's) are written
+as blocks.
 
 Merging is associative, so every task folds its own pages, partial wrappers
 of a host are merged under a salt and then per host: a hot host's pages are
@@ -363,20 +363,10 @@ def _reweigh(n: Node) -> None:
 
 
 def content(root: Node) -> list[Node]:
-    """The nodes that hold the content: those of articles, or else the
-    smallest node with most of the slot text."""
+    """The nodes that hold the content: all articles and main parts with text,
+    or else the whole page."""
     spare(root)
-    found = [r for r in _regions(root) if _weight(r)]
-    if found:
-        most = max(map(_weight, found))
-        return [r for r in found if _weight(r) == most][:1] if len(found) > 1 and any(r.tag == "main" for r in found) else found
-    node, total = root, _weight(root)
-    while total:
-        inner = [k for k in node.kids if isinstance(k, Node) and not k.drop and k.tag not in ("p", "table", "ul", "ol", "dl") and _weight(k) >= 0.7 * total]
-        if not inner:
-            break
-        node = inner[0]
-    return [node]
+    return [r for r in _regions(root) if _shown(r)] or [root]
 
 
 def blocks(regions: list[Node]) -> list[str]:

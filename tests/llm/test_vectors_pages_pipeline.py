@@ -185,6 +185,14 @@ def test_wrapper_keeps_math_and_text_behind_unclosed_elements():
     assert wrapper_html.extract("<article><p>before</p><svg><text>no</text></svg><p>behind</p><script>var x", None) == "before\nbehind"
 
 
+def test_wrapper_keeps_all_varying_parts():
+    part = "<div class=part>" + "long part " * 30 + "</div>"
+    story = f"<div><div class=story><h1>Title</h1><p>Lead</p>{part}<div class=part>second</div></div><ul><li><a href=/>a link</a></ul></div>"
+    long = " ".join(["long part"] * 30)
+    assert wrapper_html.extract(f"<body><nav>Menu</nav>{story}</body>", None) == f"Title\nLead\n{long}\nsecond\na link"
+    assert wrapper_html.extract("<main><p>in main, longer</p></main><article><p>beside</p></article><article><a href=/>link only</a></article>", None) == "in main, longer\nbeside\nlink only"
+
+
 def test_matching_is_the_best_alignment():
     rng = random.Random(3)
 
