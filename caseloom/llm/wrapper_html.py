@@ -1,7 +1,7 @@
 """HTML extraction by wrapper induction.
 
 Pages of one host come from one template.  Each page is parsed to a DOM tree;
-siblings of one label (tag and class) are folded into one repeated node,
+siblings of one label (tag and first class) are folded into one repeated node,
 so a tree's size does not depend on how long the article is.  Trees of
 a host are aligned by simple tree matching, top down and in order, and merged
 into a wrapper: a node whose own text is the same on all pages is constant,
@@ -15,7 +15,10 @@ as blocks.
 
 Merging is associative, so every task folds its own pages, partial wrappers
 of a host are merged under a salt and then per host: a hot host's pages are
-never gathered, only one small tree per task.  Pages of one host with equal
+never gathered, only small trees.  A wrapper that outgrows ``WRAPPER_NODES``,
+or is handed on, loses the nodes that fewer than ``KEEP`` of its pages have,
+which leaves at most 1 / ``KEEP`` times the nodes of an average page: such nodes
+are no template, so their text is kept.  Pages of one host with equal
 html count once, over all tasks.  A node is template only if it is constant on
 ``SHARE`` of its host's distinct pages and on ``LEAST_PAGES`` or more, so an
 article that a few pages copy is not taken for template.
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import written
+from caseloom.llm.common import small_batches, written
 
 LEAST_PAGES = 4
 #: Of a host's distinct pages, the share that must have a node for it to be template.
@@ -45,6 +48,12 @@ SHARE = 0.8
 #: Nodes of partial wrappers that a task holds before it hands them on.
 HELD_NODES = 200_000
 SALTS = 64
+#: Nodes and pages from which on a wrapper is pruned, and the share of its pages that a node needs to stay.
+WRAPPER_NODES, PRUNED_PAGES, KEEP = 1000, 16, 0.25
+#: Bytes of all wrappers up to which they are broadcast by host; beyond, they are joined to the pages.
+BROADCAST_BYTES = 16_000_000
+#: Characters of wrappers that a task keeps parsed.
+KNOWN_CHARS = 8_000_000
 #: Elements nested deeper lie beside their content, which keeps its text.
 DEPTH = 200
 
@@ -101,6 +110,14 @@ def names(shown: str, words: frozenset) -> bool:
     return False
 
 
+def label_of(tag: str, classes: str) -> str:
+    """Tag and first class without digits: those behind it and numbered ones
+    often go by page (post-7, category-x)."""
+    if tag in ("html", "body", "article", "main"):
+        return tag
+    return f"{tag}.{next((x for x in classes.lower().split() if not re.search('[0-9]', x)), '')}"
+
+
 def _start(tag: str, raw: str, inside: bool) -> Node:
     if len(raw) < 5:
         return Node(tag, tag, tag in DROP_TAG or tag == "header" and not inside, MAIN_TAG.get(tag, 0), tag in SIDE_TAG)
@@ -111,7 +128,7 @@ def _start(tag: str, raw: str, inside: bool) -> Node:
     drop = tag in DROP_TAG or role in DROP_ROLE or "hidden" in a or a.get("aria-hidden") == "true"
     if not main and tag not in ("html", "body"):
         drop |= names(shown, DROP_WORD) or not inside and (tag == "header" or names(shown, HEAD_WORD))
-    return Node(tag, f"{tag}.{re.sub(r'[0-9]+', '', a.get('class', '').lower()).strip()}", drop, main, drop and (tag in SIDE_TAG or names(shown, SIDE_WORD)))
+    return Node(tag, label_of(tag, a.get("class", "")), drop, main, drop and (tag in SIDE_TAG or names(shown, SIDE_WORD)))
 
 
 def parse(page: str | None) -> Node:
@@ -274,6 +291,39 @@ def size(f: Folded) -> int:
     return 1 + sum(map(size, f.kids))
 
 
+def prune(f: Folded) -> Folded:
+    """A wrapper of many pages without the nodes that few of them have."""
+
+    def cut(n: Folded, least: float) -> None:
+        n.kids = [k for k in n.kids if k.pages >= least]
+        for k in n.kids:
+            cut(k, least)
+
+    if f.pages >= PRUNED_PAGES:
+        cut(f, KEEP * f.pages)
+    return f
+
+
+class Growing:
+    """A wrapper under construction, with its nodes counted after every merge.
+    It is pruned when it has doubled since the last time."""
+
+    __slots__ = ("tree", "nodes", "bound")
+
+    def __init__(self, tree: Folded):
+        self.tree, self.nodes, self.bound = tree, size(tree), WRAPPER_NODES
+
+    def add(self, tree: Folded) -> int:
+        """Merge one more; the nodes that came with it."""
+        before = self.nodes
+        self.tree = merge_page(self.tree, tree)
+        self.nodes = size(self.tree)
+        if self.nodes > self.bound and self.tree.pages >= PRUNED_PAGES:
+            self.nodes = size(prune(self.tree))
+            self.bound = max(WRAPPER_NODES, 2 * self.nodes)
+        return self.nodes - before
+
+
 def _inline(label: str) -> bool:
     return label != "#root" and label.split(".")[0] not in BLOCK
 
@@ -429,33 +479,33 @@ def _deep(fn, *args):
 
 
 def _induce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[str, Folded] = {}
+    held: dict[str, Growing] = {}
     nodes = 0
 
     def out():
-        return pd.DataFrame([(h, dump(w)) for h, w in held.items()], columns=["host", "wrapper"])
+        return pd.DataFrame([(h, _deep(lambda t: dump(prune(t)), w.tree)) for h, w in held.items()], columns=["host", "wrapper"])
 
     for f in frames:
         for host, page in zip(f["host"].tolist(), f["html"].tolist()):
             tree = _deep(lambda p: bare(fold([parse(p)])), page)
             if host in held:
-                held[host] = _deep(merge_page, held[host], tree)
+                nodes += _deep(held[host].add, tree)
             else:
-                held[host] = tree
-                nodes += size(tree)
-        if nodes > HELD_NODES:
-            yield out()
-            held, nodes = {}, 0
+                held[host] = _deep(Growing, tree)
+                nodes += held[host].nodes
+            if nodes > HELD_NODES:
+                yield out()
+                held, nodes = {}, 0
     if held:
         yield out()
 
 
 def _merge_group(f: pd.DataFrame) -> pd.DataFrame:
     parts = sorted(f["wrapper"].tolist())
-    wrapper = _deep(load, parts[0])
+    wrapper = _deep(lambda p: Growing(load(p)), parts[0])
     for p in parts[1:]:
-        wrapper = _deep(merge_page, wrapper, load(p))
-    return f.head(1).assign(wrapper=dump(wrapper))
+        _deep(lambda x: wrapper.add(load(x)), p)
+    return f.head(1).assign(wrapper=_deep(lambda t: dump(prune(t)), wrapper.tree))
 
 
 def distinct_pages(rows: DataFrame) -> DataFrame:
@@ -476,29 +526,45 @@ def induce(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     return parts.drop("salt").groupBy("host").applyInPandas(_merge_group, "host string, wrapper string")
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, Folded] = {}
-    for f in frames:
-        texts = []
-        for page, wrapper in zip(f["html"].tolist(), f["wrapper"].tolist()):
-            tree = None
-            if wrapper:
-                if len(known) > 2000:
-                    known.clear()
-                tree = known.get(wrapper) or known.setdefault(wrapper, _deep(load, wrapper))
-            texts.append(_deep(extract, page, tree))
-        yield pd.DataFrame({"text": texts})
-
-
-def main_text(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+class Known:
+    """Parsed wrappers, up to ``KNOWN_CHARS`` of them."""
+
+    def __init__(self):
+        self.trees: dict[str, Folded] = {}
+        self.chars = 0
+
+    def get(self, wrapper: str | None) -> Folded | None:
+        if not wrapper:
+            return None
+        if wrapper not in self.trees:
+            if self.chars > KNOWN_CHARS:
+                self.trees, self.chars = {}, 0
+            self.trees[wrapper] = _deep(load, wrapper)
+            self.chars += len(wrapper)
+        return self.trees[wrapper]
+
+
+def main_text(pages: DataFrame, url: str = "url", page: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with the column ``main_text`` appended."""
+    spark = pages.sparkSession
     wrappers = written(induce(pages, url, page), "wrappers")
+    rows = pages.select(F.struct(*[pages[x] for x in pages.columns]).alias("_row"), host_of(F.col(url)).alias("host"), F.col(page).cast("string").alias("_html"))
+    columns = [F.col("_row")[x].alias(x) for x in pages.columns if x != "main_text"]
+
+    if (wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper"))).first()[0] or 0) <= broadcast_bytes:
+        by_host = spark.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})
+        wrapper_of = lambda x: by_host.value.get(x)
+        given = F.col("host")
+    else:
+        small_batches(spark, 500)
+        rows = rows.join(wrappers, "host", "left")
+        wrapper_of = lambda x: x
+        given = F.col("wrapper")
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for htmls, ws in batches:
-            yield next(_extract(iter([pd.DataFrame({"html": htmls, "wrapper": ws})])))["text"]
+        known = Known()
+        for htmls, keys in batches:
+            yield pd.Series([_deep(extract, h, known.get(wrapper_of(k))) for h, k in zip(htmls.tolist(), keys.tolist())], dtype=object)
 
-    rows = pages.select(F.struct(*[pages[x] for x in pages.columns]).alias("_row"), host_of(F.col(url)).alias("host"), F.col(page).cast("string").alias("_html"))
-    rows = rows.join(wrappers, "host", "left")
-    return rows.select(*[F.col("_row")[x].alias(x) for x in pages.columns if x != "main_text"], run("_html", "wrapper").alias("main_text"))
+    return rows.select(*columns, run("_html", given).alias("main_text"))

@@ -193,6 +193,39 @@ def test_wrapper_keeps_all_varying_parts():
     assert wrapper_html.extract("<main><p>in main, longer</p></main><article><p>beside</p></article><article><a href=/>link only</a></article>", None) == "in main, longer\nbeside\nlink only"
 
 
+def varied(i):
+    """A page whose classes are its own, but for those of the byline."""
+    own = "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    divs = "".join(f"<div class='{own}{k} x'><p>v{i} {k}</p></div>" for k in ("a", "b", "c", "d", "e"))
+    return f"<article class='post category-{own}'><h1>H{i}</h1><div class='by {own}'>By our staff</div>{divs}</article>"
+
+
+def test_wrapper_of_pages_with_their_own_classes_stays_small():
+    frames = [wrapper_html.pd.DataFrame({"host": ["h"] * 50, "html": [varied(i) for i in range(k, k + 50)]}) for k in range(0, 800, 50)]
+    (out,) = wrapper_html._induce(iter(frames))
+    (dumped,) = out["wrapper"].tolist()
+    tree = wrapper_html.load(dumped)
+    assert tree.pages == 800 and wrapper_html.size(tree) < 60
+    two = wrapper_html._merge_group(wrapper_html.pd.DataFrame({"host": ["h"] * 2, "wrapper": [dumped] * 2}))
+    assert wrapper_html.load(two["wrapper"][0]).pages == 1600
+    assert wrapper_html.extract(varied(900), tree) == "\n".join(["H900"] + [f"v900 {k}" for k in "abcde"])
+
+
+def test_wrapper_hands_on_when_merging_grows(monkeypatch):
+    monkeypatch.setattr(wrapper_html, "HELD_NODES", 100)
+    frame = wrapper_html.pd.DataFrame({"host": ["h"] * 60, "html": [varied(i) for i in range(60)]})
+    out = list(wrapper_html._induce(iter([frame])))
+    assert len(out) > 1 and sum(wrapper_html.load(w).pages for f in out for w in f["wrapper"]) == 60
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 10**7])
+def test_wrappers_broadcast_or_joined(spark, broadcast_bytes):
+    rows = [page(i, varied(i)) for i in range(30)] + [(99, None, "<p>alone</p>"), (98, "https://h.example/x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.main_text for r in wrapper_html.main_text(df, broadcast_bytes=broadcast_bytes).collect()}
+    assert got == {i: "\n".join([f"H{i}"] + [f"v{i} {k}" for k in "abcde"]) for i in range(30)} | {99: "alone", 98: ""}
+
+
 def test_matching_is_the_best_alignment():
     rng = random.Random(3)
 
