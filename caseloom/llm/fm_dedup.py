@@ -10,9 +10,10 @@ occurs once in the corpus rules its windows out, and the rest are dealt to
 shards by anchor: each run of windows of one anchor travels as one segment of
 words.  Equal texts are one text with a weight before that, and equal
 segments are one segment with a weight, so a passage that a third of all
-documents hold is indexed once.  An anchor with very many different segments
-has its windows dealt one by one, by their own hash, and so spreads over all
-shards.
+documents hold is indexed once.  An anchor whose different segments have more
+words than a share of a shard has the windows of those segments dealt one by
+one, by their own hash, equal windows being one again, and so spreads over all
+shards.  An anchor in very many texts goes that way from the start.
 
 A shard sorts the suffixes of its segments (prefix doubling), takes the
 Burrows-Wheeler transform into a bit-packed wavelet matrix, and streams all
@@ -42,8 +43,10 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import mix64, rolling, small_batches, word_hashes, written
 
 LENGTH, GRAM = 35, 8
-#: Words aimed at in a shard; segments of one anchor beyond which its windows go one by one.
+#: Words aimed at in a shard; segments of one anchor beyond which its windows go one by one from the start.
 SHARD_WORDS, HOT_SEGMENTS = 600_000, 1_000_000
+#: Part of a shard that the different segments of one anchor may fill; beyond, their windows go one by one.
+ANCHOR_PART = 4
 
 
 def window_anchors(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,6 +215,13 @@ def _texts(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"), text.alias("text"))
 
 
+def deal(segments: DataFrame, shard_words: int) -> DataFrame:
+    """With the shard of each segment, by its route."""
+    total = segments.agg(F.sum(F.octet_length("words") / 5)).first()[0] or 0
+    shards = max(1, int(-(-total // shard_words)))
+    return segments.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int = HOT_SEGMENTS, id_col: str = "doc_id") -> DataFrame:
     """t1, t2 (hashes of a text) and spans: the word spans (start, end), in
     any order, that repeated windows cover, for every text that has some."""
@@ -268,22 +278,50 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     parts = written(parts, "fm-segments")
     distinct = parts.groupBy("k1", "k2").agg(F.first("route").alias("route"), F.sum("n").alias("n"), F.first("words").alias("words"))
     distinct = written(distinct, "fm-distinct")
-    total = distinct.agg(F.sum(F.octet_length("words") / 5)).first()[0] or 0
-    shards = max(1, int(-(-total // shard_words)))
+    # an anchor beside many different words would fill a shard alone: its windows go one by one
+    count = F.octet_length("words") / 5
+    wide = distinct.groupBy("route").agg(F.sum(count).alias("words"), F.max(count).alias("longest"))
+    wide = written(wide.filter((c("words") > shard_words / ANCHOR_PART) & (c("longest") > length)).select("route"), "fm-wide")
+
+    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["k1", "k2", "n", "first", "route", "words"]
+        for f in frames:
+            rows, held = [], 0
+            for k1, k2, n, raw in zip(*(f[x].tolist() for x in ("k1", "k2", "n", "words"))):
+                h = unpack(raw)
+                own = mix64(rolling(h, length)).astype(np.int64).tolist()
+                rows += [(k1, k2, n, a, own[a], pack(h[a : a + length])) for a in range(len(own))]
+                held += length * len(own)
+                if held > 2_000_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    spread = not wide.isEmpty()
+    searched = distinct.withColumn("single", F.lit(False))
+    if spread:
+        singles = distinct.join(wide, "route", "left_semi").select("k1", "k2", "n", "words").mapInPandas(windows, "k1 long, k2 long, n long, first long, route long, words binary")
+        singles = singles.withColumn("w1", F.xxhash64(F.lit(1), "words")).withColumn("w2", F.xxhash64(F.lit(2), "words"))
+        once = singles.groupBy(c("w1").alias("k1"), c("w2").alias("k2")).agg(F.first("route").alias("route"), F.sum("n").alias("n"), F.first("words").alias("words"))
+        once = written(once.withColumn("single", F.lit(True)), "fm-windows")
+        searched = searched.join(wide, "route", "left_anti").unionByName(once)
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["k1", "k2"])
         starts = shard_repeats([unpack(w) for w in f["words"].tolist()], f["n"].to_numpy(dtype=np.int64), length)
         out = []
-        for k1, k2, s in zip(f["k1"].tolist(), f["k2"].tolist(), starts):
+        for k1, k2, single, s in zip(f["k1"].tolist(), f["k2"].tolist(), f["single"].tolist(), starts):
             if len(s):
                 new = np.flatnonzero(np.concatenate([[True], np.diff(s) > 1]))
                 last = np.append(new[1:], len(s)) - 1
-                out += [(k1, k2, a, b + length) for a, b in zip(s[new].tolist(), s[last].tolist())]
-        return pd.DataFrame(out, columns=["k1", "k2", "first", "past"])
-
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-    hits = written(dealt.groupBy("shard").applyInPandas(search, "k1 long, k2 long, first long, past long"), "fm-hits")
+                out += [(k1, k2, single, a, b + length) for a, b in zip(s[new].tolist(), s[last].tolist())]
+        return pd.DataFrame(out, columns=["k1", "k2", "single", "first", "past"])
+
+    hits = written(deal(searched, shard_words).groupBy("shard").applyInPandas(search, "k1 long, k2 long, single boolean, first long, past long"), "fm-hits")
+    if spread:  # from windows back to the segments that hold them
+        found = hits.filter("single").select(c("k1").alias("w1"), c("k2").alias("w2"))
+        found = singles.select("k1", "k2", "first", "w1", "w2").join(found, ["w1", "w2"]).select("k1", "k2", "first", (c("first") + length).alias("past"))
+        hits = written(hits.filter("not single").select("k1", "k2", "first", "past").union(found), "fm-found")
     at = parts.select("t1", "t2", "start", "k1", "k2").join(hits, ["k1", "k2"])
     return at.groupBy("t1", "t2").agg(F.collect_list(F.struct((c("start") + c("first")).alias("start"), (c("start") + c("past")).alias("end"))).alias("spans"))
 

@@ -167,6 +167,28 @@ def test_fm_dedup_equals_brute_force(spark, sizes):
     assert got == want
 
 
+def test_fm_dedup_spreads_an_anchor_beside_many_words(spark, monkeypatch):
+    """One phrase in many texts with different words around it fills no shard
+    alone, and the result is that of brute force."""
+    rng = random.Random(8)
+    phrase = min((prose(rng, 8) for _ in range(2000)), key=lambda p: int(fm_dedup.rolling(fm_dedup.word_hashes(p), fm_dedup.GRAM)[0]))
+    texts = [f"{prose(rng, 30)} {phrase} {prose(rng, 30)}" for _ in range(400)]
+    texts += texts[:3] + [f"new {i} " + " ".join(texts[i].split()[20:50]) for i in range(40)]
+    largest, deal = [], fm_dedup.deal
+
+    def measured(segments, shard_words):
+        out = deal(segments, shard_words)
+        sums = out.selectExpr("shard", "octet_length(words) / 5 AS n").groupBy("shard").sum("n").collect()
+        largest.append(max(r[1] for r in sums))
+        return out
+
+    monkeypatch.setattr(fm_dedup, "deal", measured)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.kept_sha256 for r in fm_dedup.remove_repeats(df, length=15, shard_words=2000).collect()}
+    assert got == {i: sha(k) for i, k in enumerate(brute_removed(texts, 15))}
+    assert len(largest) == 1 and largest[0] < 2 * 2000
+
+
 def test_fm_dedup_query(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()
     want = {d.doc_id: sha(k) for d, k in zip(docs, brute_removed([d.text for d in docs], 35))}
