@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import block_nn, chat_format, dart_minhash, embedding_dedup, fm_dedup, mixing, quality_nbsvm, secret_scan, sentencepiece_codec, wrapper_html
+from caseloom.llm import block_nn, chat_format, dart_minhash, dual_tree_search, embedding_dedup, fm_dedup, mixing, periodic_runs, quality_nbsvm, secret_scan, sentencepiece_codec, wrapper_html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +97,38 @@ def op5_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return wrapper_html.main_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+@query
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dual_tree_search.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+ORACLE["op12_dual_tree_search"] = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM terms GROUP BY doc_id),
+total AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS words FROM sizes),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM terms GROUP BY doc_id, term),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * docs) // words)::BIGINT))))::BIGINT AS score
+  FROM wanted JOIN tf USING (term) JOIN weight USING (term) JOIN sizes USING (doc_id), total
+  GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digest(periodic_runs.detect(docs, planted=True))
