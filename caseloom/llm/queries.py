@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import block_nn, chat_format, dart_minhash, dual_tree_search, embedding_dedup, fm_dedup, mixing, periodic_runs, quality_nbsvm, secret_scan, sentencepiece_codec, wrapper_html
+from caseloom.llm import block_nn, chat_format, dart_minhash, dual_tree_search, embedding_dedup, fm_dedup, mixing, periodic_runs, quality_nbsvm, secret_scan, sentencepiece_codec, string_kernel_toxicity, wrapper_html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,6 +99,12 @@ def op7_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_html.main_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
+@query
+def op11_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return string_kernel_toxicity.score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
