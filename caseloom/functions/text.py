@@ -13,9 +13,9 @@ def _c(c: str | Column) -> Column:
 
 def py_strip(c: str | Column) -> Column:
     """Remove leading and trailing whitespace like Python's ``str.strip``
-    (Unicode whitespace, tabs and newlines included; ``trim`` only drops
-    spaces)."""
-    return F.regexp_replace(_c(c), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    (Unicode whitespace, tabs, newlines and the separators U+001C to U+001F
+    and U+0085 included; ``trim`` only drops spaces)."""
+    return F.regexp_replace(_c(c), r"^[\x09-\x0D\x1C-\x20\x85\p{Z}]+|[\x09-\x0D\x1C-\x20\x85\p{Z}]+$", "")
 
 
 def present(c: str | Column) -> Column:

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.dates import ntz
-from caseloom.operators.numbering import number_batch
+from caseloom.operators.numbering import case_number, missing, number_requests
 from caseloom.plans.lineage import cut_lineage
 from caseloom.schema import CASE_FIELDS, DEFAULT_STATUS
 
@@ -61,30 +61,54 @@ def apply_changes(base: DataFrame, changes: DataFrame, as_of: dt.datetime, seq:
       keeps created_at, sets updated_at; unknown cases: no effect.
     * D removes an existing case; unknown cases: no effect.
     * I adds a new case (an existing one: no effect), numbered by A10 when it
-      has no case_no; a U after it overwrites its fields.
+      has no case_no; a U after it overwrites its fields.  Numbers given by
+      inserts and updates count from their seq on.
     """
     return _apply(base, cut_lineage(fold_changes(changes, seq)), as_of)
 
 
+def look_up(base: DataFrame, folded: DataFrame) -> DataFrame:
+    """One pass over the base: a row for each changed case that exists
+    (location, id, _created), and one a site without id; ``_start`` is the
+    highest case number below each.  Aggregated before the shuffle, so what
+    moves has the size of the batch."""
+    named = folded.select(*KEY, F.lit(True).alias("_named"))
+    hit = base.select(*KEY, "created_at", "case_no").join(named, list(KEY), "left")
+    return hit.groupBy("location", F.when(F.col("_named"), F.col("id")).alias("id")).agg(
+        F.max("created_at").alias("_created"), F.max(case_number("case_no")).alias("_start"))
+
+
 def _apply(base: DataFrame, folded: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The table after the folded changes; ``base`` is read twice, for the
+    look-up and for the rows that stay."""
+    kept = base.join(folded.filter(F.col("deleted") | F.col("upd").isNotNull()).select(*KEY), list(KEY), "left_anti")
+    return kept.select(*base.columns).unionByName(changed_rows(base.columns, cut_lineage(look_up(base, folded)), folded, as_of))
+
+
+def changed_rows(cols: list[str], seen: DataFrame, folded: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Updated and inserted cases, numbered; ``seen`` is ``look_up``'s result."""
     ts = ntz(as_of)
-    key, cols = list(KEY), base.columns
-    kept = base.join(folded.filter(F.col("deleted") | F.col("upd").isNotNull()).select(*key), key, "left_anti")
-    # one pass over the base finds which changed cases exist; it has the size
-    # of the batch and serves both the updates and the inserts
-    found = base.select(*key, F.col("created_at").alias("_created")).join(folded.select(*key), key, "left_semi")
-    resolved = cut_lineage(folded.join(found.withColumn("_exists", F.lit(True)), key, "left"))
+    key = list(KEY)
+    maxima = seen.groupBy("location").agg(F.max("_start").alias("_start"))
+    found = seen.filter(F.col("id").isNotNull()).select(*key, "_created", F.lit(True).alias("_exists"))
+    resolved = folded.join(found, key, "left")
     exists = F.col("_exists").isNotNull()
 
     def rows(cond, source: str, created) -> DataFrame:
         out = resolved.filter(cond).select(*key, *[F.col(source)[c].alias(c) for c in CASE_FIELDS], created.alias("created_at"))
         return with_defaults(out).withColumn("updated_at", ts).select(*cols)
 
-    upd = rows(exists & ~F.col("deleted") & F.col("upd").isNotNull(), "upd", F.col("_created"))
+    changed = exists & ~F.col("deleted") & F.col("upd").isNotNull()
     new = (F.col("deleted") | ~exists) & F.col("ins").isNotNull()
     over = F.coalesce(F.col("upd.seq") >= F.col("ins.seq"), F.lit(False))
-    ins = number_batch(rows(new & ~over, "ins", ts), base)  # a missing case_no became '' and is numbered
-    return kept.select(*cols).unionByName(upd).unionByName(rows(new & over, "upd", ts)).unionByName(ins.select(*cols))
+    # the requests that take or give numbers, in the order of seq
+    asked = lambda cond, source: resolved.filter(cond).select(
+        *key, F.col(source)["seq"].alias("seq"), F.lit(source).alias("_kind"), F.col(source)["case_no"].alias("case_no"))
+    # an update without a number leaves the site's highest number alone
+    updates = asked(changed | new & over, "upd").filter(~missing("case_no"))
+    numbered = number_requests(asked(new, "ins").unionByName(updates), maxima).filter(F.col("_kind") == "ins")
+    ins = rows(new & ~over, "ins", ts).drop("case_no").join(numbered.select(*key, "case_no"), key)
+    return (rows(changed, "upd", F.col("_created")).unionByName(rows(new & over, "upd", ts)).unionByName(ins.select(*cols)))
 
 
 def purge_site(cases: DataFrame, site: str) -> tuple[DataFrame, DataFrame]:

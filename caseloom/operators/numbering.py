@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from caseloom.functions.numbers import big, big_text
 from caseloom.functions.text import all_digits
 from caseloom.plans.lineage import cut_lineage
-from caseloom.plans.numbering import global_row_number
+from caseloom.plans.max_plus import max_plus_scan
 
-MAX_GROUPS = 10_000  # sites whose maxima may be listed in an IN filter
 DECIMAL_DIGITS = 38  # longest number a DECIMAL(38,0) holds exactly
 
 
@@ -45,36 +47,41 @@ def max_case_no(df: DataFrame, group_by: Sequence[str] = ("location",)) -> DataF
     return fits.unionByName(longer)
 
 
-def plus(number: Column, n: Column) -> Column:
-    """Decimal text of ``number`` (text of up to 56 digits) plus a BIGINT, in
-    two limbs of 18 and 38 digits, so no size overflows."""
-    limb = 10**18
-    low = F.right(number, F.lit(18)).cast("decimal(38,0)") + n
-    high = F.when(F.length(number) > 18, F.substring(number, F.lit(1), F.length(number) - 18)).otherwise(F.lit("0")).cast("decimal(38,0)")
-    high = high + F.floor(low / F.lit(limb)).cast("decimal(38,0)")
-    rest = F.pmod(low, F.lit(limb).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string")
-    return F.when(high > 0, F.concat(high.cast("decimal(38,0)").cast("string"), F.lpad(rest, 18, "0"))).otherwise(rest)
-
-
-def number_batch(batch: DataFrame, existing: DataFrame, group_by: Sequence[str] = ("location",)) -> DataFrame:
-    """A10: rows of ``batch`` without a case_no get max_no + 1, + 2, ... per
-    site in id order; given numbers are kept.  The per-site maxima are one
-    row per site (size-checked broadcast)."""
-    need = F.col("case_no").isNull() | (F.col("case_no") == "")
-    # only the sites that receive numbers need their maximum; the site list
-    # is bounded (checked), and as an IN filter on the partition column it
-    # prunes the other sites' files from the scan
-    keys = batch.filter(need).select(*group_by).distinct()
-    if len(group_by) == 1:
-        rows = keys.limit(MAX_GROUPS + 1).collect()
-        if len(rows) <= MAX_GROUPS:
-            scope = existing.filter(F.col(group_by[0]).isin(*[r[0] for r in rows]) if rows else F.lit(False))
-        else:
-            scope = existing.join(keys, list(group_by), "left_semi")
-    else:
-        scope = existing.join(keys, list(group_by), "left_semi")
-    maxima = max_case_no(scope, group_by).select(*group_by, "max_no_text")
-    todo = global_row_number(batch.filter(need), [F.col("id")], out_col="_seq", partition_by=list(group_by))
-    todo = todo.join(maxima, list(group_by), "left")
-    todo = todo.withColumn("case_no", plus(F.coalesce("max_no_text", F.lit("0")), F.col("_seq")))
-    return batch.filter(~need).unionByName(todo.drop("_seq", "max_no_text"))
+def site_maxima(df: DataFrame, group_by: Sequence[str] = ("location",)) -> DataFrame:
+    """A9 for numbering: group_by and ``_start``, the largest all-digit
+    case_no (NULL when none).  One hash aggregate, no driver job."""
+    return df.groupBy(*group_by).agg(F.max(case_number("case_no")).alias("_start"))
+
+
+def case_number(col: str) -> Column:
+    """The number that a case_no of digits alone stands for, else NULL."""
+    return big(F.when(all_digits(col), F.regexp_replace(F.col(col), "^0+(?=.)", "")))
+
+
+def missing(col: str) -> Column:
+    return F.coalesce(F.col(col) == "", F.lit(True))
+
+
+def number_requests(requests: DataFrame, maxima: DataFrame, group_by: Sequence[str] = ("location",),
+                    order_by: Sequence[str] = ("seq", "id"), num_partitions: int | None = None) -> DataFrame:
+    """A10: ``requests`` as if made one after another in ``order_by``: a row
+    without a case_no gets the site's highest number so far + 1, where given
+    numbers of digits alone count from their request on.  ``maxima`` holds the
+    highest numbers before the first request (``site_maxima``).  A number that
+    was taken in the batch is not handed out again in it."""
+    need = missing("case_no")
+    out = max_plus_scan(requests, group_by, [*order_by, "case_no"], F.when(need, 1).otherwise(0), case_number("case_no"),
+                        maxima.select(*group_by, "_start"), "_number", num_partitions)
+    return out.withColumn("case_no", F.when(need, big_text(F.col("_number"))).otherwise(F.col("case_no"))).drop("_number")
+
+
+def number_batch(batch: DataFrame, existing: DataFrame, group_by: Sequence[str] = ("location",),
+                 order_by: Sequence[str] | None = None) -> DataFrame:
+    """A10 on a batch of new cases: ``number_requests`` after the numbers of
+    ``existing``, in the order of ``seq`` (where the batch has it) and id.
+    Only sites that receive numbers are looked up: a semi join whose keys
+    prune the other sites' partitions of a stored table."""
+    order = list(order_by) if order_by else [c for c in ("seq", "id") if c in batch.columns]
+    keys = batch.filter(missing("case_no")).select(*group_by).distinct()
+    same = reduce(and_, [existing[c].eqNullSafe(keys[c]) for c in group_by])
+    return number_requests(batch, site_maxima(existing.join(keys, same, "left_semi"), group_by), group_by, order)

@@ -569,9 +569,24 @@ def _change_fields(t: str) -> str:
             f"coalesce({t}.resolved_by, '') AS resolved_by, coalesce({t}.remark, '') AS remark")
 
 
-NUMBERED_SQL = """CASE WHEN coalesce(i.case_no, '') = '' THEN CAST(coalesce(mx.max_no, 0) + row_number() OVER (
-               PARTITION BY i.location, coalesce(i.case_no, '') = '' ORDER BY i.id) AS VARCHAR)
-             ELSE i.case_no END AS case_no"""
+def _requests_one_after_another(requests: str) -> dict[str, str]:
+    """CTEs that go through requests (location, id, seq, kind, case_no) one by
+    one a site: ``numbered`` has each one's number."""
+    return {
+        "queue": f"""SELECT *, row_number() OVER (PARTITION BY location ORDER BY seq, id, case_no NULLS FIRST) AS turn
+            FROM ({requests}) t""",
+        "counted(location, turn, top)": """SELECT DISTINCT q.location, CAST(0 AS BIGINT), coalesce(mx.max_no, 0)
+            FROM queue q LEFT JOIN mx ON q.location = mx.location
+          UNION ALL
+          SELECT q.location, q.turn, CASE WHEN coalesce(q.case_no, '') = '' THEN c.top + 1
+              WHEN regexp_full_match(q.case_no, '[0-9]+') THEN greatest(c.top, CAST(q.case_no AS BIGINT)) ELSE c.top END
+            FROM counted c JOIN queue q ON q.location = c.location AND q.turn = c.turn + 1""",
+        "numbered": """SELECT q.location, q.id, q.kind,
+              CASE WHEN coalesce(q.case_no, '') = '' THEN CAST(c.top AS VARCHAR) ELSE q.case_no END AS case_no
+            FROM queue q JOIN counted c ON c.location = q.location AND c.turn = q.turn""",
+    }
+
+
 _STAMP = f"TIMESTAMP '{CHANGES_AS_OF}'"
 
 APPLY_SQL = with_views("cases", "changes_site", extra={
@@ -590,9 +605,14 @@ APPLY_SQL = with_views("cases", "changes_site", extra={
     "ins0": """SELECT f.* FROM first_ins f LEFT JOIN cases c ON f.id = c.id AND f.location = c.location
         WHERE c.id IS NULL OR f.d IS NOT NULL""",
     "mx": MAX_NO_SQL,
-    "ins": f"""SELECT i.id, {NUMBERED_SQL}, {_change_fields('i')}, {_STAMP} AS created_at, {_STAMP} AS updated_at, i.location
+    **_requests_one_after_another("""SELECT location, id, seq, 'ins' AS kind, case_no FROM ins0
+        UNION ALL SELECT u.location, u.id, u.seq, 'upd', u.case_no FROM last_upd u JOIN cases c
+            ON u.id = c.id AND u.location = c.location WHERE u.d IS NULL AND u.case_no <> ''
+        UNION ALL SELECT u.location, u.id, u.seq, 'upd', u.case_no FROM last_upd u JOIN ins0 f
+            ON u.id = f.id AND u.location = f.location AND u.seq >= f.seq WHERE u.case_no <> ''"""),
+    "ins": f"""SELECT i.id, n.case_no, {_change_fields('i')}, {_STAMP} AS created_at, {_STAMP} AS updated_at, i.location
         FROM (SELECT f.* FROM ins0 f LEFT JOIN last_upd u ON f.id = u.id AND f.location = u.location AND u.seq >= f.seq
-              WHERE u.id IS NULL) i LEFT JOIN mx ON i.location = mx.location
+              WHERE u.id IS NULL) i JOIN numbered n ON i.location = n.location AND i.id = n.id AND n.kind = 'ins'
         UNION ALL
         SELECT u.id, coalesce(u.case_no, '') AS case_no, {_change_fields('u')}, {_STAMP}, {_STAMP}, u.location
         FROM ins0 f JOIN last_upd u ON f.id = u.id AND f.location = u.location AND u.seq >= f.seq""",
@@ -605,10 +625,12 @@ def q_cases_after_changes(spark, sf_dir):
     return changes_op.apply_changes(cases(spark, sf_dir), dtab.changes_with_site(spark, sf_dir), CHANGES_AS_OF)
 
 
-@register("numbered_batch", APPLY_SQL + f"""SELECT i.id, {NUMBERED_SQL}, i.location
-FROM (SELECT * FROM changes_site WHERE op = 'I') i LEFT JOIN mx ON i.location = mx.location""")
+@register("numbered_batch", with_views("cases", "changes_site", extra={
+    "mx": MAX_NO_SQL,
+    **_requests_one_after_another("SELECT location, id, seq, op AS kind, case_no FROM changes_site WHERE op = 'I'"),
+}) + "SELECT id, case_no, location FROM numbered")
 def q_numbered_batch(spark, sf_dir):
-    batch = dtab.changes_with_site(spark, sf_dir).filter(F.col("op") == "I").drop("op", "seq")
+    batch = dtab.changes_with_site(spark, sf_dir).filter(F.col("op") == "I").select("id", "case_no", "location", "seq")
     return numbering.number_batch(batch, cases(spark, sf_dir)).select("id", "case_no", "location")
 
 

@@ -113,7 +113,7 @@ CTES: dict[str, str] = {
              CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
              CAST(NULL AS VARCHAR) AS remark, 'U' AS op, CAST(1 AS BIGINT) AS seq FROM orders WHERE o_orderkey % 97 = 0
       UNION ALL
-      SELECT o_orderkey, 'U-' || CAST(o_orderkey AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
+      SELECT o_orderkey, CASE WHEN o_orderkey % 970 = 0 THEN CAST(o_orderkey + (SELECT max(o_orderkey) FROM orders) AS VARCHAR) ELSE 'U-' || CAST(o_orderkey AS VARCHAR) END AS case_no, CAST(o_orderdate AS DATE) AS case_date,
              o_orderpriority AS issues, 'changed twice' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,
              'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
              CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
@@ -125,7 +125,7 @@ CTES: dict[str, str] = {
              CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
              CAST(NULL AS VARCHAR) AS remark, 'D', 2 FROM orders WHERE o_orderkey % 101 = 0
       UNION ALL
-      SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) + 1, CAST(NULL AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
+      SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) + 1, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey * 7 % (SELECT max(o_orderkey) FROM orders) + (SELECT max(o_orderkey) FROM orders) AS VARCHAR) END AS case_no, CAST(o_orderdate AS DATE) AS case_date,
              o_orderpriority AS issues, 'changed' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,
              'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
              CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
@@ -139,7 +139,7 @@ CTES: dict[str, str] = {
              CAST(NULL AS VARCHAR) AS remark, 'D', 5
       FROM orders WHERE o_orderkey % 991 = 0
       UNION ALL
-      SELECT o_orderkey, 'R-' || CAST(o_orderkey AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
+      SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'R-' || CAST(o_orderkey AS VARCHAR) END AS case_no, CAST(o_orderdate AS DATE) AS case_date,
              o_orderpriority AS issues, 'again' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,
              'ops' AS opened_by, CAST(NULL AS VARCHAR) AS department,
              CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Completed' END AS status, 'a1' AS resolved_by,
@@ -181,4 +181,5 @@ def with_views(*names: str, extra: dict[str, str] | None = None) -> str:
         visit(n)
     parts = [f"{n} AS ({CTES[n]})" for n in order]
     parts += [f"{n} AS ({body})" for n, body in (extra or {}).items()]
-    return "WITH " + ",\n".join(parts) + "\n"
+    # a CTE with named columns is a recursive one
+    return ("WITH RECURSIVE " if any("(" in n for n in extra or {}) else "WITH ") + ",\n".join(parts) + "\n"

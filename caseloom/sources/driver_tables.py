@@ -201,7 +201,8 @@ def changes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change rows for ``apply_changes``: updates (key % 97), deletes
     (key % 101), a second update of some ids (key % 194), inserts of new ids
     above the current maximum (key % 997), a delete of an unknown id, inserts
-    of deleted ids (key % 303) and updates of inserted ones (key % 1994)."""
+    of deleted ids (key % 303) and updates of inserted ones (key % 1994).
+    Numbers are missing, of digits and others, mixed."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     max_key = o.agg(F.max("o_orderkey")).scalar()  # scalar subquery, one value
     k = F.col("o_orderkey")
@@ -225,12 +226,12 @@ def changes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq")))
 
     upd = rows(k % 97 == 0, "U", 1, k)
-    upd2 = rows(k % 194 == 0, "U", 3, k, {"remark": F.lit("second"), "description": F.lit("changed twice")})
+    upd2 = rows(k % 194 == 0, "U", 3, k, {"case_no": F.when(k % 970 == 0, (k + max_key).cast("string")).otherwise(fields["case_no"]), "remark": F.lit("second"), "description": F.lit("changed twice")})
     dele = rows(k % 101 == 0, "D", 2, k)
-    ins = rows(k % 997 == 0, "I", 4, k + max_key + 1, {"case_no": F.lit(None).cast("string")})
+    ins = rows(k % 997 == 0, "I", 4, k + max_key + 1, {"case_no": F.when(k % 4 == 0, (k * 7 % max_key + max_key).cast("string"))})
     unknown = rows(k % 991 == 0, "D", 5, k + max_key + 100_000)
     # inserted again after the delete, and changed after the insert
-    again = rows(k % 303 == 0, "I", 6, k, {"case_no": F.concat(F.lit("R-"), k.cast("string")), "description": F.lit("again")})
+    again = rows(k % 303 == 0, "I", 6, k, {"case_no": F.when(k % 2 == 0, F.concat(F.lit("R-"), k.cast("string"))), "description": F.lit("again")})
     over = rows(k % 1994 == 0, "U", 7, k + max_key + 1, {"description": F.lit("after insert")})
     out = upd
     for part in (upd2, dele, ins, unknown, again, over):

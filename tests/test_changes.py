@@ -81,3 +81,12 @@ def test_ops_of_one_batch_are_folded_in_order(spark):
     assert out[50].description == "changed" and out[50].created_at == AS_OF
     assert (out[1].description, out[1].case_no, out[1].created_at) == ("again", "N-1", AS_OF)
     assert out[52].description == "first" and out[3].description == "d"
+
+
+def test_given_numbers_count_from_their_request_on(spark):
+    def r(i, op, seq, no=None):
+        return (i, no, *[None] * 9, op, seq, "s1")
+
+    ch = spark.createDataFrame([r(50, "I", 1), r(51, "I", 2, "9"), r(52, "I", 3), r(1, "U", 4, "40"), r(53, "I", 5), r(54, "I", 6, "X"), r(55, "I", 7)], CH)
+    out = {x.id: x.case_no for x in changes.apply_changes(_base(spark), ch, AS_OF).collect()}
+    assert {i: out[i] for i in (1, 50, 51, 52, 53, 54, 55)} == {1: "40", 50: "6", 51: "9", 52: "10", 53: "41", 54: "X", 55: "42"}

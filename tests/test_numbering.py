@@ -68,3 +68,53 @@ def test_number_batch_continues_per_site(spark, numbering_path):
                                   "id long, case_no string, location string")
     got = {r.id: r.case_no for r in numbering.number_batch(batch, existing).collect()}
     assert got == {11: "11", 12: "12", 13: "77", 14: "1"}
+
+
+def _one_by_one(existing, batch):
+    """The numbers of requests made one after another."""
+    top, out = {}, {}
+    for site, no in existing:
+        if no and no.isascii() and no.isdigit():
+            top[site] = max(top.get(site, 0), int(no))
+    for seq, i, site, no in sorted(batch, key=lambda r: (r[0], r[1])):
+        if not no:
+            top[site] = top.get(site, 0) + 1
+            no = str(top[site])
+        elif no.isascii() and no.isdigit():
+            top[site] = max(top.get(site, 0), int(no))
+        out[i] = no
+    return out
+
+
+def test_given_and_missing_numbers_mixed(spark):
+    existing = spark.createDataFrame([("100", "s")], "case_no string, location string")
+    batch = spark.createDataFrame([(4, 1, "s", "101"), (3, 2, "s", None), (2, 3, "s", "500"), (1, 4, "s", "")], "id long, seq long, location string, case_no string")
+    got = {r.seq: r.case_no for r in numbering.number_batch(batch, existing).collect()}
+    assert got == {1: "101", 2: "102", 3: "500", 4: "501"}
+
+
+def test_max_plus_scan_equals_one_by_one(spark):
+    import random
+
+    rng = random.Random(9)
+    sites = ["a", "b", None, "c"]
+    existing = [(rng.choice(sites), rng.choice(["7", "X", "0031", "", None])) for _ in range(40)] + [("c", "9" * 18), ("b", "9" * 40)]
+    batch = []
+    for i in range(400):
+        site = rng.choice(["a", "a", "a", "b", None, "c", "new"])
+        no = rng.choice([None, None, "", "Z-1", str(rng.randint(1, 500)), str(10**18 + rng.randint(-3, 3)), "0" * 3 + str(i)] if rng.random() < 0.6 else [None])
+        batch.append((rng.randint(1, 150), i, site, no))
+    want = _one_by_one(existing, batch)
+    rows = spark.createDataFrame(batch, "seq long, id long, location string, case_no string").repartition(7)
+    base = spark.createDataFrame(existing, "location string, case_no string")
+    maxima = numbering.site_maxima(base)
+    for parts in (1, 5, 23):
+        got = {r.id: r.case_no for r in numbering.number_requests(rows, maxima, num_partitions=parts).collect()}
+        assert got == want
+
+
+def test_numbers_carry_between_limbs(spark):
+    existing = spark.createDataFrame([("9" * 17 + "8", "s")], "case_no string, location string")
+    batch = spark.createDataFrame([(i, None, "s") for i in range(3)], "id long, case_no string, location string")
+    got = [r.case_no for r in numbering.number_batch(batch, existing).orderBy("id").collect()]
+    assert got == ["9" * 18, "1" + "0" * 18, "1" + "0" * 17 + "1"]
