@@ -7,238 +7,144 @@ R1 -- lockout rule, per user, over attempts ordered by (ts, event_id):
     ``ts + lock_minutes``.  An expired lock does not reset the counter, so
     the next failure locks again at once.
 
-The fold is sequential per user, but no user's history is gathered in one
-task: attempts are numbered per user (range-partitioned, so a hot user
-spans many partitions) and cut into chunks of at most ``chunk_size``.
-
-  1. per chunk (parallel): a transfer summary -- the chunk's exit state for
-     each entry state.  Entry states are the counter classes 0, 1, 2, 3+
-     (unlocked) and "locked until L", which equals "class 3+ resuming at
-     the first attempt with ts >= L"; only attempts in the chunk's first
-     ``lock_minutes`` can be such a resume point.  One backward pass
-     computes all of them.
-  2. per user: walk the chunk summaries in chunk order (one streaming pass
-     that holds a single chunk's summary at a time) to the entry state of
-     every chunk.
-  3. per chunk (parallel): replay from the resolved entry state, emitting
-     every lock and the chunk's exit state.  Chunks are hash-partitioned
-     and sorted inside each partition, so one pass per partition replays
-     all its chunks (no per-group pandas overhead).
+Users with at most ``chunk_size`` attempts are folded by ``aggregate`` over
+their sorted attempts.  A user with more is never gathered; the fold becomes a
+path in a graph of failures, found by parallel prefix steps:
+
+  1. attempts are numbered over all partitions and cut into chunks; scans run
+     inside chunks and over one row a chunk: the length of the run of failures
+     up to each attempt, and the next failure at which a run reaches
+     ``max_failed`` ("fresh lock").
+  2. the first lock is the first fresh one.  After a lock at p the first
+     attempt with ``ts >= ts_p + lock_minutes`` decides: if it fails it is the
+     next lock, else the next fresh one after it is.  So every failure has one
+     successor, found for all at once by a sorted union of attempts and ends
+     of locks.
+  3. the locks are the path from the first one.  Successors are composed with
+     themselves in every round (2, 4, 8, ... steps on), and the set of reached
+     locks doubles with them: a logarithmic number of joins, each row of fixed
+     size.
+
+Everything is DataFrame code on the JVM.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import sys
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.functions.dates import ntz
 from caseloom.plans.lineage import cut_lineage
 from caseloom.plans.numbering import global_row_number
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 
-# The pandas functions below run in Python workers, which need not have this
-# package installed: ship them by value rather than by module reference.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-DEFAULT_CHUNK = 100_000
-_NAT = np.iinfo(np.int64).min  # "no timestamp" in int64 nanoseconds
-
-SUMMARY_SCHEMA = ("user_id long, chunk long, kind string, entry long, entry_ts timestamp_ntz, "
-                  "first_ts timestamp_ntz, last_ts timestamp_ntz, reset boolean, fails long, "
-                  "l_out timestamp_ntz, locks long, last_lock timestamp_ntz")
-ENTRY_SCHEMA = "user_id long, chunk long, a_in long, l_in timestamp_ntz"
-REPLAY_SCHEMA = ("user_id long, chunk long, kind string, ts timestamp_ntz, locked_until timestamp_ntz, "
-                 "attempts long")
-
-
-def _ns(values) -> np.ndarray:
-    return pd.to_datetime(pd.Series(values)).astype("datetime64[ns]").values.astype(np.int64)
-
-
-def _ts(v: int):
-    return pd.NaT if v == _NAT else pd.Timestamp(v)
-
-
-def _chunk_summary(pdf: pd.DataFrame, max_failed: int, lock_ns: int) -> pd.DataFrame:
-    """Transfer summary of one chunk (backward pass over its attempts)."""
-    pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    ts_arr = _ns(pdf["ts"])
-    ts = ts_arr.tolist()
-    ok = pdf["ok"].to_numpy(dtype=bool).tolist()
-    n = len(ts)
-    nxt = np.searchsorted(ts_arr, ts_arr + lock_ns, side="left").tolist()
-    top = max_failed  # classes 0 .. max_failed-1, and max_failed = "at or above the limit"
-    end = (False, 0, _NAT, 0, _NAT)  # (reset, fails, l_out, locks, last_lock)
-    # res[i][x]: exit when entering position i unlocked in class x
-    res: list[list[tuple] | None] = [None] * (n + 1)
-    res[n] = [end] * (top + 1)
-    for i in range(n - 1, -1, -1):
-        nxt_row = res[i + 1]
-        if ok[i]:
-            r0 = nxt_row[0]
-            res[i] = [(True, r0[1], r0[2], r0[3], r0[4])] * (top + 1)
-            continue
-        until = ts[i] + lock_ns
-        k = nxt[i]
-        if k >= n:
-            lk = (False, 1, until, 1, ts[i])
-        else:
-            r_reset, r_f, r_l, r_n, r_last = res[k][top]
-            lk = (r_reset, r_f if r_reset else r_f + 1, r_l if (r_reset or r_n > 0) else until, r_n + 1,
-                  r_last if r_n > 0 else ts[i])
-        row = []
-        for x in range(top + 1):
-            if x + 1 >= max_failed:
-                row.append(lk)
-            else:
-                y = nxt_row[x + 1]
-                row.append(y if y[0] else (False, y[1] + 1, y[2], y[3], y[4]))
-        res[i] = row
-    uid, chunk = int(pdf["user_id"].iloc[0]), int(pdf["chunk"].iloc[0])
-    first_ts, last_ts = _ts(ts[0]), _ts(ts[-1])
-    rows = []
-    for x in range(top + 1):
-        r = res[0][x]
-        rows.append((uid, chunk, "U", x, pd.NaT, first_ts, last_ts, r[0], r[1], _ts(r[2]), r[3], _ts(r[4])))
-    m = int(np.searchsorted(ts_arr, ts[0] + lock_ns, side="left"))
-    for j in range(1, min(m, n - 1) + 1):
-        r = res[j][top]
-        rows.append((uid, chunk, "L", j, _ts(ts[j]), first_ts, last_ts, r[0], r[1], _ts(r[2]), r[3], _ts(r[4])))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMARY_SCHEMA.split(", ")])
-
-
-def _chunk_exit(rows: list[tuple], a: int, lk: int, top: int) -> tuple[int, int]:
-    """Apply one chunk's summary rows to the state (a, locked_until)."""
-    first_ts, last_ts = rows[0][_F_FIRST], rows[0][_F_LAST]
-    if lk != _NAT and lk > last_ts:
-        return a, lk  # the whole chunk falls inside the lock
-    if lk != _NAT and lk > first_ts:
-        lrows = sorted((r for r in rows if r[_F_KIND] == "L"), key=lambda r: r[_F_ENTRY])
-        pos = int(np.searchsorted(np.array([r[_F_ENTRY_TS] for r in lrows], dtype=np.int64), lk, side="left"))
-        row = lrows[pos]
-    else:
-        row = next(r for r in rows if r[_F_KIND] == "U" and r[_F_ENTRY] == min(a, top))
-    reset, fails, l_out, locks = row[_F_RESET], row[_F_FAILS], row[_F_LOUT], row[_F_LOCKS]
-    a = fails if reset else a + fails
-    if reset or locks > 0:
-        lk = l_out
-    return a, lk
-
-
-_F_USER, _F_CHUNK, _F_KIND, _F_ENTRY, _F_ENTRY_TS, _F_FIRST, _F_LAST, _F_RESET, _F_FAILS, _F_LOUT, _F_LOCKS = range(11)
-
-
-def _stitch_partition(batches, max_failed: int):
-    """Walk chunk summaries in (user, chunk) order -- one pass per
-    partition, holding only the current chunk's rows -- and emit the entry
-    state of every following chunk (chunk 0 starts at 0, unlocked)."""
-    top = max_failed
-    user, chunk, rows = None, None, []
-    a, lk = 0, _NAT
-    out: list[tuple] = []
-
-    def flush():
-        nonlocal a, lk
-        a, lk = _chunk_exit(rows, a, lk, top)
-        out.append((user, chunk + 1, a, _ts(lk)))
-
-    for pdf in batches:
-        cols = [pdf["user_id"].tolist(), pdf["chunk"].tolist(), pdf["kind"].tolist(), pdf["entry"].tolist(),
-                _ns(pdf["entry_ts"]).tolist(), _ns(pdf["first_ts"]).tolist(), _ns(pdf["last_ts"]).tolist(),
-                pdf["reset"].tolist(), pdf["fails"].tolist(), _ns(pdf["l_out"]).tolist(), pdf["locks"].tolist()]
-        for r in zip(*cols):
-            if (r[_F_USER], r[_F_CHUNK]) != (user, chunk):
-                if rows:
-                    flush()
-                if r[_F_USER] != user:
-                    a, lk = 0, _NAT
-                user, chunk, rows = r[_F_USER], r[_F_CHUNK], []
-            rows.append(r)
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "chunk", "a_in", "l_in"])
-            out = []
-    if rows:
-        flush()
-        yield pd.DataFrame(out, columns=["user_id", "chunk", "a_in", "l_in"])
-
-
-def _replay_partition(batches, max_failed: int, lock_ns: int):
-    """Replay every chunk of one partition.  Rows arrive sorted by
-    (user_id, chunk, ts, event_id); a chunk may continue into the next Arrow
-    batch, so the running state is carried across batches."""
-    cols = ["user_id", "chunk", "kind", "ts", "locked_until", "attempts"]
-    key = None
-    a, lk = 0, _NAT
-    for pdf in batches:
-        out = []
-        users = pdf["user_id"].tolist()
-        chunks = pdf["chunk"].tolist()
-        a_in = pdf["a_in"].tolist()
-        l_in = _ns(pdf["l_in"]).tolist() if pdf["l_in"].notna().any() else [_NAT] * len(pdf)
-        ts = _ns(pdf["ts"]).tolist()
-        oks = pdf["ok"].tolist()
-        for u, c, ai, li, t, good in zip(users, chunks, a_in, l_in, ts, oks):
-            if (u, c) != key:
-                if key is not None:
-                    out.append((key[0], key[1], "exit", _NAT, lk, a))
-                key = (u, c)
-                a = 0 if ai is None or ai != ai else int(ai)
-                lk = li
-            if lk != _NAT and t < lk:
-                continue
-            if good:
-                a, lk = 0, _NAT
-                continue
-            a += 1
-            if a >= max_failed:
-                lk = t + lock_ns
-                out.append((u, c, "lock", t, lk, a))
-        if out:
-            yield _replay_frame(out, cols)
-    if key is not None:
-        yield _replay_frame([(key[0], key[1], "exit", _NAT, lk, a)], cols)
-
-
-def _replay_frame(rows, cols) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=cols)
-    for c in ("ts", "locked_until"):
-        v = df[c].to_numpy(dtype=np.int64)
-        df[c] = pd.to_datetime(np.where(v == _NAT, np.datetime64("NaT"), v.astype("datetime64[ns]")))
-    return df
-
-
-def lockout_replay(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
+DEFAULT_CHUNK = 50_000
+LOCKS_SCHEMA = "array<struct<ts:timestamp_ntz,locked_until:timestamp_ntz,attempts:bigint>>"
+
+
+def _placed(attempts: DataFrame) -> DataFrame:
+    return attempts.select("user_id", "event_id", "ts", "ok").filter(F.col("ts").isNotNull() & F.col("user_id").isNotNull())
+
+
+def _fold(ev: DataFrame, max_failed: int, lock: Column) -> DataFrame:
+    """user_id, attempts, locked_until and locks of users with few attempts."""
+    none = F.lit(None).cast("timestamp_ntz")
+    start = F.struct(F.lit(0).cast("long").alias("a"), none.alias("lu"), F.array().cast(LOCKS_SCHEMA).alias("locks"))
+
+    def step(s: Column, x: Column) -> Column:
+        until, many = x["ts"] + lock, s["a"] + 1
+        hit = F.struct(x["ts"].alias("ts"), until.alias("locked_until"), many.alias("attempts"))
+        locked = F.struct(many.alias("a"), until.alias("lu"), F.concat(s["locks"], F.array(hit)).alias("locks"))
+        failed = F.when(many >= max_failed, locked).otherwise(F.struct(many.alias("a"), s["lu"].alias("lu"), s["locks"].alias("locks")))
+        reset = F.struct(F.lit(0).cast("long").alias("a"), none.alias("lu"), s["locks"].alias("locks"))
+        return F.when(s["lu"].isNotNull() & (x["ts"] < s["lu"]), s).when(x["ok"], reset).otherwise(failed)
+
+    listed = ev.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "ok"))).alias("_x"))
+    done = listed.select("user_id", F.aggregate("_x", start, step).alias("_s"))
+    return done.select("user_id", F.col("_s.a").alias("attempts"), F.col("_s.lu").alias("locked_until"), F.col("_s.locks").alias("locks"))
+
+
+def _scan(df: DataFrame, order: str, value: Column, out: str, following: bool) -> DataFrame:
+    """``out``: the greatest ``value`` up to each row, or the least after it
+    (``following``), over a user's rows in ``order``; ``chunk`` grows with it."""
+    agg = F.min if following else F.max
+    w = Window.partitionBy("user_id", "chunk").orderBy(order)
+    w = w.rowsBetween(1, Window.unboundedFollowing) if following else w.rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.partitionBy("user_id").orderBy("chunk")
+    over = over.rowsBetween(1, Window.unboundedFollowing) if following else over.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_v", value)
+    ends = df.groupBy("user_id", "chunk").agg(agg("_v").alias("_end")).withColumn("_carry", agg("_end").over(over)).drop("_end")
+    out_col = F.coalesce(agg("_v").over(w), F.col("_carry"))
+    return df.join(ends, ["user_id", "chunk"]).withColumn(out, out_col).drop("_v", "_carry")
+
+
+def _chunked(df: DataFrame, order: list, out: str, chunk_size: int) -> DataFrame:
+    """Numbered over all partitions, whatever a user's size, and cut."""
+    df = global_row_number(df, order, out_col=out, partition_by=["user_id"], window_group_rows=0)
+    return df.withColumn("chunk", F.floor((F.col(out) - 1) / chunk_size).cast("long"))
+
+
+def lock_path(ev: DataFrame, max_failed: int, lock: Column, chunk_size: int) -> tuple[DataFrame, DataFrame]:
+    """(locks, ends) of users with many attempts: every lock (user_id, n, ts,
+    again: right after the one before), and each user's last attempt (user_id,
+    run: failures in a row up to it)."""
+    ev = cut_lineage(_chunked(ev, ["ts", "event_id"], "n", chunk_size))
+    n = F.col("n")
+    runs = _scan(ev, "n", F.when(F.col("ok"), n), "_ok", following=False).withColumn("run", n - F.coalesce("_ok", F.lit(0))).drop("_ok")
+    runs = cut_lineage(_scan(runs, "n", F.when(~F.col("ok") & (F.col("run") == max_failed), n), "fresh", following=True))
+    # the first attempt at or after the end of a lock at each failure
+    ends = runs.filter(~F.col("ok")).select("user_id", (F.col("ts") + lock).alias("ts"), n.alias("p"))
+    both = ends.select("user_id", "ts", "p", F.lit(None).cast("long").alias("n")).unionByName(runs.select("user_id", "ts", F.lit(None).cast("long").alias("p"), "n"))
+    # an end stands before the attempts of its time
+    both = _chunked(both, ["ts", F.coalesce("n", F.lit(0)), F.coalesce("p", F.lit(0))], "m", chunk_size)
+    after = _scan(both, "m", n, "k", following=True).filter(F.col("p").isNotNull() & F.col("k").isNotNull()).select("user_id", "p", "k")
+    at = runs.select("user_id", n.alias("k"), "ok", "fresh")
+    hops = after.join(at, ["user_id", "k"]).select("user_id", "p", F.when(F.col("ok"), F.col("fresh")).otherwise(F.col("k")).alias("q"), (~F.col("ok")).alias("again"))
+    hops = cut_lineage(hops.filter(F.col("q").isNotNull()))
+    first = runs.filter(~F.col("ok") & (F.col("run") == max_failed)).groupBy("user_id").agg(F.min("n").alias("p"))
+    reached, jump = cut_lineage(first), hops.select("user_id", "p", "q")
+    while True:
+        new = cut_lineage(reached.join(jump, ["user_id", "p"]).select("user_id", F.col("q").alias("p")))
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new)
+        jump = cut_lineage(jump.join(jump.select("user_id", F.col("p").alias("q"), F.col("q").alias("_r")), ["user_id", "q"]).select("user_id", "p", F.col("_r").alias("q")))
+    # a lock that follows at once is the next of one on the path
+    again = reached.join(hops.filter("again"), ["user_id", "p"]).select("user_id", F.col("q").alias("p"), F.lit(True).alias("again"))
+    locks = reached.join(again, ["user_id", "p"], "left").withColumnRenamed("p", "n").join(runs.select("user_id", "n", "ts"), ["user_id", "n"])
+    locks = locks.select("user_id", "n", "ts", F.coalesce("again", F.lit(False)).alias("again"))
+    # what a last lock leaves: nothing after it, or a success that cleared it
+    last = runs.groupBy("user_id").agg(F.max_by("run", "n").alias("run"), F.max("ts").alias("last_ts"))
+    return locks, last
+
+
+def lockout_states(attempts: DataFrame, max_failed: int = MAX_FAILED_ATTEMPTS,
                    lock_minutes: int = LOCKOUT_MINUTES, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
-    """R1 core: (user_id, chunk, kind, ts, locked_until, attempts) rows --
-    kind 'lock' for every lock, 'exit' for each chunk's exit state.  Attempts
+    """R1 core, one row a user: attempts and locked_until at the end, and the
+    locks (ts, locked_until, attempts) in order; a user's locks are at least
+    ``lock_minutes`` apart, so their number is bounded by time.  Attempts
     without a user (unknown accounts keep no counter) or without a time take
     no part; ``unplaced_attempts`` counts them."""
-    lock_ns = int(dt.timedelta(minutes=lock_minutes).total_seconds() * 1e9)
-    ev = attempts.select("user_id", "event_id", "ts", "ok").filter(F.col("ts").isNotNull() & F.col("user_id").isNotNull())
-    ev = global_row_number(ev, ["ts", "event_id"], out_col="_n", partition_by=["user_id"], materialize_first=False)
-    ev = ev.withColumn("chunk", F.floor((F.col("_n") - 1) / chunk_size).cast("long")).drop("_n")
-    ev = cut_lineage(ev)  # read three times below: number once, survive executor loss
-
-    # Only chunks followed by another chunk of the same user need a summary;
-    # users with several chunks (over chunk_size attempts) are few, so their
-    # list is broadcast behind a size check and the attempts are not shuffled.
-    multi = (ev.groupBy("user_id").agg(F.max("chunk").alias("_last")).filter(F.col("_last") > 0))
-    multi = cut_lineage(multi)
-    inner = ev.join(multi, "user_id").filter(F.col("chunk") < F.col("_last")).drop("_last")
-    summary = inner.groupBy("user_id", "chunk").applyInPandas(
-        lambda p: _chunk_summary(p, max_failed, lock_ns), SUMMARY_SCHEMA)
-    entries = (summary.repartition("user_id").sortWithinPartitions("user_id", "chunk", "kind", "entry")
-                      .mapInPandas(lambda it: _stitch_partition(it, max_failed), ENTRY_SCHEMA))
-    entries = cut_lineage(entries)
-    staged = (ev.join(entries, ["user_id", "chunk"], "left")
-                .repartition("user_id", "chunk")
-                .sortWithinPartitions("user_id", "chunk", "ts", "event_id"))
-    return staged.mapInPandas(lambda it: _replay_partition(it, max_failed, lock_ns), REPLAY_SCHEMA)
+    lock = F.make_dt_interval(mins=F.lit(lock_minutes))
+    ev = _placed(attempts)
+    many = cut_lineage(ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_size).select("user_id"))
+    if many.isEmpty():
+        return _fold(ev, max_failed, lock)
+    few = _fold(ev.join(many, "user_id", "left_anti"), max_failed, lock)
+    locks, last = lock_path(ev.join(many, "user_id", "left_semi"), max_failed, lock, chunk_size)
+    by_n = Window.partitionBy("user_id").orderBy("n")
+    # locks in a row add 1 to the counter, a fresh one starts at max_failed
+    locks = locks.withColumn("_group", F.sum((~F.col("again")).cast("int")).over(by_n))
+    count = F.row_number().over(Window.partitionBy("user_id", "_group").orderBy("n")) + (max_failed - 1)
+    hit = F.struct("ts", (F.col("ts") + lock).alias("locked_until"), count.cast("long").alias("attempts"))
+    locks = locks.select("user_id", hit.alias("_l")).groupBy("user_id").agg(F.array_sort(F.collect_list("_l")).cast(LOCKS_SCHEMA).alias("locks"))
+    end = F.try_element_at("locks", F.lit(-1))
+    open_ = F.coalesce(F.col("last_ts") < end["locked_until"], F.lit(False))
+    hot = last.join(locks, "user_id", "left").select(
+        "user_id", F.when(open_, end["attempts"]).otherwise(F.col("run")).alias("attempts"),
+        F.when(open_, end["locked_until"]).alias("locked_until"), F.coalesce("locks", F.array().cast(LOCKS_SCHEMA)).alias("locks"))
+    return few.unionByName(hot)
 
 
 def unplaced_attempts(attempts: DataFrame) -> DataFrame:
@@ -251,25 +157,16 @@ def unplaced_attempts(attempts: DataFrame) -> DataFrame:
 
 def lockout_events(attempts: DataFrame, **kw) -> DataFrame:
     """Every lock as (user_id, locked_at, locked_until, attempts)."""
-    rep = lockout_replay(attempts, **kw)
-    return rep.filter(F.col("kind") == "lock").select("user_id", F.col("ts").alias("locked_at"), "locked_until",
-                                                      "attempts")
+    return lockout_states(attempts, **kw).select("user_id", F.explode("locks").alias("_l")).select(
+        "user_id", F.col("_l.ts").alias("locked_at"), "_l.locked_until", "_l.attempts")
 
 
 def lockout_audit(attempts: DataFrame, **kw) -> DataFrame:
     """R1 per user: final failed_attempts, final locked_until (kept after
     expiry, cleared by a success), number of locks, last lock time."""
-    rep = lockout_replay(attempts, **kw)
-    is_exit, is_lock = F.col("kind") == "exit", F.col("kind") == "lock"
-    # one aggregate over the replay: the last chunk's exit state, lock count
-    # and last lock (max_by ignores rows whose ordering value is NULL)
-    per_user = rep.groupBy("user_id").agg(
-        F.max_by(F.struct("attempts", "locked_until"), F.when(is_exit, F.col("chunk"))).alias("_f"),
-        F.count(F.when(is_lock, F.lit(1))).alias("n_locks"),
-        F.max(F.when(is_lock, F.col("ts"))).alias("last_lock"))
-    return per_user.select("user_id", F.col("_f.attempts").alias("attempts"),
-                           F.col("_f.locked_until").alias("locked_until"),
-                           F.col("n_locks").cast("long").alias("n_locks"), "last_lock")
+    return lockout_states(attempts, **kw).select(
+        "user_id", "attempts", "locked_until", F.size("locks").cast("long").alias("n_locks"),
+        F.try_element_at("locks", F.lit(-1))["ts"].alias("last_lock"))
 
 
 # ---------------------------------------------------------------------- R2

@@ -652,28 +652,45 @@ def q_purge_count(spark, sf_dir):
 TOKEN_AS_OF = dt.datetime(2024, 1, 15, 12, 0)
 LOCKOUT_FOLD_SQL = with_views("attempts").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
 a AS (
-  SELECT user_id, ts, ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM attempts),
-fold(user_id, rn, cnt, lu, locks, last_lock) AS (
+  SELECT user_id, ts, ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM attempts
+  WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+fold(user_id, rn, cnt, lu, locks, last_lock, locked_now, ts) AS (
   SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(0 AS BIGINT),
-         CAST(NULL AS TIMESTAMP) FROM a
+         CAST(NULL AS TIMESTAMP), FALSE, CAST(NULL AS TIMESTAMP) FROM a
   UNION ALL
   SELECT f.user_id, a.rn,
     CASE WHEN f.lu IS NOT NULL AND a.ts < f.lu THEN f.cnt WHEN a.ok THEN 0 ELSE f.cnt + 1 END,
     CASE WHEN f.lu IS NOT NULL AND a.ts < f.lu THEN f.lu WHEN a.ok THEN NULL
          WHEN f.cnt + 1 >= 3 THEN a.ts + INTERVAL 30 MINUTE ELSE f.lu END,
     f.locks + CASE WHEN (f.lu IS NULL OR a.ts >= f.lu) AND NOT a.ok AND f.cnt + 1 >= 3 THEN 1 ELSE 0 END,
-    CASE WHEN (f.lu IS NULL OR a.ts >= f.lu) AND NOT a.ok AND f.cnt + 1 >= 3 THEN a.ts ELSE f.last_lock END
+    CASE WHEN (f.lu IS NULL OR a.ts >= f.lu) AND NOT a.ok AND f.cnt + 1 >= 3 THEN a.ts ELSE f.last_lock END,
+    (f.lu IS NULL OR a.ts >= f.lu) AND NOT a.ok AND f.cnt + 1 >= 3, a.ts
   FROM fold f JOIN a ON a.user_id = f.user_id AND a.rn = f.rn + 1)
 """
+LOCKOUT_AUDIT_SQL = LOCKOUT_FOLD_SQL + """
+SELECT f.user_id, f.cnt AS attempts, f.lu AS locked_until, f.locks AS n_locks, f.last_lock
+FROM fold f JOIN (SELECT user_id, max(rn) AS rn FROM a GROUP BY user_id) m ON f.user_id = m.user_id AND f.rn = m.rn"""
 
 
-@register("lockout_audit", LOCKOUT_FOLD_SQL + """
-SELECT f.user_id, f.cnt AS attempts, f.lu AS locked_until, f.locks AS n_locks, f.last_lock
-FROM fold f JOIN (SELECT user_id, max(rn) AS rn FROM a GROUP BY user_id) m ON f.user_id = m.user_id AND f.rn = m.rn""")
+@register("lockout_audit", LOCKOUT_AUDIT_SQL)
 def q_lockout_audit(spark, sf_dir):
     return audit.lockout_audit(dtab.attempts_view(spark, sf_dir))
 
 
+@register("lockout_audit_long", LOCKOUT_AUDIT_SQL)
+def q_lockout_audit_long(spark, sf_dir):
+    """R1 with every user of more than 8 attempts taken as a long one, whose
+    locks are found in log rounds."""
+    return audit.lockout_audit(dtab.attempts_view(spark, sf_dir), chunk_size=8)
+
+
+@register("lockout_unplaced", with_views("attempts") + """
+SELECT count(*) FILTER (WHERE user_id IS NULL) AS no_user, count(*) FILTER (WHERE user_id IS NOT NULL AND ts IS NULL) AS no_time
+FROM attempts""")
+def q_lockout_unplaced(spark, sf_dir):
+    return audit.unplaced_attempts(dtab.attempts_view(spark, sf_dir))
+
+
 @register("latest_valid", with_views("tokens") + f"""
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY email, purpose ORDER BY created_at DESC, id DESC) AS rn FROM tokens
@@ -789,13 +806,7 @@ def q_by_issues(spark, sf_dir):
     return report.by_issues(cases(spark, sf_dir))
 
 
-@register("lockout_events", LOCKOUT_FOLD_SQL.replace(
-    "fold(user_id, rn, cnt, lu, locks, last_lock) AS (",
-    "fold(user_id, rn, cnt, lu, locks, last_lock, locked_now, ts) AS (").replace(
-    "CAST(NULL AS TIMESTAMP) FROM a", "CAST(NULL AS TIMESTAMP), FALSE, CAST(NULL AS TIMESTAMP) FROM a").replace(
-    "THEN a.ts ELSE f.last_lock END\n",
-    "THEN a.ts ELSE f.last_lock END,\n"
-    "    (f.lu IS NULL OR a.ts >= f.lu) AND NOT a.ok AND f.cnt + 1 >= 3, a.ts\n") + """
+@register("lockout_events", LOCKOUT_FOLD_SQL + """
 SELECT user_id, ts AS locked_at, lu AS locked_until, cnt AS attempts FROM fold WHERE locked_now""")
 def q_lockout_events(spark, sf_dir):
     return audit.lockout_events(dtab.attempts_view(spark, sf_dir))
@@ -823,20 +834,35 @@ def q_stored_changes(spark, sf_dir):
     return scan_cases(spark, path)
 
 
-@register("lockout_stream_audit", LOCKOUT_FOLD_SQL + """
-SELECT f.user_id, f.cnt AS attempts, f.lu AS locked_until, f.locks AS n_locks, f.last_lock
-FROM fold f JOIN (SELECT user_id, max(rn) AS rn FROM a GROUP BY user_id) m ON f.user_id = m.user_id AND f.rn = m.rn""")
-def q_lockout_stream_audit(spark, sf_dir):
-    """R1 as Structured Streaming: the attempts stream through the stateful
-    lockout fold (watermark delay 0: a static file arrives in order), run
-    until the available input is consumed; the last update per user."""
-    from caseloom.streaming import lockout_stream_final, start_lockout_stream
+def _lockout_updates(spark, sf_dir):
+    """The attempts stream through the stateful lockout fold (watermark delay
+    0: a static file arrives in order), run until the available input is
+    consumed."""
+    from caseloom.streaming import start_lockout_stream
     out = staging_path(spark, "lockout-stream-out")
     q = start_lockout_stream(dtab.attempts_stream(spark, sf_dir), "parquet", out,
                              name=f"lockout_{uuid.uuid4().hex[:8]}", available_now=True, watermark="0 seconds")
     q.awaitTermination()
-    return lockout_stream_final(spark.read.parquet(out)).select("user_id", "attempts", "locked_until", "n_locks",
-                                                                "last_lock")
+    return spark.read.parquet(out)
+
+
+@register("lockout_stream_audit", LOCKOUT_AUDIT_SQL)
+def q_lockout_stream_audit(spark, sf_dir):
+    """R1 as Structured Streaming: the last update per user."""
+    from caseloom.streaming import lockout_stream_final
+    return lockout_stream_final(_lockout_updates(spark, sf_dir)).select("user_id", "attempts", "locked_until", "n_locks",
+                                                                        "last_lock")
+
+
+@register("lockout_stream_counts", with_views("attempts") + """
+SELECT count(*) FILTER (WHERE user_id IS NOT NULL AND ts IS NOT NULL) AS applied, CAST(0 AS BIGINT) AS pending,
+       CAST(0 AS BIGINT) AS late, count(*) FILTER (WHERE user_id IS NOT NULL AND ts IS NULL) AS no_time,
+       count(*) FILTER (WHERE user_id IS NULL) AS no_user
+FROM attempts""")
+def q_lockout_stream_counts(spark, sf_dir):
+    """R1 on the stream: every attempt that arrived, by what became of it."""
+    from caseloom.streaming import lockout_stream_counts
+    return lockout_stream_counts(_lockout_updates(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- stored dimensions, guards, collation, order

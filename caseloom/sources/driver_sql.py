@@ -80,7 +80,8 @@ CTES: dict[str, str] = {
         CAST(NULL AS VARCHAR) AS "Remark",
         o_orderkey AS _row
       FROM orders""",
-    "attempts": """SELECT event_id, user_id, ts, event_type = 'click' AS ok
+    "attempts": """SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN user_id END AS user_id,
+        CASE WHEN event_id % 89 <> 0 THEN ts END AS ts, event_type = 'click' AS ok
       FROM events WHERE event_type IN ('error', 'click')""",
     "tokens": """SELECT event_id AS id, CAST(user_id AS VARCHAR) AS email, CAST(event_id AS VARCHAR) AS otp_code,
              CASE WHEN event_id % 2 = 0 THEN 'register' ELSE 'reset_password' END AS purpose,

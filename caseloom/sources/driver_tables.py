@@ -176,11 +176,17 @@ def import_raw_view(spark: SparkSession, sf_dir: str, with_status: bool = True,
     return o.select(*cols)
 
 
-def attempts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Login attempts: ``error`` events fail, ``click`` events succeed."""
-    e = table(spark, sf_dir, "events")
+def _attempts(e: DataFrame) -> DataFrame:
+    i = F.col("event_id")
     return (e.filter(F.col("event_type").isin("error", "click"))
-             .select("event_id", "user_id", "ts", (F.col("event_type") == "click").alias("ok")))
+             .select("event_id", F.when(i % 97 != 0, F.col("user_id")).alias("user_id"), F.when(i % 89 != 0, F.col("ts")).alias("ts"),
+                     (F.col("event_type") == "click").alias("ok")))
+
+
+def attempts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Login attempts: ``error`` events fail, ``click`` events succeed; some
+    have no user (id % 97) or no time (id % 89)."""
+    return _attempts(table(spark, sf_dir, "events"))
 
 
 def tokens_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,6 +311,4 @@ def attempts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``attempts_view`` as a stream over the events file (a file stream
     source takes a folder or a glob, so the file is named by a glob)."""
     schema = table(spark, sf_dir, "events").schema
-    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events[.]parquet")
-    return (e.filter(F.col("event_type").isin("error", "click"))
-             .select("event_id", "user_id", "ts", (F.col("event_type") == "click").alias("ok")))
+    return _attempts(spark.readStream.schema(schema).parquet(f"{sf_dir}/events[.]parquet"))

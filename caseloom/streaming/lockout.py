@@ -1,17 +1,21 @@
 """R1 on a stream: the lockout rule as per-user state.
 
-The fold depends on the order of attempts, so arrivals are not applied
-as they come: ``applyInPandasWithState`` keeps per user the fold state
-(attempts, locked_until, locks, last lock, position of the last applied
-attempt) and a buffer of attempts not yet applied.  An attempt is applied,
-in (ts, event_id) order, once the watermark has passed it; attempts within
-the watermark delay may therefore arrive in any order and still give the
-batch result.  Event-time timers release a user's buffer when the watermark
-moves past its earliest attempt; the few scalars of a user stay for good, as
-only a success resets the counters.  Rows behind the watermark are
-dropped by the engine; an attempt at or before the last applied position
-is counted in ``late`` and not applied.  For very many users configure the
-RocksDB state store provider.
+The fold depends on the order of attempts, so arrivals are not applied as
+they come: ``transformWithStateInPandas`` keeps per user, in RocksDB, the fold
+state as a value and the attempts not yet applied as a list.  An attempt is
+applied, in (ts, event_id) order, once the watermark has reached it; attempts
+within the watermark delay may arrive in any order and still give the batch
+result.  An event-time timer just before a user's earliest waiting attempt
+releases it, so the attempt with the stream's largest time is applied too.
+
+Nothing is dropped without a count.  The event-time column sets the watermark
+and does not reach the stateful operator, so the engine filters no late rows:
+an attempt at or before its user's last applied one is counted in ``late``, an
+attempt without a time in ``no_time``, and attempts without a user in rows of
+their own (``user_id`` NULL, dealt over ``LANES`` lanes by a hash, as they may
+be many), in ``no_user``.
+
+The few scalars of a user stay for good, as only a success resets them.
 """
 
 from __future__ import annotations
@@ -20,92 +24,150 @@ import datetime as dt
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 
-# The pandas functions below run in Python workers, which need not have this
+# The functions below run in Python workers, which need not have this
 # package installed: ship them by value rather than by module reference.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OUTPUT_SCHEMA = ("user_id long, attempts long, locked_until timestamp_ntz, n_locks long, "
-                 "last_lock timestamp_ntz, late long, pending long, applied long")
-STATE_SCHEMA = ("attempts long, locked_until timestamp_ntz, n_locks long, last_lock timestamp_ntz, "
-                "last_ts timestamp_ntz, last_id long, late long, applied long, "
-                "buf_ts array<timestamp_ntz>, buf_id array<long>, buf_ok array<boolean>")
-_COLS = ["user_id", "attempts", "locked_until", "n_locks", "last_lock", "late", "pending", "applied"]
-
-
-def _ms(t: pd.Timestamp) -> int:
-    return int(t.value // 1_000_000)  # NTZ wall clock read as UTC, like the event-time column
-
-
-def _opt_ts(v):
-    return None if v is None or (not isinstance(v, (list, tuple)) and pd.isna(v)) else pd.Timestamp(v)
-
-
-def _fold(max_failed: int, lock: dt.timedelta):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (user_id,) = key
-        if state.exists:
-            a, lu, n, last, pos_ts, pos_id, late, applied, b_ts, b_id, b_ok = state.get
-            lu, last, pos_ts = _opt_ts(lu), _opt_ts(last), _opt_ts(pos_ts)
-            buf = [(pd.Timestamp(t), int(i), bool(o)) for t, i, o in zip(b_ts or [], b_id or [], b_ok or [])]
-        else:
-            a, lu, n, last, pos_ts, pos_id, late, applied, buf = 0, None, 0, None, None, None, 0, 0, []
-        for pdf in pdfs:
-            buf.extend((pd.Timestamp(t), int(i), bool(o)) for t, i, o in zip(pdf["ts"], pdf["event_id"], pdf["ok"]))
-        wm = state.getCurrentWatermarkMs()
-        buf.sort(key=lambda e: (e[0], e[1]))
-        keep = []
-        for t, eid, ok in buf:
-            if _ms(t) > wm:
-                keep.append((t, eid, ok))  # not yet final: wait for the watermark
-                continue
-            if pos_ts is not None and (t, eid) <= (pos_ts, pos_id):
-                late += 1
+LANES = 32
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+OUTPUT_SCHEMA = ("user_id long, lane int, attempts long, locked_until timestamp_ntz, n_locks long, last_lock timestamp_ntz, "
+                 "late long, no_time long, no_user long, pending long, applied long, version long")
+#: Times are microseconds; NULL stands for none.
+STATE_SCHEMA = ("attempts long, locked_until long, n_locks long, last_lock long, last_ts long, last_id long, late long, "
+                "no_time long, no_user long, pending long, applied long, next_ts long, version long")
+WAITING_SCHEMA = "ts long, event_id long, ok boolean"
+_FIELDS = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
+_COLS = [c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]
+
+
+def _time(us: int | None):
+    return pd.NaT if us is None else pd.Timestamp(us, unit="us")
+
+
+class LockoutProcessor(StatefulProcessor):
+    """The lockout rule for one (user_id, lane)."""
+
+    def __init__(self, max_failed: int, lock_us: int):
+        self.max_failed, self.lock_us = max_failed, lock_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("user", STATE_SCHEMA)
+        self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
+
+    def _load(self) -> dict:
+        if self.state.exists():
+            return dict(zip(_FIELDS, self.state.get()))
+        return dict.fromkeys(_FIELDS, 0) | dict.fromkeys(("locked_until", "last_lock", "last_ts", "last_id", "next_ts"))
+
+    def _store(self, key, s: dict, timer: int | None) -> Iterator[pd.DataFrame]:
+        """Keeps the state, moves the timer (``timer`` is the one set so far)
+        and gives the user's row."""
+        wanted = None if s["next_ts"] is None else s["next_ts"] // 1000 - 1
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        s["version"] += 1
+        self.state.update(tuple(s[c] for c in _FIELDS))
+        row = {"user_id": None if key[1] else key[0], "lane": key[1]} | s | {"locked_until": _time(s["locked_until"]), "last_lock": _time(s["last_lock"])}
+        out = pd.DataFrame([[row[c] for c in _COLS]], columns=_COLS)
+        out["user_id"] = out["user_id"].astype("Int64")
+        for c in ("locked_until", "last_lock"):
+            out[c] = pd.to_datetime(out[c])
+        yield out
+
+    def _apply(self, s: dict, due: list[tuple[int, int, bool]]) -> None:
+        for t, eid, ok in due:
+            if s["last_ts"] is not None and (t, eid) <= (s["last_ts"], s["last_id"]):
+                s["late"] += 1
                 continue
-            pos_ts, pos_id = t, eid
-            applied += 1
-            if lu is not None and t < lu:
+            s["last_ts"], s["last_id"] = t, eid
+            s["applied"] += 1
+            if s["locked_until"] is not None and t < s["locked_until"]:
                 continue
             if ok:
-                a, lu = 0, None
+                s["attempts"], s["locked_until"] = 0, None
+                continue
+            s["attempts"] += 1
+            if s["attempts"] >= self.max_failed:
+                s["locked_until"], s["last_lock"], s["n_locks"] = t + self.lock_us, t, s["n_locks"] + 1
+
+    def _release(self, s: dict, new: list[tuple[int, int, bool]], watermark_ms: int) -> None:
+        """Applies what the watermark has reached; the rest waits.  The list
+        is read only if something in it is due."""
+        limit = watermark_ms * 1000 + 999  # the watermark is in whole milliseconds
+        if s["next_ts"] is not None and s["next_ts"] <= limit:
+            held = [(int(t), int(i), bool(o)) for t, i, o in self.waiting.get()] + new
+            rest = [x for x in held if x[0] > limit]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        else:
+            held, rest = new, [x for x in new if x[0] > limit]
+            if rest:
+                self.waiting.appendList(rest)
+            rest = rest + ([(s["next_ts"], 0, True)] if s["next_ts"] is not None else [])
+        due = sorted(x for x in held if x[0] <= limit)
+        self._apply(s, due)
+        s["pending"] += len(new) - len(due)
+        s["next_ts"] = min((x[0] for x in rest), default=None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        s = self._load()
+        timer = None if s["next_ts"] is None else s["next_ts"] // 1000 - 1
+        new: list[tuple[int, int, bool]] = []
+        for pdf in rows:
+            if key[1]:
+                s["no_user"] += len(pdf)
                 continue
-            a += 1
-            if a >= max_failed:
-                lu, n, last = t + lock, n + 1, t
-        state.update((a, lu, n, last, pos_ts, pos_id, late, applied,
-                      [t for t, _, _ in keep], [i for _, i, _ in keep], [o for _, _, o in keep]))
-        if keep:
-            state.setTimeoutTimestamp(_ms(keep[0][0]))  # fires once the watermark passes it
-        # without pending attempts no timer: the counters of a user stay for
-        # good, as only a success resets them
-        yield pd.DataFrame([(user_id, a, lu, n, last, late, len(keep), applied)], columns=_COLS)
-    return fn
+            known = pdf["ts"].notna()
+            s["no_time"] += int((~known).sum())
+            pdf = pdf[known]
+            us = pd.to_datetime(pdf["ts"]).to_numpy().astype("datetime64[us]").astype(np.int64)
+            new += zip(us.tolist(), pdf["event_id"].astype("int64").tolist(), pdf["ok"].astype(bool).tolist())
+        self._release(s, new, timerValues.getCurrentWatermarkInMs())
+        yield from self._store(key, s, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        s = self._load()
+        timer = None if s["next_ts"] is None else s["next_ts"] // 1000 - 1
+        if timer == expiredTimerInfo.getExpiryTimeInMs():
+            timer = None  # the engine takes away the timer that fired
+        self._release(s, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._store(key, s, timer)
+
+    def close(self) -> None:
+        pass
 
 
 def lockout_stream(attempts: DataFrame, watermark: str = "10 minutes", max_failed: int = MAX_FAILED_ATTEMPTS,
-                   lock_minutes: int = LOCKOUT_MINUTES,
-                   output_mode: str = "update") -> DataFrame:
-    """Streaming R1: the lockout state of each user whenever it changes;
-    ``pending`` counts attempts still waiting for the watermark and
-    ``applied`` the attempts applied so far (it orders a user's rows, so
-    ``append`` output into a file sink keeps every version)."""
-    fn = _fold(max_failed, dt.timedelta(minutes=lock_minutes))
+                   lock_minutes: int = LOCKOUT_MINUTES, output_mode: str = "update") -> DataFrame:
+    """Streaming R1: the lockout state of each user whenever it changes, with
+    what waits (``pending``), was applied, came late or can't be placed;
+    ``version`` orders a user's rows, so ``append`` output into a file sink
+    keeps them all.  Needs the RocksDB state store (``start_lockout_stream``
+    sets it)."""
+    lock_us = int(dt.timedelta(minutes=lock_minutes).total_seconds() * 1e6)
     # the watermark needs a zoned timestamp: the NTZ wall clock read as UTC,
     # whatever the session zone (ts itself stays NTZ for the fold)
     ts = F.col("ts")
     event_time = F.make_timestamp(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts),
                                   F.date_part(F.lit("SECOND"), ts), F.lit("UTC"))
-    timed = attempts.withColumn("event_time", event_time)
-    return (timed.withWatermark("event_time", watermark)
-                 .groupBy("user_id")
-                 .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, output_mode,
-                                         GroupStateTimeout.EventTimeTimeout))
+    # keys and ids are never NULL: lane 0 is that of users, an attempt without an id is the first of its time
+    lane = F.when(F.col("user_id").isNull(), F.pmod(F.xxhash64("event_id", "ts"), F.lit(LANES)) + 1).otherwise(0).cast("int")
+    timed = attempts.withColumn("event_time", event_time).withWatermark("event_time", watermark)
+    sent = timed.select(F.coalesce("user_id", F.lit(0)).alias("user_id"), lane.alias("lane"),
+                        F.coalesce("event_id", F.lit(-(2**63))).alias("event_id"), "ts", F.coalesce("ok", F.lit(False)).alias("ok"))
+    return sent.groupBy("user_id", "lane").transformWithStateInPandas(
+        LockoutProcessor(max_failed, lock_us), OUTPUT_SCHEMA, output_mode, "EventTime")
 
 
 def start_lockout_stream(attempts: DataFrame, sink_format: str = "parquet", path: str | None = None,
@@ -121,22 +183,34 @@ def start_lockout_stream(attempts: DataFrame, sink_format: str = "parquet", path
     spark = attempts.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
     ckpt = checkpoint or f"{base.rstrip('/')}/streams/{name}"
-    if sink_format == "memory":
-        writer = (lockout_stream(attempts, **kw).writeStream.outputMode("update").format("memory")
-                  .queryName(name))
-    else:
-        writer = (lockout_stream(attempts, output_mode="append", **kw).writeStream.outputMode("append")
-                  .format(sink_format).option("path", path))
-    writer = writer.option("checkpointLocation", ckpt)
-    if available_now:
-        writer = writer.trigger(availableNow=True)  # process what is there, then stop
-    return writer.start()
+    # a started query keeps the settings of its start, so the session's own provider comes back
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        mode = "update" if sink_format == "memory" else "append"
+        writer = lockout_stream(attempts, output_mode=mode, **kw).writeStream.outputMode(mode).format(sink_format)
+        writer = writer.queryName(name) if sink_format == "memory" else writer.option("path", path)
+        writer = writer.option("checkpointLocation", ckpt)
+        if available_now:
+            writer = writer.trigger(availableNow=True)  # process what is there, then stop
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
+
+
+def _last(updates: DataFrame) -> DataFrame:
+    """The last row of every (user_id, lane): a ``max_by`` aggregate, partial before the shuffle."""
+    cols = [c for c in _COLS if c not in ("user_id", "lane")]
+    return updates.groupBy("user_id", "lane").agg(F.max_by(F.struct(*cols), "version").alias("_s")).select("user_id", "lane", "_s.*")
 
 
 def lockout_stream_final(updates: DataFrame) -> DataFrame:
-    """Last state per user from the stream's rows: the row with the most
-    applied attempts, the fewest pending ones among those (a ``max_by``
-    aggregate, partial before the shuffle)."""
-    order = F.struct(F.col("applied"), (-F.col("pending")).alias("_np"))
-    last = F.max_by(F.struct("attempts", "locked_until", "n_locks", "last_lock", "late", "pending", "applied"), order)
-    return updates.groupBy("user_id").agg(last.alias("_s")).select("user_id", "_s.*")
+    """Last state per user that any attempt was applied for or waits."""
+    return _last(updates).filter(F.col("user_id").isNotNull() & (F.col("applied") + F.col("pending") > 0)).drop("lane", "no_user")
+
+
+def lockout_stream_counts(updates: DataFrame) -> DataFrame:
+    """One row: attempts applied, pending, late, without a time (of a user),
+    and without a user; together all that arrived."""
+    return _last(updates).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("applied", "pending", "late", "no_time", "no_user")])

@@ -67,7 +67,7 @@ def test_lockout_chunks_agree_with_sequential_fold(spark, numbering_path):
             rows.append((eid, user, T0 + dt.timedelta(minutes=mm), ok))
             eid += 1
     df = spark.createDataFrame(rows, ATTEMPTS)
-    for chunk in (1, 2, 3, 5, 8, 1000):
+    for chunk in (1, 7, 25, 1000):
         got = {r.user_id: (r.attempts, r.locked_until, r.n_locks)
                for r in audit.lockout_audit(df, chunk_size=chunk).collect()}
         want = {u: _fold(s) for u, s in seqs.items()}
@@ -115,3 +115,41 @@ def test_attempts_without_user_or_time_are_counted(spark):
     att = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, ok boolean")
     assert [(r.user_id, r.attempts) for r in audit.lockout_audit(att).collect()] == [(2**53 + 1, 1)]
     assert tuple(audit.unplaced_attempts(att).first()) == (1, 1)
+
+
+def test_locks_of_folded_and_of_long_users_are_equal(spark):
+    """Dense attempts, ties, successes inside locks: every lock with its
+    counter, whether users are folded or found as paths."""
+    import random
+
+    rnd = random.Random(21)
+    rows = []
+    for user in range(1, 7):
+        t = 0.0
+        for _ in range(500):
+            t += rnd.choice([0, 0, 0.01, 0.2, 1, 9, 30, 31])
+            rows.append((len(rows), user, T0 + dt.timedelta(minutes=t), rnd.random() < (0.02, 0.3, 0.6)[user % 3]))
+    rows += [(90_000, 1, None, True), (90_001, None, T0, False)]
+    df = spark.createDataFrame(rows, ATTEMPTS).repartition(6)
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    folded = key(audit.lockout_events(df, chunk_size=10_000))
+    assert len(folded) > 200 and {x[3] for x in folded} >= {3, 4, 5}
+    assert key(audit.lockout_events(df, chunk_size=60)) == folded
+    for kw in ({"max_failed": 1, "lock_minutes": 5}, {"max_failed": 5}):
+        assert key(audit.lockout_audit(df, chunk_size=100, **kw)) == key(audit.lockout_audit(df, **kw))
+
+
+def test_dense_user_is_in_no_single_task(spark):
+    """Many attempts of one user within minutes: no window or group of the
+    plan holds more than a chunk of them."""
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"),
+                               F.timestamp_add("MILLISECOND", (F.col("id") * 50).cast("int"), F.lit(T0)).cast("timestamp_ntz").alias("ts"), (F.col("id") % 9973 == 0).alias("ok"))
+    got = audit.lockout_events(df, chunk_size=500).orderBy("locked_at").collect()
+    want = audit.lockout_events(df, chunk_size=10**9).orderBy("locked_at").collect()
+    assert got == want and len(got) == 2
+    both = audit._chunked(audit._placed(df), ["ts", "event_id"], "n", 500)
+    assert both.groupBy("user_id", "chunk").count().agg(F.max("count"), F.count("*")).first() == (500, n // 500)
+    assert both.rdd.getNumPartitions() > 1

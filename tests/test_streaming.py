@@ -4,7 +4,7 @@ import os
 from caseloom.operators import audit
 from caseloom.plans.lineage import staging_path
 from caseloom.schema import ATTEMPTS
-from caseloom.streaming import lockout_stream
+from caseloom.streaming import lockout_stream_counts, lockout_stream_final, start_lockout_stream
 
 T0 = dt.datetime(2025, 1, 1, 9, 0)
 SEQ = [(0, False), (1, False), (2, False), (10, False), (40, False), (60, True), (80, True), (81, False)]
@@ -20,8 +20,7 @@ def _run(spark, tmp_dir, batches, name, watermark="10 minutes"):
         b.coalesce(1).write.parquet(f"{src}/b{i:02d}")
     stream = (spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1)
                    .option("recursiveFileLookup", "true").parquet(src))
-    q = (lockout_stream(stream, watermark=watermark).writeStream.outputMode("update").format("memory")
-         .queryName(name).option("checkpointLocation", staging_path(spark, name)).start())
+    q = start_lockout_stream(stream, "memory", name=name, checkpoint=staging_path(spark, name), watermark=watermark)
     try:
         q.processAllAvailable()
     finally:
@@ -100,3 +99,46 @@ def test_restart_keeps_output_and_long_idle_users(spark, tmp_dir):
             q.stop()
     got = {r.user_id: r for r in lockout_stream_final(spark.read.parquet(out)).collect()}
     assert (got[1].attempts, got[1].n_locks) == (3, 1) and got[2].attempts == 1
+
+
+def _through(spark, tmp_dir, batches, watermark="0 seconds", name="x"):
+    """What the stream makes of ``batches``, one micro-batch each, with no
+    further attempt after the last."""
+    src, out = os.path.join(tmp_dir, name + "-src"), os.path.join(tmp_dir, name + "-out")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.parquet(f"{src}/b{i:02d}")
+    stream = spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    q = start_lockout_stream(stream, "parquet", out, checkpoint=os.path.join(tmp_dir, name + "-ck"), available_now=True, watermark=watermark)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_odd_attempts_are_counted_and_do_not_stop_the_stream(spark, tmp_dir):
+    rows = _rows()
+    odd = [(900, 1, None, False), (901, None, T0, False), (902, None, None, True), (903, 3, None, False), (904, None, T0 + dt.timedelta(hours=1), False)]
+    updates = _through(spark, tmp_dir, [rows[:5] + odd, rows[5:]])
+    got = {r.user_id: r for r in lockout_stream_final(updates).collect()}
+    batch = {r.user_id: r for r in audit.lockout_audit(spark.createDataFrame(rows + odd, ATTEMPTS)).collect()}
+    assert got.keys() == batch.keys() == {1, 2}
+    for u, r in batch.items():
+        assert (got[u].attempts, got[u].locked_until, got[u].n_locks, got[u].last_lock) == (r.attempts, r.locked_until, r.n_locks, r.last_lock)
+    left_out = audit.unplaced_attempts(spark.createDataFrame(odd, ATTEMPTS)).first()
+    counts = lockout_stream_counts(updates).first()
+    assert (counts.no_user, counts.no_time) == (left_out.no_user, left_out.no_time) == (3, 2)
+    assert (counts.applied, counts.pending, counts.late) == (len(rows), 0, 0)
+
+
+def test_attempt_of_the_largest_time_is_applied(spark, tmp_dir):
+    last = T0 + dt.timedelta(hours=3, microseconds=1700)
+    updates = _through(spark, tmp_dir, [[(1, 1, T0, False), (2, 7, last, False)]])
+    got = {r.user_id: r for r in lockout_stream_final(updates).collect()}
+    assert (got[7].attempts, got[7].applied, got[7].pending) == (1, 1, 0)
+
+
+def test_late_attempts_are_counted(spark, tmp_dir):
+    m = lambda i, u, minute: (i, u, T0 + dt.timedelta(minutes=minute), False)
+    updates = _through(spark, tmp_dir, [[m(1, 1, 0), m(2, 1, 50)], [m(3, 2, 55)], [m(4, 1, 20), m(5, 1, 50), m(6, 2, 10), m(7, 3, 1)], [m(8, 1, 60)]])
+    counts = lockout_stream_counts(updates).first()
+    # 4 stands before its user's last applied attempt; 5 has the next event_id at the same time; 6 comes while its
+    # user's only attempt still waits, and 7 is its user's first: both are in order for the user
+    assert (counts.late, counts.applied, counts.pending) == (1, 7, 0)
