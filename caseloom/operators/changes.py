@@ -71,11 +71,14 @@ def look_up(base: DataFrame, folded: DataFrame) -> DataFrame:
     """One pass over the base: a row for each changed case that exists
     (location, id, _created), and one a site without id; ``_start`` is the
     highest case number below each.  Aggregated before the shuffle, so what
-    moves has the size of the batch."""
+    moves has the size of the batch.  A base with ``_file`` adds ``_files``,
+    where each case is stored."""
     named = folded.select(*KEY, F.lit(True).alias("_named"))
-    hit = base.select(*KEY, "created_at", "case_no").join(named, list(KEY), "left")
+    stored = ["_file"] if "_file" in base.columns else []
+    hit = base.select(*KEY, "created_at", "case_no", *stored).join(named, list(KEY), "left")
+    files = [F.collect_set(F.when(F.col("_named"), F.col(c))).alias("_files") for c in stored]
     return hit.groupBy("location", F.when(F.col("_named"), F.col("id")).alias("id")).agg(
-        F.max("created_at").alias("_created"), F.max(case_number("case_no")).alias("_start"))
+        F.max("created_at").alias("_created"), F.max(case_number("case_no")).alias("_start"), *files)
 
 
 def _apply(base: DataFrame, folded: DataFrame, as_of: dt.datetime) -> DataFrame:

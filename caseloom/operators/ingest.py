@@ -115,23 +115,14 @@ def import_into(mapped: DataFrame, site: str, table_path: str, order_col: str =
     """S3 -> X2 -> S5: clean the mapped sheet once (checkpointed), append the
     accepted rows to ``site`` in the case table and return the counters.
     New ids continue after the table's largest id in sheet order
-    (``order_col``); the file commit makes the append all-or-nothing."""
-    from pyspark.errors import AnalysisException
-
+    (``order_col``); the append is published at once (``sources.versions``)."""
     from caseloom.plans.lineage import cut_lineage
     from caseloom.plans.numbering import global_row_number
     from caseloom.sources.cases import scan_cases
     from caseloom.sources.sinks import append_cases
 
-    spark = mapped.sparkSession
-    try:
-        existing = scan_cases(spark, table_path)
-        existing.schema  # noqa: B018 - resolves the path; raises when the table is absent
-        base_id = F.coalesce(existing.agg(F.max("id")).scalar(), F.lit(0))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        base_id = F.lit(0)  # the first import creates the table
+    # the first import creates the table; a table without rows starts at 0
+    base_id = F.coalesce(scan_cases(mapped.sparkSession, table_path).agg(F.max("id")).scalar(), F.lit(0))
     stamp = ntz(as_of) if as_of is not None else F.localtimestamp()
     cleaned = cut_lineage(clean_case_rows(mapped))
     counts = import_counts(cleaned).first().asDict()

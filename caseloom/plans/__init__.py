@@ -1,4 +1,4 @@
-"""Reusable physical-plan building blocks (size-checked broadcast,
+"""Reusable physical-plan building blocks (row numbers, max-plus scans,
 distributed numbering, lineage cuts)."""
 
 from caseloom.plans.lineage import checkpoint_dir, cut_lineage

@@ -20,7 +20,7 @@ from caseloom.operators.filters import CaseFilter, by_key
 from caseloom.plans.lineage import staging_path
 from caseloom.sources import driver_tables as dtab, sinks
 from caseloom.schema import CASE_FIELDS
-from caseloom.sources.cases import read_grants, read_locations, read_site_tables, read_users, scan_cases, sites_by_name
+from caseloom.sources.cases import case_by_id, read_grants, read_locations, read_site_tables, read_users, scan_cases, sites_by_name
 from caseloom.sources.driver_sql import with_views
 from caseloom.sources.importer import read_import, select_import_columns
 from caseloom.sources.table_changes import apply_changes_to_table, purge_site_table
@@ -254,9 +254,9 @@ def q_site_union(spark, sf_dir):
     """Per-site tables (each site's folder of the stored log, read as a
     table of its own, without a site column) united into one fact."""
     path = staging_path(spark, "site-tables")
-    sinks.append_cases(cases(spark, sf_dir), path)
+    sinks.write_case_files(cases(spark, sf_dir), path)
     # sites that hold cases: a table each, so the list is the tables' names
-    stored_sites = scan_cases(spark, path).select("location").distinct().collect()
+    stored_sites = spark.read.parquet(path).select("location").distinct().collect()
     per_site = {r.location: f"{path}/location={r.location}" for r in stored_sites}
     return read_site_tables(spark, per_site)
 
@@ -827,7 +827,7 @@ def q_resolvers_as_of(spark, sf_dir):
 SELECT {CASE_COLS} FROM kept UNION ALL SELECT {CASE_COLS} FROM upd UNION ALL SELECT {CASE_COLS} FROM ins""")
 def q_stored_changes(spark, sf_dir):
     """D1-D3 at rest: store the case log, apply the change batch by
-    rewriting only the touched site partitions, read the table back."""
+    replacing only the touched files, read the new version back."""
     path = staging_path(spark, "changes-cases")
     sinks.append_cases(cases(spark, sf_dir), path)
     apply_changes_to_table(spark, path, dtab.changes_with_site(spark, sf_dir), CHANGES_AS_OF)
@@ -854,6 +854,14 @@ def q_lockout_stream_audit(spark, sf_dir):
                                                                         "last_lock")
 
 
+@register("stored_case_by_id", CASES + f"SELECT {CASE_COLS} FROM cases WHERE id = {LOOKUP_ID}")
+def q_stored_case_by_id(spark, sf_dir):
+    """F7 at rest: the cases of one id, by bloom filter."""
+    path = staging_path(spark, "lookup-cases")
+    sinks.append_cases(cases(spark, sf_dir), path)
+    return case_by_id(spark, path, None, LOOKUP_ID)
+
+
 @register("lockout_stream_counts", with_views("attempts") + """
 SELECT count(*) FILTER (WHERE user_id IS NOT NULL AND ts IS NOT NULL) AS applied, CAST(0 AS BIGINT) AS pending,
        CAST(0 AS BIGINT) AS late, count(*) FILTER (WHERE user_id IS NOT NULL AND ts IS NULL) AS no_time,

@@ -1,7 +1,7 @@
 """Sinks (S4, S5, S6) and the publish step of batch changes.
 
-Writes go to a fresh path (or a dynamic overwrite of the touched
-partitions); a path that is being read is never overwritten in place.
+Case rows are written below a fresh folder and published as the table's next
+version (``sources.versions``); nothing that may be read is overwritten.
 """
 
 from __future__ import annotations
@@ -11,28 +11,40 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.schema import CASES, STORED_USERS
+from caseloom.sources import versions
 
 
-def write_cases(df: DataFrame, path: str, mode: str = "append", dynamic: bool = False) -> None:
-    """Append (or dynamically overwrite) case rows into the table
-    partitioned by site; rows are clustered by case_date inside each site so
-    Parquet min/max statistics prune date ranges; ``dynamic`` overwrites
-    only the sites present in ``df``.  ``rebalance`` lets AQE
-    split a hot (site, month) over several writer tasks and merge small
-    ones, instead of one task per hash bucket."""
+def write_case_files(df: DataFrame, data_path: str) -> None:
+    """Case rows as Parquet files partitioned by site, clustered by case_date
+    inside each site so that min/max statistics prune date ranges; bloom
+    filters on id and case_no prune point lookups, which dates do not.
+    ``rebalance`` lets AQE split a hot (site, month) over several writer tasks
+    and merge small ones, instead of one task per hash bucket."""
     cols = [f.name for f in CASES.fields]
-    (df.select(*cols)
-       .withColumn("_month", F.trunc("case_date", "month"))
-       .hint("rebalance", "location", "_month")
-       .sortWithinPartitions("location", "case_date", "id")
-       .drop("_month")
-       .write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
-       .partitionBy("location").parquet(path))
+    writer = (df.select(*cols)
+              .withColumn("_month", F.trunc("case_date", "month"))
+              .hint("rebalance", "location", "_month")
+              .sortWithinPartitions("location", "case_date", "id")
+              .drop("_month").write)
+    for c in ("id", "case_no"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.partitionBy("location").parquet(data_path)
 
 
-def append_cases(clean: DataFrame, path: str) -> None:
-    """Add imported/created rows to the case table."""
-    write_cases(clean, path, "append")
+def append_cases(clean: DataFrame, path: str) -> int:
+    """Add imported/created rows to the case table; its new version."""
+    data = versions.new_data_path(path)
+    write_case_files(clean, data)
+    return versions.commit(clean.sparkSession, path, data, schema=CASES)
+
+
+def publish(df: DataFrame, path: str) -> int:
+    """Replace the whole case table by a recomputed one, at once."""
+    spark = df.sparkSession
+    seen, old = versions.current(spark, path)
+    data = versions.new_data_path(path)
+    write_case_files(df, data)
+    return versions.commit(spark, path, data, old, CASES, seen)
 
 
 def append_users(users: DataFrame, path: str) -> None:
@@ -43,11 +55,6 @@ def append_users(users: DataFrame, path: str) -> None:
     users.select(*cols).write.mode("append").parquet(path)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Write a recomputed table to a new path (all-or-nothing per job)."""
-    write_cases(df, path, "overwrite")
-
-
 def export_cases(sheet: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write the export sheet with its display headers.  A per-site
     sheet becomes one folder per site."""
@@ -63,16 +70,32 @@ def export_cases(sheet: DataFrame, path: str, fmt: str = "csv") -> None:
 
 def snapshot(tables: dict[str, DataFrame], snapshot_dir: str) -> dict[str, str]:
     """Full copy of every table in a new folder under ``snapshot_dir``;
-    earlier snapshots stay.  Returns the written paths once all are complete."""
-    paths = {}
-    at = f"{snapshot_dir.rstrip('/')}/{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}"
+    earlier snapshots stay.  Its entry in ``snapshot_dir/complete`` (table,
+    path, rows) is written last, so only complete ones have one.  Returns the
+    written paths."""
+    base = snapshot_dir.rstrip("/")
+    at = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}"
+    paths = {name: f"{base}/{at}/{name}" for name in tables}
     for name, df in tables.items():
-        p = f"{at}/{name}"
-        df.write.mode("errorifexists").parquet(p)
-        paths[name] = p
+        df.write.mode("errorifexists").parquet(paths[name])
+    spark = next(iter(tables.values())).sparkSession
+    place = spark.createDataFrame([(n, f"{at}/{n}") for n in sorted(paths)], "table string, path string")
+    entry = place.join(snapshot_counts(spark, paths), "table").select("table", "path", "rows")
+    entry.coalesce(1).write.mode("errorifexists").parquet(f"{base}/complete/at={at}")
     return paths
 
 
+def newest_snapshot(spark: SparkSession, snapshot_dir: str) -> dict[str, str]:
+    """The paths of the newest complete snapshot by table ({} without one)."""
+    base = snapshot_dir.rstrip("/")
+    found = versions.read_or_none(spark, f"{base}/complete", "table string, path string, rows long, at string")
+    if found is None:
+        return {}
+    newest = found.groupBy("table").agg(F.max_by(F.struct("at", "path"), "at").alias("x")).select("table", "x.*").collect()
+    last = max(r["at"] for r in newest)
+    return {r["table"]: f"{base}/{r['path']}" for r in newest if r["at"] == last}
+
+
 def snapshot_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """S6 report: rows per table, read back from the snapshot."""
     parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows")
