@@ -56,9 +56,16 @@ def list_cases(cases: DataFrame, who: Access | None, site: str, f: CaseFilter =
     return page, report.case_count(rows, group_by=())
 
 
-def max_no(cases: DataFrame, site: str) -> DataFrame:
-    """GET max case number of a site (one row; 0 when none)."""
-    m = numbering.max_case_no(cases.filter(F.col("location") == F.lit(site)), group_by=())
+def case(cases: DataFrame, who: Access | None, site: str, case_id: int) -> DataFrame:
+    """GET one case by site and id (no row where there is none, or where the
+    user may not view the site)."""
+    return _site_cases(cases, who, site).filter(F.col("id") == F.lit(case_id))
+
+
+def max_no(cases: DataFrame, site: str, who: Access | None = None) -> DataFrame:
+    """GET max case number of a site (one row; 0 when none).  With ``who``
+    numbers of sites that the user may not view are not told (0)."""
+    m = numbering.max_case_no(_site_cases(cases, who, site), group_by=())
     # past BIGINT the exact text is the answer and max_no is NULL, never 0
     return m.select("max_no", "max_no_text")
 
@@ -149,8 +156,11 @@ def commit_changes(spark, table_path: str, change_rows: DataFrame, as_of: dt.dat
     return apply_changes_to_table(spark, table_path, who.changes(change_rows) if who is not None else change_rows, as_of)
 
 
-def purge(cases: DataFrame, site: str) -> tuple[DataFrame, DataFrame]:
-    """DELETE all cases of a site: (remaining table, removed count)."""
+def purge(cases: DataFrame, site: str, who: Access | None = None) -> tuple[DataFrame, DataFrame]:
+    """DELETE all cases of a site: (remaining table, removed count).  With
+    ``who`` the user needs can_delete on the site."""
+    if who is not None and not who.may(site, "can_delete"):
+        raise PermissionError(f"no can_delete permission for location {site}")
     return changes.purge_site(cases, site)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from caseloom.functions.text import collation_key, py_strip
 from caseloom.operators.access import PERMISSIONS, site_codes
 from caseloom.operators.report import collect_sorted
-from caseloom.schema import ROLE_ORDER, SITE_CODE_MAX_LEN, SITE_CODE_MIN_LEN, VALID_UPDATE_ROLES
+from caseloom.schema import ROLE_ORDER, SITE_CODE_MAX_LEN, SITE_CODE_MIN_LEN, STATUSES, VALID_UPDATE_ROLES
 
 
 def role_rank(col: str = "role") -> F.Column:
@@ -22,6 +22,11 @@ def valid_role(col: str = "role", allowed=VALID_UPDATE_ROLES) -> F.Column:
     return F.col(col).isin(*allowed)
 
 
+def valid_status(col: str = "status") -> F.Column:
+    """status membership (False for NULL)."""
+    return F.coalesce(F.col(col).isin(*STATUSES), F.lit(False))
+
+
 def valid_site_code(col: str = "code") -> F.Column:
     """a site code is 3 to 10 characters after strip + lower."""
     n = F.length(F.col(col))
@@ -138,23 +143,33 @@ def requested_role() -> F.Column:
     return F.coalesce(F.col("role"), F.lit("user"))
 
 
+def last_requests(requests: DataFrame) -> DataFrame:
+    """What the requests (user_id, codes, role, seq) come to, one row a
+    user: (user_id, codes, role) of the last one with a valid role, as each
+    replaces what the one before it set.  A request with an invalid role is
+    refused as a whole; without ``seq`` all stand at one place, where the
+    greatest by role and codes counts.  A ``max_by`` aggregate, partial before
+    the shuffle, so a user with very many requests is not gathered."""
+    role = requested_role() if "role" in requests.columns else F.lit("user")
+    seq = F.col("seq") if "seq" in requests.columns else F.lit(0)
+    asked = requests.select("user_id", "codes", role.alias("role"), seq.alias("seq")).filter(valid_role("role"))
+    last = F.max_by(F.struct("codes", "role"), F.struct("seq", "role", "codes"))
+    return asked.groupBy("user_id").agg(last.alias("_last")).select("user_id", "_last.codes", "_last.role")
+
+
 def replace_grants(grants: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each requesting user, drop all their grants and insert the
-    requested set with every right; other users keep theirs.  A request with
-    an invalid role is refused as a whole; a missing role means ``user``."""
-    if "role" in requests.columns:
-        requests = requests.filter(requested_role().isin(*VALID_UPDATE_ROLES))
-    touched = requests.select("user_id").distinct()
-    kept = grants.join(touched, "user_id", "left_anti")
-    return kept.unionByName(default_grants(requests))
+    """For each requesting user, drop all their grants and insert the set
+    of their last valid request with every right; other users keep theirs."""
+    last = last_requests(requests)
+    kept = grants.join(last.select("user_id"), "user_id", "left_anti")
+    return kept.unionByName(default_grants(last))
 
 
 def update_roles(users: DataFrame, requests: DataFrame) -> DataFrame:
-    """D5 role part: set the requested role (``user`` when missing) when it is
-    valid (F10) and the user is not a superadmin (J8 guards role changes as
+    """D5 role part: set the role of the last valid request (``user`` when it
+    names none) unless the user is a superadmin (J8 guards role changes as
     well)."""
-    req = requests.select(F.col("user_id").alias("id"), requested_role().alias("_new")).filter(F.col("_new").isin(*VALID_UPDATE_ROLES))
-    req = req.groupBy("id").agg(F.max("_new").alias("_new"))
+    req = last_requests(requests).select(F.col("user_id").alias("id"), F.col("role").alias("_new"))
     out = users.join(req, "id", "left")
     new_role = F.when(F.col("_new").isNotNull() & (F.col("role") != "superadmin"), F.col("_new")).otherwise(F.col("role"))
     return out.withColumn("role", new_role).drop("_new").select(*users.columns)

@@ -383,21 +383,33 @@ def q_new_sites(spark, sf_dir):
     return admin.create_sites(dtab.incoming_sites_view(spark, sf_dir), dtab.locations_view(spark, sf_dir))
 
 
-@register("grants_replaced", with_views("grants", "grant_requests") + """
+LAST_REQUEST = {"last_request": """SELECT user_id, code, coalesce(role, 'user') AS role FROM grant_requests
+    WHERE coalesce(role, 'user') IN ('user', 'admin')
+    QUALIFY seq = max(seq) OVER (PARTITION BY user_id)"""}
+
+
+@register("grants_replaced", with_views("grants", "grant_requests", extra=LAST_REQUEST) + """
 SELECT user_id, location_code, can_view, can_edit, can_delete FROM grants
-WHERE user_id NOT IN (SELECT user_id FROM grant_requests WHERE coalesce(role, 'user') IN ('user', 'admin'))
-UNION ALL
-SELECT DISTINCT user_id, code, TRUE, TRUE, TRUE FROM grant_requests WHERE coalesce(role, 'user') IN ('user', 'admin')""")
+WHERE user_id NOT IN (SELECT user_id FROM last_request)
+UNION ALL SELECT user_id, code, TRUE, TRUE, TRUE FROM last_request""")
 def q_grants_replaced(spark, sf_dir):
     return admin.replace_grants(dtab.grants_view(spark, sf_dir), dtab.grant_requests_view(spark, sf_dir))
 
 
-@register("users_roles_updated", with_views("users", "grant_requests") + f"""
+@register("cases_of_valid_status", CASES + f"""
+SELECT location, count(*) FILTER (WHERE status IN ('In progress', 'Completed')) AS valid,
+       count(*) FILTER (WHERE status IS NULL OR status NOT IN ('In progress', 'Completed')) AS invalid
+FROM cases GROUP BY location""")
+def q_cases_of_valid_status(spark, sf_dir):
+    ok = admin.valid_status()
+    return cases(spark, sf_dir).groupBy("location").agg(F.count(F.when(ok, 1)).alias("valid"), F.count(F.when(~ok, 1)).alias("invalid"))
+
+
+@register("users_roles_updated", with_views("users", "grant_requests", extra=LAST_REQUEST) + """
 SELECT u.id, u.eid, u.email, u.full_name,
        CASE WHEN r.role IS NOT NULL AND u.role <> 'superadmin' THEN r.role ELSE u.role END AS role,
        u.is_locked, u.locked_until, u.failed_attempts
-FROM users u LEFT JOIN (SELECT user_id, max(coalesce(role, 'user')) AS role FROM grant_requests
-                        WHERE coalesce(role, 'user') IN ('user', 'admin') GROUP BY user_id) r ON u.id = r.user_id""")
+FROM users u LEFT JOIN (SELECT DISTINCT user_id, role FROM last_request) r ON u.id = r.user_id""")
 def q_users_roles_updated(spark, sf_dir):
     return admin.update_roles(dtab.users_view(spark, sf_dir), dtab.grant_requests_view(spark, sf_dir))
 

@@ -18,6 +18,7 @@ PLACEHOLDERS = ["--- Please Select ---", "---", "Please Select", ""]
 # Role ENUM in declaration order; sorting uses this ordinal, not the text.
 ROLE_ORDER = ["user", "admin", "superadmin"]
 VALID_UPDATE_ROLES = ["user", "admin"]
+STATUSES = ["In progress", "Completed"]
 
 # Import/export headers, in sheet order, and the column each maps to.
 EXPORT_HEADERS = [

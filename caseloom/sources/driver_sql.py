@@ -105,8 +105,10 @@ CTES: dict[str, str] = {
       UNION ALL
       SELECT r_name, r_name, 'R', CAST(r_regionkey + 100 AS BIGINT) FROM region""",
     "grant_requests": """SELECT c_custkey AS user_id, location AS code,
-             CASE WHEN c_custkey % 30 = 0 THEN 'boss' ELSE 'admin' END AS role
-      FROM cust WHERE c_custkey % 10 = 0""",
+             CASE WHEN c_custkey % 30 = 0 THEN 'boss' ELSE 'admin' END AS role, CAST(1 AS BIGINT) AS seq
+      FROM cust WHERE c_custkey % 10 = 0
+      UNION ALL SELECT c_custkey, unnest(['asia', 'europe']), NULL, 2 FROM cust WHERE c_custkey % 20 = 0
+      UNION ALL SELECT c_custkey, 'africa', 'boss', 3 FROM cust WHERE c_custkey % 40 = 0""",
     "changes": """
       SELECT o_orderkey AS id, 'U-' || CAST(o_orderkey AS VARCHAR) AS case_no, CAST(o_orderdate AS DATE) AS case_date,
              o_orderpriority AS issues, 'changed' AS description, CAST(NULL AS VARCHAR) AS step_to_resolve,

@@ -283,14 +283,20 @@ def incoming_sites_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grant_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grant/role replacement requests: customers with custkey % 10 = 0 get
-    their home site only; the requested role is 'admin', or an invalid one
-    for custkey % 30 = 0."""
-    cs = customer_sites(spark, sf_dir)
+    """Grant/role replacement requests in the order of seq: customers with
+    custkey % 10 = 0 ask for their home site, as 'admin' or (% 30) with an
+    invalid role; some ask again for two sites without a role (% 20), and once
+    more with an invalid one (% 40)."""
     k = F.col("c_custkey")
-    return cs.filter(k % 10 == 0).select(
-        k.alias("user_id"), F.array("location").alias("codes"),
-        F.when(k % 30 == 0, F.lit("boss")).otherwise(F.lit("admin")).alias("role"))
+    req = customer_sites(spark, sf_dir).filter(k % 10 == 0).select(k.alias("user_id"), "location")
+
+    def asked(cond, codes, role, seq):
+        return req.filter(cond).select("user_id", codes.alias("codes"), role.alias("role"), F.lit(seq).cast("long").alias("seq"))
+
+    u = F.col("user_id")
+    first = asked(u % 10 == 0, F.array("location"), F.when(u % 30 == 0, F.lit("boss")).otherwise(F.lit("admin")), 1)
+    second = asked(u % 20 == 0, F.array(F.lit("asia"), F.lit("europe")), F.lit(None).cast("string"), 2)
+    return first.unionByName(second).unionByName(asked(u % 40 == 0, F.array(F.lit("africa")), F.lit("boss"), 3))
 
 
 def changes_with_site(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,17 @@ def test_user_keys_under_the_collation(spark):
     assert [(r.id, r.position) for r in admin.create_users(inc, users, collation="ci").collect()] == [(11, "Desk")]
     got = {r.id: (r.position, r.phone) for r in admin.create_users(inc, users).collect()}
     assert got == {10: (None, "12"), 11: ("Desk", None), 12: ("Desk", None)}
+
+
+def test_last_valid_request_decides(spark):
+    users, grants, _ = _dims(spark)
+    req = spark.createDataFrame([(3, ["s1"], "user", 1), (3, ["s2"], "admin", 3), (3, ["s1", "s3"], None, 2), (3, ["s1"], "boss", 4),
+                                 (2, ["s3"], "admin", 1), (2, [], None, 2), (4, ["s2"], "root", 9)],
+                                "user_id long, codes array<string>, role string, seq long")
+    g = admin.replace_grants(grants, req)
+    assert [r.location_code for r in g.filter("user_id = 3").collect()] == ["s2"]
+    assert g.filter("user_id = 2").count() == 0  # an empty list takes every right away
+    assert g.filter("user_id = 4").count() == grants.filter("user_id = 4").count()
+    roles = {r.id: r.role for r in admin.update_roles(users, req).collect()}
+    was = {r.id: r.role for r in users.collect()}
+    assert roles[3] == "admin" and roles[2] == ("superadmin" if was[2] == "superadmin" else "user") and roles[4] == was[4]

@@ -103,3 +103,15 @@ def test_writes_need_the_right(spark):
     assert sorted((r.id, r.location) for r in out.collect()) == sorted(before + [(100, "s1")])
     with pytest.raises(PermissionError):
         api.import_sheet(new, "s2", "unused", who=who)
+
+
+def test_guards_of_lookup_max_number_and_purge(spark):
+    cases = _cases(spark)
+    assert [r.id for r in api.case(cases, _who(spark, 3), "s1", 4).collect()] == [4]
+    assert api.case(cases, _who(spark, 3), "s2", 5).count() == 0  # no grant on s2
+    assert api.max_no(cases, "s1", _who(spark, 3)).first().max_no == 10
+    assert api.max_no(cases, "s2", _who(spark, 3)).first().max_no == 0
+    with pytest.raises(PermissionError):
+        api.purge(cases, "s2", _who(spark, 3))
+    kept, gone = api.purge(cases, "s2", _who(spark, 1))
+    assert kept.filter("location = 's2'").count() == 0 and gone.first().purged > 0
