@@ -24,16 +24,24 @@ def present(c: str | Column) -> Column:
     return c.isNotNull() & (c != F.lit(""))
 
 
+#: Collations by option: letter case, accents and trailing spaces don't count; in substrings spaces do.
+EQUAL_AI, SUBSTRING_AI = "UNICODE_CI_AI_RTRIM", "UNICODE_CI_AI"
+
+
 def collation_key(c: str | Column, collation: str | None) -> Column:
     """Grouping key under a collation.  ``None`` is binary; ``"ci"`` merges
-    values that differ only in letter case or trailing spaces (the default
-    behaviour of a case-insensitive, PAD SPACE database collation).  The key
-    is a plain derived string, so grouping stays a hash aggregate."""
+    values that differ only in letter case or trailing spaces, by a plain
+    derived string, so grouping stays a hash aggregate; ``"ai"`` also merges
+    letters that differ only in accents (the default of a case- and
+    accent-insensitive, PAD SPACE database), as a collated string, whose
+    grouping is a sort aggregate and whose joins are on its sort key."""
     c = F.col(c) if isinstance(c, str) else c
     if collation is None:
         return c
     if collation == "ci":
         return F.lower(F.rtrim(c))
+    if collation == "ai":
+        return F.collate(c, EQUAL_AI)
     raise ValueError(f"unknown collation {collation!r}")
 
 

@@ -17,9 +17,10 @@ HEADERS = [h for _, h in EXPORT_HEADERS]
 def renumber(df: DataFrame, order_col: str = "id", out_col: str = "case_no",
              partition_by: Sequence[str] = ()) -> DataFrame:
     """Replace ``out_col`` by 1..n in ``order_col`` order (per
-    ``partition_by`` group), numbered without a single-partition window."""
+    ``partition_by`` group), always in the range form: a group of any size
+    spreads over the partitions of its order."""
     return global_row_number(df.drop(out_col), [F.col(order_col)], out_col=out_col, partition_by=partition_by,
-                             materialize_first=False)
+                             window_group_rows=0)
 
 
 def export_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

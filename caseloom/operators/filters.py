@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.dates import to_date_bound
-from caseloom.functions.text import collation_key
+from caseloom.functions.text import SUBSTRING_AI, collation_key
 
 LIST_SEARCH_COLUMNS = ("case_no", "description", "opened_by", "step_to_resolve")
 STATS_SEARCH_COLUMNS = ("case_no", "description", "opened_by")
@@ -45,12 +45,17 @@ def like_pattern(term: str) -> str:
 
 def search(term: str, columns=LIST_SEARCH_COLUMNS, pattern: bool = False, collation: str | None = None) -> Column:
     """OR over ``columns`` of a substring match, in either letter case
-    under ``collation="ci"`` (spaces always count in a substring).
+    under ``collation="ci"``, with or without accents too under ``"ai"``
+    (spaces always count in a substring).
 
     ``pattern=False`` matches the term literally (``%`` and ``_`` are plain
     characters); ``pattern=True`` keeps them as LIKE wildcards.
     """
     cols = [F.col(c) for c in columns]
+    if collation == "ai":
+        if pattern:
+            raise ValueError("patterns compare letters with their accents; use collation='ci'")
+        return F.coalesce(reduce(lambda a, b: a | b, [F.collate(c, SUBSTRING_AI).contains(F.collate(F.lit(term), SUBSTRING_AI)) for c in cols]), F.lit(False))
     if collation is not None:
         cols, term = [F.lower(c) for c in cols], term.lower()
     if pattern:
@@ -74,7 +79,7 @@ class CaseFilter:
     search_columns: tuple[str, ...] = LIST_SEARCH_COLUMNS
     search_pattern: bool = False
     site: str | None = None
-    collation: str | None = None  # None compares bytes; "ci" ignores case and trailing spaces
+    collation: str | None = None  # None compares bytes; "ci" ignores case and trailing spaces, "ai" accents as well
 
     def for_stats(self) -> "CaseFilter":
         """The KPI panel ignores the status filter and searches 3 columns."""

@@ -112,7 +112,7 @@ def observed_counts(cleaned: DataFrame, name: str = "import_counts"):
 
 def import_into(mapped: DataFrame, site: str, table_path: str, order_col: str = "_row",
                 as_of=None) -> dict:
-    """S3 -> X2 -> S5: clean the mapped sheet once (checkpointed), append the
+    """S3 -> X2 -> S5: read and clean the mapped sheet once, append the
     accepted rows to ``site`` in the case table and return the counters.
     New ids continue after the table's largest id in sheet order
     (``order_col``); the append is published at once (``sources.versions``)."""
@@ -124,9 +124,11 @@ def import_into(mapped: DataFrame, site: str, table_path: str, order_col: str =
     # the first import creates the table; a table without rows starts at 0
     base_id = F.coalesce(scan_cases(mapped.sparkSession, table_path).agg(F.max("id")).scalar(), F.lit(0))
     stamp = ntz(as_of) if as_of is not None else F.localtimestamp()
-    cleaned = cut_lineage(clean_case_rows(mapped))
-    counts = import_counts(cleaned).first().asDict()
-    ok = global_row_number(accepted(cleaned), [F.col(order_col)], out_col="_seq")
+    # the one pass over the sheet counts while it keeps the accepted rows
+    cleaned, obs = observed_counts(clean_case_rows(mapped))
+    kept = cut_lineage(accepted(cleaned))
+    counts = obs.get
+    ok = global_row_number(kept, [F.col(order_col)], out_col="_seq")
     rows = ok.select((base_id + F.col("_seq")).cast("long").alias("id"), *CASE_FIELDS,
                      stamp.alias("created_at"), stamp.alias("updated_at"), F.lit(site).alias("location"))
     append_cases(rows, table_path)

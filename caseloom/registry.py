@@ -969,6 +969,61 @@ def q_new_users_ci(spark, sf_dir):
     return admin.create_users(batch, dtab.users_view(spark, sf_dir), collation="ci").select("id", "eid")
 
 
+# departments as three ways of writing them: with accents, in small letters with trailing spaces, as they are
+ACCENTED = ("AEIOU", "ÀÉÎÖÜ")
+SPELLED = f"""CASE WHEN id % 3 = 0 THEN translate(department, '{ACCENTED[0]}', '{ACCENTED[1]}')
+    WHEN id % 3 = 1 THEN lower(department) || '  ' ELSE department END"""
+SPELLED_CASES = with_views("cases", extra={"spelled": f"SELECT * REPLACE ({SPELLED} AS department) FROM cases"})
+FOLDED = "lower(strip_accents(rtrim({c})))"
+
+
+def _spelled(spark, sf_dir):
+    i, d = F.col("id") % 3, F.col("department")
+    return cases(spark, sf_dir).withColumn("department", F.when(i == 0, F.translate(d, *ACCENTED)).when(i == 1, F.concat(F.lower(d), F.lit("  "))).otherwise(d))
+
+
+@register("by_department_ai", SPELLED_CASES + f"""
+SELECT location, min(department) AS name, count(*) AS count FROM spelled
+WHERE department IS NOT NULL AND rtrim(department) <> '' GROUP BY location, {FOLDED.format(c='department')}""")
+def q_by_department_ai(spark, sf_dir):
+    """A4 under the database's collation: spellings with accents are one."""
+    return report.by_department(_spelled(spark, sf_dir), collation="ai")
+
+
+@register("departments_ai", SPELLED_CASES + f"""
+SELECT location, min(department) AS value FROM spelled
+WHERE department IS NOT NULL AND rtrim(department) <> '' GROUP BY location, {FOLDED.format(c='department')}""")
+def q_departments_ai(spark, sf_dir):
+    return report.facet(_spelled(spark, sf_dir), "department", collation="ai")
+
+
+@register("case_list_ai", SPELLED_CASES + f"""
+SELECT {CASE_COLS} FROM spelled WHERE {FOLDED.format(c='status')} = 'in progress' AND {FOLDED.format(c='department')} = 'building'""")
+def q_case_list_ai(spark, sf_dir):
+    f = CaseFilter(status="ÍN PROGRESS", department="Büildïng ", collation="ai")
+    return listing.newest(f.apply(_spelled(spark, sf_dir)))
+
+
+@register("case_search_ai", SPELLED_CASES + f"""
+SELECT {CASE_COLS} FROM spelled
+WHERE coalesce(contains(lower(strip_accents(description)), '{SEARCH_TERM}'), false) OR contains(lower(strip_accents(coalesce(department, ''))), '{SEARCH_TERM}')""")
+def q_case_search_ai(spark, sf_dir):
+    """F3 over description and department, the term with an accent."""
+    f = CaseFilter(search=SEARCH_TERM.replace("e", "É"), search_columns=("description", "department"), collation="ai")
+    return listing.oldest_first(f.apply(_spelled(spark, sf_dir)))
+
+
+@register("new_users_ai", with_views("users", "incoming_users") + """
+SELECT id, eid FROM (
+  SELECT id, translate(trim(eid), 'aeou', 'àéöü') AS eid, row_number() OVER (PARTITION BY lower(trim(eid)) ORDER BY id) AS rn
+  FROM incoming_users WHERE coalesce(role, 'user') IN ('user', 'admin')) s
+WHERE rn = 1 AND lower(strip_accents(eid)) NOT IN (SELECT lower(strip_accents(eid)) FROM users)""")
+def q_new_users_ai(spark, sf_dir):
+    """A batch written with accents creates none of the users that exist."""
+    batch = dtab.incoming_users_view(spark, sf_dir).withColumn("eid", F.translate("eid", "aeou", "àéöü"))
+    return admin.create_users(batch, dtab.users_view(spark, sf_dir), collation="ai").select("id", "eid")
+
+
 @register("departments_ordered", CASES + f"""
 SELECT location, department AS name, count(*) AS count FROM cases WHERE {PRESENT.format(c='department')}
 GROUP BY location, department""")

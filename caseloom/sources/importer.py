@@ -37,7 +37,9 @@ def read_import(spark: SparkSession, path: str, header_map: dict[str, str] | Non
                 fmt: str = "csv", keep: tuple[str, ...] = ("location",)) -> DataFrame:
     """Read an import file with every cell as text (partition folders such
     as ``location=...`` stay text too), then map the headers.  ``_row`` orders
-    the rows as they stand in the source: by file, block and place."""
+    the rows as they stand in the source: by file, block and place.  Quoted
+    cells may hold line breaks, so a CSV file is one task; an export is made
+    of bounded files."""
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("place")).alias("_row")
     if fmt == "csv":

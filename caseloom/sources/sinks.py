@@ -14,6 +14,10 @@ from caseloom.schema import CASES, STORED_USERS
 from caseloom.sources import versions
 
 
+#: Rows of one export file, which one task writes and one task reads again.
+EXPORT_FILE_ROWS = 500_000
+
+
 def write_case_files(df: DataFrame, data_path: str) -> None:
     """Case rows as Parquet files partitioned by site, clustered by case_date
     inside each site so that min/max statistics prune date ranges; bloom
@@ -55,12 +59,21 @@ def append_users(users: DataFrame, path: str) -> None:
     users.select(*cols).write.mode("append").parquet(path)
 
 
-def export_cases(sheet: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Write the export sheet with its display headers.  A per-site
-    sheet becomes one folder per site."""
-    w = sheet.write.mode("overwrite")
-    if "location" in sheet.columns:
-        w = w.partitionBy("location")
+def export_cases(sheet: DataFrame, path: str, fmt: str = "csv", file_rows: int = EXPORT_FILE_ROWS) -> None:
+    """Write the export sheet with its display headers, one folder per
+    site for a per-site sheet.  A numbered sheet is cut into files of at most
+    ``file_rows`` rows, ``file=<ordinal>`` folders whose names sort as their
+    rows do: a site of any size is written, and imported again, by many tasks.
+    One shuffle deals the rows to their files."""
+    site = ["location"] if "location" in sheet.columns else []
+    number = F.col("`No.`").try_cast("long")
+    if dict(sheet.dtypes).get("No.") in ("bigint", "int"):
+        sheet = sheet.withColumn("file", F.lpad(F.floor((number - 1) / file_rows).cast("string"), 8, "0"))
+        sheet = sheet.repartition(*site, "file").sortWithinPartitions(*site, "file", "`No.`")
+        w = sheet.write.mode("overwrite").partitionBy(*site, "file")
+    else:
+        w = sheet.write.mode("overwrite")
+        w = w.partitionBy(*site) if site else w
     if fmt == "csv":
         # lossless: line breaks, quotes and padding come back through read_import
         w.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)

@@ -126,3 +126,46 @@ def test_file_to_table(spark, tmp_dir):
     assert ingest.import_into(mapped, "s1", tmp_dir + "/cases") == {"inserted": 4, "skipped": 0}
     rows = scan_cases(spark, tmp_dir + "/cases").orderBy("id").collect()
     assert [(r.id, r.description) for r in rows] == list(zip(range(1, 5), texts))
+
+
+def test_a_large_site_is_exported_and_imported_by_many_tasks(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from caseloom.operators.export import export_rows
+    from caseloom.schema import CASES
+    from caseloom.sources.importer import read_import
+    from caseloom.sources.sinks import export_cases
+
+    n = 3000
+    text = lambda c: F.lit(c).alias(c)
+    cases = spark.range(n).select((F.col("id") * 7 % n).alias("id"), *[
+        F.lit(dt.date(2025, 1, 5)).alias("case_date") if f.name == "case_date" else
+        F.concat(F.lit("row\n"), (F.col("id") * 7 % n).cast("string")).alias("description") if f.name == "description" else
+        F.when(F.col("id") % 100 == 0, "small").otherwise("large").alias("location") if f.name == "location" else
+        F.lit(None).cast(f.dataType).alias(f.name) if f.name in ("created_at", "updated_at") else text(f.name)
+        for f in CASES.fields if f.name != "id"]).select(*[f.name for f in CASES.fields])
+    export_cases(export_rows(cases), tmp_dir + "/sheet", file_rows=100)
+    back = read_import(spark, tmp_dir + "/sheet")
+    rows = back.filter("location = 'large'").orderBy("_row").collect()
+    assert [r.case_no for r in rows] == [str(i + 1) for i in range(len(rows))] and len(rows) == n * 99 // 100
+    assert len({r._row.file for r in rows}) == 30
+    ids = [int(r.description.split("\n")[1]) for r in rows]
+    assert ids == sorted(ids)
+
+
+def test_import_scans_the_sheet_once(spark, tmp_dir):
+    """An accumulator in the source counts the rows that the import reads."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = [r + [i] for i, r in enumerate(FIXTURE)]
+    sheet = _sheet(spark, rows, HEADERS + ["_row"])
+
+    def count(place):
+        seen.add(1)
+        return place
+
+    counted = F.udf(count, "string").asNondeterministic()
+    mapped = select_import_columns(sheet.withColumn("_row", counted("_row").cast("int")))
+    assert ingest.import_into(mapped, "s1", tmp_dir + "/cases") == {"inserted": 9, "skipped": 2}
+    assert seen.value == len(FIXTURE)

@@ -121,3 +121,16 @@ def test_like_pattern_backslashes(spark):
     df = _cases(spark)
     for term, n in [("back\\\\slash", 1), ("50\\%", 1), ("a\\_b", 1), ("end\\", 0), ("x\\y", 0)]:
         assert CaseFilter(search=term, search_pattern=True).apply(df).count() == n, term
+
+
+def test_collations(spark):
+    from caseloom.operators.filters import CaseFilter, search
+
+    words = ["IT", "it ", "It", "Café", "CAFE ", "cafe", "Caf", None, "  "]
+    df = spark.createDataFrame([(w, "s") for w in words], "department string, location string")
+    count = lambda c: sorted((r.name, r["count"]) for r in report.by_department(df, collation=c).collect())
+    assert count("ai") == [("CAFE ", 3), ("Caf", 1), ("IT", 3)]
+    assert count("ci") == [("CAFE ", 2), ("Caf", 1), ("Café", 1), ("IT", 3)]
+    pick = lambda **kw: sorted(r.department for r in CaseFilter(**kw).apply(df).collect())
+    assert pick(department="cÀfE", collation="ai") == ["CAFE ", "Café", "cafe"]
+    assert sorted(r.department for r in df.filter(search("FÉ", ("department",), collation="ai")).collect()) == ["CAFE ", "Café", "cafe"]
