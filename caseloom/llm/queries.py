@@ -138,3 +138,96 @@ QUALIFY rank <= 10
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return periodic_runs.digest(periodic_runs.detect(docs, planted=True))
+
+
+ORACLE["op1_pareto_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         coalesce(doc_id::VARCHAR, '') AS id,
+         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM documents),
+sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+weighed AS (
+  SELECT *, 2.0::DOUBLE * source_size AS most,
+         ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM sized),
+filled AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER before, 0))
+         / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+plan AS (
+  SELECT source, source_size, CASE WHEN level * w >= most THEN most
+         ELSE least(most, max(CASE WHEN level * w < most THEN level END) OVER () * w) END AS target FROM filled),
+wanted AS (
+  SELECT d.*, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN least(2.0::DOUBLE, p.target / p.source_size) ELSE 0 END AS copies
+  FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+ranked AS (
+  SELECT *, floor(copies)::BIGINT AS sure, copies - floor(copies) AS p, floor(copies) + 1 <= 2 AND size > 0 AS open,
+         CASE WHEN copies - floor(copies) > 0 THEN u / (1 - u) * (1 - (copies - floor(copies))) / (copies - floor(copies)) ELSE NULL END AS odds
+  FROM wanted),
+ordered AS (SELECT *, CASE WHEN p > 0 THEN odds / (1 + odds) * 0.999::DOUBLE ELSE 0.999::DOUBLE + 0.001::DOUBLE * u END AS rnk FROM ranked),
+lefts AS (
+  SELECT source, least(max(target) - sum(sure * size), sum(CASE WHEN open THEN size ELSE 0 END)) AS words_left FROM ordered GROUP BY source),
+upto AS (
+  SELECT o.*, l.words_left, sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY o.source ORDER BY open DESC, rnk, id, size) AS upto
+  FROM ordered o JOIN lefts l ON o.source IS NOT DISTINCT FROM l.source),
+gaps AS (
+  SELECT source, max(words_left) - coalesce(max(CASE WHEN open AND upto <= words_left THEN upto END), 0) AS gap FROM upto GROUP BY source),
+further AS (
+  SELECT u.source, min(struct_pack(a := abs(u.size - g.gap), b := u.rnk, c := u.id, e := u.size)) AS x
+  FROM upto u JOIN gaps g ON u.source IS NOT DISTINCT FROM g.source
+  WHERE u.open AND u.upto > u.words_left AND abs(u.size - g.gap) < g.gap GROUP BY u.source)
+SELECT u.doc_id, u.size, u.source_size, u.target,
+       CASE WHEN u.size > 0 THEN (u.sure + CASE WHEN u.open AND (u.upto <= u.words_left
+           OR (f.x IS NOT NULL AND u.rnk = f.x.b AND u.id = f.x.c AND u.size = f.x.e)) THEN 1 ELSE 0 END) * u.size ELSE 0 END::BIGINT AS taken
+FROM upto u LEFT JOIN further f ON u.source IS NOT DISTINCT FROM f.source
+"""
+
+ORACLE["op2_chat_prefix_targets"] = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, regexp_replace(regexp_replace(text, '<(\\*(?:/?s>|</?SYS>>|\|role(?::[^|]*)?\|>|\|end\|>))', '<\\\1', 'g'),
+                           '\[(\\*/?INST\])', '[\\\1', 'g') AS body,
+         CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+              ELSE length('<|role|><|end|>') + coalesce(1 + length(url_encode(role)), 0) END AS marks
+  FROM rows_),
+numbered AS (
+  SELECT *, row_number() OVER o AS i, count(*) OVER (PARTITION BY conv_id) AS n, sum(length(body) + marks) OVER o AS upto
+  FROM escaped WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(CASE WHEN role = 'assistant' OR i = n THEN upto ELSE 0 END)::BIGINT AS formatted_chars,
+       count(*) FILTER (WHERE role = 'assistant' OR i = n)::BIGINT AS n_examples
+FROM numbered GROUP BY conv_id
+"""
+
+ORACLE["op5_fm_dedup"] = r"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (
+  SELECT row, i, words[i] AS word, CASE WHEN i + 34 <= len(words) THEN array_to_string(words[i:i + 34], ' ') END AS run
+  FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM texts)),
+seen AS (SELECT *, run IS NOT NULL AND count(*) OVER (PARTITION BY run) > 1 AS again FROM starts),
+covered AS (
+  SELECT *, bool_or(again) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM seen)
+SELECT t.doc_id, len(t.words)::BIGINT AS n_words, count(c.i) FILTER (WHERE gone)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM texts t LEFT JOIN covered c USING (row) GROUP BY t.row, t.doc_id, t.words
+"""
+
+ORACLE["op10_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, embedding IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings),
+links AS (
+  SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.usable AND b.usable
+    AND CASE WHEN a.usable AND b.usable THEN list_cosine_similarity(a.e, b.e) ELSE 0 END >= 0.9),
+reach AS (SELECT DISTINCT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id)::BIGINT AS n_links,
+       (SELECT min(b) FROM reach r WHERE r.a = v.vec_id)::BIGINT AS component_id,
+       v.vec_id = (SELECT min(b) FROM reach r WHERE r.a = v.vec_id) AS kept
+FROM v
+"""
