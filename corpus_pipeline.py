@@ -14,6 +14,15 @@ only.
    target weights; a document taken twice gives two rows.
 5. ``tokens`` encodes the texts and decodes them again.
 
+Stages hand on the columns that they got, under whatever names: what an
+operator adds to its rows (``score``, ``mix_size``, ...) stands beside the row,
+never in place of one of its columns.  Null and empty texts score as documents
+without any n-gram (on the given labels they are rejected), have no copies, no
+secrets and the size 0, so a mix takes none of them; a document without an id
+is never labelled and never a near copy; repeated rows are one document after
+the second stage; a null source is a source of its own; empty tables stay
+empty.
+
 The classifier cannot be written in SQL, so ``ORACLE_SQL`` is None and the
 stages are tested against brute-force versions.
 """
@@ -30,9 +39,14 @@ from caseloom.llm.queries import piece_model, table
 ORACLE_SQL = None
 
 
+def beside(docs: DataFrame, *used: str) -> DataFrame:
+    """The rows as one column, next to the columns that an operator uses."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept_row"), *[docs[c] for c in used])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality_nbsvm.score(docs, labels).filter("predicted = 1").select(docs.columns)
+    return quality_nbsvm.score(beside(docs, "doc_id", "text"), labels).filter("predicted = 1").select("kept_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +59,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).filter("mix_times > 0")
-    return taken.withColumn("mix_times", F.explode(F.array_repeat(F.lit(0), F.col("mix_times").cast("int")))).select(docs.columns)
+    taken = mixing.mix(beside(docs, "doc_id", "text", "source")).filter("mix_times > 0")
+    return taken.select("kept_row", F.explode(F.array_repeat(F.lit(0), F.col("mix_times").cast("int"))).alias("copy")).select("kept_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
