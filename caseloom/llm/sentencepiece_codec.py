@@ -30,8 +30,11 @@ from pyspark.sql import types as T
 from caseloom.llm.common import small_batches
 
 MARK = "▁"
-#: Words encoded in one go, and cached encodings of words per task.
-BLOCK_WORDS, CACHE_WORDS = 20_000, 250_000
+#: Words encoded in one go; texts split into words at once; cached encodings
+#: of words per task, in bytes of their strings and entries.
+BLOCK_WORDS, SPLIT_CHARS, CACHE_BYTES = 20_000, 4_000_000, 32_000_000
+#: Bytes of a cached word beside its characters: two strings and a dict entry.
+ENTRY_BYTES = 200
 OUT = T.StructType([
     T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.StringType()),
@@ -220,13 +223,16 @@ class Codec:
             self.runs[n] = [self.id_of[MARK * k] for k in size]
         return self.runs[n]
 
+    #: Bytes that the cached words take.
+    held = 0
+
     def learn(self, words: set[str]) -> None:
         """Encode the words not seen so far, in blocks."""
         new = list(words - self.shown.keys())
-        if len(self.shown) + len(new) > CACHE_WORDS:
+        if self.held + sum(map(len, new)) + ENTRY_BYTES * len(new) > CACHE_BYTES:
             self.shown.clear()
             self.odd.clear()
-            new = list(words)
+            self.held, new = 0, list(words)
         at = 0
         while at < len(new):
             upto, chars = at, 0
@@ -240,6 +246,7 @@ class Codec:
             ends = np.flatnonzero(word[1:] != word[:-1]) + 1
             shown = " ".join(map(self.digits.__getitem__, np.insert(sym, ends, self.size).tolist()))
             self.shown.update(zip(block, shown.split(" | ")))
+            self.held += chars + len(shown) + ENTRY_BYTES * len(block)
             at = upto
 
     def encode(self, text: str) -> np.ndarray:
@@ -279,16 +286,17 @@ class Codec:
 def encode_texts(texts: list[str], codec: Codec, ids_too: bool, text_too: bool) -> pd.DataFrame:
     """The columns of ``OUT`` for a batch; ids and decoded text where asked."""
     rows = []
-    split = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
     at = 0
-    while at < len(split):
+    while at < len(texts):
         todo: set[str] = set()
-        upto = at
-        while upto < len(split) and len(todo) < CACHE_WORDS // 2:
-            todo.update(split[upto])
+        split, upto, chars = [], at, 0
+        while upto < len(texts) and chars < SPLIT_CHARS and ENTRY_BYTES * len(todo) < CACHE_BYTES // 2:
+            split.append(texts[upto].replace(MARK, " ").split(" ") if texts[upto] else [])
+            todo.update(split[-1])
+            chars += len(texts[upto])
             upto += 1
         codec.learn(todo)
-        for words in split[at:upto]:
+        for words in split:
             if "" in words:
                 ids = codec._ids(words)
                 shown, text = " ".join(map(str, ids)), codec.decode(ids)
