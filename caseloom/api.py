@@ -56,6 +56,15 @@ def list_cases(cases: DataFrame, who: Access | None, site: str, f: CaseFilter =
     return page, report.case_count(rows, group_by=())
 
 
+def search_stored(spark, table_path: str, who: Access | None, f: CaseFilter) -> DataFrame:
+    """Search over all sites of the stored table (those the user may view with
+    ``who``); files without the term are skipped by the table's trigram index,
+    where ``sources.term_index.index_terms`` has covered them."""
+    from caseloom.sources.term_index import search_cases
+    rows = search_cases(spark, table_path, f)
+    return who.cases(rows) if who is not None else rows
+
+
 def case(cases: DataFrame, who: Access | None, site: str, case_id: int) -> DataFrame:
     """GET one case by site and id (no row where there is none, or where the
     user may not view the site)."""

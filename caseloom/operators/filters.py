@@ -43,6 +43,21 @@ def like_pattern(term: str) -> str:
     return "%" + "".join(out) + "%"
 
 
+def plain_parts(term: str) -> list[str]:
+    """The texts between the wildcards of ``like_pattern(term)``."""
+    parts, escaped = [""], False
+    for ch in like_pattern(term):
+        if escaped:
+            parts[-1], escaped = parts[-1] + ch, False
+        elif ch == "\\":
+            escaped = True
+        elif ch in "%_":
+            parts.append("")
+        else:
+            parts[-1] += ch
+    return [p for p in parts if p]
+
+
 def search(term: str, columns=LIST_SEARCH_COLUMNS, pattern: bool = False, collation: str | None = None) -> Column:
     """OR over ``columns`` of a substring match, in either letter case
     under ``collation="ci"``, with or without accents too under ``"ai"``

@@ -18,7 +18,7 @@ from caseloom.functions.dates import ntz
 from caseloom.operators import access, admin, audit, changes as changes_op, export, ingest, listing, numbering, report
 from caseloom.operators.filters import CaseFilter, by_key
 from caseloom.plans.lineage import staging_path
-from caseloom.sources import driver_tables as dtab, sinks
+from caseloom.sources import driver_tables as dtab, sinks, term_index
 from caseloom.schema import CASE_FIELDS
 from caseloom.sources.cases import case_by_id, read_grants, read_locations, read_site_tables, read_users, scan_cases, sites_by_name
 from caseloom.sources.driver_sql import with_views
@@ -874,6 +874,37 @@ def q_stored_case_by_id(spark, sf_dir):
     return case_by_id(spark, path, None, LOOKUP_ID)
 
 
+def _indexed_log(spark, sf_dir):
+    """The stored case log in two versions; the trigram index covers the
+    files of the first."""
+    path = staging_path(spark, "search-cases")
+    log = cases(spark, sf_dir)
+    half = F.col("case_date") < F.lit("1995-06-01").cast("date")
+    sinks.append_cases(log.filter(F.coalesce(half, F.lit(True))), path)
+    term_index.index_terms(spark, path)
+    sinks.append_cases(log.filter(~half), path)
+    return path
+
+
+@register("stored_case_search", CASES + f"""
+SELECT {CASE_COLS} FROM cases
+WHERE coalesce(contains(lower(case_no), '{SEARCH_TERM}') OR contains(lower(description), '{SEARCH_TERM}')
+      OR contains(lower(opened_by), '{SEARCH_TERM}') OR contains(lower(step_to_resolve), '{SEARCH_TERM}'), false)""")
+def q_stored_case_search(spark, sf_dir):
+    """F3 at rest in either letter case: files of the index without the
+    term's trigrams are skipped, files that it does not cover are read."""
+    return term_index.search_cases(spark, _indexed_log(spark, sf_dir), CaseFilter(search=SEARCH_TERM.upper(), collation="ci"))
+
+
+@register("stored_case_search_pattern", CASES + """
+SELECT id, case_no, location FROM cases
+WHERE case_date >= DATE '1995-01-01' AND coalesce(case_no LIKE '%C-1_1%' OR description LIKE '%C-1_1%' OR opened_by LIKE '%C-1_1%'
+      OR step_to_resolve LIKE '%C-1_1%', false)""")
+def q_stored_case_search_pattern(spark, sf_dir):
+    f = CaseFilter(search="C-1_1", search_pattern=True, from_date="1995-01-01")
+    return term_index.search_cases(spark, _indexed_log(spark, sf_dir), f).select("id", "case_no", "location")
+
+
 @register("lockout_stream_counts", with_views("attempts") + """
 SELECT count(*) FILTER (WHERE user_id IS NOT NULL AND ts IS NOT NULL) AS applied, CAST(0 AS BIGINT) AS pending,
        CAST(0 AS BIGINT) AS late, count(*) FILTER (WHERE user_id IS NOT NULL AND ts IS NULL) AS no_time,
