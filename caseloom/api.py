@@ -158,8 +158,8 @@ def delete_cases(cases: DataFrame, ids: DataFrame, as_of: dt.datetime, who: Acce
 
 def commit_changes(spark, table_path: str, change_rows: DataFrame, as_of: dt.datetime,
                    who: Access | None = None) -> dict[str, int]:
-    """Apply a change batch (op I/U/D, seq) to the stored table, rewriting
-    only the sites it touches; returns rows per rewritten site.  With ``who``
+    """Apply a change batch (op I/U/D, seq) to the stored table, replacing
+    only the files it touches; returns the rows written per site.  With ``who``
     changes that the user may not make are left out."""
     from caseloom.sources.table_changes import apply_changes_to_table
     return apply_changes_to_table(spark, table_path, who.changes(change_rows) if who is not None else change_rows, as_of)
