@@ -6,10 +6,16 @@ so a tree's size does not depend on how long the article is.  Trees of
 a host are aligned by simple tree matching, top down and in order, and merged
 into a wrapper: a node whose own text is the same on all pages is constant,
 any other is a slot.  A page is aligned with its host's wrapper; its constant
-nodes are template, and its slots are content, unless their place says
-otherwise: menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments vary from page to page as well, and go by tag, role and class,
-but never with the page's article or most of its slot text inside.
+nodes are template.  Its slots are judged over the host (``judge``): from the root
+down, the part with most slot text outside links leads to the main text; parts
+beside that way whose slot text is mostly links, with another label behind it that
+hold structured items in varying number (reader comments), or that are articles of less
+text, stand beside the text, whatever their tags and classes.  All other slots
+are content, unless their own place says otherwise: headers, footers, sidebars,
+notices, adverts and forms go by tag, role and class, but never with the page's
+article or most of its slot text inside.  Hosts of fewer than ``LEAST_PAGES``
+distinct pages have tags, roles and classes only.  A first heading inside an
+article is its title and stays, constant or not.
 The content slots inside all articles (or else all of the page's) are written
 as blocks.
 
@@ -54,6 +60,8 @@ WRAPPER_NODES, PRUNED_PAGES, KEEP = 1000, 16, 0.25
 BROADCAST_BYTES = 16_000_000
 #: Characters of wrappers that a task keeps parsed.
 KNOWN_CHARS = 8_000_000
+#: A slot with more of its text in links is a list of links; a part with so much of the text outside links leads to the main text.
+LINKS, MOST = 0.5, 0.5
 #: Elements nested deeper lie beside their content, which keeps its text.
 DEPTH = 200
 
@@ -184,23 +192,27 @@ def parse(page: str | None) -> Node:
 
 class Folded:
     """A wrapper node: label, pages that have it, hash of its own text (None:
-    varies), children.  members: the DOM nodes of a page behind it."""
+    varies), children; over its pages, characters of own text outside and
+    inside links, and the least and most siblings of its label.  members: the
+    DOM nodes of a page behind it.  beside: judged to stand beside the text."""
 
-    __slots__ = ("label", "pages", "text", "kids", "members")
+    __slots__ = ("label", "pages", "text", "kids", "members", "prose", "links", "few", "many", "beside")
 
-    def __init__(self, label, pages, text, kids, members=()):
+    def __init__(self, label, pages, text, kids, members=(), prose=0, links=0, few=1, many=1):
         self.label, self.pages, self.text, self.kids, self.members = label, pages, text, kids, members
+        self.prose, self.links, self.few, self.many, self.beside = prose, links, few, many, False
 
 
 def squeezed(s: str) -> str:
     return " ".join(html.unescape(s).split())
 
 
-def fold(members: list[Node]) -> Folded:
+def fold(members: list[Node], linked: bool = False, siblings: int = 1) -> Folded:
     """A node's children with siblings of one label as one node, in the order
     of their first; a few parts of a page of one label stay apart."""
     own: list[str] = []
     kids: list[Folded] = []
+    linked = linked or members[0].tag == "a"
     for n in members:
         own += [t for k in n.kids if isinstance(k, str) and (t := squeezed(k))]
         nodes = [k for k in n.kids if isinstance(k, Node)]
@@ -214,8 +226,11 @@ def fold(members: list[Node]) -> Folded:
                 first[k.label].append(k)
             else:
                 groups.append(first.setdefault(k.label, [k]))
-        kids = merge_kids(kids, [fold(g) for g in groups]) if kids else [fold(g) for g in groups]
-    return Folded(members[0].label, 1, xxhash.xxh3_64_intdigest("\n".join(own)) >> 1 if own else 0, kids, members)
+        folded = [fold(g, linked, count[g[0].label]) for g in groups]
+        kids = merge_kids(kids, folded) if kids else folded
+    chars = sum(map(len, own))
+    text = xxhash.xxh3_64_intdigest("\n".join(own)) >> 1 if own else 0
+    return Folded(members[0].label, 1, text, kids, members, 0 if linked else chars, chars if linked else 0, siblings, siblings)
 
 
 def matching(a: Folded, b: Folded) -> int:
@@ -256,6 +271,7 @@ def align(a: list[Folded], b: list[Folded]) -> list[tuple[Folded | None, Folded
 
 def merge(a: Folded, b: Folded) -> Folded:
     a.pages += b.pages
+    a.prose, a.links, a.few, a.many = a.prose + b.prose, a.links + b.links, min(a.few, b.few), max(a.many, b.many)
     if a.text != b.text:
         a.text = None
     a.members = [*a.members, *b.members] if a.members or b.members else ()
@@ -274,16 +290,16 @@ def merge_page(wrapper: Folded, page: Folded) -> Folded:
 
 def bare(f: Folded) -> Folded:
     """Without its page's nodes, every count one page."""
-    return Folded(f.label, 1, f.text, [bare(k) for k in f.kids])
+    return Folded(f.label, 1, f.text, [bare(k) for k in f.kids], (), f.prose, f.links, f.few, f.many)
 
 
 def dump(f: Folded) -> str:
-    pack = lambda x: [x.label, x.pages, x.text, [pack(k) for k in x.kids]]
+    pack = lambda x: [x.label, x.pages, x.text, [pack(k) for k in x.kids], x.prose, x.links, x.few, x.many]
     return json.dumps(pack(f), separators=(",", ":"), ensure_ascii=False)
 
 
 def load(s: str) -> Folded:
-    make = lambda x: Folded(x[0], x[1], x[2], [make(k) for k in x[3]])
+    make = lambda x: Folded(x[0], x[1], x[2], [make(k) for k in x[3]], (), *x[4:])
     return make(json.loads(s))
 
 
@@ -341,17 +357,93 @@ def _hide(n: Node) -> None:
             _hide(k)
 
 
-def mark_template(wrapper: Folded, page: Folded, least: float | None = None) -> None:
+def _least(wrapper: Folded) -> float:
+    """Pages on which a node of a host is constant when it is template."""
+    return max(LEAST_PAGES, SHARE * wrapper.pages)
+
+
+def _tag(label: str) -> str:
+    return label.split(".")[0]
+
+
+def _named_side(label: str) -> bool:
+    tag, _, first = label.partition(".")
+    return tag in SIDE_TAG or names(first, SIDE_WORD)
+
+
+def _slots(n: Folded, least: float, known: dict[int, tuple[int, int]]) -> tuple[int, int]:
+    """Characters of slot text under a node outside and inside links."""
+    prose, links = (0, 0) if n.text is not None and n.pages >= least else (n.prose, n.links)
+    for k in n.kids:
+        p, q = _slots(k, least, known)
+        prose, links = prose + p, links + q
+    known[id(n)] = prose, links
+    return prose, links
+
+
+def _items(n: Folded, pages: int) -> bool:
+    """Whether a part holds blocks of several blocks each that repeat in
+    varying number from page to page, as comments do."""
+    if n.many > 1 and (n.few < n.many or n.pages < pages) and sum(not _inline(k.label) for k in n.kids) > 1:
+        return True
+    return any(_items(k, n.pages) for k in n.kids)
+
+
+def judge(wrapper: Folded) -> Folded:
+    """The wrapper with the parts marked that stand beside its host's main text,
+    by what the host's pages hold there."""
+    if wrapper.pages < LEAST_PAGES:
+        return wrapper
+    known: dict[int, tuple[int, int]] = {}
+    _slots(wrapper, _least(wrapper), known)
+    prose = lambda x: known[id(x)][0]
+    n, off = wrapper, []  # off: articles that the way down passes by
+    while n.label not in MAIN_TAG:
+        kids = [k for k in n.kids if not _named_side(k.label)]
+        if not kids:
+            break
+        main = max(kids, key=lambda k: (prose(k), k.label in MAIN_TAG))
+        leads = (main.label == "html" or _tag(main.label) in PART) and prose(main) > MOST * prose(n)
+        at = next(i for i, k in enumerate(n.kids) if k is main)
+        for i, k in enumerate(n.kids):
+            if k is main or _tag(k.label) not in PART:
+                continue
+            p, q = known[id(k)]
+            # a part of the main one's own label is more of the same, not what readers say to it
+            k.beside = q > LINKS * (p + q) or i > at and k.label not in (main.label, *MAIN_TAG) and _items(k, n.pages)
+            if leads and not k.beside:
+                off += _articles(k)
+        if not leads:
+            break
+        n = main
+    if n.label not in MAIN_TAG and prose(n) and not _articles(n):
+        for k in off:
+            k.beside = True
+    return wrapper
+
+
+def _articles(n: Folded) -> list[Folded]:
+    return [n] if n.label in MAIN_TAG else [x for k in n.kids for x in _articles(k)]
+
+
+def mark_template(wrapper: Folded, page: Folded, least: float | None = None, inside: bool = False) -> None:
     """Hide the text of the page's blocks that the wrapper has constant on
-    ``least`` pages (at the root: by ``SHARE`` of all its pages)."""
+    ``least`` pages (at the root: by ``SHARE`` of all its pages), and drop the
+    parts that it has beside the text."""
     if least is None:
-        least = max(LEAST_PAGES, SHARE * wrapper.pages)
+        least = _least(wrapper)
+    inside = inside or wrapper.label in MAIN_TAG
+    if wrapper.beside:
+        for n in page.members:
+            n.drop = n.side = True
+    if inside and _tag(wrapper.label) == "h1":
+        return
     if not _inline(wrapper.label) and wrapper.pages >= least and wrapper.text == page.text and _fixed(wrapper):
         for n in page.members:
             _hide(n)
     for w, p in align(wrapper.kids, page.kids):
         if w is not None and p is not None:
-            mark_template(w, p, least)
+            mark_template(w, p, least, inside)
 
 
 def _weight(n: Node) -> int:
@@ -539,7 +631,7 @@ class Known:
         if wrapper not in self.trees:
             if self.chars > KNOWN_CHARS:
                 self.trees, self.chars = {}, 0
-            self.trees[wrapper] = _deep(load, wrapper)
+            self.trees[wrapper] = _deep(lambda x: judge(load(x)), wrapper)
             self.chars += len(wrapper)
         return self.trees[wrapper]
 

@@ -193,6 +193,43 @@ def test_wrapper_keeps_all_varying_parts():
     assert wrapper_html.extract("<main><p>in main, longer</p></main><article><p>beside</p></article><article><a href=/>link only</a></article>", None) == "in main, longer\nbeside\nlink only"
 
 
+def neutral(i, said=1):
+    """A page of divs and sections whose classes name nothing: a menu of the
+    page's own, an article, links to others, comments of readers, a teaser."""
+    menu = "".join(f"<li><a href=/{i}/{k}>topic {i} {k}</a>" for k in range(4))
+    comments = "".join(f"<div class=e2><div>reader {i} {k}</div><div>I read all of page {i} and say {k}</div></div>" for k in range(said))
+    story = f"<h1>Title {i}</h1><div>Lead of page {i}</div><div class=c3><p>{f'long text {i} ' * 30}</p><p>See <a href=/{i}>source {i}</a> for more of it</p><p>second {i}</p></div>"
+    return f"<html><body><div class=a1><ul>{menu}</ul></div><div class=b2>{story}</div><div class=d4><div>Also read</div><div><a href=/x{i}>another story {i}</a></div></div><section class=q1>{comments}</section></body></html>"
+
+
+def neutral_text(i):
+    return f"Title {i}\nLead of page {i}\n{' '.join([f'long text {i}'] * 30)}\nSee source {i} for more of it\nsecond {i}"
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_wrapper_decides_where_tags_and_classes_name_nothing(spark, parts):
+    """Links and comments vary from page to page like the article does."""
+    rows = [page(i, neutral(i, i % 4)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    assert {r.page_id: r.main_text for r in wrapper_html.main_text(df).collect()} == {i: neutral_text(i) for i in range(12)}
+    # without its host's other pages nothing tells them apart
+    assert wrapper_html.extract(neutral(1), None) != neutral_text(1)
+
+
+def test_wrapper_prefers_the_part_with_most_text_to_teasers_in_articles(spark):
+    body = "<body><div class=k><h1>H{0}</h1><p>" + "words of page {0} " * 20 + "</p></div><div class=z><article><p>teaser {0}</p></article></div></body>"
+    df = spark.createDataFrame([page(i, body.format(i)) for i in range(6)], "page_id long, url string, html string")
+    for r in wrapper_html.main_text(df).collect():
+        assert r.main_text == f"H{r.page_id}\n" + " ".join([f"words of page {r.page_id}"] * 20)
+
+
+def test_wrapper_keeps_titles_and_link_lists_inside_articles(spark):
+    body = "<div class=m><a href=/{0}>go {0}</a></div><article><h1>Weather report</h1><p>Rain {0}.</p><ul><li><a href=/s{0}>source {0}</a></ul></article>"
+    df = spark.createDataFrame([page(i, body.format(i)) for i in range(6)], "page_id long, url string, html string")
+    for r in wrapper_html.main_text(df).collect():
+        assert r.main_text == f"Weather report\nRain {r.page_id}.\nsource {r.page_id}"
+
+
 def varied(i):
     """A page whose classes are its own, but for those of the byline."""
     own = "".join(chr(97 + int(c)) for c in f"{i:04d}")
