@@ -1,8 +1,8 @@
 """Quality classifier: a linear SVM over naive Bayes support vectors.
 
 A document is the set of its character n-grams (3 and 4 bytes of the UTF-8
-text, white space folded, hashed), with indicators for the share of word
-bigrams that double a word and for the number of words in powers of two.  Each indicator is scaled by its class
+text, white space folded, hashed) and of word bigrams backed off to "a word and
+itself again", in steps of their share.  Each indicator is scaled by its class
 log-count ratio and by the document's length (unit norm), and an L2-regular
 hinge-loss model is fitted by dual coordinate descent.  Scores are made
 probabilities by a sigmoid fitted on out-of-fold decision values, weighted to
@@ -10,11 +10,13 @@ the labels' own class frequencies.
 
 The model is fitted on a bounded sample of labelled rows: the ``per_class``
 rows of each class that come first by a hash of the id (drawn on the labels
-alone; at most that many rows reach the fitting task).  Scoring reads every
-whole text in place, without a shuffle.
+alone; at most that many rows reach the fitting task), and of these the ones
+whose n-grams fit into ``class_bytes`` together, first ones first.  Scoring
+reads every whole text in place, without a shuffle.
 
 Handled: null and empty texts (no features: the score of the bias), null or
-repeated labels (dropped; the least label of an id counts), a missing class
+repeated labels (dropped; the least label of an id counts, and of its texts the
+one with the least set of n-grams), a missing class
 (every score is the share of label 1, 0.5 without labels), null ids (never
 labelled), repeated rows, long texts; other columns stay.
 """
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,8 @@ from caseloom.llm.common import word_hashes, written
 
 BITS = 18
 PER_CLASS = 3000
+#: Bytes of n-grams of one class that the fit takes, 4 each.
+CLASS_BYTES = 64_000_000
 #: Added under the norm, so that texts with little evidence stay near the bias.
 DAMP = 20.0
 MODEL = "weights binary, bias double, slope double, shift double, rows long"
@@ -42,7 +46,7 @@ def features(text: str | None) -> np.ndarray:
     """The distinct hashed n-grams of a whole text, ascending."""
     raw = np.frombuffer(("" if text is None else text).encode("utf-8", "replace"), dtype=np.uint8)
     if len(raw) < 3:
-        return np.array([16 + len(raw.tobytes().split())], dtype=np.int32)
+        return np.zeros(0, dtype=np.int32)
     b = np.where((raw <= 32), 32, raw).astype(np.uint32)
     three = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
     four = three[:-1] << np.uint32(8) | b[3:]
@@ -53,9 +57,7 @@ def features(text: str | None) -> np.ndarray:
     h = word_hashes(text)
     same = int((h[1:] == h[:-1]).sum())
     doubled = np.arange(max(1, int(np.ceil(np.log2(len(h) / same)))), 9, dtype=np.int32) if same else np.zeros(0, dtype=np.int32)
-    # the halving step of the number of words
-    size = np.array([16 + int(len(h)).bit_length()], dtype=np.int32)
-    return np.unique(np.concatenate([np.maximum(grams, 64), doubled, size]))
+    return np.unique(np.concatenate([np.maximum(grams, 64), doubled]))
 
 
 def log_count_ratio(docs: list[np.ndarray], label: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -69,28 +71,28 @@ def log_count_ratio(docs: list[np.ndarray], label: np.ndarray, alpha: float = 1.
     return np.log(counts[1] / n1 + a) - np.log(counts[0] / n0 + a)
 
 
-def dual_coordinate_descent(docs, values, label, cost: float = 1.0, epochs: int = 12, seed: int = 7):
-    """Squared hinge loss: min |w|^2/2 + C sum max(0, 1 - y w.x)^2, solved in
-    the dual one document at a time.  The bias is a constant feature."""
+def dual_coordinate_descent(docs, values, label, cost: float = 1.0, epochs: int = 30, seed: int = 7, tolerance: float = 1e-3):
+    """Hinge loss: min |w|^2/2 + C sum max(0, 1 - y w.x), solved in the dual one
+    document at a time, each multiplier held in [0, C].  The bias is a constant
+    feature.  Ends when no projected gradient of a pass exceeds ``tolerance``."""
     y = np.where(label == 1, 1.0, -1.0)
     w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(docs))
-    diag = 1.0 / (2.0 * cost)
-    q = np.array([v @ v + 1.0 + diag for v in values])
+    q = np.array([v @ v + 1.0 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(docs)).tolist():
             x, v = docs[i], values[i]
-            g = y[i] * (w[x] @ v + bias) - 1.0 + diag * alpha[i]
-            pg = min(g, 0.0) if alpha[i] == 0 else g
+            g = y[i] * (w[x] @ v + bias) - 1.0
+            pg = min(g, 0.0) if alpha[i] <= 0.0 else max(g, 0.0) if alpha[i] >= cost else g
             if pg != 0.0:
-                new = max(alpha[i] - g / q[i], 0.0)
+                new = min(max(alpha[i] - g / q[i], 0.0), cost)
                 step = (new - alpha[i]) * y[i]
                 alpha[i] = new
                 w[x] += step * v
                 bias += step
                 worst = max(worst, abs(pg))
-        if worst < 1e-3:
+        if worst < tolerance:
             break
     return w, bias
 
@@ -167,7 +169,7 @@ def held_out(doc_id: Column, of: int = 4, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
+def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> dict:
     """The model, from labels (doc_id, quality) outside the held-out part."""
     spark = docs.sparkSession
     known = (labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
@@ -182,11 +184,14 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     def grams(s: pd.Series) -> pd.Series:
         return s.map(lambda t: features(t).tobytes(), na_action=None)
 
-    # the drawn ids are bounded by the parameter, so they go to every task and no text is shuffled; an id's first text counts
+    # the drawn ids are bounded by the parameter, so they go to every task and no text is shuffled
     texts = docs.select("doc_id", F.col("text").cast("string").alias("t")).join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id"))
     sample = texts.select("doc_id", "y", grams("t").alias("x")).groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("v"))
-    sample = sample.select("v.x", F.col("v.y").cast("int").alias("y"), F.lit(share).alias("share"))
-    row = sample.repartition(1).mapInPandas(_fit_task, MODEL).first()
+    sample = written(sample.select("doc_id", "v.x", F.col("v.y").cast("int").alias("y")), "quality-grams")
+    # ids and sizes alone, at most per_class rows a class
+    used = F.sum(F.octet_length("x")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fits = sample.select("doc_id", used.alias("used")).filter(F.col("used") <= class_bytes).select("doc_id")
+    row = sample.join(F.broadcast(fits), "doc_id", "left_semi").select("x", "y", F.lit(share).alias("share")).repartition(1).mapInPandas(_fit_task, MODEL).first()
     if row is None:
         return {"weights": np.zeros((2, 1 << BITS), dtype="<f4").tobytes(), "bias": 0.0, "slope": 0.0, "shift": 0.0, "rows": 0}
     return row.asDict()

@@ -131,6 +131,38 @@ def test_quality_odd_rows(spark, odd_docs):
     assert quality_nbsvm.score(odd_docs.limit(0), labels).count() == 0
 
 
+def test_dual_coordinate_descent_is_the_hinge_optimum():
+    """Against projected gradient ascent on the dense dual with its box; labels
+    that no line separates, so multipliers stand at 0, inside and at C."""
+    rng = np.random.default_rng(4)
+    docs = [np.unique(rng.integers(0, 12, 5)) for _ in range(60)]
+    label = np.array([int(0 in d) ^ int(rng.random() < 0.15) for d in docs])
+    values = [rng.normal(size=len(d)) for d in docs]
+    for cost in (0.3, 1.0):
+        x = np.zeros((60, 13))
+        for i, (d, v) in enumerate(zip(docs, values)):
+            x[i, d], x[i, 12] = v, 1.0
+        z = x * np.where(label == 1, 1.0, -1.0)[:, None]
+        gram, alpha = z @ z.T, np.zeros(60)
+        step = 1 / np.linalg.eigvalsh(gram)[-1]
+        for _ in range(100000):
+            alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, cost)
+        best = z.T @ alpha
+        assert (alpha == 0).any() and (alpha == cost).any() and ((alpha > 0) & (alpha < cost)).any()
+        w, bias = quality_nbsvm.dual_coordinate_descent(docs, values, label, cost, epochs=3000, tolerance=1e-9)
+        assert np.allclose([*w[:12], bias], best, atol=1e-4) and not w[12:].any()
+
+
+def test_quality_fit_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} words {i} " * 40) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    every = quality_nbsvm.fit_model(docs, labels)
+    size = len(quality_nbsvm.features("good words 11 " * 40)) * 4
+    some = quality_nbsvm.fit_model(docs, labels, class_bytes=5 * size)
+    assert every["rows"] == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(60)) and 8 <= some["rows"] <= 12
+    assert quality_nbsvm.fit_model(docs, labels, class_bytes=0)["rows"] == 0
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     docs = [np.unique(rng.integers(0, 50, 8) + (50 if i % 2 else 0)) for i in range(100)]
