@@ -1,7 +1,7 @@
 """R1 on a stream: the lockout rule as per-user state.
 
 The fold depends on the order of attempts, so arrivals are not applied as
-they come: ``transformWithStateInPandas`` keeps per user, in RocksDB, the fold
+they come: ``transformWithState`` keeps per user, in RocksDB, the fold
 state as a value and the attempts not yet applied as a list.  An attempt is
 applied, in (ts, event_id) order, once the watermark has reached it; attempts
 within the watermark delay may arrive in any order and still give the batch
@@ -16,6 +16,11 @@ their own (``user_id`` NULL, dealt over ``LANES`` lanes by a hash, as they may
 be many), in ``no_user``.
 
 The few scalars of a user stay for good, as only a success resets them.
+
+Most users have few attempts a micro-batch, so the cost is that of a user, not
+of an attempt: rows go in and out as Rows (a DataFrame a user costs many times
+the fold), and what waits is packed, up to ``PACKED`` attempts in one list
+value, so that it is one call to the state store and not one value an attempt.
 """
 
 from __future__ import annotations
@@ -25,9 +30,8 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from caseloom.schema import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
@@ -43,13 +47,16 @@ OUTPUT_SCHEMA = ("user_id long, lane int, attempts long, locked_until timestamp_
 #: Times are microseconds; NULL stands for none.
 STATE_SCHEMA = ("attempts long, locked_until long, n_locks long, last_lock long, last_ts long, last_id long, late long, "
                 "no_time long, no_user long, pending long, applied long, next_ts long, version long")
-WAITING_SCHEMA = "ts long, event_id long, ok boolean"
+WAITING_SCHEMA = "packed binary"
+WAITING = np.dtype([("ts", "<i8"), ("event_id", "<i8"), ("ok", "?")])
+#: Attempts in one value of the waiting list.
+PACKED = 8192
 _FIELDS = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
 _COLS = [c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]
 
 
-def _time(us: int | None):
-    return pd.NaT if us is None else pd.Timestamp(us, unit="us")
+def _packed(attempts: np.ndarray) -> list[tuple[bytes]]:
+    return [(attempts[i:i + PACKED].tobytes(),) for i in range(0, len(attempts), PACKED)]
 
 
 class LockoutProcessor(StatefulProcessor):
@@ -64,13 +71,14 @@ class LockoutProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
 
     def _load(self) -> dict:
-        if self.state.exists():
-            return dict(zip(_FIELDS, self.state.get()))
+        kept = self.state.get()
+        if kept is not None:
+            return dict(zip(_FIELDS, kept))
         return dict.fromkeys(_FIELDS, 0) | dict.fromkeys(("locked_until", "last_lock", "last_ts", "last_id", "next_ts"))
 
-    def _store(self, key, s: dict, timer: int | None) -> Iterator[pd.DataFrame]:
+    def _store(self, key, s: dict, timer: int | None) -> Iterator[Row]:
         """Keeps the state, moves the timer (``timer`` is the one set so far)
-        and gives the user's row."""
+        and gives the user's row; Arrow takes its times as microseconds."""
         wanted = None if s["next_ts"] is None else s["next_ts"] // 1000 - 1
         if wanted != timer:
             if timer is not None:
@@ -79,69 +87,69 @@ class LockoutProcessor(StatefulProcessor):
                 self.handle.registerTimer(wanted)
         s["version"] += 1
         self.state.update(tuple(s[c] for c in _FIELDS))
-        row = {"user_id": None if key[1] else key[0], "lane": key[1]} | s | {"locked_until": _time(s["locked_until"]), "last_lock": _time(s["last_lock"])}
-        out = pd.DataFrame([[row[c] for c in _COLS]], columns=_COLS)
-        out["user_id"] = out["user_id"].astype("Int64")
-        for c in ("locked_until", "last_lock"):
-            out[c] = pd.to_datetime(out[c])
-        yield out
-
-    def _apply(self, s: dict, due: list[tuple[int, int, bool]]) -> None:
-        for t, eid, ok in due:
-            if s["last_ts"] is not None and (t, eid) <= (s["last_ts"], s["last_id"]):
-                s["late"] += 1
-                continue
-            s["last_ts"], s["last_id"] = t, eid
-            s["applied"] += 1
-            if s["locked_until"] is not None and t < s["locked_until"]:
-                continue
-            if ok:
-                s["attempts"], s["locked_until"] = 0, None
-                continue
-            s["attempts"] += 1
-            if s["attempts"] >= self.max_failed:
-                s["locked_until"], s["last_lock"], s["n_locks"] = t + self.lock_us, t, s["n_locks"] + 1
-
-    def _release(self, s: dict, new: list[tuple[int, int, bool]], watermark_ms: int) -> None:
+        row = s | {"user_id": None if key[1] else key[0], "lane": key[1]}
+        yield Row(**{c: row[c] for c in _COLS})
+
+    def _apply(self, s: dict, due: np.ndarray) -> None:
+        for at in range(0, len(due), PACKED):
+            for t, eid, ok in due[at:at + PACKED].tolist():
+                if s["last_ts"] is not None and (t, eid) <= (s["last_ts"], s["last_id"]):
+                    s["late"] += 1
+                    continue
+                s["last_ts"], s["last_id"] = t, eid
+                s["applied"] += 1
+                if s["locked_until"] is not None and t < s["locked_until"]:
+                    continue
+                if ok:
+                    s["attempts"], s["locked_until"] = 0, None
+                    continue
+                s["attempts"] += 1
+                if s["attempts"] >= self.max_failed:
+                    s["locked_until"], s["last_lock"], s["n_locks"] = t + self.lock_us, t, s["n_locks"] + 1
+
+    def _release(self, s: dict, new: np.ndarray, watermark_ms: int) -> None:
         """Applies what the watermark has reached; the rest waits.  The list
         is read only if something in it is due."""
         limit = watermark_ms * 1000 + 999  # the watermark is in whole milliseconds
-        if s["next_ts"] is not None and s["next_ts"] <= limit:
-            held = [(int(t), int(i), bool(o)) for t, i, o in self.waiting.get()] + new
-            rest = [x for x in held if x[0] > limit]
-            self.waiting.put(rest) if rest else self.waiting.clear()
+        waits = s["next_ts"]
+        if waits is not None and waits <= limit:
+            held = np.concatenate([np.frombuffer(x[0], WAITING) for x in self.waiting.get()] + [new])
+            rest = held[held["ts"] > limit]
+            self.waiting.put(_packed(rest)) if len(rest) else self.waiting.clear()
+            waits = None
         else:
-            held, rest = new, [x for x in new if x[0] > limit]
-            if rest:
-                self.waiting.appendList(rest)
-            rest = rest + ([(s["next_ts"], 0, True)] if s["next_ts"] is not None else [])
-        due = sorted(x for x in held if x[0] <= limit)
-        self._apply(s, due)
+            held, rest = new, new[new["ts"] > limit]
+            if len(rest):
+                self.waiting.appendList(_packed(rest))
+        due = held[held["ts"] <= limit]
+        self._apply(s, due[np.lexsort((due["ok"], due["event_id"], due["ts"]))])
         s["pending"] += len(new) - len(due)
-        s["next_ts"] = min((x[0] for x in rest), default=None)
+        first = int(rest["ts"].min()) if len(rest) else None
+        s["next_ts"] = first if waits is None else waits if first is None else min(first, waits)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         s = self._load()
         timer = None if s["next_ts"] is None else s["next_ts"] // 1000 - 1
-        new: list[tuple[int, int, bool]] = []
-        for pdf in rows:
+        parts, new = [], []
+        for r in rows:
             if key[1]:
-                s["no_user"] += len(pdf)
-                continue
-            known = pdf["ts"].notna()
-            s["no_time"] += int((~known).sum())
-            pdf = pdf[known]
-            us = pd.to_datetime(pdf["ts"]).to_numpy().astype("datetime64[us]").astype(np.int64)
-            new += zip(us.tolist(), pdf["event_id"].astype("int64").tolist(), pdf["ok"].astype(bool).tolist())
-        self._release(s, new, timerValues.getCurrentWatermarkInMs())
+                s["no_user"] += 1
+            elif r.ts is None:
+                s["no_time"] += 1
+            else:
+                new.append((r.ts, r.event_id, r.ok))
+                if len(new) == PACKED:
+                    parts.append(np.array(new, WAITING))
+                    new = []
+        self._release(s, np.concatenate([*parts, np.array(new, WAITING)]), timerValues.getCurrentWatermarkInMs())
         yield from self._store(key, s, timer)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         s = self._load()
         timer = None if s["next_ts"] is None else s["next_ts"] // 1000 - 1
         if timer == expiredTimerInfo.getExpiryTimeInMs():
             timer = None  # the engine takes away the timer that fired
-        self._release(s, [], timerValues.getCurrentWatermarkInMs())
+        self._release(s, np.array([], WAITING), timerValues.getCurrentWatermarkInMs())
         yield from self._store(key, s, timer)
 
     def close(self) -> None:
@@ -165,8 +173,8 @@ def lockout_stream(attempts: DataFrame, watermark: str = "10 minutes", max_faile
     lane = F.when(F.col("user_id").isNull(), F.pmod(F.xxhash64("event_id", "ts"), F.lit(LANES)) + 1).otherwise(0).cast("int")
     timed = attempts.withColumn("event_time", event_time).withWatermark("event_time", watermark)
     sent = timed.select(F.coalesce("user_id", F.lit(0)).alias("user_id"), lane.alias("lane"),
-                        F.coalesce("event_id", F.lit(-(2**63))).alias("event_id"), "ts", F.coalesce("ok", F.lit(False)).alias("ok"))
-    return sent.groupBy("user_id", "lane").transformWithStateInPandas(
+                        F.coalesce("event_id", F.lit(-(2**63))).alias("event_id"), F.unix_micros("event_time").alias("ts"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    return sent.groupBy("user_id", "lane").transformWithState(
         LockoutProcessor(max_failed, lock_us), OUTPUT_SCHEMA, output_mode, "EventTime")
 
 

@@ -142,3 +142,152 @@ def test_late_attempts_are_counted(spark, tmp_dir):
     # 4 stands before its user's last applied attempt; 5 has the next event_id at the same time; 6 comes while its
     # user's only attempt still waits, and 7 is its user's first: both are in order for the user
     assert (counts.late, counts.applied, counts.pending) == (1, 7, 0)
+
+
+class _Handle:
+    """State and timers of one user, and the calls that reach the store."""
+
+    def __init__(self):
+        self.value, self.values, self.timers, self.calls = None, [], set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return _Waiting(self)
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+class _Waiting:
+    def __init__(self, handle):
+        self.h = handle
+
+    def get(self):
+        self.h.calls += 1
+        return iter(self.h.values)
+
+    def appendList(self, values):
+        self.h.calls += 1
+        self.h.values = self.h.values + list(values)
+
+    def put(self, values):
+        self.h.calls += 1
+        self.h.values = list(values)
+
+    def clear(self):
+        self.h.calls += 1
+        self.h.values = []
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def _fired(p, h, watermark_ms):
+    """Fires the user's timers as the engine does; the last row given."""
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo
+    last = None
+    for ms in sorted(t for t in h.timers if t < watermark_ms):
+        for last in p.handleExpiredTimer((1, 0), _Watermark(watermark_ms), ExpiredTimerInfo(ms)):
+            pass
+        h.timers.discard(ms)
+    return last
+
+
+def _processor():
+    from caseloom.streaming.lockout import LockoutProcessor
+    p, h = LockoutProcessor(3, 30 * 60 * 10**6), _Handle()
+    p.init(h)
+    return p, h
+
+
+def _input(rows):
+    from pyspark.sql import Row
+    return iter([Row(user_id=1, lane=0, event_id=i, ts=t, ok=ok) for i, t, ok in rows])
+
+
+def test_waiting_attempts_are_one_value_and_few_calls():
+    """A user's attempts of a micro-batch wait in one list value, whatever
+    their number below ``PACKED``, and take a fixed number of store calls."""
+    calls = []
+    for n in (3, 300):
+        p, h = _processor()
+        rows = [(i, i * 60 * 10**6, i % 4 == 3) for i in range(n)]
+        (first,) = p.handleInputRows((1, 0), _input(rows), _Watermark(-1))
+        assert (first.pending, first.applied, len(h.values)) == (n, 0, 1)
+        last = _fired(p, h, 10**9)
+        assert (last.pending, last.applied, h.values, h.timers) == (0, n, [], set())
+        calls.append(h.calls)
+    assert calls[0] == calls[1] <= 8
+
+
+def test_packed_waiting_attempts_equal_the_ordered_fold(monkeypatch):
+    """Many packed values, arrivals in any order within the delay, partial
+    releases: the state is that of the fold in (ts, event_id) order."""
+    import random
+
+    from caseloom.streaming import lockout
+    monkeypatch.setattr(lockout, "PACKED", 7)
+    minute = 60 * 10**6
+    for seed in range(20):
+        rnd = random.Random(seed)
+        t, rows = 0, []
+        for i in range(200):
+            t += rnd.choice([0, 0, minute, 9 * minute, 31 * minute])
+            rows.append((i, t, rnd.random() < 0.2))
+        arrived = sorted(rows, key=lambda r: r[1] + rnd.randint(0, 40 * minute))
+        p, h = _processor()
+        top, watermark = 0, -1
+        for at in range(0, len(rows), 23):
+            batch = arrived[at:at + 23]
+            list(p.handleInputRows((1, 0), _input(batch), _Watermark(watermark)))
+            _fired(p, h, watermark)
+            top = max([top] + [r[1] for r in batch])
+            watermark = max(watermark, (top - 41 * minute) // 1000)
+        last = _fired(p, h, t // 1000 + 10**6)
+        a, lu, locks, last_lock = 0, None, 0, None
+        for _, ts, ok in rows:
+            if lu is not None and ts < lu:
+                continue
+            if ok:
+                a, lu = 0, None
+                continue
+            a += 1
+            if a >= 3:
+                lu, locks, last_lock = ts + 30 * minute, locks + 1, ts
+        assert (last.attempts, last.locked_until, last.n_locks, last.last_lock) == (a, lu, locks, last_lock)
+        assert (last.applied, last.late, last.pending) == (200, 0, 0)
+
+
+def test_user_with_more_attempts_than_one_packed_value(spark, tmp_dir):
+    from caseloom.streaming.lockout import PACKED
+    n = PACKED + 500
+    rows = [(i, 1 + i % 50 // 49, T0 + dt.timedelta(seconds=7 * (i * 7919 % n), microseconds=i % 3), i % 11 == 0) for i in range(n)]
+    updates = _through(spark, tmp_dir, [rows])
+    got = {r.user_id: r for r in lockout_stream_final(updates).collect()}
+    for r in audit.lockout_audit(spark.createDataFrame(rows, ATTEMPTS)).collect():
+        assert (got[r.user_id].attempts, got[r.user_id].locked_until, got[r.user_id].n_locks, got[r.user_id].last_lock) == (r.attempts, r.locked_until, r.n_locks, r.last_lock)
+    assert sum(r.applied for r in got.values()) == n
