@@ -291,3 +291,25 @@ def test_user_with_more_attempts_than_one_packed_value(spark, tmp_dir):
     for r in audit.lockout_audit(spark.createDataFrame(rows, ATTEMPTS)).collect():
         assert (got[r.user_id].attempts, got[r.user_id].locked_until, got[r.user_id].n_locks, got[r.user_id].last_lock) == (r.attempts, r.locked_until, r.n_locks, r.last_lock)
     assert sum(r.applied for r in got.values()) == n
+
+
+def test_counts_of_packed_late_and_unplaced_attempts(monkeypatch):
+    """What waited, came late or can't be placed is counted once, however the
+    waiting attempts are packed; attempts that can't be placed never wait."""
+    from pyspark.sql import Row
+
+    from caseloom.streaming import lockout
+    monkeypatch.setattr(lockout, "PACKED", 4)
+    minute = 60 * 10**6
+    p, h = _processor()
+    list(p.handleInputRows((1, 0), _input([(i, i * minute, False) for i in range(10)] + [(90, None, False), (91, None, True)]), _Watermark(-1)))
+    assert len(h.values) == 3
+    _fired(p, h, 6 * 60_000)
+    (row,) = p.handleInputRows((1, 0), _input([(92, 2 * minute, True), (93, 8 * minute, False)]), _Watermark(6 * 60_000))
+    assert (row.applied, row.pending, row.late, row.no_time) == (7, 4, 1, 2)
+    row = _fired(p, h, 60 * 60_000)
+    assert (row.applied, row.pending, row.late, row.no_time, row.no_user) == (11, 0, 1, 2, 0)
+
+    p, h = _processor()
+    (row,) = p.handleInputRows((0, 5), iter([Row(user_id=0, lane=5, event_id=i, ts=None, ok=False) for i in range(9)]), _Watermark(-1))
+    assert (row.user_id, row.lane, row.no_user, row.no_time, h.values, h.timers) == (None, 5, 9, 0, [], set())
