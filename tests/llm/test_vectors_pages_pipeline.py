@@ -82,6 +82,73 @@ def test_embedding_dedup_equals_brute_force(spark, odd_vectors, sizes):
     assert embedding_dedup.dedup(odd_vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_dedup_writes_vectors_once(spark, monkeypatch, kind):
+    """Vectors without structure, where every cell borders on every other one,
+    and near copies: what is written keeps to the size of the vectors, and
+    pairs of blocks are read without a further exchange."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 64))
+    x[100:180] = x[7] + rng.normal(scale=0.1, size=(80, 64))
+    x[200:400:4] = x[9] + rng.normal(scale=0.3, size=(50, 64))
+    x[500:520] = x[11]
+    x = x.astype(np.float32)
+    ids = rng.permutation(5000)[: len(x)]
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], f"vec_id long, embedding array<{kind}>").repartition(3)
+    stored, plans, write = {}, {}, embedding_dedup.written
+
+    def watched(frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        out = write(frame, name)
+        stored[name] = sum(len(bytes(v)) if isinstance(v, bytes | bytearray) else 8 * len(v) if isinstance(v, list) else 8 for r in out.collect() for v in r)
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "written", watched)
+    rows = [(int(i), r.astype(np.float64)) for i, r in zip(ids, x, strict=True)]
+    unit = np.array([r / np.linalg.norm(r) for _, r in rows])
+    near = (unit @ unit.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    label = ids.copy()
+    for _ in range(10):
+        label = np.array([min(label[i], label[near[i]].min(initial=label[i])) for i in range(len(x))])
+    want = {int(i): (int(near[k].sum()), int(label[k]), bool(label[k] == i)) for k, i in enumerate(ids)}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(df, 0.9, cell_rows=40, block_rows=20).collect()} == want
+    assert sum(stored.values()) <= 2.5 * x.size * (4 if kind == "float" else 8), stored
+    assert "Exchange " not in plans["vector-links"].replace("BroadcastExchange", ""), plans["vector-links"]
+
+
+@pytest.mark.parametrize("width, threshold", [(64, 0.9), (64, 0.8), (200, 0.9), (5, 0.95), (64, 0.2)])
+def test_blocks_link_as_brute_force(width, threshold):
+    """Shortened rows bound the cosine, and two blocks find the links of their
+    rows, weighted, within each and between them."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, width))
+    x[100:300] = x[3] + rng.normal(scale=0.1, size=(200, width))
+    x[300:500:2] = x[4] + rng.normal(scale=0.35, size=(100, width))
+    x = x.astype(np.float32)
+    u = embedding_dedup.unit(x.astype(np.float64))
+    centre, direction = embedding_dedup.spherical_kmeans(u[::2], 9), embedding_dedup.principal(u[::2], threshold)
+    for d in (direction, np.eye(width)[: width // 2]):
+        s = embedding_dedup.shortened(u, d)
+        assert (s @ s.T >= u @ u.T - embedding_dedup.SLACK).all()
+    home, ids, n = embedding_dedup.cells_of(u, centre), rng.permutation(900), rng.integers(1, 4, 900)
+    order = np.argsort(home, kind="stable")
+    a, b = ({"ids": ids[o], "ns": n[o], "cells": home[o].astype(np.int32), "vs": x[o]} for o in (order[:500], order[500:]))
+    got, label = collections.Counter(), {int(i): int(i) for i in ids}
+    edges = []
+    for s, t in ((a, a), (a, b), (b, b)):
+        for r in embedding_dedup.block_links(s, t, s is t, centre, direction, threshold, 64).itertuples():
+            got[r.id] += r.links
+            edges.append((r.id, r.component))
+    near = (u @ u.T >= threshold) & ~np.eye(900, dtype=bool)
+    assert got == {int(ids[k]): int(n[near[k]].sum()) for k in range(900) if near[k].any()}
+    want = ids.copy()
+    for _ in range(40):
+        want = np.array([min(want[k], want[near[k]].min(initial=want[k])) for k in range(900)])
+        for i, j in edges:
+            label[i] = label[j] = min(label[i], label[j])
+    assert [label[int(i)] for i in ids] == want.tolist()
+
+
 def test_vector_queries_on_table(spark):
     rows = good(spark.read.parquet(f"{SF01}/embeddings.parquet").collect())
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
