@@ -107,8 +107,8 @@ def cells_of(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 
 def depth(x: np.ndarray, home: np.ndarray, centre: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """Twice the distance of unit rows to the planes between their home and
-    ``cells``, times the distance of the centroids."""
+    """Distance of unit rows to the planes between their home and ``cells``,
+    times the distance of the two centroids."""
     return np.einsum("ij,ij->i", x, centre[home])[:, None] - x @ centre[cells].T
 
 
